@@ -1,18 +1,22 @@
 """Named queries: each maps (spark, sf_dir) -> DataFrame over the driver's
-tables through a facade, with an equivalent oracle SQL text where one exists.
+tables through a facade (FIXTURES.md §3), with an equivalent oracle SQL text
+where one exists. Parameters are the facade's (see FIXTURES.md §4).
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityrhythm import model
-from cityrhythm.operators import P, profiles
+from cityrhythm import dims, model
+from cityrhythm.operators import autopsy, cards, daily, districts, geo, profiles, stations
+from cityrhythm.plans import rollup
 from cityrhythm.plans.oracle_sql import facade_sql
+from cityrhythm.sources.geojson import read_boundaries
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -46,24 +50,559 @@ def O(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     return model.facade_orders(spark, sf_dir, year)
 
 
+def LK(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.facade_lookup(spark, sf_dir)
+
+
+M7 = model.FACADE_M7_SEGMENT
+
+# --- Fixed values: facade test parameters (FIXTURES.md §4) --------------------
+FACADE_SPECIAL_DAYS = {
+    1995: {"1995-02-06": "Kış fırtınası"},
+    1996: {"1996-07-04": "Yaz şenliği"},
+    1997: {"1997-10-29": "Cumhuriyet günü"},
+    2050: {"2050-01-01": "Gelecek yılbaşı"},
+}
+FACADE_PERIODS = [
+    dims.Period(1996, "1996-03-23", "1996-04-20", "1996-02-01", "1996-05-31", ("1996-04-21", "1996-04-25")),
+    dims.Period(1997, "1997-03-11", "1997-04-09", "1997-02-01", "1997-05-31", ("1997-04-10", "1997-04-14")),
+]
+FACADE_DAY_MIN_ROWS = 300
+FACADE_STATION_MIN_TOTAL = 10_000
+FACADE_TOP_TOWNS = 4
+FACADE_TOP = 3
+FACADE_LINE = "BUILDING"
+BOUNDARIES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+                          "sources", "data", "facade_boundaries.geojson")
+
+# SQL fragments shared by several oracle texts. A rounded value that can be
+# negative gets "+ 0.0": Spark's round never returns -0.0, DuckDB's can.
+NIGHT = "(transition_hour >= 23 OR transition_hour < 5)"
+NIGHT_SUM = f"SUM(CASE WHEN {NIGHT} THEN number_of_passenger END)"
+WDAY = f"gun_tipi = '{dims.WEEKDAY}'"
+SPECIAL_SQL = "sd AS (SELECT * FROM (VALUES " + ", ".join(
+    f"(DATE '{d}', '{lbl}')" for days in FACADE_SPECIAL_DAYS.values() for d, lbl in days.items()
+) + ") v(tarih, etiket))"
+PERIODS_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({p.year}, DATE '{p.start}', DATE '{p.end}', DATE '{p.window_start}', DATE '{p.window_end}', "
+    f"DATE '{p.excluded[0]}', DATE '{p.excluded[1]}')" for p in FACADE_PERIODS
+) + ") v(yil, bas, son, pb, ps, hb, hs))"
+MONTHS_SQL = "[" + ", ".join(f"'{m}'" for m in dims.MONTH_SHORT) + "]"
+DAYS_SQL = "[" + ", ".join(f"'{d}'" for d in dims.WEEKDAY_SHORT) + "]"
+
+
+def _pivot_sql(value: str, fill: str | None = None) -> str:
+    cols = []
+    for h in range(24):
+        e = f"MAX(CASE WHEN saat = {h} THEN {value} END)"
+        cols.append(f"COALESCE({e}, {fill}) AS h{h}" if fill else f"{e} AS h{h}")
+    return ", ".join(cols)
+
+
 # ---------------------------------------------------------------------------
-# B1 / C1
+# B1 / C1 / C3 / C6 / C8 / C9 / C21 / C22 — profiles
 # ---------------------------------------------------------------------------
 
 @register("rows_E", "B1", facade_sql("E", """
 SELECT CAST(COUNT(*) AS BIGINT) AS satir, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
 FROM trips WHERE yil = 2024"""))
 def q_rows_e(spark, sf_dir):
-    return E(spark, sf_dir, year=2024).agg(F.count(F.lit(1)).alias("satir"), F.sum(P).alias("yolcu"))
+    return E(spark, sf_dir, year=2024).agg(F.count(F.lit(1)).alias("satir"), F.sum("number_of_passenger").alias("yolcu"))
+
+
+DAILY_HOUR_TYPE = """d AS (SELECT transition_date, gun_tipi, transition_hour AS saat,
+  CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1, 2, 3)"""
 
 
-@register("hourly_profile", "C1", facade_sql("E", "SELECT gun_tipi, saat, ROUND(AVG(yolcu)) AS ortalama_yolcu FROM d GROUP BY 1, 2", [
-    """d AS (SELECT transition_date, gun_tipi, transition_hour AS saat,
-         CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1, 2, 3)"""]))
+@register("hourly_profile", "C1", facade_sql(
+    "E", "SELECT gun_tipi, saat, ROUND(AVG(yolcu)) AS ortalama_yolcu FROM d GROUP BY 1, 2", [DAILY_HOUR_TYPE]))
 def q_hourly_profile(spark, sf_dir):
     return profiles.hourly_profile(E(spark, sf_dir))
 
 
+@register("hour_delta", "C3", facade_sql("E", """
+SELECT saat, ROUND(ort) AS ort_yolcu, ROUND(ort - prev) + 0.0 AS onceki_saate_fark,
+       ROUND(100.0::DOUBLE * (ort - prev) / NULLIF(prev, 0), 1) + 0.0 AS degisim_pct FROM l""", [
+    f"""h AS (SELECT transition_hour AS saat,
+  CAST(SUM(number_of_passenger) AS DOUBLE) / COUNT(DISTINCT transition_date) AS ort
+  FROM trips WHERE {WDAY} GROUP BY 1)""",
+    "l AS (SELECT saat, ort, LAG(ort) OVER (ORDER BY saat) AS prev FROM h)"]))
+def q_hour_delta(spark, sf_dir):
+    return profiles.hour_delta(E(spark, sf_dir))
+
+
+@register("seasonal", "C6", facade_sql("O", """
+SELECT ay, ROUND(ort) AS ort_gunluk_yolcu,
+       ROUND(100.0::DOUBLE * ort / NULLIF(AVG(ort) OVER (), 0) - 100.0, 1) + 0.0 AS yil_ort_sapma_pct,
+       ROUND(endeks, 1) AS gece_endeksi FROM m""", [
+    f"""d AS (SELECT transition_date, ay, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu,
+  CAST({NIGHT_SUM} AS BIGINT) AS gece FROM trips GROUP BY 1, 2)""",
+    """m AS (SELECT ay, AVG(yolcu) AS ort,
+  1000.0::DOUBLE * SUM(gece) / NULLIF(SUM(yolcu), 0) AS endeks FROM d GROUP BY 1)"""]))
+def q_seasonal(spark, sf_dir):
+    return profiles.seasonal(O(spark, sf_dir))
+
+
+DOW_DAILY = """d AS (SELECT haftanin_gunu, transition_date, transition_hour AS saat,
+  CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1, 2, 3)"""
+
+
+@register("dow_hour", "C8", facade_sql("E", "SELECT haftanin_gunu, saat, AVG(yolcu) AS ort FROM d GROUP BY 1, 2",
+                                       [DOW_DAILY]))
+def q_dow_hour(spark, sf_dir):
+    return profiles.dow_hour(E(spark, sf_dir))
+
+
+@register("dow_hour_pivot", "C9", facade_sql("E", f"""
+SELECT haftanin_gunu, {DAYS_SQL}[haftanin_gunu] AS gun, {_pivot_sql('bin')}
+FROM a GROUP BY 1""", [DOW_DAILY, "a AS (SELECT haftanin_gunu, saat, AVG(yolcu) / 1000.0 AS bin FROM d GROUP BY 1, 2)"]))
+def q_dow_hour_pivot(spark, sf_dir):
+    return profiles.dow_hour_pivot(E(spark, sf_dir))
+
+
+@register("monthly_volume", "C21", facade_sql("O", "SELECT yil, ay, AVG(yolcu) AS ort_gunluk FROM d GROUP BY 1, 2", [
+    """d AS (SELECT yil, ay, transition_date, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM trips GROUP BY 1, 2, 3)"""]))
+def q_monthly_volume(spark, sf_dir):
+    return profiles.monthly_volume(O(spark, sf_dir))
+
+
+@register("hour_by_year", "C22", facade_sql("O", "SELECT yil, saat, AVG(yolcu) AS ort FROM d GROUP BY 1, 2", [
+    f"""d AS (SELECT yil, transition_date, transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM trips WHERE {WDAY} GROUP BY 1, 2, 3)"""]))
+def q_hour_by_year(spark, sf_dir):
+    return profiles.hour_by_year(O(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# C4 / C10 / C11 / C12 — daily series
+# ---------------------------------------------------------------------------
+
+DAILY = "d AS (SELECT transition_date, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1)"
+
+
+@register("moving_avg", "C4", facade_sql("O", """
+SELECT transition_date, yolcu, ROUND(ma) AS hareketli_ort_7g,
+       ROUND(100.0::DOUBLE * yolcu / NULLIF(ma, 0) - 100.0, 1) + 0.0 AS trendden_sapma_pct FROM m""", [
+    DAILY, """m AS (SELECT transition_date, yolcu,
+  AVG(yolcu) OVER (ORDER BY transition_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma FROM d)"""]))
+def q_moving_avg(spark, sf_dir):
+    return daily.moving_avg(O(spark, sf_dir))
+
+
+ANOMALY_CTES = [
+    """dz AS (SELECT transition_date, haftanin_gunu, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM trips GROUP BY 1, 2)""",
+    """z0 AS (SELECT *, (yolcu - AVG(yolcu) OVER w) / NULLIF(STDDEV_SAMP(yolcu) OVER w, 0) AS zr
+  FROM dz WINDOW w AS (PARTITION BY haftanin_gunu))""",
+    "za AS (SELECT transition_date, haftanin_gunu, yolcu, ROUND(zr, 6) + 0.0 AS z, ABS(zr) >= 2.0 AS anomali FROM z0)",
+]
+
+
+@register("anomaly", "C10", facade_sql("O", "SELECT * FROM za", ANOMALY_CTES))
+def q_anomaly(spark, sf_dir):
+    return daily.anomaly(O(spark, sf_dir))
+
+
+def _facade_special(spark):
+    return dims.special_days_df(spark, FACADE_SPECIAL_DAYS, {})
+
+
+@register("anomaly_labels", "C11", facade_sql("O", f"""
+SELECT an.transition_date, an.haftanin_gunu, an.yolcu, an.z,
+       COALESCE(sd.etiket, CASE WHEN x.transition_date IS NOT NULL
+         THEN CAST(day(an.transition_date) AS VARCHAR) || ' ' || {MONTHS_SQL}[month(an.transition_date)] END) AS etiket
+FROM an LEFT JOIN sd ON an.transition_date = sd.tarih
+        LEFT JOIN x ON an.transition_date = x.transition_date""", ANOMALY_CTES + [
+    "an AS (SELECT * FROM za WHERE anomali)", SPECIAL_SQL,
+    "x AS (SELECT transition_date FROM an ORDER BY ABS(z) DESC, transition_date ASC LIMIT 6)"]))
+def q_anomaly_labels(spark, sf_dir):
+    return daily.anomaly_labels(O(spark, sf_dir), _facade_special(spark))
+
+
+@register("series_annotations", "C12", facade_sql("O", """
+SELECT d.transition_date, sd.etiket, d.yolcu FROM d JOIN sd ON d.transition_date = sd.tarih""", [DAILY, SPECIAL_SQL]))
+def q_series_annotations(spark, sf_dir):
+    return daily.series_annotations(O(spark, sf_dir), _facade_special(spark))
+
+
+# ---------------------------------------------------------------------------
+# C2 / C14 / C15 / C16-C17 — stations
+# ---------------------------------------------------------------------------
+
+@register("station_peak", "C2", facade_sql("E", """
+SELECT hat, istasyon, saat AS zirve_saat, yolcu AS zirve_saat_yolcu, istasyon_toplam,
+       ROUND(100.0::DOUBLE * yolcu / NULLIF(istasyon_toplam, 0), 1) AS zirve_pay_pct
+FROM r WHERE sira = 1""", [
+    f"""s AS (SELECT line_name AS hat, station_poi_desc_cd AS istasyon, transition_hour AS saat,
+  CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+  WHERE road_type = 'RAYLI' AND station_poi_desc_cd IS NOT NULL AND {WDAY} GROUP BY 1, 2, 3)""",
+    """r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY hat, istasyon ORDER BY yolcu DESC, saat ASC) AS sira,
+  CAST(SUM(yolcu) OVER (PARTITION BY hat, istasyon) AS BIGINT) AS istasyon_toplam FROM s)"""]))
+def q_station_peak(spark, sf_dir):
+    return stations.station_peak(E(spark, sf_dir), rail="RAYLI")
+
+
+STATION_SHARE_CTES = [
+    f"""g AS (SELECT line_name || ' / ' || station_poi_desc_cd AS istasyon, transition_hour AS saat,
+  CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+  WHERE road_type = 'RAYLI' AND station_poi_desc_cd IS NOT NULL AND line_name IS NOT NULL AND {WDAY}
+  GROUP BY 1, 2)""",
+    "t AS (SELECT *, SUM(yolcu) OVER (PARTITION BY istasyon) AS tot FROM g)",
+    f"ss AS (SELECT istasyon, saat, 1.0::DOUBLE * yolcu / NULLIF(tot, 0) AS pay FROM t WHERE tot > {FACADE_STATION_MIN_TOTAL})",
+]
+
+
+def _station_share(spark, sf_dir):
+    return stations.station_share(E(spark, sf_dir), rail="RAYLI", min_total=FACADE_STATION_MIN_TOTAL)
+
+
+@register("station_share", "C14", facade_sql("E", "SELECT * FROM ss", STATION_SHARE_CTES))
+def q_station_share(spark, sf_dir):
+    return _station_share(spark, sf_dir)
+
+
+@register("station_matrix", "C15", facade_sql(
+    "E", f"SELECT istasyon, {_pivot_sql('pay', '0.0')} FROM ss GROUP BY 1", STATION_SHARE_CTES))
+def q_station_matrix(spark, sf_dir):
+    return stations.station_matrix(_station_share(spark, sf_dir))
+
+
+@register("station_clusters", "C16,C17", None, "k-means best of 10 starts; rows-only check")
+def q_station_clusters(spark, sf_dir):
+    clusters, _ = stations.cluster_stations(stations.station_matrix(_station_share(spark, sf_dir)))
+    return clusters
+
+
+# ---------------------------------------------------------------------------
+# B3 / C5 / C13 / C23 / C24 / C29 / C31 / C30 / C32 — districts at night
+# ---------------------------------------------------------------------------
+
+@register("night_index", "B3,C5", facade_sql("E", f"""
+SELECT ilce, CAST(SUM(number_of_passenger) AS BIGINT) AS toplam_yolcu, CAST({NIGHT_SUM} AS BIGINT) AS gece_yolcu,
+       ROUND(1000.0::DOUBLE * {NIGHT_SUM} / NULLIF(SUM(number_of_passenger), 0), 1) AS gece_endeksi
+FROM rail WHERE ilce IS NOT NULL GROUP BY 1 HAVING SUM(number_of_passenger) > 1000000"""))
+def q_night_index(spark, sf_dir):
+    return districts.night_index(E(spark, sf_dir), LK(spark, sf_dir), m7_line=M7, rail="RAYLI")
+
+
+NIGHT_MAP = f"""nm AS (SELECT ilce, ROUND(1000.0::DOUBLE * {NIGHT_SUM} / NULLIF(SUM(number_of_passenger), 0), 1) AS endeks
+  FROM rail WHERE ilce IS NOT NULL GROUP BY 1 HAVING SUM(number_of_passenger) > 500000)"""
+
+
+def _night_map(spark, sf_dir):
+    return districts.night_map_index(E(spark, sf_dir), LK(spark, sf_dir), m7_line=M7, rail="RAYLI")
+
+
+@register("night_map_index", "C29", facade_sql("E", "SELECT * FROM nm", [NIGHT_MAP]))
+def q_night_map_index(spark, sf_dir):
+    return _night_map(spark, sf_dir)
+
+
+@register("night_top", "C13", facade_sql(
+    "E", f"SELECT ilce, endeks FROM nm ORDER BY endeks DESC NULLS LAST, ilce ASC LIMIT {FACADE_TOP}", [NIGHT_MAP]))
+def q_night_top(spark, sf_dir):
+    return districts.night_top(_night_map(spark, sf_dir), FACADE_TOP)
+
+
+@register("index_scale", "C31", facade_sql("E", """
+SELECT ilce, endeks, (endeks - MIN(endeks) OVER ()) / NULLIF(MAX(endeks) OVER () - MIN(endeks) OVER (), 0) AS konum
+FROM nm""", [NIGHT_MAP]))
+def q_index_scale(spark, sf_dir):
+    return districts.index_scale(_night_map(spark, sf_dir))
+
+
+BOUNDARY_NAMES = ("Afrıca", "Amerıca", "Asıa", "Çengelköy")
+
+
+@register("map_enrich", "B7,C30", facade_sql("E", f"""
+SELECT bn.ad, bn.ilce, nm.endeks,
+       CASE WHEN nm.endeks IS NULL THEN '{dims.NO_RAIL_TEXT}' ELSE '{dims.PER_MILLE}' || printf('%.1f', nm.endeks) END
+         AS gece_endeksi
+FROM bn LEFT JOIN nm ON bn.ilce = nm.ilce""", [
+    NIGHT_MAP,
+    "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in BOUNDARY_NAMES) + ") v(ad))",
+    f"bn AS (SELECT ad, upper(translate(ad, '{dims.TR_FROM}', '{dims.TR_TO}')) AS ilce FROM b)"]))
+def q_map_enrich(spark, sf_dir):
+    return geo.map_enrich(read_boundaries(spark, BOUNDARIES), _night_map(spark, sf_dir))
+
+
+NIGHT_BY_YEAR = f"""nb AS (SELECT yil, ilce,
+  ROUND(1000.0::DOUBLE * {NIGHT_SUM} / NULLIF(SUM(number_of_passenger), 0), 1) AS gece_endeksi,
+  CAST(SUM(number_of_passenger) AS BIGINT) AS toplam
+  FROM rail WHERE ilce IS NOT NULL GROUP BY 1, 2 HAVING SUM(number_of_passenger) > 500000)"""
+
+
+@register("night_by_year", "B3,C23", facade_sql("O", "SELECT * FROM nb", [NIGHT_BY_YEAR]))
+def q_night_by_year(spark, sf_dir):
+    return districts.night_by_year(O(spark, sf_dir), LK(spark, sf_dir), m7_line=M7, rail="RAYLI")
+
+
+@register("night_by_year_top", "C24", facade_sql("O", f"""
+SELECT nb.yil, nb.ilce, nb.gece_endeksi, nb.toplam, r.sira FROM nb JOIN r ON nb.ilce = r.ilce
+WHERE r.sira <= {FACADE_TOP}""", [
+    NIGHT_BY_YEAR,
+    """r AS (SELECT ilce, CAST(ROW_NUMBER() OVER (ORDER BY gece_endeksi DESC NULLS LAST, ilce ASC) AS INTEGER) AS sira
+  FROM nb WHERE yil = (SELECT MAX(yil) FROM trips))"""]))
+def q_night_by_year_top(spark, sf_dir):
+    return districts.night_by_year_top(O(spark, sf_dir), LK(spark, sf_dir), n=FACADE_TOP, m7_line=M7, rail="RAYLI")
+
+
+# ---------------------------------------------------------------------------
+# C18 / C19 / C20 / C32 — district pulse
+# ---------------------------------------------------------------------------
+
+@register("top_towns", "C18", facade_sql("E", """
+SELECT ilce, saat, AVG(yolcu) AS ort_yolcu FROM d WHERE ilce IN (SELECT ilce FROM top) GROUP BY 1, 2""", [
+    f"""top AS (SELECT COALESCE(town, 'X') AS ilce FROM trips WHERE road_type = 'RAYLI'
+  GROUP BY 1 ORDER BY SUM(number_of_passenger) DESC, 1 ASC LIMIT {FACADE_TOP_TOWNS})""",
+    f"""d AS (SELECT transition_date, ilce, transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM rail WHERE {WDAY} GROUP BY 1, 2, 3)"""]))
+def q_top_towns(spark, sf_dir):
+    return districts.top_towns_pulse(E(spark, sf_dir), LK(spark, sf_dir), n=FACADE_TOP_TOWNS, m7_line=M7, rail="RAYLI")
+
+
+PULSE_CTES = [
+    f"""pd AS (SELECT ilce, transition_date, transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM rail WHERE {WDAY} GROUP BY 1, 2, 3)""",
+    "ph AS (SELECT ilce, saat, AVG(yolcu) AS ort, SUM(yolcu) AS s FROM pd WHERE ilce IS NOT NULL GROUP BY 1, 2)",
+    """pw AS (SELECT *, SUM(s) OVER (PARTITION BY ilce) AS tot, MAX(ort) OVER (PARTITION BY ilce) AS mx FROM ph)""",
+    "pl AS (SELECT ilce, saat, ort, ort / mx AS nabiz FROM pw WHERE tot > 100000 AND mx > 0)",
+]
+
+
+def _pulse(spark, sf_dir):
+    return districts.pulse(E(spark, sf_dir), LK(spark, sf_dir), m7_line=M7, rail="RAYLI")
+
+
+@register("pulse", "C19", facade_sql("E", "SELECT * FROM pl", PULSE_CTES))
+def q_pulse(spark, sf_dir):
+    return _pulse(spark, sf_dir)
+
+
+@register("pulse_filled", "C19,C20", facade_sql("E", """
+SELECT hrs.saat, dd.ilce, COALESCE(pl.nabiz, 0.0) AS nabiz
+FROM dd CROSS JOIN hrs LEFT JOIN pl ON pl.ilce = dd.ilce AND pl.saat = hrs.saat""", PULSE_CTES + [
+    "dd AS (SELECT DISTINCT ilce FROM pl)",
+    "hrs AS (SELECT CAST(range AS TINYINT) AS saat FROM range(24))"]))
+def q_pulse_filled(spark, sf_dir):
+    return districts.pulse_frames(_pulse(spark, sf_dir))
+
+
+@register("map_rings", "C32", None, "outer rings of the boundary fixture, alive = in the pulse; rows-only check")
+def q_map_rings(spark, sf_dir):
+    return geo.outer_rings(read_boundaries(spark, BOUNDARIES), _pulse(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# C7 / C25 / C26 / C27 / C28 — cards and periods
+# ---------------------------------------------------------------------------
+
+@register("card_share", "C7", facade_sql("E", """
+SELECT kart, saat, yolcu, ROUND(100.0::DOUBLE * yolcu / NULLIF(SUM(yolcu) OVER (PARTITION BY kart), 0), 2)
+       AS gun_ici_pay_pct FROM g""", [
+    f"""g AS (SELECT product_kind AS kart, transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu
+  FROM trips WHERE {WDAY} AND product_kind IN ({", ".join(f"'{k}'" for k in model.FACADE_E_CARD_KINDS)})
+  GROUP BY 1, 2)"""]))
+def q_card_share(spark, sf_dir):
+    return cards.card_share(E(spark, sf_dir), model.FACADE_E_CARD_KINDS)
+
+
+@register("period_share", "C25", facade_sql("O", """
+SELECT donem, saat, 100.0::DOUBLE * yolcu / NULLIF(SUM(yolcu) OVER (PARTITION BY donem), 0) AS pay FROM g""", [
+    f"""g AS (SELECT CASE WHEN ay = 3 THEN '{dims.SCHOOL_LABEL}' ELSE '{dims.SUMMER_LABEL}' END AS donem,
+  transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+  WHERE {WDAY} AND product_kind = '{model.FACADE_O_STUDENT_CARD}' AND ay IN (3, 7) GROUP BY 1, 2)"""]))
+def q_period_share(spark, sf_dir):
+    return cards.period_share(O(spark, sf_dir), card=model.FACADE_O_STUDENT_CARD)
+
+
+_P97 = FACADE_PERIODS[1]
+
+
+@register("period_profile", "C26", facade_sql("O", "SELECT donem, saat, AVG(yolcu) AS ort FROM g GROUP BY 1, 2", [
+    f"""g AS (SELECT CASE WHEN transition_date BETWEEN DATE '{_P97.start}' AND DATE '{_P97.end}'
+    THEN '{dims.RAMADAN_LABEL}' ELSE '{dims.NORMAL_LABEL}' END AS donem,
+  transition_date, transition_hour AS saat, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+  WHERE yil = {_P97.year} AND {WDAY}
+    AND transition_date BETWEEN DATE '{_P97.window_start}' AND DATE '{_P97.window_end}'
+    AND transition_date NOT BETWEEN DATE '{_P97.excluded[0]}' AND DATE '{_P97.excluded[1]}'
+  GROUP BY 1, 2, 3)"""]))
+def q_period_profile(spark, sf_dir):
+    return cards.period_profile(O(spark, sf_dir), _P97)
+
+
+LIFT_CTES = [
+    PERIODS_SQL,
+    f"""g AS (SELECT t.yil, CASE WHEN t.transition_date BETWEEN p.bas AND p.son THEN 'ramazan' ELSE 'normal' END AS donem,
+  t.transition_date, t.transition_hour AS saat, CAST(SUM(t.number_of_passenger) AS BIGINT) AS yolcu
+  FROM trips t JOIN p ON t.yil = p.yil
+  WHERE t.{WDAY} AND t.transition_date BETWEEN p.pb AND p.ps AND t.transition_date NOT BETWEEN p.hb AND p.hs
+  GROUP BY 1, 2, 3, 4)""",
+    "o AS (SELECT yil, donem, saat, AVG(yolcu) AS ort FROM g GROUP BY 1, 2, 3)",
+    """lift AS (SELECT r.yil, r.saat, 100.0 * (r.ort / n.ort - 1) AS fark_pct FROM o r JOIN o n USING (yil, saat)
+  WHERE r.donem = 'ramazan' AND n.donem = 'normal' AND (r.saat >= 20 OR r.saat <= 5))""",
+]
+
+
+def _lift(spark, sf_dir):
+    return cards.period_lift(O(spark, sf_dir), dims.periods_df(spark, FACADE_PERIODS))
+
+
+@register("period_lift", "B5,C26,C27", facade_sql("O", "SELECT * FROM lift", LIFT_CTES))
+def q_period_lift(spark, sf_dir):
+    return _lift(spark, sf_dir)
+
+
+@register("evening_spine", "C28", facade_sql("O", """
+SELECT sp.yil, sp.sira, sp.saat, lift.fark_pct FROM sp LEFT JOIN lift ON sp.yil = lift.yil AND sp.saat = lift.saat""",
+    LIFT_CTES + ["sp AS (SELECT p.yil, CAST(h.sira AS INTEGER) AS sira, CAST(h.saat AS TINYINT) AS saat FROM p "
+                 "CROSS JOIN (VALUES " + ", ".join(f"({i}, {h})" for i, h in enumerate(dims.EVENING_ORDER))
+                 + ") h(sira, saat))"]))
+def q_evening_spine(spark, sf_dir):
+    return cards.evening_spine(_lift(spark, sf_dir), dims.periods_df(spark, FACADE_PERIODS))
+
+
+# ---------------------------------------------------------------------------
+# A4 / A5 / A6 / A8 — quality measures on facade rows
+# ---------------------------------------------------------------------------
+
+@register("day_completeness", "A5", facade_sql("E", f"""
+SELECT transition_date, COUNT(DISTINCT transition_hour) AS saat, COUNT(*) AS satir,
+       COUNT(DISTINCT transition_hour) = 24 AND COUNT(*) >= {FACADE_DAY_MIN_ROWS} AS tam,
+       COUNT(DISTINCT transition_hour) < 24 OR COUNT(*) < {FACADE_DAY_MIN_ROWS} AS kirik
+FROM trips GROUP BY 1"""))
+def q_day_completeness(spark, sf_dir):
+    return autopsy.day_completeness(E(spark, sf_dir), FACADE_DAY_MIN_ROWS)
+
+
+@register("month_coverage", "A4", facade_sql("E", """
+SELECT COUNT(*) AS satir, MIN(transition_date) AS ilk_gun, MAX(transition_date) AS son_gun,
+       COUNT(DISTINCT transition_date) AS gun_sayisi,
+       CAST(day(last_day(MIN(transition_date))) AS INTEGER) AS ay_gun,
+       CAST(day(last_day(MIN(transition_date))) AS BIGINT) - COUNT(DISTINCT transition_date) AS eksik_gun
+FROM trips"""))
+def q_month_coverage(spark, sf_dir):
+    return autopsy.month_coverage(E(spark, sf_dir))
+
+
+@register("month_gate", "A6", facade_sql("E", """
+SELECT CAST(COUNT(*) FILTER (WHERE tam) AS INTEGER) AS tam_gun,
+       CAST(day(last_day(MIN(transition_date))) AS INTEGER) AS ay_gun,
+       CAST(COUNT(*) FILTER (WHERE tam) AS INTEGER) = CAST(day(last_day(MIN(transition_date))) AS INTEGER) AS kabul
+FROM dc""", [f"""dc AS (SELECT transition_date,
+  COUNT(DISTINCT transition_hour) = 24 AND COUNT(*) >= {FACADE_DAY_MIN_ROWS} AS tam FROM trips GROUP BY 1)"""]))
+def q_month_gate(spark, sf_dir):
+    return autopsy.month_gate(E(spark, sf_dir), FACADE_DAY_MIN_ROWS)
+
+
+def _blank(c: str) -> str:
+    return f"({c} IS NULL OR TRIM({c}) = '')"
+
+
+@register("null_rates", "A8", facade_sql("E", f"""
+SELECT 100.0::DOUBLE * COUNT(*) FILTER (WHERE {_blank('town')}) / NULLIF(COUNT(*), 0) AS town_bos_pct,
+       100.0::DOUBLE * COUNT(*) FILTER (WHERE {_blank('line_name')}) / NULLIF(COUNT(*), 0) AS hat_bos_pct,
+       100.0::DOUBLE * COUNT(*) FILTER (WHERE number_of_passenger IS NULL) / NULLIF(COUNT(*), 0) AS yolcu_bos_pct,
+       COUNT(*) FILTER (WHERE number_of_passenger IS NULL) AS yolcu_bos, COUNT(*) AS toplam
+FROM trips"""))
+def q_null_rates(spark, sf_dir):
+    return autopsy.null_rates(E(spark, sf_dir))
+
+
+@register("null_map", "A8,D9", facade_sql("E", f"""
+SELECT road_type, COUNT(*) AS satir,
+       COUNT(*) FILTER (WHERE {_blank('station_poi_desc_cd')}) AS istasyon_bos,
+       COUNT(*) FILTER (WHERE {_blank('town')}) AS town_bos,
+       COUNT(*) FILTER (WHERE {_blank('line_name')}) AS hat_bos
+FROM trips GROUP BY 1"""))
+def q_null_map(spark, sf_dir):
+    return autopsy.null_map(E(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# D2-D8 — autopsy
+# ---------------------------------------------------------------------------
+
+@register("coverage_pairs", "D2", facade_sql("E", """
+SELECT MIN(transition_date) AS ilk_gun, MAX(transition_date) AS son_gun,
+       COUNT(DISTINCT transition_date) AS gun_sayisi,
+       COUNT(DISTINCT (transition_date, transition_hour)) AS dolu_kombinasyon,
+       CAST(day(last_day(MIN(transition_date))) * 24 AS INTEGER) AS beklenen_kombinasyon
+FROM trips"""))
+def q_coverage_pairs(spark, sf_dir):
+    return autopsy.coverage_pairs(E(spark, sf_dir))
+
+
+@register("day_profile", "D3", facade_sql("E", """
+SELECT transition_date, COUNT(DISTINCT transition_hour) AS dolu_saat, COUNT(*) AS satir,
+       CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1"""))
+def q_day_profile(spark, sf_dir):
+    return autopsy.day_profile(E(spark, sf_dir))
+
+
+@register("mode_map", "D4", facade_sql("E", """
+SELECT road_type, COUNT(*) AS satir, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1"""))
+def q_mode_map(spark, sf_dir):
+    return autopsy.mode_map(E(spark, sf_dir))
+
+
+@register("town_count", "D5", facade_sql("E", "SELECT COUNT(DISTINCT town) AS ilce_sayisi FROM trips"))
+def q_town_count(spark, sf_dir):
+    return autopsy.town_count(E(spark, sf_dir))
+
+
+@register("town_top", "D5", facade_sql("E", f"""
+SELECT town, COUNT(*) AS satir, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1
+ORDER BY yolcu DESC NULLS LAST, town ASC NULLS LAST LIMIT {FACADE_TOP}"""))
+def q_town_top(spark, sf_dir):
+    return autopsy.town_top(E(spark, sf_dir), FACADE_TOP)
+
+
+@register("line_stations", "D6", facade_sql("E", f"""
+SELECT line_name, station_poi_desc_cd, town, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+WHERE line_name = '{FACADE_LINE}' GROUP BY 1, 2, 3
+ORDER BY yolcu DESC NULLS LAST, station_poi_desc_cd ASC NULLS LAST, town ASC NULLS LAST LIMIT 8"""))
+def q_line_stations(spark, sf_dir):
+    return autopsy.line_stations(E(spark, sf_dir), FACADE_LINE, 8)
+
+
+@register("blank_town_lines", "D7", facade_sql("E", f"""
+SELECT road_type, line_name, COUNT(*) AS satir, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips
+WHERE {_blank('town')} GROUP BY 1, 2
+ORDER BY yolcu DESC NULLS LAST, road_type ASC NULLS LAST, line_name ASC NULLS LAST LIMIT 5"""))
+def q_blank_town_lines(spark, sf_dir):
+    return autopsy.blank_town_lines(E(spark, sf_dir), 5)
+
+
+@register("passage_vs_passenger", "D8", facade_sql("E", """
+SELECT CAST(SUM(number_of_passage) AS BIGINT) AS gecis, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu,
+       COUNT(*) FILTER (WHERE number_of_passage <> number_of_passenger) AS farkli_satir, COUNT(*) AS toplam_satir
+FROM trips"""))
+def q_passage_vs_passenger(spark, sf_dir):
+    return autopsy.passage_vs_passenger(E(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# §4 hourly roll-up — the same sums from the roll-up as from the rows
+# ---------------------------------------------------------------------------
+
+@register("rollup_E", "§4", facade_sql("E", f"""
+SELECT {", ".join(rollup.KEYS)}, CAST(SUM(number_of_passenger) AS BIGINT) AS number_of_passenger,
+       CAST(SUM(number_of_passage) AS BIGINT) AS number_of_passage, COUNT(*) AS satir,
+       COUNT(*) FILTER (WHERE number_of_passage <> number_of_passenger) AS farkli_satir
+FROM trips GROUP BY ALL"""))
+def q_rollup_e(spark, sf_dir):
+    return rollup.hourly_rollup(E(spark, sf_dir)).select(
+        *rollup.KEYS, "number_of_passenger", "number_of_passage", "satir", "farkli_satir")
+
+
+@register("hourly_profile_rollup", "C1,§4", facade_sql(
+    "E", "SELECT gun_tipi, saat, ROUND(AVG(yolcu)) AS ortalama_yolcu FROM d GROUP BY 1, 2", [DAILY_HOUR_TYPE]))
+def q_hourly_profile_rollup(spark, sf_dir):
+    return profiles.hourly_profile(rollup.hourly_rollup(E(spark, sf_dir)))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v.build for k, v in REGISTRY.items()}
 

@@ -67,6 +67,9 @@ def compare(spark, name, build, sql, sf_dir, con=None):
         res["status"] = f"COLUMNS {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    exact = sorted([tuple(repr(r[i]) for i in sorted(range(len(s_cols)), key=lambda i: s_cols[i])) for r in s_rows]) == \
+        sorted([tuple(repr(r[i]) for i in sorted(range(len(d_cols)), key=lambda i: d_cols[i])) for r in d_rows])
+    res["exact"] = exact
     if a == b:
         res["status"] = "ok"
     else:
