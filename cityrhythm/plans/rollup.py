@@ -40,7 +40,8 @@ def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -> None:
     spark = rollup.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     cols = KEYS + [P, PASSAGE, "satir", "farkli_satir", "yil", "ay"]
-    (rollup.select(*cols).repartition("yil", "ay")
+    # spread by (date, hour): a month goes to many tasks, a task holds few months
+    (rollup.select(*cols).repartition("transition_date", "transition_hour")
      .write.mode(mode).partitionBy("yil", "ay").option("compression", "zstd").parquet(path))
 
 
