@@ -71,12 +71,19 @@ def night_by_year_top(trips: DataFrame, lookup: DataFrame, n: int = dims.BY_YEAR
     filtered result; the ranking window sees only that year's districts.
     """
     nb = night_by_year(trips, lookup, min_total, rail, m7_line)
-    latest = trips.agg(F.max("yil").alias("_son_yil"))
-    ranked = (nb.join(latest, F.col("yil") == F.col("_son_yil"))
-              .select("ilce", F.row_number().over(
-                  Window.orderBy(F.col("gece_endeksi").desc_nulls_last(), F.col("ilce").asc())).alias("sira"))
-              .where(F.col("sira") <= n))
-    return nb.join(ranked, "ilce", "inner").select("yil", "ilce", "gece_endeksi", "toplam", "sira")
+    latest = trips.agg(F.max("yil").alias("_son_yil"))        # one row
+    x = nb.join(latest, F.col("yil") == F.col("_son_yil"), "left")
+    is_latest = F.col("yil") == F.col("_son_yil")
+    # rank inside the latest year (one window partition per flag value; the
+    # latest-year partition holds one row per district), then carry the rank
+    # to the district's other years with a per-district window — no self-join,
+    # so the yearly index is computed once.
+    rn = F.row_number().over(Window.partitionBy(is_latest)
+                             .orderBy(F.col("gece_endeksi").desc_nulls_last(), F.col("ilce").asc()))
+    x = x.select("*", F.when(is_latest, rn).alias("_rn"))
+    sira = F.max("_rn").over(Window.partitionBy("ilce"))
+    return (x.select("yil", "ilce", "gece_endeksi", "toplam", sira.alias("sira"))
+            .where(F.col("sira") <= n))
 
 
 def index_scale(index: DataFrame, value: str = "endeks") -> DataFrame:
@@ -99,12 +106,18 @@ def top_towns_pulse(trips: DataFrame, lookup: DataFrame, n: int = dims.TOP_TOWNS
     """Weekday mean per (district, hour) for the top-``n`` towns by rail
     total over all days. The ranking uses the raw town (NULL -> 'X', which can
     take a slot), the means use the completed district."""
-    top = (trips.where(F.col("road_type") == F.lit(rail))
-           .groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
-           .agg(F.sum(P).alias("_t"))
+    # One scan: rail rows summed per (date, hour, day type, raw town, district).
+    # Both the ranking and the means read this aggregate, so its shuffle is
+    # computed once and reused (ReusedExchange) instead of scanning twice.
+    base = (rail_districts(trips, lookup, rail, m7_line)
+            .groupBy("transition_date", "transition_hour", "gun_tipi", "town", "ilce")
+            .agg(F.sum(P).alias("yolcu")))
+    top = (base.groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
+           .agg(F.sum("yolcu").alias("_t"))
            .orderBy(F.col("_t").desc(), F.col("ilce").asc()).limit(n)
            .select("ilce"))
-    daily = _weekday_rail_daily(trips, lookup, rail, m7_line)
+    daily = (base.where(F.col("gun_tipi") == F.lit(dims.WEEKDAY))
+             .groupBy("transition_date", "ilce", "transition_hour").agg(F.sum("yolcu").alias("yolcu")))
     return (daily.join(top, "ilce", "left_semi")
             .groupBy("ilce", F.col("transition_hour").alias("saat"))
             .agg(F.avg("yolcu").alias("ort_yolcu")))

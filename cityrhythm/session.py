@@ -16,9 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Broadcast is decided from plan statistics (file sizes / exact sizes of
-    # literal dimensions) and at runtime from shuffle statistics; both are
-    # size-checked against these limits.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # literal dimensions) and at runtime from measured shuffle sizes; both are
+    # size-checked against these limits (static: Spark's 10 MB default).
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

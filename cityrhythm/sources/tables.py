@@ -13,6 +13,23 @@ def path(sf_dir: str, name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a lazy relation, defined once per session (like a catalog
+    table): the file listing and footer schema are resolved on first use and
+    reused; every action still scans the Parquet data."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(path(sf_dir, name))
+    return view(spark, ("table", sf_dir.rstrip("/"), name), lambda: spark.read.parquet(path(sf_dir, name)))
+
+
+def view(spark: SparkSession, key: tuple, define) -> DataFrame:
+    """Session-scoped named relation: ``define()`` builds the lazy DataFrame
+    the first time, later calls reuse it (a temporary view without SQL)."""
+    views = spark.__dict__.setdefault("_cityrhythm_views", {})
+    if key not in views:
+        views[key] = define()
+    return views[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop the session's relation definitions (e.g. after files changed)."""
+    spark.__dict__.pop("_cityrhythm_views", None)
