@@ -24,6 +24,41 @@ ROAD = "OTOYOL"
 SEA = "DENİZ"
 M7_LINE = "M7"          # the line whose district is NULL in the feed
 
+# --- Fixed values: line M7 station -> district (the feed leaves M7's town empty)
+M7_STATION_DISTRICT = {
+    "ALIBEYKOY BATI": "EYUPSULTAN",
+    "ALIBEYKOY DOGU": "EYUPSULTAN",
+    "CAGLAYAN BATI": "KAGITHANE",
+    "CAGLAYAN DOGU": "KAGITHANE",
+    "CIRCIR BATI": "EYUPSULTAN",
+    "CIRCIR DOGU": "EYUPSULTAN",
+    "GOZTEPE BATI": "BAGCILAR",
+    "GOZTEPE DOGU": "BAGCILAR",
+    "KAGITHANE BATI": "KAGITHANE",
+    "KAGITHANE DOGU": "KAGITHANE",
+    "KARADENIZ MAH. BATI": "GAZIOSMANPASA",
+    "KARADENIZ MAH. DOGU": "GAZIOSMANPASA",
+    "KAZIMKARABEKIR": "GAZIOSMANPASA",
+    "M7 FULYA": "BESIKTAS",
+    "M7 YILDIZ 1": "BESIKTAS",
+    "M7 YILDIZ 2": "BESIKTAS",
+    "MAHMUTBEY M3 HOL 3": "BAGCILAR",
+    "MAHMUTBEY M3 HOL 4": "BAGCILAR",
+    "MAHMUTBEY M7 HOL 1": "BAGCILAR",
+    "MAHMUTBEY M7 HOL 2": "BAGCILAR",
+    "MECIDIYEKOY BATI": "SISLI",
+    "MECIDIYEKOY DOGU": "SISLI",
+    "NURTEPE BATI": "KAGITHANE",
+    "NURTEPE DOGU": "KAGITHANE",
+    "ORUCREIS BATI": "ESENLER",
+    "ORUCREIS DOGU": "ESENLER",
+    "TEKSTILKENT": "ESENLER",
+    "VEYSELKARANI BATI": "SULTANGAZI",
+    "VEYSELKARANI DOGU": "SULTANGAZI",
+    "YENIMAHALLE": "GAZIOSMANPASA",
+    "YESILPINAR": "EYUPSULTAN",
+}
+
 # --- Fixed values: night = hour >= 23 or hour < 5 ------------------------------
 NIGHT_FROM = 23
 NIGHT_UNTIL = 5

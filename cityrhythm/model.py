@@ -62,8 +62,12 @@ def _road_type(key: Column) -> Column:
             .otherwise(F.lit(FACADE_ROAD_TYPES[2])))
 
 
+# A code table at most this long is held as a literal map (checked on read).
+MAX_CODE_TABLE_ROWS = 10_000
+
+
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation -> (name, region name): 25 rows, broadcast from its statistics."""
+    """nation -> (name, region name) as a DataFrame."""
     return tables.view(spark, ("geo", sf_dir), lambda: (
         tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
         .join(tables.read(spark, sf_dir, "region").select("r_regionkey", "r_name"),
@@ -71,25 +75,56 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("n_nationkey", "n_name", "r_name")))
 
 
+def geo_codes(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]] | None:
+    """The nation code table (25 rows in the data), read once per session.
+
+    Returns None when it has more than ``MAX_CODE_TABLE_ROWS`` rows: only
+    ``MAX + 1`` rows are ever fetched to decide, and callers then join the
+    DataFrame instead.
+    """
+    def load():
+        rows = _geo(spark, sf_dir).limit(MAX_CODE_TABLE_ROWS + 1).collect()
+        return None if len(rows) > MAX_CODE_TABLE_ROWS else [tuple(r) for r in rows]
+    views = spark.__dict__.setdefault("_cityrhythm_views", {})
+    key = ("geo_codes", sf_dir)
+    if key not in views:
+        views[key] = load()
+    return views[key]
+
+
+def _code_map(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
 def _with_customer(facts: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attach line (segment), station (nation) and town (region; NULL for the
     M7 stand-in) to fact rows.
 
-    Join order is fact -> customer -> geo: each join has a base relation (with
-    file statistics) on one side, so the broadcast decision compares real
-    sizes. customer is broadcast only while its statistics are under the
-    threshold; beyond that it is a shuffle join on the key (AQE splits hot
-    keys). The 25-row geo table is always small and joins by broadcast.
+    The fact rows join ``customer`` first (both base relations, so the
+    broadcast decision compares real file statistics): customer is broadcast
+    only while it is under the threshold, beyond that it is a shuffle join on
+    the key whose hot keys AQE splits. The nation code table is small by
+    construction and checked on read; it is applied as a literal map
+    (no join, no extra broadcast job), or joined when it is unexpectedly large.
     """
     cust = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    j = facts.join(cust, F.col(key) == F.col("c_custkey"))
+    codes = geo_codes(spark, sf_dir)
+    if codes is not None:
+        nk = F.col("c_nationkey")
+        name = _code_map((k, n) for k, n, _ in codes)[nk]
+        region = _code_map((k, r) for k, _, r in codes)[nk]
+        # inner-join semantics: a customer whose nation is unknown is dropped
+        j = j.where(_code_map((k, True) for k, _, _ in codes)[nk].isNotNull())
+    else:
+        j = j.join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        name, region = F.col("n_name"), F.col("r_name")
     seg = F.col("c_mktsegment")
-    return (facts.join(cust, F.col(key) == F.col("c_custkey"))
-            .join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(*facts.columns,
+    return j.select(*facts.columns,
                     seg.alias("line_name"),
-                    F.col("n_name").alias("station_poi_desc_cd"),
+                    name.alias("station_poi_desc_cd"),
                     F.when(seg == F.lit(FACADE_M7_SEGMENT), F.lit(None).cast("string"))
-                     .otherwise(F.col("r_name")).alias("town")))
+                     .otherwise(region).alias("town"))
 
 
 def _year_range(col: str, year: int | None) -> Column | None:
@@ -160,6 +195,15 @@ def facade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.view(spark, ("lookup", sf_dir), lambda: _facade_lookup(spark, sf_dir))
 
 
+def facade_lookup_codes(spark: SparkSession, sf_dir: str) -> dict[str, str] | DataFrame:
+    """The facade lookup as a checked mapping (station -> district) when the
+    nation code table is small, else as the DataFrame."""
+    codes = geo_codes(spark, sf_dir)
+    if codes is None:
+        return facade_lookup(spark, sf_dir)
+    return {n: r for k, n, r in codes if k != FACADE_UNMATCHED_NATION}
+
+
 def _facade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (tables.read(spark, sf_dir, "nation")
             .where(F.col("n_nationkey") != FACADE_UNMATCHED_NATION)

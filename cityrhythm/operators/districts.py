@@ -18,7 +18,7 @@ from cityrhythm.operators import P
 from cityrhythm.operators.enrich import complete_district
 
 
-def rail_districts(trips: DataFrame, lookup: DataFrame, rail: str = dims.RAIL,
+def rail_districts(trips: DataFrame, lookup, rail: str = dims.RAIL,
                    m7_line: str = dims.M7_LINE) -> DataFrame:
     return complete_district(trips.where(F.col("road_type") == F.lit(rail)), lookup, m7_line)
 
@@ -106,18 +106,12 @@ def top_towns_pulse(trips: DataFrame, lookup: DataFrame, n: int = dims.TOP_TOWNS
     """Weekday mean per (district, hour) for the top-``n`` towns by rail
     total over all days. The ranking uses the raw town (NULL -> 'X', which can
     take a slot), the means use the completed district."""
-    # One scan: rail rows summed per (date, hour, day type, raw town, district).
-    # Both the ranking and the means read this aggregate, so its shuffle is
-    # computed once and reused (ReusedExchange) instead of scanning twice.
-    base = (rail_districts(trips, lookup, rail, m7_line)
-            .groupBy("transition_date", "transition_hour", "gun_tipi", "town", "ilce")
-            .agg(F.sum(P).alias("yolcu")))
-    top = (base.groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
-           .agg(F.sum("yolcu").alias("_t"))
-           .orderBy(F.col("_t").desc(), F.col("ilce").asc()).limit(n)
+    top = (trips.where(F.col("road_type") == F.lit(rail))
+           .groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
+           .agg(F.sum(P).alias("_t"))
+           .orderBy(F.col("_t").desc(), F.col("ilce").asc()).limit(n)     # top-k, at most n rows
            .select("ilce"))
-    daily = (base.where(F.col("gun_tipi") == F.lit(dims.WEEKDAY))
-             .groupBy("transition_date", "ilce", "transition_hour").agg(F.sum("yolcu").alias("yolcu")))
+    daily = _weekday_rail_daily(trips, lookup, rail, m7_line)
     return (daily.join(top, "ilce", "left_semi")
             .groupBy("ilce", F.col("transition_hour").alias("saat"))
             .agg(F.avg("yolcu").alias("ort_yolcu")))

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityrhythm import dims
 
 
-def complete_district(trips: DataFrame, lookup: DataFrame, m7_line: str = dims.M7_LINE,
+def complete_district(trips: DataFrame, lookup: DataFrame | Mapping[str, str], m7_line: str = dims.M7_LINE,
                       out: str = "ilce") -> DataFrame:
     """``COALESCE(town, lookup.ilce)`` where the lookup applies to line M7 only.
 
-    LEFT join on station with the left-only predicate ``line_name = m7_line``
-    in the join condition, so rows of other lines are kept and never matched.
-    The lookup is a fixed small table (one row per station, key unique), so
-    Catalyst broadcasts it from its statistics and the trips side is not
-    shuffled; rows cannot multiply because the key is unique.
+    ``lookup`` is either the checked station -> district code table as a
+    mapping (see :func:`cityrhythm.sources.lookup.read_lookup`), applied as a
+    literal map expression — no join, no shuffle, no broadcast job — or a
+    DataFrame (istasyon, ilce), LEFT joined on station with the left-only
+    predicate ``line_name = m7_line`` in the join condition (Catalyst
+    broadcasts it from its statistics). Either way rows of other lines keep
+    their town and never match, unmatched M7 stations stay NULL, and rows
+    cannot multiply because the key is unique.
     """
+    if isinstance(lookup, Mapping):
+        m = F.create_map(*[F.lit(x) for kv in sorted(lookup.items()) for x in kv]) if lookup else None
+        hit = F.when(F.col("line_name") == F.lit(m7_line), m[F.col("station_poi_desc_cd")]) if m is not None \
+            else F.lit(None).cast("string")
+        return trips.select("*", F.coalesce(F.col("town"), hit).alias(out))
     lk = lookup.select(F.col("istasyon").alias("_lk_istasyon"), F.col("ilce").alias("_lk_ilce"))
     cond = (F.col("line_name") == F.lit(m7_line)) & (F.col("station_poi_desc_cd") == F.col("_lk_istasyon"))
     joined = trips.join(lk, cond, "left")

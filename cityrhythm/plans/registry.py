@@ -50,8 +50,8 @@ def O(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     return model.facade_orders(spark, sf_dir, year)
 
 
-def LK(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.facade_lookup(spark, sf_dir)
+def LK(spark: SparkSession, sf_dir: str):
+    return model.facade_lookup_codes(spark, sf_dir)
 
 
 M7 = model.FACADE_M7_SEGMENT

@@ -120,7 +120,8 @@ def _lookup(spark):
     return spark.createDataFrame([("M7 FULYA", "BESIKTAS"), ("KAGITHANE BATI", "KAGITHANE")], "istasyon string, ilce string")
 
 
-def test_complete_district_only_for_m7(spark):
+@pytest.mark.parametrize("as_map", [False, True])
+def test_complete_district_only_for_m7(spark, as_map):
     d = dt.date(2024, 1, 1)
     rows = [
         dict(transition_date=d, line_name="M7", station_poi_desc_cd="M7 FULYA", town=None),
@@ -129,7 +130,8 @@ def test_complete_district_only_for_m7(spark):
         dict(transition_date=d, line_name="M7", station_poi_desc_cd="KAGITHANE BATI", town="SISLI"),
     ]
     t = make_trips(spark, rows)
-    out = enrich.complete_district(t, _lookup(spark)).select("line_name", "station_poi_desc_cd", "ilce").collect()
+    lk = {"M7 FULYA": "BESIKTAS", "KAGITHANE BATI": "KAGITHANE"} if as_map else _lookup(spark)
+    out = enrich.complete_district(t, lk).select("line_name", "station_poi_desc_cd", "ilce").collect()
     assert len(out) == 4
     got = {(r[0], r[1]): r[2] for r in out}
     assert got == {("M7", "M7 FULYA"): "BESIKTAS", ("M7", "UNKNOWN"): None,
@@ -317,8 +319,13 @@ def test_partition_count_does_not_change_results(spark):
 
 
 def test_plans_broadcast_lookup_semi_join_and_pushdown(spark):
+    # the facade lookup is a checked code table: applied as a map, no join at all
     p = plan_text(registry.REGISTRY["night_index"].build(spark, SF))
-    assert "BroadcastHashJoin" in p and "LeftOuter" in p
+    assert "LeftOuter" not in p and "BroadcastHashJoin Inner" in p
+    # a DataFrame lookup is a broadcast left join with the M7-only condition
+    p = plan_text(districts.night_index(registry.E(spark, SF), model.facade_lookup(spark, SF),
+                                        m7_line=registry.M7))
+    assert "BroadcastHashJoin LeftOuter" in p
     p = plan_text(registry.REGISTRY["top_towns"].build(spark, SF))
     assert "LeftSemi" in p and "TakeOrderedAndProject" in p
     p = plan_text(registry.REGISTRY["rows_E"].build(spark, SF))
@@ -336,3 +343,20 @@ def test_line_towns_and_overview(spark):
     assert (r["line"], r["town"], r["satir"]) == ("SARIYER-TAKSIM", "KAGITHANE", 2)
     cnt, types, sample = autopsy.overview(t, 1)
     assert cnt.first()[0] == 2 and ("transition_date", "date") in types and sample.count() == 1
+
+
+def test_read_lookup_checks_key_and_size(spark, tmpdir_path):
+    from cityrhythm.sources import lookup
+    good = f"{tmpdir_path}/good.csv"
+    with open(good, "w", encoding="utf-8") as f:
+        f.write("istasyon,ilce\n" + "\n".join(f"{k},{v}" for k, v in dims.M7_STATION_DISTRICT.items()) + "\n")
+    got = lookup.read_lookup(spark, good)
+    assert got == lookup.builtin_lookup() and len(got) == 31
+    assert isinstance(lookup.read_lookup(spark, good, max_rows=10), type(spark.range(1)))
+    bad = f"{tmpdir_path}/bad.csv"
+    with open(bad, "w", encoding="utf-8") as f:
+        f.write("istasyon,ilce\nA,X\nA,Y\n")
+    with pytest.raises(ValueError):
+        lookup.read_lookup(spark, bad)
+    with pytest.raises(ValueError):
+        lookup.read_lookup(spark, bad, max_rows=1)
