@@ -203,6 +203,25 @@ REAL = Domain()
 # DataFrames over the fixed values (all tiny; safe to broadcast by construction)
 # ---------------------------------------------------------------------------
 
+def literal_df(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small DataFrame of literal rows as a local relation (an inline VALUES
+    table with bound parameters): Catalyst knows its exact size, and
+    broadcasting it needs no scan job — unlike ``createDataFrame`` of a list,
+    which plans as an RDD scan."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    args, tuples = {}, []
+    for i, row in enumerate(rows):
+        cells = []
+        for j, (v, f) in enumerate(zip(row, schema.fields)):
+            k = f"v{i}_{j}"
+            args[k] = v
+            cells.append(f"CAST(:{k} AS {f.dataType.simpleString()})")
+        tuples.append("(" + ", ".join(cells) + ")")
+    names = ", ".join(f.name for f in schema.fields)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
+
+
 def special_days_df(spark: SparkSession, special_days: dict | None = None,
                     series_labels: dict | None = None, year: int | None = None) -> DataFrame:
     """(tarih date, yil int, etiket string, seride bool) — DM5 with the DM6 flag.
@@ -226,7 +245,7 @@ def special_days_df(spark: SparkSession, special_days: dict | None = None,
         T.StructField("etiket", T.StringType(), False),
         T.StructField("seride", T.BooleanType(), False),
     ])
-    return spark.createDataFrame(rows, schema)
+    return literal_df(spark, rows, schema)
 
 
 def periods_df(spark: SparkSession, periods=None) -> DataFrame:
@@ -245,7 +264,7 @@ def periods_df(spark: SparkSession, periods=None) -> DataFrame:
         T.StructField("haric_bas", T.DateType(), False),
         T.StructField("haric_son", T.DateType(), False),
     ])
-    return spark.createDataFrame(rows, schema)
+    return literal_df(spark, rows, schema)
 
 
 def _literal_map(d: dict) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityrhythm import dims
 from cityrhythm.functions import ratio, round_half_away
@@ -69,12 +70,13 @@ def period_lift(trips: DataFrame, periods: DataFrame) -> DataFrame:
             .select("yil", "saat", (F.lit(100.0) * (F.try_divide("r", "n") - F.lit(1.0))).alias("fark_pct")))
 
 
-def evening_spine(lift: DataFrame, periods: DataFrame, order: Sequence[int] = dims.EVENING_ORDER) -> DataFrame:
+def evening_spine(lift: DataFrame, years: Sequence[int], order: Sequence[int] = dims.EVENING_ORDER) -> DataFrame:
     """The fixed evening order 20..23, 0..5 for every period year, left
-    joined to the lift; a missing hour shows as NULL ``fark_pct``."""
-    hours = F.array(*[F.lit(h) for h in order])
-    spine = periods.select("yil", F.posexplode(hours).alias("sira", "_h")).select(
-        "yil", "sira", F.col("_h").cast("tinyint").alias("saat"))
+    joined to the lift; a missing hour shows as NULL ``fark_pct``. The spine
+    (years x 10 hours) is a literal local relation."""
+    schema = T.StructType([T.StructField("yil", T.IntegerType()), T.StructField("sira", T.IntegerType()),
+                           T.StructField("saat", T.ByteType())])
+    spine = dims.literal_df(lift.sparkSession, [(int(y), i, int(h)) for y in years for i, h in enumerate(order)], schema)
     return spine.join(lift, ["yil", "saat"], "left").select("yil", "sira", "saat", "fark_pct")
 
 

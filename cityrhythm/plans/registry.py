@@ -460,7 +460,7 @@ SELECT sp.yil, sp.sira, sp.saat, lift.fark_pct FROM sp LEFT JOIN lift ON sp.yil
                  "CROSS JOIN (VALUES " + ", ".join(f"({i}, {h})" for i, h in enumerate(dims.EVENING_ORDER))
                  + ") h(sira, saat))"]))
 def q_evening_spine(spark, sf_dir):
-    return cards.evening_spine(_lift(spark, sf_dir), dims.periods_df(spark, FACADE_PERIODS))
+    return cards.evening_spine(_lift(spark, sf_dir), [p.year for p in FACADE_PERIODS])
 
 
 # ---------------------------------------------------------------------------
