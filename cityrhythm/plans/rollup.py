@@ -12,12 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cityrhythm.model import with_calendar
 from cityrhythm.operators import P, PASSAGE
 
 KEYS = ["transition_date", "transition_hour", "road_type", "product_kind",
         "line_name", "station_poi_desc_cd", "town"]
+STORED = KEYS + [P, PASSAGE, "satir", "farkli_satir", "yil", "ay"]
+
+
+def stored_schema(rollup: DataFrame) -> StructType:
+    return rollup.select(*STORED).schema
 
 
 def hourly_rollup(trips: DataFrame) -> DataFrame:
@@ -30,23 +36,27 @@ def hourly_rollup(trips: DataFrame) -> DataFrame:
     return with_calendar(g)
 
 
-def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = True) -> None:
     """Persist partitioned by year and month (a year scope prunes partitions).
 
-    With ``mode='overwrite'`` and dynamic partition overwrite only the months
-    present in ``rollup`` are replaced, so a new month is added without
-    rewriting history.
+    With ``dynamic`` partition overwrite only the months present in ``rollup``
+    are replaced, so a new month is added without rewriting history; with
+    ``dynamic=False`` the whole table is replaced (scratch tables).
     """
     spark = rollup.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    cols = KEYS + [P, PASSAGE, "satir", "farkli_satir", "yil", "ay"]
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if dynamic else "static")
+    cols = STORED
     # spread by (date, hour): a month goes to many tasks, a task holds few months
     (rollup.select(*cols).repartition("transition_date", "transition_hour")
      .write.mode(mode).partitionBy("yil", "ay").option("compression", "zstd").parquet(path))
 
 
-def read_rollup(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_rollup(spark: SparkSession, path: str, year: int | None = None,
+                schema: StructType | None = None) -> DataFrame:
+    """Read a written roll-up; pass ``schema`` (e.g. ``stored_schema(rollup)``)
+    so that an empty roll-up (no data files) reads as an empty table."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
     if year is not None:
         df = df.where(F.col("yil") == year)
     return with_calendar(df.drop("yil", "ay"))
