@@ -62,22 +62,33 @@ def night_by_year(trips: DataFrame, lookup: DataFrame, min_total: int = dims.NIG
             .select("yil", "ilce", F.col("endeks").alias("gece_endeksi"), "toplam"))
 
 
-def night_by_year_top(trips: DataFrame, lookup: DataFrame, n: int = dims.BY_YEAR_TOP,
+def night_by_year_top(trips: DataFrame, lookup, n: int = dims.BY_YEAR_TOP,
                       min_total: int = dims.NIGHT_MAP_MIN_TOTAL,
-                      rail: str = dims.RAIL, m7_line: str = dims.M7_LINE) -> DataFrame:
+                      rail: str = dims.RAIL, m7_line: str = dims.M7_LINE,
+                      latest_year: int | None = None) -> DataFrame:
     """C23 limited to the latest year's top-``n`` districts, rank carried.
 
-    The latest year is that of the data (as the yearly files), not of the
-    filtered result; the ranking window sees only that year's districts.
+    The latest year is that of the data (all modes, as the yearly files), not
+    of the filtered result. One scan: all rows are summed per (year, rail
+    district) — non-rail rows fall into a NULL-district group per year — so the
+    latest year is the max over that small aggregate (years x districts rows),
+    no second pass over the trips. Pass ``latest_year`` when it is known
+    (e.g. from the partition listing).
     """
-    nb = night_by_year(trips, lookup, min_total, rail, m7_line)
-    latest = trips.agg(F.max("yil").alias("_son_yil"))        # one row
-    x = nb.join(latest, F.col("yil") == F.col("_son_yil"), "left")
+    r = complete_district(trips, lookup, m7_line)
+    district = F.when(F.col("road_type") == F.lit(rail), F.col("ilce"))
+    g = r.groupBy("yil", district.alias("ilce")).agg(
+        F.sum(P).alias("toplam"),
+        F.sum(F.when(is_night("transition_hour"), F.col(P))).alias("gece"))
+    son = F.lit(latest_year) if latest_year is not None else F.max("yil").over(Window.partitionBy())
+    x = (g.select("*", son.alias("_son_yil"))
+         .where(F.col("ilce").isNotNull() & (F.col("toplam") > F.lit(min_total)))
+         .select("yil", "ilce", round_half_away(per_mille("gece", "toplam"), 1).alias("gece_endeksi"),
+                 "toplam", "_son_yil"))
     is_latest = F.col("yil") == F.col("_son_yil")
     # rank inside the latest year (one window partition per flag value; the
     # latest-year partition holds one row per district), then carry the rank
-    # to the district's other years with a per-district window — no self-join,
-    # so the yearly index is computed once.
+    # to the district's other years with a per-district window — no self-join.
     rn = F.row_number().over(Window.partitionBy(is_latest)
                              .orderBy(F.col("gece_endeksi").desc_nulls_last(), F.col("ilce").asc()))
     x = x.select("*", F.when(is_latest, rn).alias("_rn"))

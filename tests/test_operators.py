@@ -360,3 +360,15 @@ def test_read_lookup_checks_key_and_size(spark, tmpdir_path):
         lookup.read_lookup(spark, bad)
     with pytest.raises(ValueError):
         lookup.read_lookup(spark, bad, max_rows=1)
+
+
+def test_by_year_top_uses_latest_year_of_all_data(spark):
+    rows = [dict(transition_date="2022-03-01", town="A", transition_hour=h, number_of_passenger=v)
+            for h, v in [(23, 10), (12, 90)]]
+    rows += [dict(transition_date="2022-03-01", town="B", transition_hour=12, number_of_passenger=50)]
+    out = districts.night_by_year_top(make_trips(spark, rows), {}, n=1, min_total=0).collect()
+    assert [(r["yil"], r["ilce"], r["sira"], r["gece_endeksi"]) for r in out] == [(2022, "A", 1, 100.0)]
+    # a later year with only road rows: it is the latest year, no district qualifies -> empty
+    rows += [dict(transition_date="2023-01-02", road_type="OTOYOL", town="A", number_of_passenger=5)]
+    assert districts.night_by_year_top(make_trips(spark, rows), {}, n=1, min_total=0).count() == 0
+    assert districts.night_by_year_top(make_trips(spark, rows), {}, n=1, min_total=0, latest_year=2022).count() == 1
