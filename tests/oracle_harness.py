@@ -28,6 +28,14 @@ def duck(sf_dir: str):
     return con
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "TINYINT": "tinyint", "SMALLINT": "smallint",
+                  "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
+
+
+def _duck_type(t) -> str:
+    return _DUCK_TO_SPARK.get(str(t), str(t))
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -61,6 +69,11 @@ def compare(spark, name, build, sql, sf_dir, con=None):
         return res
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = dict(zip(d_cols, (_duck_type(t) for t in rel.types)))
+    s_types = dict(sdf.dtypes)
+    bad_types = {c: (s_types[c], d_types.get(c)) for c in s_cols if s_types[c] != d_types.get(c)}
+    if bad_types:
+        res["types"] = bad_types
     d_rows = rel.fetchall()
     res["duck_rows"] = len(d_rows)
     if sorted(s_cols) != sorted(d_cols):
@@ -92,7 +105,7 @@ def main(argv):
             r = compare(spark, name, q[name], o.get(name), sf_dir, con)
         except Exception as e:  # report and continue
             r = {"name": name, "status": f"ERROR {type(e).__name__}: {str(e)[:400]}"}
-        if r["status"] not in ("ok", "rows-only"):
+        if r["status"] not in ("ok", "rows-only") or r.get("types"):
             bad += 1
         print(r, flush=True)
     print(f"{len(names or q) - bad} passed / {bad} failed")
