@@ -85,11 +85,11 @@ def geo_codes(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]] |
     def load():
         rows = _geo(spark, sf_dir).limit(MAX_CODE_TABLE_ROWS + 1).collect()
         return None if len(rows) > MAX_CODE_TABLE_ROWS else [tuple(r) for r in rows]
-    views = spark.__dict__.setdefault("_cityrhythm_views", {})
+    cache = tables.session_cache(spark)
     key = ("geo_codes", sf_dir)
-    if key not in views:
-        views[key] = load()
-    return views[key]
+    if key not in cache:
+        cache[key] = load()
+    return cache[key]
 
 
 def _code_map(pairs) -> Column:
