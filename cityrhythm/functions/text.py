@@ -10,7 +10,9 @@ from cityrhythm import dims
 # Space separators (general category Zs) at either end: U+0020, U+00A0, U+1680,
 # U+2000..U+200A, U+202F, U+205F, U+3000. Tab, CR, LF, U+200B and U+FEFF are
 # not separators and are kept, like the trim the reports were defined with.
-_EDGE_SPACES = r"^\p{Zs}+|\p{Zs}+$"
+# \A / \z anchor at the absolute ends: Java's "$" also matches before a final
+# line terminator, which would strip a space in front of a trailing newline.
+_EDGE_SPACES = r"\A\p{Zs}+|\p{Zs}+\z"
 
 
 def _c(col: Column | str) -> Column:
