@@ -75,7 +75,8 @@ def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int
     re-run the trip aggregation and survive lost executors.
 
     Returns (clusters, members): clusters = (kume, kume_adi, sira, boyut, oran,
-    profil array<double>[24]); members = (istasyon, kume, kume_adi).
+    profil array<double>[24], maliyet = training cost of the chosen start);
+    members = (istasyon, kume, kume_adi).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
@@ -101,12 +102,13 @@ def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int
     ev = sum(F.col(f"h{h}") for h in range(EVENING[0], EVENING[1] + 1))
     mo = sum(F.col(f"h{h}") for h in range(MORNING[0], MORNING[1] + 1))
     prof = prof.select("kume", "boyut", F.try_divide(ev, mo).alias("oran"),
-                       F.array(*[F.col(h) for h in hours]).alias("profil"))
+                       F.array(*[F.col(h) for h in hours]).alias("profil"),
+                       F.lit(float(best_cost)).alias("maliyet"))
     names = F.array(*[F.lit(n) for n in dims.CLUSTER_NAMES])
     ranked = prof.select("*", F.row_number().over(
         Window.orderBy(F.col("oran").asc_nulls_last(), F.col("kume").asc())).alias("sira"))   # k rows
     clusters = ranked.select("kume", F.element_at(names, F.col("sira")).alias("kume_adi"),
-                             "sira", "boyut", "oran", "profil")
+                             "sira", "boyut", "oran", "profil", "maliyet")
     named = members.join(clusters.select("kume", "kume_adi"), "kume").select("istasyon", "kume", "kume_adi")
     return clusters, named
 

@@ -9,6 +9,8 @@ import io
 import math
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -269,6 +271,11 @@ def test_kmeans_recovers_planted_profiles(spark):
     assert [r["kume_adi"] for r in cl] == dims.CLUSTER_NAMES
     ratios = [r["oran"] for r in cl]
     assert ratios == sorted(ratios) and len(set(ratios)) == 4
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    feats = VectorAssembler(inputCols=[f"h{h}" for h in range(24)], outputCol="features").transform(matrix)
+    single = [KMeans(k=4, seed=42 + i, maxIter=300).fit(feats).summary.trainingCost for i in range(10)]
+    assert cl[0]["maliyet"] <= min(single) + 1e-12
     names = {r["istasyon"]: r["kume_adi"] for r in members.collect()}
     for g, expect in zip(["morning", "double", "evening", "hard"], dims.CLUSTER_NAMES):
         assert {names[f"{g}{i}"] for i in range(3)} == {expect}
@@ -416,3 +423,29 @@ def test_hot_customer_key_is_split_and_results_unchanged(spark, tmpdir_path):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 31), st.integers(0, 23), st.integers(1, 3)), min_size=1, max_size=120),
+       st.integers(1, 40), st.sets(st.integers(1, 31), max_size=31))
+def test_day_rules_match_brute_force(spark, cells, min_rows, covered):
+    """A5/A6 against a direct Python count: (day of March 2023 or 1 April, hour, copies);
+    ``covered`` days get every hour once on top (full days when rows suffice)."""
+    cells = cells + [(day, h, 1) for day in sorted(covered) for h in range(24)]
+    rows = []
+    for day, hour, copies in cells:
+        d = dt.date(2023, 3, day) if day <= 30 else dt.date(2023, 4, 1)     # day 31 -> stray next-month day
+        rows += [dict(transition_date=d, transition_hour=hour)] * copies
+    t = make_trips(spark, rows)
+    per_day: dict = {}
+    for r in rows:
+        hs, n = per_day.get(r["transition_date"], (set(), 0))
+        per_day[r["transition_date"]] = (hs | {r["transition_hour"]}, n + 1)
+    full = {d for d, (hs, n) in per_day.items() if len(hs) == 24 and n >= min_rows}
+    got = {r["transition_date"]: (r["saat"], r["satir"], r["tam"], r["kirik"])
+           for r in autopsy.day_completeness(t, min_rows).collect()}
+    assert got == {d: (len(hs), n, d in full, d not in full) for d, (hs, n) in per_day.items()}
+    g = autopsy.month_gate(t, min_rows).first()
+    first = min(per_day)
+    days = 31 if first.month == 3 else 30
+    assert (g["tam_gun"], g["ay_gun"], g["kabul"]) == (len(full), days, len(full) == days)
