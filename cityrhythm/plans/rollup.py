@@ -46,8 +46,10 @@ def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite", dynamic:
     spark = rollup.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if dynamic else "static")
     cols = STORED
-    # spread by (date, hour): a month goes to many tasks, a task holds few months
-    (rollup.select(*cols).repartition("transition_date", "transition_hour")
+    # contiguous date ranges per task (bounds sampled, so tasks are balanced):
+    # a month is spread over several tasks and each task writes into one or two
+    # month folders, instead of every task writing a small file into every month
+    (rollup.select(*cols).repartitionByRange("transition_date", "transition_hour")
      .write.mode(mode).partitionBy("yil", "ay").option("compression", "zstd").parquet(path))
 
 
