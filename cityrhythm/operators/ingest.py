@@ -1,15 +1,16 @@
 """CSV -> clean Parquet ingest.
 
-One job gates every new month at once (a single aggregation per file and
-date), the accepted files are then converted in one write partitioned by
-month. Nothing lands before its month passed the gate (quarantine, not
-filter). Decisions go to a small conversion-log table, so reruns skip months
+All new monthly files are parsed once into a quarantine staging table; the
+gate (a single aggregation per file and date) reads two columns of it, and
+the accepted months are copied into the month-partitioned store. Nothing
+lands before its month passed the gate (quarantine, not filter). Decisions go to a small conversion-log table, so reruns skip months
 already converted and a rejected month is retried after it is re-downloaded.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from pyspark.errors import AnalysisException
 from cityrhythm import dims, schema
 from cityrhythm.functions import blank_to_null
 from cityrhythm.operators.autopsy import month_gate
+from cityrhythm.session import work_path
 from cityrhythm.sources import raw_csv
 
 LOG_SCHEMA = T.StructType([
@@ -110,25 +112,33 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                 report.append((int(raw_csv.month_of(f)), f, REJECTED, "sema", None, None, None, None, now))
         good = [f for f in todo if heads[f]]
         if good:
-            rows = clean(raw_csv.read_raw(spark, good))
-            # one aggregation job over all new files; one result row per file
-            # the file size is constant per file, so it rides along as a key
-            gate = month_gate(rows, min_rows, by=[schema.SOURCE_COL, "dosya_bayt"]).collect()
+            # The one CSV parse: all new files are cleaned into a quarantine
+            # staging table (month-partitioned ZSTD Parquet in the shared
+            # checkpoint folder). No repartition: every scan split belongs to
+            # one file, so a large month is spread over as many tasks as it has
+            # splits. Nothing reaches the clean store before the gate.
+            stage = work_path(spark, f"ingest/stage-{uuid.uuid4().hex}")
+            (clean(raw_csv.read_raw(spark, good))
+             .write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage))
+            staged = spark.read.parquet(stage)
+            # the gate reads two columns of the staged table; one result row per
+            # file (the file size is constant per file, so it rides along as a key)
+            gate = month_gate(staged, min_rows, by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
             decision = {}
             for g in gate:
                 ok = bool(force or g["kabul"])
                 decision[g[schema.SOURCE_COL]] = (ok, g)
             ok_files = [f for f, (ok, _) in decision.items() if ok]
-            if ok_files:
+            ok_months = sorted({g[schema.PERIOD_COL] for ok, g in decision.values() if ok})
+            if ok_months:
                 spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-                out = clean(raw_csv.read_raw(spark, ok_files))
-                # no repartition: every scan split belongs to one file (one
-                # month), so tasks write their own month files and a large
-                # month is spread over as many tasks as it has splits
-                (out.drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
+                # accepted months only (partition pruning on the staging table);
+                # dynamic overwrite replaces just those months in the store
+                (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
+                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
                  .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
                  .option("compression", "zstd").parquet(clean_path))
-            sizes = parquet_sizes(spark, clean_path) if ok_files else {}
+            sizes = parquet_sizes(spark, clean_path, ok_months) if ok_files else {}
             for f, (ok, g) in decision.items():
                 m = int(raw_csv.month_of(f))
                 csv_mb = (g["dosya_bayt"] or 0) / 1e6
@@ -145,10 +155,13 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
     return IngestResult(rep, sorted(accepted))
 
 
-def parquet_sizes(spark: SparkSession, clean_path: str) -> dict[int, float]:
-    """MB of Parquet per month, from file metadata (footers only)."""
-    files = (spark.read.parquet(clean_path)
-             .select(schema.PERIOD_COL, F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
+def parquet_sizes(spark: SparkSession, clean_path: str, months: list[int] | None = None) -> dict[int, float]:
+    """MB of Parquet per month, from file metadata (no data columns read);
+    ``months`` prunes to those partitions."""
+    df = spark.read.parquet(clean_path)
+    if months is not None:
+        df = df.where(F.col(schema.PERIOD_COL).isin(months))
+    files = (df.select(schema.PERIOD_COL, F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
              .distinct()
              .groupBy(schema.PERIOD_COL).agg((F.sum("s") / F.lit(1e6)).alias("mb"))
              .collect())

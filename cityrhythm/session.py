@@ -74,5 +74,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base}/cityrhythm/{name}"
 
 
+def cluster_sizing(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Scan and shuffle sizing for a job reading ``input_bytes`` on ``total_cores``.
+
+    * scan splits: at least three waves of tasks over all cores, each split
+      between 128 MB and 1 GB (a split's decoded columns must fit a task's
+      memory share);
+    * shuffles: plans aggregate map-side, so post-shuffle data is small; the
+      initial partition count follows the input (256 MB per partition, at
+      least one per core), AQE then coalesces to ~256 MB partitions and splits
+      any partition over 1 GB that is 5x the median (skew join).
+    Pass the result as ``build_session(extra=...)``.
+    """
+    mb = 1024 * 1024
+    split = min(max(input_bytes // max(3 * total_cores, 1), 128 * mb), 1024 * mb)
+    parts = max(total_cores, min(input_bytes // (256 * mb), 200_000))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(int(split)),
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(int(parts)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }
+
+
 def default_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

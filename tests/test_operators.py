@@ -449,3 +449,14 @@ def test_day_rules_match_brute_force(spark, cells, min_rows, covered):
     first = min(per_day)
     days = 31 if first.month == 3 else 30
     assert (g["tam_gun"], g["ay_gun"], g["kabul"]) == (len(full), days, len(full) == days)
+
+
+def test_cluster_sizing():
+    from cityrhythm.session import cluster_sizing
+    tb = 1024 ** 4
+    big = cluster_sizing(100 * tb, 8000)
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 1024 ** 3
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    small = cluster_sizing(10 * 1024 ** 2, 8)
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024 ** 2
+    assert int(small["spark.sql.shuffle.partitions"]) == 8
