@@ -112,20 +112,38 @@ def _weekday_rail_daily(trips: DataFrame, lookup: DataFrame, rail: str, m7_line:
     return r.groupBy("transition_date", "ilce", "transition_hour").agg(F.sum(P).alias("yolcu"))
 
 
-def top_towns_pulse(trips: DataFrame, lookup: DataFrame, n: int = dims.TOP_TOWNS,
+def top_towns_pulse(trips: DataFrame, lookup, n: int = dims.TOP_TOWNS,
                     rail: str = dims.RAIL, m7_line: str = dims.M7_LINE) -> DataFrame:
     """Weekday mean per (district, hour) for the top-``n`` towns by rail
     total over all days. The ranking uses the raw town (NULL -> 'X', which can
-    take a slot), the means use the completed district."""
-    top = (trips.where(F.col("road_type") == F.lit(rail))
-           .groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
-           .agg(F.sum(P).alias("_t"))
+    take a slot), the means use the completed district.
+
+    One scan: rail rows are summed once per (date, hour, day type, raw town,
+    district) and both the ranking and the means are derived from that
+    aggregate, whose shuffle AQE reuses. To keep the two branches identical
+    below it, the weekday restriction is a conditional sum (not a filter), the
+    district key is non-nullable (NULL -> a sentinel no town can equal) and the
+    top-k is applied by an inner join after the last aggregation — none of
+    which Catalyst pushes into only one branch.
+    """
+    base = (rail_districts(trips, lookup, rail, m7_line)
+            .groupBy("transition_date", "transition_hour", "gun_tipi", "town",
+                     F.coalesce(F.col("ilce"), F.lit(_NO_DISTRICT)).alias("_ilce"))
+            .agg(F.sum(P).alias("yolcu")))
+    top = (base.groupBy(F.coalesce(F.col("town"), F.lit("X")).alias("ilce"))
+           .agg(F.sum("yolcu").alias("_t"))
            .orderBy(F.col("_t").desc(), F.col("ilce").asc()).limit(n)     # top-k, at most n rows
            .select("ilce"))
-    daily = _weekday_rail_daily(trips, lookup, rail, m7_line)
-    return (daily.join(top, "ilce", "left_semi")
-            .groupBy("ilce", F.col("transition_hour").alias("saat"))
-            .agg(F.avg("yolcu").alias("ort_yolcu")))
+    daily = (base.groupBy("transition_date", "_ilce", "transition_hour")
+             .agg(F.sum(F.when(F.col("gun_tipi") == F.lit(dims.WEEKDAY), F.col("yolcu"))).alias("yolcu"))
+             .where(F.col("yolcu").isNotNull()))                          # weekday dates only
+    means = daily.groupBy("_ilce", F.col("transition_hour").alias("saat")).agg(F.avg("yolcu").alias("ort_yolcu"))
+    return means.join(top, F.col("_ilce") == F.col("ilce"), "inner").select("ilce", "saat", "ort_yolcu")
+
+
+# a district key no town name can equal (stands for "no district"; names are
+# upper-case transliterated text)
+_NO_DISTRICT = "∅"
 
 
 def pulse(trips: DataFrame, lookup: DataFrame, min_total: int = dims.PULSE_MIN_TOTAL,
