@@ -6,7 +6,9 @@ there and stops, so it can run as a scheduled batch. Each micro-batch holds
 whole files; inside ``foreachBatch`` the batch is gated per file and only
 accepted months are written. Decisions are appended to the conversion log.
 
-The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``.
+The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``;
+each micro-batch is parsed once into a staging table under it, gated there,
+and only accepted months are copied to the store.
 Note: a file rejected by the gate is marked as seen by the stream; after it is
 re-downloaded under the same name, run the batch :func:`ingest` (which
 consults the log, not the checkpoint) to retry it.
@@ -41,12 +43,20 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                      F.regexp_extract(path, r"_(\d{6})\.csv$", 1).cast("int").alias(schema.PERIOD_COL))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        rows = clean(batch)
-        gate = month_gate(rows, min_rows, by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
-        ok = [g[schema.SOURCE_COL] for g in gate if g["kabul"]]
-        if ok:
-            batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            (rows.where(F.col(schema.SOURCE_COL).isin(ok)).drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
+        # Parse the micro-batch's CSV once into a quarantine staging table under
+        # the stream's checkpoint folder; the path is fixed per epoch and
+        # overwritten, so a retried batch is idempotent.
+        session = batch.sparkSession
+        stage = f"{checkpoint.rstrip('/')}/stage/{epoch}"
+        (clean(batch).write.mode("overwrite").partitionBy(schema.PERIOD_COL)
+         .option("compression", "zstd").parquet(stage))
+        staged = session.read.parquet(stage)
+        gate = month_gate(staged, min_rows, by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
+        ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g["kabul"]})
+        if ok_months:
+            session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
+             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
              .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
              .option("compression", "zstd").parquet(clean_path))
         now = dt.datetime.now()
@@ -54,7 +64,7 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                 None if g["kabul"] else "eksik/bozuk", g["tam_gun"], g["ay_gun"],
                 (g["dosya_bayt"] or 0) / 1e6, None, now) for g in gate]
         if log:
-            batch.sparkSession.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
+            session.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
 
     return (src.writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint)

@@ -6,7 +6,6 @@ from __future__ import annotations
 import duckdb
 from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from cityrhythm import dims
 from cityrhythm.functions import blank_to_null, is_blank, normalize_name, round_half_away

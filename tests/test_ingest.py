@@ -123,3 +123,17 @@ def test_stream_ingest_picks_up_only_new_files(spark, tmpdir_path):
     assert months == [202302, 202304]
     log = {r[schema.PERIOD_COL]: r["durum"] for r in spark.read.parquet(log_path).collect()}
     assert log == {202302: "donusturuldu", 202303: "reddedildi", 202304: "donusturuldu"}
+
+
+def test_autopsy_on_raw_rows(spark, raw):
+    """The autopsy operators run on cleaned raw rows (D4 with the mode id, D7, D9)."""
+    from cityrhythm.operators import autopsy
+    d, files = raw
+    rows = ingest.clean(raw_csv.read_raw(spark, [files["202308"]]))
+    nm = autopsy.null_map(rows).first()
+    assert (nm["road_type"], nm["town_bos"], nm["hat_bos"], nm["istasyon_bos"]) == ("RAYLI", 3, 0, 0)
+    mm = autopsy.mode_map(rows, with_id=True).first()
+    assert (mm["transport_type_id"], mm["road_type"], mm["satir"]) == (2, "RAYLI", 31 * 48 + 6)
+    bl = autopsy.blank_town_lines(rows).first()
+    assert (bl["line_name"], bl["satir"]) == ("M2", 3)
+    assert autopsy.passage_vs_passenger(rows).first()["farkli_satir"] == 31 * 48

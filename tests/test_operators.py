@@ -12,7 +12,6 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cityrhythm import dims, model
 from cityrhythm.functions import normalize_name
