@@ -1,9 +1,10 @@
 """Report jobs: the data behind each of the reference's outputs, written as
 Parquet tables (one folder per table) instead of charts.
 
-* :func:`year_report`    — one year: hourly profile, weekday-hour table, yearly
-  series with annotations, anomalies with labels, night districts, station
-  clusters, district pulse (C1, C4, C9-C14, C16-C18)
+* :func:`year_report`    — one year: hourly profile, hour-over-hour change,
+  seasonal rhythm, weekday-hour table, yearly series with annotations,
+  anomalies with labels, night districts, station peaks and clusters,
+  district pulse (C1-C4, C6, C9-C18)
 * :func:`compare_years`  — all years: monthly volume, weekday profile, night
   index by year limited to the latest year's leaders (B4, C21-C24)
 * :func:`special_report` — card kinds (one year), student card school vs
@@ -61,6 +62,8 @@ def year_report(spark: SparkSession, clean_path: str, year: int, out_dir: str,
     share = stations.station_share(t, domain.rail)
     out = {
         "saatlik_profil": profiles.hourly_profile(t),
+        "saatlik_degisim": profiles.hour_delta(t),
+        "mevsimsel_ritim": profiles.seasonal(t),
         "gun_saat": profiles.dow_hour_pivot(t),
         "yillik_seyir": daily.moving_avg(t),
         "seyir_etiketleri": daily.series_annotations(t, sd),

@@ -39,6 +39,8 @@ def test_year_report_tables(spark, store, use_rollup):
     assert sorted(map(tuple, hp.collect())) == sorted(map(tuple, direct.collect()))
     assert spark.read.parquet(paths["yillik_seyir"]).count() == 28 + 31
     assert spark.read.parquet(paths["gun_saat"]).count() == 7
+    assert spark.read.parquet(paths["saatlik_degisim"]).count() == 24
+    assert sorted(r["ay"] for r in spark.read.parquet(paths["mevsimsel_ritim"]).collect()) == [2, 3]
     with pytest.raises(ValueError):
         reports.year_report(spark, clean, 2019, os.path.join(base, "none"), builtin_lookup())
 
