@@ -101,20 +101,26 @@ def compare_years(spark: SparkSession, clean_path: str, out_dir: str,
 
 
 def special_report(spark: SparkSession, clean_path: str, out_dir: str, year: int = 2023,
-                   domain: dims.Domain = dims.REAL, use_rollup: bool = True) -> dict[str, str]:
-    """Card kinds and weekday personalities for ``year``; Ramadan over all years."""
+                   domain: dims.Domain = dims.REAL, use_rollup: bool = True,
+                   strict: bool = False) -> dict[str, str]:
+    """Card kinds and weekday personalities for ``year``; Ramadan over all years.
+
+    ``strict`` raises when an evening hour of a period year has no lift value
+    (the chart's fixed 20..05 order cannot be drawn with a gap)."""
     y = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
     allt = _scope(spark, clean_path, None, use_rollup, "all_years")
     periods = list(domain.ramadan)
     lift = cards.period_lift(allt, dims.periods_df(spark, periods))
     out = {
-        "kart_tipi": cards.card_share(y, domain.card_kinds),
+        "kart_tipi": cards.card_share(y, domain.card_kinds).withColumn("kart_adi", dims.card_label("kart")),
         "ogrenci_donem": cards.period_share(y, domain.student_card),
         "ramazan_profil": cards.period_profile(allt, periods[-1]),
         "ramazan_fark": lift,
         "ramazan_gece_sirasi": cards.evening_spine(lift, [p.year for p in periods]),
-        "gunlerin_kisiligi": profiles.dow_hour(y),
+        "gunlerin_kisiligi": profiles.dow_hour(y).withColumn("gun_adi", dims.weekday_name("haftanin_gunu", long=True)),
     }
+    if strict:
+        cards.assert_evening_complete(out["ramazan_gece_sirasi"])
     return _write(out, out_dir)
 
 

@@ -51,7 +51,10 @@ def test_compare_special_and_maps(spark, store):
     mv = {(r["yil"], r["ay"]): r["ort_gunluk"] for r in spark.read.parquet(cy["aylik_hacim"]).collect()}
     assert mv == {(2022, 12): 48 * 11.0, (2023, 2): 48 * 11.0, (2023, 3): 48 * 11.0}
     sp = reports.special_report(spark, clean, os.path.join(base, "special"), year=2023)
-    assert spark.read.parquet(sp["kart_tipi"]).where(F.col("kart") == "TAM").count() == 24
+    kt = spark.read.parquet(sp["kart_tipi"])
+    assert kt.where(F.col("kart") == "TAM").count() == 24 and kt.first()["kart_adi"] == "Tam"
+    with pytest.raises(KeyError):          # the fixture has no Ramadan-period data
+        reports.special_report(spark, clean, os.path.join(base, "special_strict"), year=2023, strict=True)
     assert spark.read.parquet(sp["ramazan_gece_sirasi"]).count() == 20
     nm = reports.night_map(spark, clean, 2023, registry.BOUNDARIES, os.path.join(base, "map"), builtin_lookup(),
                            min_total=0)
