@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,21 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The space separators themselves, derived from the Unicode database (category Zs).
+SPACE_SEPARATORS = [chr(cp) for cp in range(0x3001) if unicodedata.category(chr(cp)) == "Zs"]
+
+
+def _edge_is_space(c: Column, first: bool) -> Column:
+    ch = F.substring(c, 1, 1) if first else F.substring(c, -1, 1)
+    return ch.isin(SPACE_SEPARATORS)
+
+
 def trim_spaces(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), _EDGE_SPACES, "")
+    """Strip space separators at both ends. The regex only runs for the rare
+    values that start or end with one (a plain first/last-character test)."""
+    c = _c(col)
+    needs = _edge_is_space(c, True) | _edge_is_space(c, False)
+    return F.when(needs, F.regexp_replace(c, _EDGE_SPACES, "")).otherwise(c)
 
 
 def blank_to_null(col: Column | str) -> Column:
@@ -30,9 +45,11 @@ def blank_to_null(col: Column | str) -> Column:
 
 
 def is_blank(col: Column | str) -> Column:
-    """x IS NULL OR TRIM(x) = '' (never NULL itself)."""
+    """x IS NULL OR TRIM(x) = '' (never NULL itself): empty, or only space
+    separators — checked by the first character before any regex runs."""
     c = _c(col)
-    return c.isNull() | (trim_spaces(c) == F.lit(""))
+    only_spaces = _edge_is_space(c, True) & c.rlike(r"\A\p{Zs}+\z")
+    return c.isNull() | (F.length(c) == 0) | only_spaces
 
 
 def normalize_name(col: Column | str) -> Column:
