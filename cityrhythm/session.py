@@ -53,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the platform and is shared by all
-    executors; it is only read here. Only when it is unset (local tests) a
-    fresh folder is created and registered.
+    executors; it is only read here (and its absence is an error). Only in
+    local mode, when it is unset (tests), a fresh folder is created and
+    registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        # executors cannot see a folder on the driver's disk
+        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for the cluster")
     local = tempfile.mkdtemp(prefix="cityrhythm-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
