@@ -89,8 +89,10 @@ def read_raw(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """A1: the 13 contract columns as text, plus source file, its size and the
     YYYYMM month taken from the file name. Use only on files whose header
     passed :func:`check_headers` (columns are taken by position)."""
+    # enforceSchema=false is a second net: Spark checks every file's header
+    # against the contract while reading (e.g. a file replaced after the check)
     df = (spark.read.schema(schema.RAW_SCHEMA).option("header", True)
-          .option("mode", "FAILFAST").csv(list(files)))
+          .option("enforceSchema", False).option("mode", "FAILFAST").csv(list(files)))
     return _with_source(df)
 
 

@@ -137,3 +137,10 @@ def test_autopsy_on_raw_rows(spark, raw):
     bl = autopsy.blank_town_lines(rows).first()
     assert (bl["line_name"], bl["satir"]) == ("M2", 3)
     assert autopsy.passage_vs_passenger(rows).first()["farkli_satir"] == 31 * 48
+
+
+def test_read_raw_rejects_a_header_that_changed_after_the_check(spark, raw):
+    # Spark checks the header whenever data columns are read (the conversion reads all)
+    d, files = raw
+    with pytest.raises(Exception, match="(?i)header|CSV"):
+        raw_csv.read_raw(spark, [files["202307"]]).select(*schema.RAW_COLUMNS).collect()
