@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 
 import pytest
@@ -101,7 +103,10 @@ def test_trips_year_scope_prunes_partitions(spark, raw, tmpdir_path):
     clean_path = os.path.join(tmpdir_path, "clean")
     ingest.ingest(spark, d, clean_path, os.path.join(tmpdir_path, "log"), months=["202302"], min_rows=MIN_ROWS)
     t = model.trips(spark, clean_path, year=2023)
-    plan = t._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        t.explain("formatted")
+    plan = buf.getvalue()
     assert "PartitionFilters" in plan and schema.PERIOD_COL in plan
     assert t.count() == 28 * 48
     assert set(t.columns) >= set(schema.CALENDAR_COLUMNS)
