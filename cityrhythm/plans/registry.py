@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityrhythm import dims, model
-from cityrhythm.operators import autopsy, cards, daily, districts, geo, profiles, stations
+from cityrhythm.operators import autopsy, cards, daily, districts, enrich, geo, profiles, stations
 from cityrhythm.plans import rollup
 from cityrhythm.plans.oracle_sql import facade_sql
 from cityrhythm.sources.geojson import read_boundaries
@@ -174,6 +174,17 @@ def q_hour_by_year(spark, sf_dir):
     return profiles.hour_by_year(O(spark, sf_dir))
 
 
+@register("calendar_O", "B2", facade_sql("O", """
+SELECT DISTINCT transition_date, yil, ay, haftanin_gunu, gun_tipi FROM trips"""))
+def q_calendar_o(spark, sf_dir):
+    return O(spark, sf_dir).select("transition_date", "yil", "ay", "haftanin_gunu", "gun_tipi").distinct()
+
+
+@register("years_O", "B4", facade_sql("O", "SELECT DISTINCT yil FROM trips"))
+def q_years_o(spark, sf_dir):
+    return enrich.available_years(O(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # C4 / C10 / C11 / C12 — daily series
 # ---------------------------------------------------------------------------
