@@ -48,3 +48,29 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["gun_tipi", "saat", "ortalama_yolcu"]
     assert df.count() == 48
+
+
+def _fixture_rows() -> dict[str, list[int]]:
+    """FIXTURES.md §4: query -> rows at sf0.001 / 0.01 / 0.1."""
+    import os
+    import re
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "FIXTURES.md")
+    text = open(path, encoding="utf-8").read().split("## 4.")[1].split("## 5.")[0]
+    out = {}
+    for line in text.splitlines():
+        m = re.match(r"\| (\w+) \|.*\| \**([\d ]+)\** / ([\d ]+) / ([\d ]+) \|$", line)
+        if m:
+            out[m.group(1)] = [int(x.replace(" ", "")) for x in m.groups()[1:]]
+    return out
+
+
+FIXTURE_ROWS = _fixture_rows()
+
+
+def test_fixture_table_parsed():
+    assert len(FIXTURE_ROWS) == 43
+
+
+@pytest.mark.parametrize("name", sorted(FIXTURE_ROWS))
+def test_row_counts_at_sf001_match_fixtures(spark, name):
+    assert entry.queries()[name](spark, "/root/testdata/sf0.01").count() == FIXTURE_ROWS[name][1]
