@@ -32,3 +32,10 @@ def outer_rings(boundaries: DataFrame, alive: DataFrame) -> DataFrame:
     j = parts.join(live, F.col("ilce") == F.col("_a_ilce"), "left")
     return j.select("ad", "ilce", "parca", F.col("poligon")[0].alias("dis_halka"),
                     F.col("_a_ilce").isNotNull().alias("canli"))
+
+
+def ring_points(rings: DataFrame) -> DataFrame:
+    """C32 as points: one row per vertex of each outer ring (ad, ilce, parca,
+    sira, x, y, canli) — the shape a map layer or a plotting step reads."""
+    pts = rings.select("ad", "ilce", "parca", "canli", F.posexplode("dis_halka").alias("sira", "_p"))
+    return pts.select("ad", "ilce", "parca", "sira", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"), "canli")

@@ -405,6 +405,26 @@ def q_map_rings(spark, sf_dir):
     return geo.outer_rings(read_boundaries(spark, BOUNDARIES), _pulse(spark, sf_dir))
 
 
+@register("map_ring_points", "C32", facade_sql("E", f"""
+SELECT r.ad, r.ilce, CAST(r.parca AS INTEGER) AS parca, CAST(generate_subscripts(r.halka, 1) - 1 AS INTEGER) AS sira,
+       unnest(r.halka)[1] AS x, unnest(r.halka)[2] AS y, r.canli
+FROM (
+  SELECT p.ad, upper(translate(p.ad, '{dims.TR_FROM}', '{dims.TR_TO}')) AS ilce,
+         generate_subscripts(p.parcalar, 1) - 1 AS parca, unnest(p.parcalar)[1] AS halka,
+         upper(translate(p.ad, '{dims.TR_FROM}', '{dims.TR_TO}')) IN (SELECT ilce FROM pl) AS canli
+  FROM (
+    SELECT json_extract_string(feat, '$.properties.name') AS ad,
+           CASE WHEN json_extract_string(feat, '$.geometry.type') = 'Polygon'
+                THEN [json_transform(json_extract(feat, '$.geometry.coordinates'), '"DOUBLE[][][]"')]
+                ELSE json_transform(json_extract(feat, '$.geometry.coordinates'), '"DOUBLE[][][][]"') END AS parcalar
+    FROM (SELECT unnest(json_extract(content::JSON, '$.features[*]')) AS feat
+          FROM read_text('{BOUNDARIES}'))
+  ) p
+) r""", PULSE_CTES))
+def q_map_ring_points(spark, sf_dir):
+    return geo.ring_points(geo.outer_rings(read_boundaries(spark, BOUNDARIES), _pulse(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------------------
 # C7 / C25 / C26 / C27 / C28 — cards and periods
 # ---------------------------------------------------------------------------
