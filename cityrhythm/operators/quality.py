@@ -32,8 +32,8 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 def file_stats(rows: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataFrame:
     """Per file: rows, first/last day, distinct days, days of the month of the
-    first day, full / broken days, blank town / line, NULL passenger and NULL
-    date rows."""
+    first day, full / broken day counts and lists (broken: date, hours, rows),
+    blank town / line, NULL passenger and NULL date rows."""
     t = _typed(rows)
     day = t.groupBy(raw_csv.FILE_NAME, "transition_date").agg(
         F.count_distinct("transition_hour").alias("saat"),
@@ -51,6 +51,10 @@ def file_stats(rows: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataFr
         days_in_month(F.min(d)).alias("ay_gun"),
         F.count_if(full).alias("tam_gun"),
         F.count_if(broken).alias("kirik_gun"),
+        # the day lists are bounded by the days in a file (one row per day here)
+        F.array_sort(F.collect_list(F.when(full, d))).alias("tam_gunler"),
+        F.array_sort(F.collect_list(F.when(broken, F.struct(d.alias("tarih"), F.col("saat"), F.col("satir")))))
+        .alias("kirik_gunler"),
         F.sum("town_bos").alias("town_bos"), F.sum("hat_bos").alias("hat_bos"),
         F.sum("yolcu_bos").alias("yolcu_bos"),
         F.sum(F.when(d.isNull(), F.col("satir")).otherwise(F.lit(0))).alias("tarihsiz_satir"))

@@ -53,7 +53,13 @@ def test_validation_report(spark, raw):
     assert quality.overall(rep).first()["hepsi_tam"] is False
     one = quality.validate(spark, [files["202302"]], min_rows=MIN_ROWS)
     assert quality.overall(one).first()["hepsi_tam"] is True
-    row = {raw_csv.month_of(r[schema.SOURCE_COL]): r for r in rep.collect()}["202308"]
+    by_month = {raw_csv.month_of(r[schema.SOURCE_COL]): r for r in rep.collect()}
+    r4 = by_month["202304"]
+    assert [(b["tarih"].day, b["saat"], b["satir"]) for b in r4["kirik_gunler"]] == [(10, 23, 46)]
+    assert len(r4["tam_gunler"]) == 29 and r4["tam_gunler"] == sorted(r4["tam_gunler"])
+    r6 = by_month["202306"]
+    assert [(str(b["tarih"]), b["saat"], b["satir"]) for b in r6["kirik_gunler"]] == [("2023-07-01", 1, 1)]
+    row = by_month["202308"]
     # blank town: spaces, bare empty, quoted empty -> 3 of 31*48 + 6 rows
     assert row["town_bos"] == 3
     assert row["yolcu_bos"] == 1
