@@ -85,7 +85,8 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
 
     * A11 ``months`` selects YYYYMM tokens; none found raises.
     * A10 months already converted (per the log) are skipped; raw files are never touched.
-    * A3 a header that differs from the contract rejects the file.
+    * A3 a file missing a contract column is rejected; columns in another
+      order or extra columns are read by name (the validator still flags them).
     * A6 the gate: full days (24 hours and >= ``min_rows`` rows) must equal
       the days of the first date's month; A12 ``force`` skips it.
     * A9 accepted months are written as ZSTD Parquet partitioned by month
@@ -106,11 +107,14 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
 
     accepted: list[int] = []
     if todo:
-        heads = {r[schema.SOURCE_COL]: r["sema_ok"] for r in raw_csv.check_headers(spark, todo).collect()}
+        heads = {r[schema.SOURCE_COL]: (r["sema_ok"], r["adla_okunur"])
+                 for r in raw_csv.check_headers(spark, todo).collect()}
         for f in todo:
-            if not heads[f]:
+            if not heads[f][1]:
                 report.append((int(raw_csv.month_of(f)), f, REJECTED, "sema", None, None, None, None, now))
-        good = [f for f in todo if heads[f]]
+        exact = [f for f in todo if heads[f][0]]
+        by_name = [f for f in todo if heads[f][1] and not heads[f][0]]
+        good = exact + by_name
         if good:
             # The one CSV parse: all new files are cleaned into a quarantine
             # staging table (month-partitioned ZSTD Parquet in the shared
@@ -118,7 +122,12 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             # one file, so a large month is spread over as many tasks as it has
             # splits. Nothing reaches the clean store before the gate.
             stage = work_path(spark, f"ingest/stage-{uuid.uuid4().hex}")
-            (clean(raw_csv.read_raw(spark, good))
+            # contract-ordered files are read positionally; files whose columns
+            # are reordered or extended are read by column name
+            parts = ([raw_csv.read_raw(spark, exact)] if exact else []) + \
+                    ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
+            raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            (clean(raw)
              .write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage))
             staged = spark.read.parquet(stage)
             # the gate reads two columns of the staged table; one result row per

@@ -61,18 +61,21 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def check_headers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """A3: (kaynak_dosya, sema_ok, gelen) — the ordered header equals the contract.
+    """A3: (kaynak_dosya, dosya_adi, sema_ok, adla_okunur, gelen) — whether the
+    ordered header equals the contract, and whether it at least contains every
+    contract column (then the file can be read by column name).
 
     One first-line read per file; the number of files is the number of months.
     """
     rows = []
     for f in files:
         got = header_of(spark, f)
-        rows.append((f, file_name(f), got == schema.RAW_COLUMNS, got))
+        rows.append((f, file_name(f), got == schema.RAW_COLUMNS, set(schema.RAW_COLUMNS) <= set(got), got))
     sch = T.StructType([
         T.StructField(schema.SOURCE_COL, T.StringType(), False),
         T.StructField(FILE_NAME, T.StringType(), False),
         T.StructField("sema_ok", T.BooleanType(), False),
+        T.StructField("adla_okunur", T.BooleanType(), False),    # all contract columns present (any order)
         T.StructField("gelen", T.ArrayType(T.StringType()), False),
     ])
     return spark.createDataFrame(rows, sch)

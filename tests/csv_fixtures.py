@@ -75,4 +75,7 @@ def build_months(raw_dir: str) -> dict[str, str]:
     rows7 = [[r[1], r[0]] + r[2:] for r in month_rows(2023, 7)]       # data follow the header
     out["202307"] = write_csv(raw_dir, "202307", rows7, header=swapped)
     out["202308"] = write_csv(raw_dir, "202308", month_rows(2023, 8), raw_lines=blank_lines(dt.date(2023, 8, 3)))
+    missing = [c for c in RAW_COLUMNS if c != "line"]                       # a contract column is absent
+    rows9 = [[v for c, v in zip(RAW_COLUMNS, r) if c != "line"] for r in month_rows(2023, 9)]
+    out["202309"] = write_csv(raw_dir, "202309", rows9, header=missing)
     return out
