@@ -74,3 +74,23 @@ def test_fixture_table_parsed():
 @pytest.mark.parametrize("name", sorted(FIXTURE_ROWS))
 def test_row_counts_at_sf001_match_fixtures(spark, name):
     assert entry.queries()[name](spark, "/root/testdata/sf0.01").count() == FIXTURE_ROWS[name][1]
+
+
+def test_results_do_not_depend_on_session_settings(spark, con):
+    """Exact equality holds with other shuffle partition counts, AQE off and
+    ANSI off (the driver's session need not use this engine's defaults)."""
+    conf = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.ansi.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name, sql in sorted(entry.oracle_sql().items()):
+            r = compare(spark, name, entry.queries()[name], sql, SF, con)
+            assert r["status"] == "ok" and r["exact"] and "types" not in r, r
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
