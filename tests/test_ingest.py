@@ -141,6 +141,14 @@ def test_stream_ingest_picks_up_only_new_files(spark, tmpdir_path):
     assert months == [202302, 202304]
     log = {r[schema.PERIOD_COL]: r["durum"] for r in spark.read.parquet(log_path).collect()}
     assert log == {202302: "donusturuldu", 202303: "reddedildi", 202304: "donusturuldu"}
+    # the rejected month is re-downloaded complete under the same name: the stream
+    # has seen that path, the batch ingest (which reads the log) converts it
+    write_csv(raw_dir, "202303", month_rows(2023, 3))
+    ingest_stream.start(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS, checkpoint=ck).awaitTermination()
+    assert spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 0
+    res = ingest.ingest(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS)
+    assert res.accepted == [202303]
+    assert spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 31 * 48
 
 
 def test_autopsy_on_raw_rows(spark, raw):
