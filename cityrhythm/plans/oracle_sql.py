@@ -61,8 +61,8 @@ TRIPS_O = f"""trips AS (
   FROM orders o JOIN cust k ON o.o_custkey = k.c_custkey
 )"""
 
-# B3 as SQL: completed district of rail rows.
-RAIL_E = """rail AS (
+# B3 as SQL: completed district of rail rows (both facades).
+RAIL = """rail AS (
   SELECT t.*, COALESCE(t.town, m.ilce) AS ilce
   FROM trips t LEFT JOIN lookup m
     ON t.line_name = 'MACHINERY' AND t.station_poi_desc_cd = m.istasyon
@@ -73,10 +73,5 @@ RAIL_E = """rail AS (
 def facade_sql(facade: str, select: str, ctes: list[str] | None = None) -> str:
     """Compose ``WITH cust, trips, lookup[, rail], <ctes> <select>``."""
     trips = {"E": TRIPS_E, "O": TRIPS_O}[facade]
-    parts = [CUST, trips, LOOKUP, RAIL_E] + list(ctes or [])
+    parts = [CUST, trips, LOOKUP, RAIL] + list(ctes or [])
     return "WITH " + ",\n".join(parts) + "\n" + select.strip()
-
-
-def r1(expr: str, digits: int) -> str:
-    """ROUND in the oracle (DuckDB scales then rounds half away from zero)."""
-    return f"ROUND({expr}, {digits})"
