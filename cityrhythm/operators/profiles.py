@@ -8,6 +8,8 @@ per (map task, day, hour, key) whatever the row count.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,33 +29,35 @@ def hourly_profile(trips: DataFrame) -> DataFrame:
         round_half_away(F.avg("yolcu")).alias("ortalama_yolcu"))
 
 
-def hour_delta(trips: DataFrame) -> DataFrame:
+def hour_delta(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weekday mean per hour (sum / distinct days) and the change from the
-    previous hour row (LAG counts rows, so a missing hour shifts it)."""
-    h = _weekday(trips).groupBy(F.col("transition_hour").alias("saat")).agg(
+    previous hour row (LAG counts rows, so a missing hour shifts it). With
+    ``by`` (e.g. a line or station) the series and the window are per entity."""
+    h = _weekday(trips).groupBy(*by, F.col("transition_hour").alias("saat")).agg(
         (F.sum(P).cast("double") / F.count_distinct("transition_date")).alias("ort"))
-    w = Window.orderBy("saat")      # 24 rows after aggregation
+    w = Window.partitionBy(*by).orderBy("saat")      # 24 rows per entity after aggregation
     prev = F.lag("ort").over(w)
     return h.select(
-        "saat",
+        *by, "saat",
         round_half_away(F.col("ort")).alias("ort_yolcu"),
         round_half_away(F.col("ort") - prev).alias("onceki_saate_fark"),
         round_half_away(ratio(F.col("ort") - prev, prev, 100.0), 1).alias("degisim_pct"),
     )
 
 
-def seasonal(trips: DataFrame) -> DataFrame:
+def seasonal(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per month the mean daily total, its % deviation from the unweighted
-    mean of the months, and the night per-mille (ratio of sums)."""
-    daily = trips.groupBy("transition_date", "ay").agg(
+    mean of the months, and the night per-mille (ratio of sums). With ``by``
+    every entity gets its own monthly series and mean."""
+    daily = trips.groupBy(*by, "transition_date", "ay").agg(
         F.sum(P).alias("yolcu"),
         F.sum(F.when(is_night("transition_hour"), F.col(P))).alias("gece_yolcu"))
-    monthly = daily.groupBy("ay").agg(
+    monthly = daily.groupBy(*by, "ay").agg(
         F.avg("yolcu").alias("ort"),
         ratio(F.sum("gece_yolcu"), F.sum("yolcu"), 1000.0).alias("endeks"))
-    w = Window.partitionBy()        # <= 12 rows
+    w = Window.partitionBy(*by)        # <= 12 rows per entity
     return monthly.select(
-        "ay",
+        *by, "ay",
         round_half_away(F.col("ort")).alias("ort_gunluk_yolcu"),
         round_half_away(ratio(F.col("ort"), F.avg("ort").over(w), 100.0) - F.lit(100.0), 1)
         .alias("yil_ort_sapma_pct"),

@@ -464,3 +464,16 @@ def test_cluster_sizing():
     small = cluster_sizing(10 * 1024 ** 2, 8)
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024 ** 2
     assert int(small["spark.sql.shuffle.partitions"]) == 8
+
+
+def test_hour_delta_and_seasonal_per_entity(spark):
+    d = dt.date(2024, 1, 1)
+    rows = [dict(transition_date=d, transition_hour=h, line_name=ln, number_of_passenger=v)
+            for ln, hv in [("A", [(6, 10), (7, 30)]), ("B", [(6, 40), (7, 20)])] for h, v in hv]
+    t = make_trips(spark, rows)
+    hd = {(r["line_name"], r["saat"]): r["onceki_saate_fark"] for r in profiles.hour_delta(t, by=["line_name"]).collect()}
+    assert hd == {("A", 6): None, ("A", 7): 20.0, ("B", 6): None, ("B", 7): -20.0}
+    se = {r["line_name"]: r["ort_gunluk_yolcu"] for r in profiles.seasonal(t, by=["line_name"]).collect()}
+    assert se == {"A": 40.0, "B": 60.0}
+    # without an entity the single series is unchanged
+    assert {r["saat"]: r["onceki_saate_fark"] for r in profiles.hour_delta(t).collect()} == {6: None, 7: 0.0}
