@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +66,15 @@ def check_headers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     ordered header equals the contract, and whether it at least contains every
     contract column (then the file can be read by column name).
 
-    One first-line read per file; the number of files is the number of months.
+    One first-line read per file (the number of files is the number of
+    months), run concurrently.
     """
-    rows = []
-    for f in files:
-        got = header_of(spark, f)
-        rows.append((f, file_name(f), got == schema.RAW_COLUMNS, set(schema.RAW_COLUMNS) <= set(got), got))
+    # each header is a first-line read (a tiny job); they are independent, so
+    # they are submitted concurrently from a few driver threads
+    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
+        headers = list(pool.map(lambda f: header_of(spark, f), files))
+    rows = [(f, file_name(f), got == schema.RAW_COLUMNS, set(schema.RAW_COLUMNS) <= set(got), got)
+            for f, got in zip(files, headers)]
     sch = T.StructType([
         T.StructField(schema.SOURCE_COL, T.StringType(), False),
         T.StructField(FILE_NAME, T.StringType(), False),
