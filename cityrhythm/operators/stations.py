@@ -7,6 +7,8 @@ partition holds at most 24 rows after the hourly aggregation.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,17 @@ def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int
     if checkpoint:
         ensure_checkpoint_dir(feats.sparkSession)
         feats = feats.checkpoint(eager=True)
-    best, best_cost = None, None
-    for i in range(n_init):
+    def fit(i: int):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
                        predictionCol="kume").fit(feats)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
+        return model.summary.trainingCost, i, model
+
+    # the starts are independent distributed fits over the small checkpointed
+    # matrix; a few run concurrently. The choice is deterministic: least cost,
+    # ties to the earlier seed.
+    with ThreadPoolExecutor(max_workers=min(4, n_init)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
     members = best.transform(feats).select("istasyon", "kume", *hours)
     prof = members.groupBy("kume").agg(F.count(F.lit(1)).alias("boyut"), *[F.avg(h).alias(h) for h in hours])
     ev = sum(F.col(f"h{h}") for h in range(EVENING[0], EVENING[1] + 1))
