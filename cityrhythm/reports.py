@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +44,16 @@ def _scope(spark: SparkSession, clean_path: str, year: int | None, use_rollup: b
 
 
 def _write(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    paths = {}
-    for name, df in tables.items():
-        p = os.path.join(out_dir, name)
-        df.write.mode("overwrite").parquet(p)
-        paths[name] = p
+    """Write each table to ``out_dir/<name>``. The writes are independent
+    jobs (each reads the scope or its roll-up), so a few are submitted
+    concurrently from driver threads."""
+    paths = {name: os.path.join(out_dir, name) for name in tables}
+
+    def write(name: str) -> None:
+        tables[name].write.mode("overwrite").parquet(paths[name])
+
+    with ThreadPoolExecutor(max_workers=min(4, max(1, len(tables)))) as pool:
+        list(pool.map(write, tables))
     return paths
 
 
