@@ -392,10 +392,9 @@ def q_pulse(spark, sf_dir):
 
 
 @register("pulse_filled", "C19,C20", facade_sql("E", """
-SELECT hrs.saat, dd.ilce, COALESCE(pl.nabiz, 0.0) AS nabiz
-FROM dd CROSS JOIN hrs LEFT JOIN pl ON pl.ilce = dd.ilce AND pl.saat = hrs.saat""", PULSE_CTES + [
-    "dd AS (SELECT DISTINCT ilce FROM pl)",
-    "hrs AS (SELECT CAST(range AS TINYINT) AS saat FROM range(24))"]))
+SELECT g.saat, g.ilce, COALESCE(pl.nabiz, 0.0) AS nabiz
+FROM g LEFT JOIN pl ON pl.ilce = g.ilce AND pl.saat = g.saat""", PULSE_CTES + [
+    "g AS (SELECT ilce, CAST(unnest(range(24)) AS TINYINT) AS saat FROM (SELECT DISTINCT ilce FROM pl))"]))
 def q_pulse_filled(spark, sf_dir):
     return districts.pulse_frames(_pulse(spark, sf_dir))
 
@@ -487,9 +486,9 @@ def q_period_lift(spark, sf_dir):
 
 @register("evening_spine", "C28", facade_sql("O", """
 SELECT sp.yil, sp.sira, sp.saat, lift.fark_pct FROM sp LEFT JOIN lift ON sp.yil = lift.yil AND sp.saat = lift.saat""",
-    LIFT_CTES + ["sp AS (SELECT p.yil, CAST(h.sira AS INTEGER) AS sira, CAST(h.saat AS TINYINT) AS saat FROM p "
-                 "CROSS JOIN (VALUES " + ", ".join(f"({i}, {h})" for i, h in enumerate(dims.EVENING_ORDER))
-                 + ") h(sira, saat))"]))
+    LIFT_CTES + ["sp AS (SELECT yil, CAST(generate_subscripts(hrs, 1) - 1 AS INTEGER) AS sira, "
+                 "CAST(unnest(hrs) AS TINYINT) AS saat FROM (SELECT yil, ["
+                 + ", ".join(str(h) for h in dims.EVENING_ORDER) + "] AS hrs FROM p))"]))
 def q_evening_spine(spark, sf_dir):
     return cards.evening_spine(_lift(spark, sf_dir), [p.year for p in FACADE_PERIODS])
 
