@@ -56,10 +56,11 @@ def _evening(col: str = "saat"):
     return (F.col(col) >= 20) | (F.col(col) <= 5)
 
 
-def period_lift(trips: DataFrame, periods: DataFrame) -> DataFrame:
+def period_lift(trips: DataFrame, periods) -> DataFrame:
     """Per year and evening/night hour (>= 20 or <= 5),
     ``100 * (mean in period / mean outside - 1)``. Hours present on only one
-    side drop out. One conditional aggregation instead of a self-join."""
+    side drop out. One conditional aggregation instead of a self-join.
+    ``periods``: list of :class:`dims.Period` or the period DataFrame (B5)."""
     tagged = tag_periods(trips.where(F.col("gun_tipi") == F.lit(dims.WEEKDAY)), periods)
     tagged = tagged.where(_evening("transition_hour"))
     daily = tagged.groupBy("yil", "donem", "transition_date", "transition_hour").agg(F.sum(P).alias("yolcu"))

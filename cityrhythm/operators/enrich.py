@@ -56,17 +56,33 @@ def in_range(col: Column | str, start, end) -> Column:
     return c.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def tag_periods(trips: DataFrame, periods: DataFrame, special: str = "ramazan",
+def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
                 normal: str = "normal", out: str = "donem") -> DataFrame:
     """Keep each period year's analysis window minus its holiday range, and
     label every day inside the period as ``special`` and the rest ``normal``.
+    Years without a period drop out.
 
-    ``periods`` is the small period dimension (one row per year); the equi join
-    on year is broadcast from its statistics, and years without a period drop out.
+    ``periods`` is either the fixed list of :class:`dims.Period` — applied as
+    date-range predicates (no join; the ranges reach the Parquet scan) — or
+    the period dimension as a DataFrame, joined on year (broadcast from its
+    statistics).
     """
+    d = F.col("transition_date")
+    if not isinstance(periods, DataFrame):
+        periods = list(periods)
+        if not periods:
+            return trips.where(F.lit(False)).select("*", F.lit(normal).alias(out))
+        keep = label = None
+        for p in periods:
+            in_year = F.col("yil") == F.lit(p.year)
+            k = (in_year & in_range(d, p.window_start, p.window_end)
+                 & ~in_range(d, p.excluded[0], p.excluded[1]))
+            lab = in_year & in_range(d, p.start, p.end)
+            keep = k if keep is None else keep | k
+            label = lab if label is None else label | lab
+        return trips.where(keep).select("*", F.when(label, F.lit(special)).otherwise(F.lit(normal)).alias(out))
     p = periods.select(F.col("yil").alias("_p_yil"), "baslangic", "bitis",
                        "pencere_bas", "pencere_son", "haric_bas", "haric_son")
-    d = F.col("transition_date")
     j = trips.join(p, F.col("yil") == F.col("_p_yil"), "inner")
     j = j.where(d.between(F.col("pencere_bas"), F.col("pencere_son"))
                 & ~d.between(F.col("haric_bas"), F.col("haric_son")))

@@ -476,7 +476,7 @@ LIFT_CTES = [
 
 
 def _lift(spark, sf_dir):
-    return cards.period_lift(O(spark, sf_dir), dims.periods_df(spark, FACADE_PERIODS))
+    return cards.period_lift(O(spark, sf_dir), FACADE_PERIODS)
 
 
 @register("period_lift", "B5,C26,C27", facade_sql("O", "SELECT * FROM lift", LIFT_CTES))

@@ -116,7 +116,7 @@ def special_report(spark: SparkSession, clean_path: str, out_dir: str, year: int
     y = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
     allt = _scope(spark, clean_path, None, use_rollup, "all_years")
     periods = list(domain.ramadan)
-    lift = cards.period_lift(allt, dims.periods_df(spark, periods))
+    lift = cards.period_lift(allt, periods)
     out = {
         "kart_tipi": cards.card_share(y, domain.card_kinds).withColumn("kart_adi", dims.card_label("kart")),
         "ogrenci_donem": cards.period_share(y, domain.student_card),

@@ -174,12 +174,13 @@ def test_pulse_max_is_one_on_driver_tables(spark):
 
 # --- B5 / C26 / C27 / C28 ---------------------------------------------------------
 
-def test_tag_periods_window_exclusion_and_years(spark):
+@pytest.mark.parametrize("as_list", [False, True])
+def test_tag_periods_window_exclusion_and_years(spark, as_list):
     days = ["2023-01-31", "2023-02-01", "2023-03-23", "2023-04-20", "2023-04-21", "2023-04-26", "2023-05-31",
             "2023-06-01", "2022-03-25"]
     t = make_trips(spark, [dict(transition_date=d) for d in days])
     out = {str(r["transition_date"]): r["donem"]
-           for r in enrich.tag_periods(t, dims.periods_df(spark)).collect()}
+           for r in enrich.tag_periods(t, dims.RAMADAN if as_list else dims.periods_df(spark)).collect()}
     assert out == {"2023-02-01": "normal", "2023-03-23": "ramazan", "2023-04-20": "ramazan",
                    "2023-04-26": "normal", "2023-05-31": "normal"}
 
