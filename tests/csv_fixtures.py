@@ -78,4 +78,6 @@ def build_months(raw_dir: str) -> dict[str, str]:
     missing = [c for c in RAW_COLUMNS if c != "line"]                       # a contract column is absent
     rows9 = [[v for c, v in zip(RAW_COLUMNS, r) if c != "line"] for r in month_rows(2023, 9)]
     out["202309"] = write_csv(raw_dir, "202309", rows9, header=missing)
+    rows10 = [r + ["x"] for r in month_rows(2023, 10)]                       # an extra trailing column
+    out["202310"] = write_csv(raw_dir, "202310", rows10, header=RAW_COLUMNS + ["ekstra"])
     return out

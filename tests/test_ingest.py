@@ -35,11 +35,11 @@ def test_header_check(spark, raw):
     d, files = raw
     heads = {raw_csv.month_of(r[schema.SOURCE_COL]): r["sema_ok"]
              for r in raw_csv.check_headers(spark, list(files.values())).collect()}
-    assert heads["202307"] is False and heads["202309"] is False
-    assert all(v for k, v in heads.items() if k not in ("202307", "202309"))
+    assert heads["202307"] is False and heads["202309"] is False and heads["202310"] is False
+    assert all(v for k, v in heads.items() if k not in ("202307", "202309", "202310"))
     by_name = {raw_csv.month_of(r[schema.SOURCE_COL]): r["adla_okunur"]
                for r in raw_csv.check_headers(spark, list(files.values())).collect()}
-    assert by_name["202307"] is True and by_name["202309"] is False
+    assert by_name["202307"] is True and by_name["202309"] is False and by_name["202310"] is True
 
 
 def test_validation_report(spark, raw):
@@ -54,6 +54,7 @@ def test_validation_report(spark, raw):
     assert got["202307"][1][0] == "sema"                             # profiled by name too
     assert got["202308"] == ("EKSIK/SORUNLU", ["null_yolcu"])
     assert got["202309"] == ("EKSIK/SORUNLU", ["sema"])                # not profiled: a column is missing
+    assert got["202310"] == ("EKSIK/SORUNLU", ["sema"])                # extra column: profiled by name, complete
     assert quality.overall(rep).first()["hepsi_tam"] is False
     one = quality.validate(spark, [files["202302"]], min_rows=MIN_ROWS)
     assert quality.overall(one).first()["hepsi_tam"] is True
@@ -74,7 +75,7 @@ def test_ingest_gate_convert_and_rerun(spark, raw, tmpdir_path):
     clean_path = os.path.join(tmpdir_path, "clean")
     log_path = os.path.join(tmpdir_path, "log")
     res = ingest.ingest(spark, d, clean_path, log_path, min_rows=MIN_ROWS)
-    assert res.accepted == [202302, 202306, 202307, 202308]          # 202307: swapped columns, read by name
+    assert res.accepted == [202302, 202306, 202307, 202308, 202310]  # 202307 swapped, 202310 extra: read by name
     rep = {r[schema.PERIOD_COL]: r for r in res.report.collect()}
     assert rep[202303]["durum"] == "reddedildi" and rep[202303]["tam_gun"] == 30 and rep[202303]["ay_gun"] == 31
     assert rep[202309]["durum"] == "reddedildi" and rep[202309]["neden"] == "sema"
@@ -85,7 +86,8 @@ def test_ingest_gate_convert_and_rerun(spark, raw, tmpdir_path):
     assert types["transition_hour"] == "tinyint" and types["transport_type_id"] == "tinyint"
     assert types["number_of_passenger"] == "int" and types["transition_date"] == "date"
     months = sorted(r[0] for r in clean.select(schema.PERIOD_COL).distinct().collect())
-    assert months == [202302, 202306, 202307, 202308]
+    assert months == [202302, 202306, 202307, 202308, 202310]
+    assert "ekstra" not in clean.columns
     jul = clean.where(F.col(schema.PERIOD_COL) == 202307)
     assert jul.count() == 31 * 48 and jul.agg(F.min("transition_date")).first()[0].isoformat() == "2023-07-01"
     assert jul.select("transition_hour").distinct().count() == 24
