@@ -172,3 +172,33 @@ def test_read_raw_rejects_a_header_that_changed_after_the_check(spark, raw):
     d, files = raw
     with pytest.raises(Exception, match="(?i)header|CSV"):
         raw_csv.read_raw(spark, [files["202307"]]).select(*schema.RAW_COLUMNS).collect()
+
+
+def test_modes_and_m7_lookup_end_to_end(spark, tmpdir_path):
+    """DENİZ keeps its dotted İ; M7 rows get their district from the shipped
+    station table when the station is known and stay NULL otherwise; town of
+    other lines wins."""
+    from cityrhythm.operators import autopsy, districts
+    from cityrhythm.sources.lookup import builtin_lookup
+    raw_dir = os.path.join(tmpdir_path, "raw_modes")
+    base = ["2023-11-06", "23", "", "", "LINE", "Normal", "10", "10", "TAM", "Tam Kontur", "", "", ""]
+
+    def row(mode_id, mode, town, line_name, station, pax):
+        r = list(base)
+        r[2], r[3], r[10], r[11], r[12], r[6], r[7] = mode_id, mode, town, line_name, station, pax, pax
+        return r
+    rows = [row("2", "RAYLI", "", "M7", "M7 FULYA", "100"),
+            row("2", "RAYLI", " ", "M7", "UNKNOWN STOP", "50"),
+            row("2", "RAYLI", "SISLI", "M2", "M7 FULYA", "30"),
+            row("3", "DENİZ", "KADIKOY", "KADIKOY-KARAKOY", "KADIKOY ISKELE", "20"),
+            row("1", "OTOYOL", "BAKIRKOY", "25G", "", "5")]
+    write_csv(raw_dir, "202311", rows)
+    clean_path = os.path.join(tmpdir_path, "clean_modes")
+    res = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_modes"), force=True)
+    assert res.accepted == [202311]
+    t = model.trips(spark, clean_path, year=2023)
+    modes = {(r["transport_type_id"], r["road_type"]) for r in autopsy.mode_map(t, with_id=True).collect()}
+    assert modes == {(1, "OTOYOL"), (2, "RAYLI"), (3, "DENİZ")}
+    night = {r["ilce"]: (r["toplam_yolcu"], r["gece_yolcu"])
+             for r in districts.night_index(t, builtin_lookup(), min_total=0).collect()}
+    assert night == {"BESIKTAS": (100, 100), "SISLI": (30, 30)}       # unknown M7 stop has no district
