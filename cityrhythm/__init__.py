@@ -10,6 +10,7 @@ Layout:
   operators/   ingest + quality, enrichment, profiles, windows, districts, geo, k-means
   plans/       hourly roll-up, query registry with oracle SQL
   streaming/   incremental ingest with Structured Streaming (availableNow)
+  reports      report jobs writing the data behind each output as Parquet tables
 """
 
 __version__ = "0.1.0"
