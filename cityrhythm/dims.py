@@ -248,6 +248,22 @@ def special_days_df(spark: SparkSession, special_days: dict | None = None,
     return literal_df(spark, rows, schema)
 
 
+def special_days_map(special_days: dict | None = None, series_labels: dict | None = None,
+                     year: int | None = None, marked_only: bool = False) -> dict[str, str]:
+    """DM5 (or its DM6 subset with ``marked_only``) as a date -> label mapping."""
+    special_days = SPECIAL_DAYS if special_days is None else special_days
+    series_labels = SERIES_LABELS if series_labels is None else series_labels
+    out = {}
+    for y, days in special_days.items():
+        if year is not None and y != year:
+            continue
+        marked = series_labels.get(y)
+        for d, label in days.items():
+            if not marked_only or marked is None or d in marked:
+                out[d] = label
+    return out
+
+
 def periods_df(spark: SparkSession, periods=None) -> DataFrame:
     """DM7: one row per period year with inclusive bounds, window and exclusion."""
     periods = RAMADAN if periods is None else periods

@@ -8,9 +8,10 @@ are partitioned per entity and spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityrhythm import dims
@@ -48,24 +49,51 @@ def anomaly(trips: DataFrame, by: Sequence[str] = (), z_limit: float = dims.ANOM
                     (F.abs(F.col("_z")) >= F.lit(z_limit)).alias("anomali")))
 
 
-def anomaly_labels(trips: DataFrame, special_days: DataFrame, top: int = dims.ANOMALY_DATE_LABELS,
+def _special_map(special_days: Mapping) -> tuple[list[dt.date], Column | None]:
+    days = sorted((dt.date.fromisoformat(str(d)) if not isinstance(d, dt.date) else d, lbl)
+                  for d, lbl in special_days.items())
+    if not days:
+        return [], None
+    return [d for d, _ in days], F.create_map(*[F.lit(x) for kv in days for x in kv])
+
+
+def anomaly_labels(trips: DataFrame, special_days, top: int = dims.ANOMALY_DATE_LABELS,
                    z_limit: float = dims.ANOMALY_Z) -> DataFrame:
     """C11: every anomalous day with its label: the special-day name when known,
     else the short date text when the day is among the ``top`` largest |z| of
-    all anomalies (ties by date), else NULL."""
+    all anomalies (ties by date), else NULL.
+
+    ``special_days``: a fixed mapping date -> label (applied as a literal map,
+    no join) or the special-day DataFrame (tarih, etiket), left joined."""
     an = anomaly(trips, z_limit=z_limit).where(F.col("anomali"))
     # top-k by |z|: TakeOrderedAndProject, at most ``top`` rows come back
     extreme = (an.orderBy(F.abs("z").desc(), F.col("transition_date").asc()).limit(top)
                .select(F.col("transition_date").alias("_x_date"), F.lit(True).alias("_uc")))
-    sd = special_days.select(F.col("tarih").alias("_s_date"), F.col("etiket").alias("_s_etiket"))
-    j = (an.join(sd, F.col("transition_date") == F.col("_s_date"), "left")
-           .join(extreme, F.col("transition_date") == F.col("_x_date"), "left"))
+    if isinstance(special_days, Mapping):
+        _, m = _special_map(special_days)
+        j = an.select("*", (m[F.col("transition_date")] if m is not None
+                            else F.lit(None).cast("string")).alias("_s_etiket"))
+    else:
+        sd = special_days.select(F.col("tarih").alias("_s_date"), F.col("etiket").alias("_s_etiket"))
+        j = an.join(sd, F.col("transition_date") == F.col("_s_date"), "left")
+    j = j.join(extreme, F.col("transition_date") == F.col("_x_date"), "left")
     label = F.coalesce(F.col("_s_etiket"),
                        F.when(F.col("_uc"), dims.short_date("transition_date")))
     return j.select("transition_date", "haftanin_gunu", "yolcu", "z", label.alias("etiket"))
 
 
-def series_annotations(trips: DataFrame, special_days: DataFrame) -> DataFrame:
-    """Marked special days that exist in the data, with that day's total."""
+def series_annotations(trips: DataFrame, special_days) -> DataFrame:
+    """Marked special days that exist in the data, with that day's total.
+
+    ``special_days``: a fixed mapping date -> label of the days to mark (a
+    date ``isin`` filter the scan can use, then a literal map for the label),
+    or the special-day DataFrame with its ``seride`` flag (inner join)."""
+    if isinstance(special_days, Mapping):
+        dates, m = _special_map(special_days)
+        if m is None:
+            return daily_totals(trips).where(F.lit(False)).select(
+                "transition_date", F.lit(None).cast("string").alias("etiket"), "yolcu")
+        d = trips.where(F.col("transition_date").isin(dates))
+        return daily_totals(d).select("transition_date", m[F.col("transition_date")].alias("etiket"), "yolcu")
     sd = special_days.where(F.col("seride")).select(F.col("tarih").alias("transition_date"), "etiket")
     return daily_totals(trips).join(sd, "transition_date", "inner").select("transition_date", "etiket", "yolcu")

@@ -216,7 +216,8 @@ def q_anomaly(spark, sf_dir):
 
 
 def _facade_special(spark):
-    return dims.special_days_df(spark, FACADE_SPECIAL_DAYS, {})
+    """The facade's special days as a fixed mapping (all of them are marked)."""
+    return {d: lbl for days in FACADE_SPECIAL_DAYS.values() for d, lbl in days.items()}
 
 
 @register("anomaly_labels", "C11", facade_sql("O", f"""

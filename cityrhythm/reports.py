@@ -64,7 +64,8 @@ def year_report(spark: SparkSession, clean_path: str, year: int, out_dir: str,
     t = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
     if t.limit(1).count() == 0:
         raise ValueError(f"no data for {year}")
-    sd = dims.special_days_df(spark, domain.special_days, domain.series_labels, year=year)
+    sd = dims.special_days_map(domain.special_days, domain.series_labels, year=year)
+    marked = dims.special_days_map(domain.special_days, domain.series_labels, year=year, marked_only=True)
     share = stations.station_share(t, domain.rail)
     out = {
         "saatlik_profil": profiles.hourly_profile(t),
@@ -72,7 +73,7 @@ def year_report(spark: SparkSession, clean_path: str, year: int, out_dir: str,
         "mevsimsel_ritim": profiles.seasonal(t),
         "gun_saat": profiles.dow_hour_pivot(t),
         "yillik_seyir": daily.moving_avg(t),
-        "seyir_etiketleri": daily.series_annotations(t, sd),
+        "seyir_etiketleri": daily.series_annotations(t, marked),
         "anomali": daily.anomaly(t),
         "anomali_etiketleri": daily.anomaly_labels(t, sd),
         "gece_ilceler": districts.night_top(districts.night_index(t, lookup, rail=domain.rail,

@@ -478,3 +478,19 @@ def test_hour_delta_and_seasonal_per_entity(spark):
     assert se == {"A": 40.0, "B": 60.0}
     # without an entity the single series is unchanged
     assert {r["saat"]: r["onceki_saate_fark"] for r in profiles.hour_delta(t).collect()} == {6: None, 7: 0.0}
+
+
+
+def test_special_days_as_mapping_equal_dataframe_form(spark):
+    t = _anomaly_days(spark)
+    days = {2024: {"2024-02-05": "Kar", "2024-01-01": "Yılbaşı", "2024-12-31": "yok"}}
+    df_form = dims.special_days_df(spark, days, {2024: ["2024-01-01"]})
+    m_all = dims.special_days_map(days, {2024: ["2024-01-01"]})
+    m_marked = dims.special_days_map(days, {2024: ["2024-01-01"]}, marked_only=True)
+    assert m_marked == {"2024-01-01": "Yılbaşı"} and len(m_all) == 3
+    a = sorted(map(tuple, daily.anomaly_labels(t, df_form).collect()))
+    b = sorted(map(tuple, daily.anomaly_labels(t, m_all).collect()))
+    assert a == b and a[0][4] == "Kar"
+    assert sorted(map(tuple, daily.series_annotations(t, df_form).collect())) == \
+        sorted(map(tuple, daily.series_annotations(t, m_marked).collect()))
+    assert daily.series_annotations(t, {}).count() == 0
