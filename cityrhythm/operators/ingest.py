@@ -3,8 +3,9 @@
 All new monthly files are parsed once into a quarantine staging table; the
 gate (a single aggregation per file and date) reads two columns of it, and
 the accepted months are copied into the month-partitioned store. Nothing
-lands before its month passed the gate (quarantine, not filter). Decisions go to a small conversion-log table, so reruns skip months
-already converted and a rejected month is retried after it is re-downloaded.
+lands before its month passed the gate (quarantine, not filter). Decisions
+go to a small conversion-log table, so reruns skip months already converted
+and a rejected month is retried after it is re-downloaded.
 """
 
 from __future__ import annotations
