@@ -6,10 +6,7 @@ Usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 
 from __future__ import annotations
 
-import contextlib
-import io
 import os
-import re
 import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -18,43 +15,9 @@ sys.path.insert(0, ROOT)
 SKIP = {"station_clusters"}       # k-means: ten model fits, not one plan
 
 
-def formatted(df) -> str:
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
-    return buf.getvalue()
-
-
-def summarize(text: str) -> dict:
-    final = text.split("== Final Plan ==")[1].split("== Initial Plan ==")[0] if "== Final Plan ==" in text else text
-    details = text.split("\n\n(1)", 1)[-1]
-    scans = []
-    final_ids = set(re.findall(r"Scan parquet\s+\((\d+)\)", final))
-    for m in re.finditer(r"\((\d+)\) Scan parquet\s*\n(.*?)(?:\n\n|\Z)", "(1)" + details, re.S):
-        if m.group(1) not in final_ids:
-            continue
-        block = m.group(2)
-        loc = re.search(r"Location: \S+ \[(.*?)\]", block)
-        table = os.path.basename(loc.group(1)).replace(".parquet", "") if loc else "?"
-        pushed = re.search(r"PushedFilters: \[(.*?)\]\n", block)
-        schema = re.search(r"ReadSchema: struct<(.*?)>", block)
-        cols = [c.split(":")[0] for c in schema.group(1).split(",")] if schema and schema.group(1) else []
-        scans.append((table, cols, pushed.group(1) if pushed else ""))
-    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin(?:\(skew=true\))?|ShuffledHashJoin|BroadcastNestedLoopJoin|"
-                       r"CartesianProduct) (\w+)", final)
-    return {
-        "scans": scans,
-        "shuffles": len(re.findall(r"\+- Exchange \(|^Exchange \(", final, re.M)),
-        "reused": len(re.findall(r"Reused", final)),
-        "joins": sorted({f"{a} {b}" for a, b in joins}),
-        "windows": len(re.findall(r"Window \(", final)),
-        "topk": len(re.findall(r"TakeOrderedAndProject", final)),
-        "codegen": len(re.findall(r"WholeStageCodegen|\* ", final)) > 0,
-    }
-
-
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    from cityrhythm.plans.inspect import summary
     from cityrhythm.session import build_session
     import __spark_entry__ as entry
     spark = build_session("local[8]", app="cityrhythm-plans", shuffle_partitions=8)
@@ -71,7 +34,7 @@ def main() -> None:
             continue
         df = build(spark, sf_dir)
         df.collect()
-        s = summarize(formatted(df))
+        s = summary(df)
         scans = "<br>".join(f"`{t}` ({', '.join(c)}{'; ' + p if p else ''})" for t, c, p in s["scans"])
         print(f"| {name} | {reg[name].survey_id} | {scans} | {s['shuffles']} | {s['reused']} | "
               f"{'<br>'.join(s['joins']) or '-'} | {s['windows']} | {s['topk']} |")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 import os
 
 import pytest
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cityrhythm import model, schema
 from cityrhythm.operators import ingest, quality
+from cityrhythm.plans.inspect import formatted_plan
 from cityrhythm.sources import raw_csv
 from tests.csv_fixtures import MIN_ROWS, build_months, month_rows, write_csv
 
@@ -118,10 +117,7 @@ def test_trips_year_scope_prunes_partitions(spark, raw, tmpdir_path):
     clean_path = os.path.join(tmpdir_path, "clean")
     ingest.ingest(spark, d, clean_path, os.path.join(tmpdir_path, "log"), months=["202302"], min_rows=MIN_ROWS)
     t = model.trips(spark, clean_path, year=2023)
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        t.explain("formatted")
-    plan = buf.getvalue()
+    plan = formatted_plan(t)
     assert "PartitionFilters" in plan and schema.PERIOD_COL in plan
     assert t.count() == 28 * 48
     assert set(t.columns) >= set(schema.CALENDAR_COLUMNS)
