@@ -55,6 +55,17 @@ def trips(spark: SparkSession, clean_path: str, year: int | None = None) -> Data
     return with_calendar(df)
 
 
+def register_trips_view(spark: SparkSession, clean_path: str, year: int | None = None,
+                        name: str = "yolculuk") -> DataFrame:
+    """Register the trips relation (B1, B2) as a temporary view for SQL users:
+    ``spark.sql("SELECT gun_tipi, ... FROM yolculuk ...")``. The year scope is
+    a partition filter; Spark SQL dialect differences from other engines
+    (e.g. ``FILTER (WHERE ...)``, no ``QUALIFY``) still apply."""
+    df = trips(spark, clean_path, year)
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def _road_type(key: Column) -> Column:
     r = key % 3
     return (F.when(r == 0, F.lit(FACADE_ROAD_TYPES[0]))

@@ -88,3 +88,15 @@ def test_reports_on_driver_data_equal_registered_queries(spark, tmpdir_path):
     yr = reports.year_report(spark, store, 1997, os.path.join(tmpdir_path, "y1997"), lk, domain=dom, clusters=False)
     want = sorted(map(tuple, profiles.hourly_profile(registry.O(spark, sf, year=1997)).collect()))
     assert sorted(map(tuple, spark.read.parquet(yr["saatlik_profil"]).collect())) == want
+
+
+def test_trips_view_for_sql_users(spark, store):
+    base, clean = store
+    model.register_trips_view(spark, clean, 2023)
+    got = spark.sql("""
+        WITH d AS (SELECT transition_date, gun_tipi, transition_hour,
+                          SUM(number_of_passenger) AS yolcu FROM yolculuk GROUP BY 1, 2, 3)
+        SELECT gun_tipi, transition_hour AS saat, ROUND(AVG(yolcu)) AS ortalama_yolcu FROM d GROUP BY 1, 2""")
+    want = profiles.hourly_profile(model.trips(spark, clean, 2023))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.sql("SELECT COUNT(*) FROM yolculuk WHERE yil = 2022").first()[0] == 0
