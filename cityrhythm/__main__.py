@@ -1,6 +1,7 @@
 """Command line: one sub-command per job, results written as Parquet tables.
 
     python -m cityrhythm validate FILE...                 exit 0 = complete, 1 = problem
+    python -m cityrhythm autopsy FILE... [--line M2] [--bus-line 25G]
     python -m cityrhythm ingest --raw R --store S [YYYYMM ...] [--force] [--esik N]
     python -m cityrhythm year 2023 --store S --out O
     python -m cityrhythm compare --store S --out O
@@ -30,6 +31,11 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("files", nargs="+")
     v.add_argument("--esik", type=int, default=dims.MIN_ROWS_PER_DAY, help="minimum rows per full day")
 
+    a = sub.add_parser("autopsy", help="profile raw monthly CSV files (D1-D9)")
+    a.add_argument("files", nargs="+")
+    a.add_argument("--line", default="M2", help="rail line whose stations are listed (D6)")
+    a.add_argument("--bus-line", default="25G", help="road line whose towns are listed (D6)")
+
     i = sub.add_parser("ingest", help="gate and convert new monthly CSV files")
     i.add_argument("months", nargs="*", help="YYYYMM tokens; all when empty")
     i.add_argument("--raw", required=True)
@@ -87,6 +93,37 @@ def main(argv: list[str] | None = None) -> int:
         ok = quality.overall(rep).first()["hepsi_tam"]
         return 0 if ok else 1
 
+    if args.cmd == "autopsy":
+        from cityrhythm.operators import autopsy, ingest
+        from cityrhythm.sources import raw_csv
+        import uuid
+
+        from cityrhythm.session import work_path
+        # parse the CSV once into a table in the shared checkpoint folder; the
+        # profile tables below then scan columnar data instead of re-parsing
+        stage = work_path(spark, f"autopsy/{uuid.uuid4().hex}")
+        ingest.clean(raw_csv.read_raw(spark, args.files)).write.parquet(stage)
+        rows = spark.read.parquet(stage)
+        count, dtypes, sample = autopsy.overview(rows)
+        count.show()
+        print(dtypes)
+        sample.show(truncate=False)
+        for title, df in [
+            ("coverage", autopsy.coverage_pairs(rows)),
+            ("days", autopsy.day_profile(rows).orderBy("transition_date")),
+            ("modes", autopsy.mode_map(rows, with_id=True).orderBy("transport_type_id")),
+            ("towns", autopsy.town_count(rows)),
+            ("top towns", autopsy.town_top(rows, 10)),
+            (f"stations of {args.line}", autopsy.line_stations(rows, args.line, 8)),
+            (f"towns of {args.bus_line}", autopsy.line_towns(rows, args.bus_line)),
+            ("lines with blank town", autopsy.blank_town_lines(rows, 5)),
+            ("passage vs passenger", autopsy.passage_vs_passenger(rows)),
+            ("blank map by mode", autopsy.null_map(rows)),
+        ]:
+            print(f"== {title}")
+            df.show(40, truncate=False)
+        return 0
+
     if args.cmd == "ingest":
         from cityrhythm.operators import ingest
         res = ingest.ingest(spark, args.raw, args.store, args.log or args.store.rstrip("/") + "_log",

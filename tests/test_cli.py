@@ -15,6 +15,9 @@ def test_cli_commands(spark, tmpdir_path, capsys):
     bad = write_csv(raw, "202303", month_rows(2023, 3, skip_days=(9,)))
     assert main(["validate", good, "--esik", str(MIN_ROWS)]) == 0
     assert main(["validate", good, bad, "--esik", str(MIN_ROWS)]) == 1
+    assert main(["autopsy", good]) == 0
+    shown = capsys.readouterr().out
+    assert "== blank map by mode" in shown and "RAYLI" in shown
     store = os.path.join(tmpdir_path, "store")
     assert main(["ingest", "--raw", raw, "--store", store, "--esik", str(MIN_ROWS)]) == 0
     assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == [202302]
