@@ -40,6 +40,16 @@ def available_years(trips: DataFrame) -> DataFrame:
     return trips.select("yil").distinct()
 
 
+def year_coverage(trips: DataFrame) -> DataFrame:
+    """Per year the months present, first and last day, and whether the
+    year is partial (fewer than 12 months) — comparisons flag partial years."""
+    return (trips.groupBy("yil").agg(
+                F.count_distinct("ay").alias("ay_sayisi"),
+                F.min("transition_date").alias("ilk_gun"),
+                F.max("transition_date").alias("son_gun"))
+            .withColumn("kismi", F.col("ay_sayisi") < 12))
+
+
 def require_years(trips: DataFrame, at_least: int = 2) -> list[int]:
     """The sorted list of years; raises when fewer than ``at_least`` exist.
 

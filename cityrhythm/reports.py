@@ -5,8 +5,9 @@ Parquet tables (one folder per table) instead of charts.
   seasonal rhythm, weekday-hour table, yearly series with annotations,
   anomalies with labels, night districts, station peaks and clusters,
   district pulse (C1-C4, C6, C9-C18)
-* :func:`compare_years`  — all years: monthly volume, weekday profile, night
-  index by year limited to the latest year's leaders (B4, C21-C24)
+* :func:`compare_years`  — all years: year coverage (partial years flagged),
+  monthly volume, weekday profile, night index by year limited to the latest
+  year's leaders (B4, C21-C24)
 * :func:`special_report` — card kinds (one year), student card school vs
   summer, Ramadan profile and lift, weekday personalities (C7, C8, C25-C28)
 * :func:`night_map`      — night index per district joined to boundaries,
@@ -99,6 +100,7 @@ def compare_years(spark: SparkSession, clean_path: str, out_dir: str,
     t = _scope(spark, clean_path, None, use_rollup, "all_years")
     enrich.require_years(t, 2)
     out = {
+        "yil_kapsami": enrich.year_coverage(t),
         "aylik_hacim": profiles.monthly_volume(t),
         "saatlik_profil_yillar": profiles.hour_by_year(t),
         "gece_endeksi_yillar": districts.night_by_year(t, lookup, rail=domain.rail, m7_line=domain.m7_line),

@@ -48,6 +48,8 @@ def test_year_report_tables(spark, store, use_rollup):
 def test_compare_special_and_maps(spark, store):
     base, clean = store
     cy = reports.compare_years(spark, clean, os.path.join(base, "cmp"), builtin_lookup())
+    cov = {r["yil"]: (r["ay_sayisi"], r["kismi"]) for r in spark.read.parquet(cy["yil_kapsami"]).collect()}
+    assert cov == {2022: (1, True), 2023: (2, True)}
     mv = {(r["yil"], r["ay"]): r["ort_gunluk"] for r in spark.read.parquet(cy["aylik_hacim"]).collect()}
     assert mv == {(2022, 12): 48 * 11.0, (2023, 2): 48 * 11.0, (2023, 3): 48 * 11.0}
     sp = reports.special_report(spark, clean, os.path.join(base, "special"), year=2023)
