@@ -185,6 +185,14 @@ def q_years_o(spark, sf_dir):
     return enrich.available_years(O(spark, sf_dir))
 
 
+@register("year_coverage_O", "B4", facade_sql("O", """
+SELECT yil, COUNT(DISTINCT ay) AS ay_sayisi, MIN(transition_date) AS ilk_gun, MAX(transition_date) AS son_gun,
+       COUNT(DISTINCT ay) < 12 AS kismi
+FROM trips GROUP BY yil"""))
+def q_year_coverage_o(spark, sf_dir):
+    return enrich.year_coverage(O(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # C4 / C10 / C11 / C12 — daily series
 # ---------------------------------------------------------------------------
