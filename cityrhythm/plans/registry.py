@@ -153,7 +153,7 @@ def q_dow_hour(spark, sf_dir):
     return profiles.dow_hour(E(spark, sf_dir))
 
 
-@register("dow_hour_pivot", "C9", facade_sql("E", f"""
+@register("dow_hour_pivot", "C9,B6", facade_sql("E", f"""
 SELECT haftanin_gunu, {DAYS_SQL}[haftanin_gunu] AS gun, {_pivot_sql('bin')}
 FROM a GROUP BY 1""", [DOW_DAILY, "a AS (SELECT haftanin_gunu, saat, AVG(yolcu) / 1000.0 AS bin FROM d GROUP BY 1, 2)"]))
 def q_dow_hour_pivot(spark, sf_dir):
@@ -228,7 +228,7 @@ def _facade_special(spark):
     return {d: lbl for days in FACADE_SPECIAL_DAYS.values() for d, lbl in days.items()}
 
 
-@register("anomaly_labels", "C11", facade_sql("O", f"""
+@register("anomaly_labels", "C11,B6", facade_sql("O", f"""
 SELECT an.transition_date, an.haftanin_gunu, an.yolcu, an.z,
        COALESCE(sd.etiket, CASE WHEN x.transition_date IS NOT NULL
          THEN CAST(day(an.transition_date) AS VARCHAR) || ' ' || {MONTHS_SQL}[month(an.transition_date)] END) AS etiket
