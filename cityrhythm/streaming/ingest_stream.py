@@ -29,15 +29,20 @@ from cityrhythm.sources import raw_csv
 
 
 def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
-          min_rows: int = dims.MIN_ROWS_PER_DAY, checkpoint: str | None = None):
+          min_rows: int = dims.MIN_ROWS_PER_DAY, checkpoint: str | None = None,
+          files_per_batch: int | None = None):
     """Start the availableNow stream; returns the StreamingQuery (call
     ``awaitTermination()``). Header conformance is enforced by Spark
-    (``enforceSchema=false``): a file whose header differs fails the batch."""
+    (``enforceSchema=false``): a file whose header differs fails the batch.
+    ``files_per_batch`` bounds a micro-batch (a backlog of months is then
+    processed in several batches; availableNow still stops when done)."""
     checkpoint = checkpoint or work_path(spark, "streams/ingest")
-    src = (spark.readStream.schema(schema.RAW_SCHEMA)
-           .option("header", True).option("enforceSchema", False)
-           .option("pathGlobFilter", raw_csv.PATTERN)
-           .csv(raw_dir))
+    reader = (spark.readStream.schema(schema.RAW_SCHEMA)
+              .option("header", True).option("enforceSchema", False)
+              .option("pathGlobFilter", raw_csv.PATTERN))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", int(files_per_batch))
+    src = reader.csv(raw_dir)
     path = F.col("_metadata.file_path")
     src = src.select("*", path.alias(schema.SOURCE_COL), F.col("_metadata.file_size").alias("dosya_bayt"),
                      F.regexp_extract(path, r"_(\d{6})\.csv$", 1).cast("int").alias(schema.PERIOD_COL))

@@ -198,3 +198,17 @@ def test_modes_and_m7_lookup_end_to_end(spark, tmpdir_path):
     night = {r["ilce"]: (r["toplam_yolcu"], r["gece_yolcu"])
              for r in districts.night_index(t, builtin_lookup(), min_total=0).collect()}
     assert night == {"BESIKTAS": (100, 100), "SISLI": (30, 30)}       # unknown M7 stop has no district
+
+
+def test_stream_backlog_in_bounded_batches(spark, tmpdir_path):
+    from cityrhythm.streaming import ingest_stream
+    raw_dir = os.path.join(tmpdir_path, "raw_backlog")
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    write_csv(raw_dir, "202304", month_rows(2023, 4))
+    q = ingest_stream.start(spark, raw_dir, os.path.join(tmpdir_path, "clean_b"), os.path.join(tmpdir_path, "log_b"),
+                            min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "ck_b"), files_per_batch=1)
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2        # one file per batch
+    months = sorted(r[0] for r in spark.read.parquet(os.path.join(tmpdir_path, "clean_b"))
+                    .select(schema.PERIOD_COL).distinct().collect())
+    assert months == [202302, 202304]
