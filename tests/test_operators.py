@@ -490,3 +490,33 @@ def test_special_days_as_mapping_equal_dataframe_form(spark):
     assert sorted(map(tuple, daily.series_annotations(t, df_form).collect())) == \
         sorted(map(tuple, daily.series_annotations(t, m_marked).collect()))
     assert daily.series_annotations(t, {}).count() == 0
+
+
+trip_rows = st.lists(st.fixed_dictionaries({
+    "transition_date": st.dates(dt.date(2023, 3, 1), dt.date(2023, 4, 30)),
+    "transition_hour": st.integers(0, 23),
+    "road_type": st.sampled_from(["RAYLI", "OTOYOL", "DENİZ"]),
+    "product_kind": st.sampled_from(["TAM", "INDIRIMLI1", "UCRETSIZ"]),
+    "line_name": st.sampled_from(["M7", "M2", None]),
+    "station_poi_desc_cd": st.sampled_from(["M7 FULYA", "S1", "YENI", None]),
+    "town": st.sampled_from(["FATIH", "SISLI", None]),
+    "number_of_passenger": st.integers(0, 50),
+}), min_size=1, max_size=60)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(trip_rows)
+def test_rollup_equivalence_on_random_trips(spark, rows):
+    """Every sum-based operator gives the same rows on the hourly roll-up as on
+    the trips themselves (SURVEY §4)."""
+    t = make_trips(spark, rows)
+    r = rollup.hourly_rollup(t)
+    lk = {"M7 FULYA": "BESIKTAS"}
+    for f in (profiles.hourly_profile, profiles.dow_hour, profiles.hour_delta, profiles.seasonal,
+              lambda x: stations.station_peak(x), lambda x: stations.station_share(x, min_total=0),
+              lambda x: districts.night_index(x, lk, min_total=0), lambda x: districts.pulse(x, lk, min_total=-1),
+              lambda x: districts.top_towns_pulse(x, lk, n=2), lambda x: cards.card_share(x),
+              lambda x: daily.anomaly(x), lambda x: daily.moving_avg(x)):
+        a = sorted(map(tuple, f(t).collect()), key=repr)
+        b = sorted(map(tuple, f(r).collect()), key=repr)
+        assert a == b
