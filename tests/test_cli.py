@@ -11,6 +11,7 @@ from tests.csv_fixtures import MIN_ROWS, month_rows, write_csv
 
 def test_cli_commands(spark, tmpdir_path, capsys):
     raw = os.path.join(tmpdir_path, "raw")
+    write_csv(raw, "202212", month_rows(2022, 12))
     good = write_csv(raw, "202302", month_rows(2023, 2))
     bad = write_csv(raw, "202303", month_rows(2023, 3, skip_days=(9,)))
     assert main(["validate", good, "--esik", str(MIN_ROWS)]) == 0
@@ -20,13 +21,19 @@ def test_cli_commands(spark, tmpdir_path, capsys):
     assert "== blank map by mode" in shown and "RAYLI" in shown
     store = os.path.join(tmpdir_path, "store")
     assert main(["ingest", "--raw", raw, "--store", store, "--esik", str(MIN_ROWS)]) == 0
-    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == [202302]
+    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == [202212, 202302]
     assert main(["ingest", "202303", "--raw", raw, "--store", store, "--force"]) == 0
-    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == [202302, 202303]
+    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == \
+        [202212, 202302, 202303]
     out = os.path.join(tmpdir_path, "out")
     assert main(["year", "2023", "--store", store, "--out", out]) == 0
     assert main(["night-map", "2023", "--store", store, "--out", out + "_map",
                  "--boundaries", registry.BOUNDARIES]) == 0
+    assert main(["compare", "--store", store, "--out", out + "_cmp"]) == 0
+    assert main(["special", "--store", store, "--out", out + "_special", "--year", "2023", "--no-rollup"]) == 0
+    assert main(["pulse-map", "2023", "--store", store, "--out", out + "_pulse",
+                 "--boundaries", registry.BOUNDARIES]) == 0
     printed = capsys.readouterr().out
-    assert "saatlik_profil:" in printed and "harita:" in printed
+    for table in ("saatlik_profil:", "harita:", "aylik_hacim:", "kart_tipi:", "kareler:"):
+        assert table in printed
     assert spark.read.parquet(os.path.join(out, "saatlik_profil")).count() == 48
