@@ -642,6 +642,41 @@ def q_hourly_profile_rollup(spark, sf_dir):
     return profiles.hourly_profile(rollup.hourly_rollup(E(spark, sf_dir)))
 
 
+# Facade and parameters per query (FIXTURES.md §4), shown in QUERIES.md.
+_NOTES = {
+    "rows_E": "E; year 2024 (timestamp range pushed to the scan)",
+    "hourly_profile": "E", "hour_delta": "E", "seasonal": "O", "dow_hour": "E",
+    "dow_hour_pivot": "E; h0..h23 in thousands, weekday names",
+    "calendar_O": "O; distinct calendar rows", "years_O": "O", "year_coverage_O": "O; partial years flagged",
+    "monthly_volume": "O", "hour_by_year": "O", "moving_avg": "O; 7-row frame",
+    "anomaly": "O; NULL z when stddev is 0 or undefined",
+    "anomaly_labels": "O; special days 1995-02-06, 1996-07-04, 1997-10-29, 2050-01-01; top 6 by |z|, ties by date",
+    "series_annotations": "O; same special days, absent ones drop out",
+    "station_peak": "E; ties to the earlier hour", "station_share": "E; station total > 10 000",
+    "station_matrix": "E; missing hour 0", "station_clusters": "E; k-means k=4, best of 10 seeds",
+    "night_index": "E; total > 1 000 000", "night_map_index": "E; total > 500 000",
+    "night_top": "E; first 3, ties by district", "index_scale": "E; NULL when min = max",
+    "map_enrich": "E; 4 boundary features from the shipped GeoJSON fixture",
+    "night_by_year": "O; total > 500 000", "night_by_year_top": "O; first 3 of the latest year, rank carried",
+    "top_towns": "E; top 4 by raw town ('X' for NULL), one scan", "pulse": "E; weekday total > 100 000",
+    "pulse_filled": "E; 24 hours per district, missing 0", "map_rings": "E; outer rings, alive = in pulse",
+    "map_ring_points": "E; ring vertices; oracle parses the GeoJSON independently",
+    "card_share": "E; kinds view, click, signup, purchase", "period_share": "O; kind 1-URGENT, months 3 vs 7",
+    "period_profile": "O; 1997 period", "period_lift": "O; 1996 and 1997 periods, hours >= 20 or <= 5",
+    "evening_spine": "O; 10 hours x 2 years",
+    "day_completeness": "E; full = 24 hours and >= 300 rows", "month_coverage": "E",
+    "month_gate": "E; threshold 300", "null_rates": "E", "null_map": "E",
+    "coverage_pairs": "E", "day_profile": "E", "mode_map": "E", "town_count": "E",
+    "town_top": "E; first 3, ties by town", "line_stations": "E; line BUILDING, first 8",
+    "blank_town_lines": "E; first 5", "passage_vs_passenger": "E",
+    "rollup_E": "E; the hourly roll-up itself", "hourly_profile_rollup": "E; C1 computed on the roll-up",
+}
+for _name, _note in _NOTES.items():
+    if _name in REGISTRY:
+        _spec = REGISTRY[_name]
+        REGISTRY[_name] = QuerySpec(_spec.name, _spec.survey_id, _spec.build, _spec.sql, _note)
+
+
 def queries() -> dict[str, Builder]:
     return {k: v.build for k, v in REGISTRY.items()}
 
