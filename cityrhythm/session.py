@@ -59,7 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local mode, when it is unset (tests), a fresh folder is created and
     registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:       # a remote (Spark Connect) session: the server's setting applies
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
