@@ -41,6 +41,21 @@ LOG_SCHEMA = T.StructType([
 CONVERTED, REJECTED, SKIPPED = "donusturuldu", "reddedildi", "atlandi"
 
 
+RAW_HOUR = "transition_hour_ham"     # the hour as written in the file (staging only)
+
+
+def with_raw_hour(raw: DataFrame) -> DataFrame:
+    """Keep the hour text next to the row so the gate can count it as written."""
+    return raw.select("*", F.col("transition_hour").alias(RAW_HOUR))
+
+
+def gate_input(staged: DataFrame) -> DataFrame:
+    """The staged rows as the gate sees them: the hour as the file's text, so
+    "0" and "00" on one day count as two hours, like the definition."""
+    return staged.select(schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt", "transition_date",
+                         F.col(RAW_HOUR).alias("transition_hour"))
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """A2: cast hour and mode id to tinyint and the counts to int; trim-blank
     -> NULL on line, town, line_name, station; other text kept verbatim.
@@ -56,7 +71,8 @@ def clean(raw: DataFrame) -> DataFrame:
             cols.append(c(f.name))
         else:
             cols.append(c(f.name).cast(f.dataType).alias(f.name))
-    extra = [x for x in (schema.SOURCE_COL, raw_csv.FILE_NAME, schema.PERIOD_COL, "dosya_bayt") if x in raw.columns]
+    extra = [x for x in (schema.SOURCE_COL, raw_csv.FILE_NAME, schema.PERIOD_COL, "dosya_bayt", RAW_HOUR)
+             if x in raw.columns]
     return raw.select(*cols, *extra)
 
 
@@ -128,12 +144,13 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             parts = ([raw_csv.read_raw(spark, exact)] if exact else []) + \
                     ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
             raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            (clean(raw)
+            (clean(with_raw_hour(raw))
              .write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage))
             staged = spark.read.parquet(stage)
             # the gate reads two columns of the staged table; one result row per
             # file (the file size is constant per file, so it rides along as a key)
-            gate = month_gate(staged, min_rows, by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
+            gate = month_gate(gate_input(staged), min_rows,
+                              by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
             decision = {}
             for g in gate:
                 ok = bool(force or g["kabul"])
@@ -145,7 +162,7 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                 # accepted months only (partition pruning on the staging table);
                 # dynamic overwrite replaces just those months in the store
                 (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
+                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR)
                  .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
                  .option("compression", "zstd").parquet(clean_path))
             sizes = parquet_sizes(spark, clean_path, ok_months) if ok_files else {}

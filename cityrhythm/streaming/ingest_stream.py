@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cityrhythm import dims, schema
 from cityrhythm.operators.autopsy import month_gate
-from cityrhythm.operators.ingest import CONVERTED, LOG_SCHEMA, REJECTED, clean
+from cityrhythm.operators.ingest import CONVERTED, LOG_SCHEMA, RAW_HOUR, REJECTED, clean, gate_input, with_raw_hour
 from cityrhythm.session import work_path
 from cityrhythm.sources import raw_csv
 
@@ -53,15 +53,16 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
         # overwritten, so a retried batch is idempotent.
         session = batch.sparkSession
         stage = f"{checkpoint.rstrip('/')}/stage/{epoch}"
-        (clean(batch).write.mode("overwrite").partitionBy(schema.PERIOD_COL)
+        (clean(with_raw_hour(batch)).write.mode("overwrite").partitionBy(schema.PERIOD_COL)
          .option("compression", "zstd").parquet(stage))
         staged = session.read.parquet(stage)
-        gate = month_gate(staged, min_rows, by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
+        gate = month_gate(gate_input(staged), min_rows,
+                          by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
         ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g["kabul"]})
         if ok_months:
             session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
             (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt")
+             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR)
              .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
              .option("compression", "zstd").parquet(clean_path))
         now = dt.datetime.now()

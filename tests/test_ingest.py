@@ -86,7 +86,7 @@ def test_ingest_gate_convert_and_rerun(spark, raw, tmpdir_path):
     assert types["number_of_passenger"] == "int" and types["transition_date"] == "date"
     months = sorted(r[0] for r in clean.select(schema.PERIOD_COL).distinct().collect())
     assert months == [202302, 202306, 202307, 202308, 202310]
-    assert "ekstra" not in clean.columns
+    assert "ekstra" not in clean.columns and ingest.RAW_HOUR not in clean.columns
     jul = clean.where(F.col(schema.PERIOD_COL) == 202307)
     assert jul.count() == 31 * 48 and jul.agg(F.min("transition_date")).first()[0].isoformat() == "2023-07-01"
     assert jul.select("transition_hour").distinct().count() == 24
@@ -212,3 +212,18 @@ def test_stream_backlog_in_bounded_batches(spark, tmpdir_path):
     months = sorted(r[0] for r in spark.read.parquet(os.path.join(tmpdir_path, "clean_b"))
                     .select(schema.PERIOD_COL).distinct().collect())
     assert months == [202302, 202304]
+
+
+def test_gate_counts_hours_as_written(spark, tmpdir_path):
+    """A complete month where one day also has an hour written "0" next to "00":
+    that day has 25 distinct hour texts, so it is not full and the gate rejects
+    the month; the stored hour would have been the same tinyint."""
+    raw_dir = os.path.join(tmpdir_path, "raw_hours")
+    rows = month_rows(2023, 2)
+    extra = list(rows[0])
+    extra[1] = "0"                                   # 2023-02-01, hour written without padding
+    write_csv(raw_dir, "202302", rows + [extra])
+    res = ingest.ingest(spark, raw_dir, os.path.join(tmpdir_path, "clean_h"), os.path.join(tmpdir_path, "log_h"),
+                        min_rows=MIN_ROWS)
+    r = res.report.first()
+    assert res.accepted == [] and r["durum"] == "reddedildi" and r["tam_gun"] == 27
