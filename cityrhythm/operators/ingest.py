@@ -144,9 +144,9 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             parts = ([raw_csv.read_raw(spark, exact)] if exact else []) + \
                     ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
             raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            (clean(with_raw_hour(raw))
-             .write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage))
-            staged = spark.read.parquet(stage)
+            staging = clean(with_raw_hour(raw))
+            staging.write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage)
+            staged = spark.read.schema(staging.schema).parquet(stage)     # also when no row was staged
             # the gate reads two columns of the staged table; one result row per
             # file (the file size is constant per file, so it rides along as a key)
             gate = month_gate(gate_input(staged), min_rows,
@@ -155,6 +155,10 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             for g in gate:
                 ok = bool(force or g["kabul"])
                 decision[g[schema.SOURCE_COL]] = (ok, g)
+            seen = {raw_csv.file_name(f) for f in decision}
+            for f in good:
+                if raw_csv.file_name(f) not in seen:                   # a header without rows
+                    report.append((int(raw_csv.month_of(f)), f, REJECTED, "bos dosya", None, None, None, None, now))
             ok_files = [f for f, (ok, _) in decision.items() if ok]
             ok_months = sorted({g[schema.PERIOD_COL] for ok, g in decision.values() if ok})
             if ok_months:

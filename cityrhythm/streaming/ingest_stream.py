@@ -52,10 +52,13 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
         # the stream's checkpoint folder; the path is fixed per epoch and
         # overwritten, so a retried batch is idempotent.
         session = batch.sparkSession
+        if batch.isEmpty():
+            return
         stage = f"{checkpoint.rstrip('/')}/stage/{epoch}"
-        (clean(with_raw_hour(batch)).write.mode("overwrite").partitionBy(schema.PERIOD_COL)
+        staging = clean(with_raw_hour(batch))
+        (staging.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
          .option("compression", "zstd").parquet(stage))
-        staged = session.read.parquet(stage)
+        staged = session.read.schema(staging.schema).parquet(stage)
         gate = month_gate(gate_input(staged), min_rows,
                           by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
         ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g["kabul"]})

@@ -227,3 +227,18 @@ def test_gate_counts_hours_as_written(spark, tmpdir_path):
                         min_rows=MIN_ROWS)
     r = res.report.first()
     assert res.accepted == [] and r["durum"] == "reddedildi" and r["tam_gun"] == 27
+
+
+def test_header_only_file_is_reported(spark, tmpdir_path):
+    raw_dir = os.path.join(tmpdir_path, "raw_empty")
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    write_csv(raw_dir, "202303", [])                                  # header only
+    res = ingest.ingest(spark, raw_dir, os.path.join(tmpdir_path, "clean_e"), os.path.join(tmpdir_path, "log_e"),
+                        min_rows=MIN_ROWS)
+    rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
+    assert res.accepted == [202302] and rep[202303] == ("reddedildi", "bos dosya")
+    only_empty = os.path.join(tmpdir_path, "raw_only_empty")
+    write_csv(only_empty, "202304", [])
+    res2 = ingest.ingest(spark, only_empty, os.path.join(tmpdir_path, "clean_e2"), os.path.join(tmpdir_path, "log_e2"),
+                         min_rows=MIN_ROWS)
+    assert res2.accepted == [] and res2.report.first()["neden"] == "bos dosya"
