@@ -71,7 +71,8 @@ def broken_days(rows: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataF
 def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataFrame:
     """One verdict row per file.
 
-    Reasons: ``sema`` (header differs from the contract), ``eksik_gun`` (days
+    Reasons: ``sema`` (header differs from the contract), ``bos_dosya`` (no
+    rows), ``eksik_gun`` (days
     of the month absent), ``kirik_gun`` (a day with < 24 hours or < ``min_rows``
     rows), ``null_yolcu`` (NULL passenger count), ``null_tarih`` (NULL date).
     Files with a different header are still profiled by column name when they
@@ -98,6 +99,7 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
             out = out.withColumn(c, F.lit(None).cast("long"))
     reasons = F.array_compact(F.array(
         F.when(~F.col("sema_ok"), F.lit("sema")),
+        F.when(F.col("adla_okunur") & (F.coalesce(F.col("satir"), F.lit(0)) == 0), F.lit("bos_dosya")),
         F.when(F.col("gun_sayisi") < F.col("ay_gun"), F.lit("eksik_gun")),
         F.when(F.col("kirik_gun") > 0, F.lit("kirik_gun")),
         F.when(F.col("yolcu_bos") > 0, F.lit("null_yolcu")),

@@ -242,3 +242,10 @@ def test_header_only_file_is_reported(spark, tmpdir_path):
     res2 = ingest.ingest(spark, only_empty, os.path.join(tmpdir_path, "clean_e2"), os.path.join(tmpdir_path, "log_e2"),
                          min_rows=MIN_ROWS)
     assert res2.accepted == [] and res2.report.first()["neden"] == "bos dosya"
+
+
+def test_validator_flags_header_only_file(spark, tmpdir_path):
+    raw_dir = os.path.join(tmpdir_path, "raw_empty_v")
+    f = write_csv(raw_dir, "202303", [])
+    r = quality.validate(spark, [f], min_rows=MIN_ROWS).first()
+    assert r["durum"] == "EKSIK/SORUNLU" and list(r["nedenler"]) == ["bos_dosya"]
