@@ -56,23 +56,37 @@ def gate_input(staged: DataFrame) -> DataFrame:
                          F.col(RAW_HOUR).alias("transition_hour"))
 
 
-def clean(raw: DataFrame) -> DataFrame:
+INVALID = "gecersiz"      # staging only: a non-blank value that does not parse
+
+
+def clean(raw: DataFrame, strict: bool = True) -> DataFrame:
     """A2: cast hour and mode id to tinyint and the counts to int; trim-blank
     -> NULL on line, town, line_name, station; other text kept verbatim.
     Column names and order follow the contract; source columns are carried.
-    A value that does not cast (e.g. a non-numeric hour) fails the job, as a
-    bad file must not be half-converted."""
+
+    ``strict``: a value that does not cast (e.g. a non-numeric hour) fails
+    the job. With ``strict=False`` it becomes NULL and the row gets an
+    ``INVALID`` flag, so ingest can reject just that file."""
     c = F.col
-    cols = []
+    cols, bad = [], []
     for f in schema.CLEAN_SCHEMA.fields:
         if f.name in schema.BLANK_TO_NULL:
             cols.append(blank_to_null(f.name).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
             cols.append(c(f.name))
-        else:
+        elif strict:
             cols.append(c(f.name).cast(f.dataType).alias(f.name))
+        else:
+            v = c(f.name).try_cast(f.dataType)
+            cols.append(v.alias(f.name))
+            bad.append(c(f.name).isNotNull() & (F.trim(c(f.name)) != F.lit("")) & v.isNull())
     extra = [x for x in (schema.SOURCE_COL, raw_csv.FILE_NAME, schema.PERIOD_COL, "dosya_bayt", RAW_HOUR)
              if x in raw.columns]
+    if not strict:
+        flag = bad[0]
+        for b in bad[1:]:
+            flag = flag | b
+        extra.append(flag.alias(INVALID))
     return raw.select(*cols, *extra)
 
 
@@ -144,16 +158,20 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             parts = ([raw_csv.read_raw(spark, exact)] if exact else []) + \
                     ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
             raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            staging = clean(with_raw_hour(raw))
+            staging = clean(with_raw_hour(raw), strict=False)
             staging.write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage)
             staged = spark.read.schema(staging.schema).parquet(stage)     # also when no row was staged
             # the gate reads two columns of the staged table; one result row per
             # file (the file size is constant per file, so it rides along as a key)
             gate = month_gate(gate_input(staged), min_rows,
                               by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
+            # files with a value that does not parse are rejected as a whole
+            # (one row per such file comes back)
+            invalid = {r[schema.SOURCE_COL] for r in
+                       staged.where(F.col(INVALID)).select(schema.SOURCE_COL).distinct().collect()}
             decision = {}
             for g in gate:
-                ok = bool(force or g["kabul"])
+                ok = bool((force or g["kabul"]) and g[schema.SOURCE_COL] not in invalid)
                 decision[g[schema.SOURCE_COL]] = (ok, g)
             seen = {raw_csv.file_name(f) for f in decision}
             for f in good:
@@ -166,7 +184,7 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                 # accepted months only (partition pruning on the staging table);
                 # dynamic overwrite replaces just those months in the store
                 (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR)
+                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
                  .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
                  .option("compression", "zstd").parquet(clean_path))
             sizes = parquet_sizes(spark, clean_path, ok_months) if ok_files else {}
@@ -178,7 +196,8 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                     report.append((m, f, CONVERTED, "force" if (force and not g["kabul"]) else None,
                                    g["tam_gun"], g["ay_gun"], csv_mb, sizes.get(m), now))
                 else:
-                    report.append((m, f, REJECTED, "eksik/bozuk", g["tam_gun"], g["ay_gun"], csv_mb, None, now))
+                    reason = "gecersiz deger" if f in invalid else "eksik/bozuk"
+                    report.append((m, f, REJECTED, reason, g["tam_gun"], g["ay_gun"], csv_mb, None, now))
 
     rep = spark.createDataFrame(report, LOG_SCHEMA)
     if report:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from cityrhythm import dims, schema
 from cityrhythm.operators.autopsy import month_gate
-from cityrhythm.operators.ingest import CONVERTED, LOG_SCHEMA, RAW_HOUR, REJECTED, clean, gate_input, with_raw_hour
+from cityrhythm.operators.ingest import (CONVERTED, INVALID, LOG_SCHEMA, RAW_HOUR, REJECTED, clean, gate_input,
+                                         with_raw_hour)
 from cityrhythm.session import work_path
 from cityrhythm.sources import raw_csv
 
@@ -55,23 +56,30 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
         if batch.isEmpty():
             return
         stage = f"{checkpoint.rstrip('/')}/stage/{epoch}"
-        staging = clean(with_raw_hour(batch))
+        staging = clean(with_raw_hour(batch), strict=False)
         (staging.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
          .option("compression", "zstd").parquet(stage))
         staged = session.read.schema(staging.schema).parquet(stage)
         gate = month_gate(gate_input(staged), min_rows,
                           by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
-        ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g["kabul"]})
+        invalid = {r[schema.SOURCE_COL] for r in
+                   staged.where(F.col(INVALID)).select(schema.SOURCE_COL).distinct().collect()}
+        accepted = {g[schema.SOURCE_COL] for g in gate if g["kabul"] and g[schema.SOURCE_COL] not in invalid}
+        ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g[schema.SOURCE_COL] in accepted})
         if ok_months:
             session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
             (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR)
+             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
              .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
              .option("compression", "zstd").parquet(clean_path))
         now = dt.datetime.now()
-        log = [(g[schema.PERIOD_COL], g[schema.SOURCE_COL], CONVERTED if g["kabul"] else REJECTED,
-                None if g["kabul"] else "eksik/bozuk", g["tam_gun"], g["ay_gun"],
-                (g["dosya_bayt"] or 0) / 1e6, None, now) for g in gate]
+        def reason(g):
+            if g[schema.SOURCE_COL] in accepted:
+                return None
+            return "gecersiz deger" if g[schema.SOURCE_COL] in invalid else "eksik/bozuk"
+        log = [(g[schema.PERIOD_COL], g[schema.SOURCE_COL],
+                CONVERTED if g[schema.SOURCE_COL] in accepted else REJECTED, reason(g),
+                g["tam_gun"], g["ay_gun"], (g["dosya_bayt"] or 0) / 1e6, None, now) for g in gate]
         if log:
             session.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
 

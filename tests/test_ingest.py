@@ -249,3 +249,23 @@ def test_validator_flags_header_only_file(spark, tmpdir_path):
     f = write_csv(raw_dir, "202303", [])
     r = quality.validate(spark, [f], min_rows=MIN_ROWS).first()
     assert r["durum"] == "EKSIK/SORUNLU" and list(r["nedenler"]) == ["bos_dosya"]
+
+
+def test_unparseable_value_rejects_only_its_file(spark, tmpdir_path):
+    """One file has a non-numeric hour; it is rejected with a reason, the other
+    month converts, and nothing of the bad file reaches the store."""
+    raw_dir = os.path.join(tmpdir_path, "raw_bad")
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    rows = month_rows(2023, 4)
+    rows[5][1] = "1x"                                  # not an hour
+    write_csv(raw_dir, "202304", rows)
+    clean_path = os.path.join(tmpdir_path, "clean_bad")
+    res = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_bad"), min_rows=MIN_ROWS)
+    rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
+    assert res.accepted == [202302] and rep[202304] == ("reddedildi", "gecersiz deger")
+    store = spark.read.parquet(clean_path)
+    assert ingest.INVALID not in store.columns
+    assert sorted(r[0] for r in store.select(schema.PERIOD_COL).distinct().collect()) == [202302]
+    forced = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_bad"), months=["202304"],
+                           min_rows=MIN_ROWS, force=True)
+    assert forced.accepted == []                       # force skips the completeness gate, not parsing
