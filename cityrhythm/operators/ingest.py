@@ -83,6 +83,8 @@ def clean(raw: DataFrame, strict: bool = True) -> DataFrame:
     extra = [x for x in (schema.SOURCE_COL, raw_csv.FILE_NAME, schema.PERIOD_COL, "dosya_bayt", RAW_HOUR)
              if x in raw.columns]
     if not strict:
+        if raw_csv.CORRUPT in raw.columns:                 # a malformed line (permissive read)
+            bad.append(c(raw_csv.CORRUPT).isNotNull())
         flag = bad[0]
         for b in bad[1:]:
             flag = flag | b
@@ -155,9 +157,9 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             stage = work_path(spark, f"ingest/stage-{uuid.uuid4().hex}")
             # contract-ordered files are read positionally; files whose columns
             # are reordered or extended are read by column name
-            parts = ([raw_csv.read_raw(spark, exact)] if exact else []) + \
+            parts = ([raw_csv.read_raw(spark, exact, permissive=True)] if exact else []) + \
                     ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
-            raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
             staging = clean(with_raw_hour(raw), strict=False)
             staging.write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage)
             staged = spark.read.schema(staging.schema).parquet(stage)     # also when no row was staged

@@ -92,15 +92,25 @@ def _with_source(df: DataFrame) -> DataFrame:
                      F.regexp_extract(path, r"_(\d{6})\.csv$", 1).cast("int").alias(schema.PERIOD_COL))
 
 
-def read_raw(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+CORRUPT = "bozuk_satir"     # the text of a line that does not split into the contract's fields
+
+
+def read_raw(spark: SparkSession, files: Sequence[str], permissive: bool = False) -> DataFrame:
     """A1: the 13 contract columns as text, plus source file, its size and the
     YYYYMM month taken from the file name. Use only on files whose header
-    passed :func:`check_headers` (columns are taken by position)."""
+    passed :func:`check_headers` (columns are taken by position).
+
+    A malformed line fails the read; with ``permissive=True`` it is kept with
+    its text in ``CORRUPT`` instead, so ingest can reject just that file."""
     # enforceSchema=false is a second net: Spark checks every file's header
     # against the contract while reading (e.g. a file replaced after the check)
-    df = (spark.read.schema(schema.RAW_SCHEMA).option("header", True)
-          .option("enforceSchema", False).option("mode", "FAILFAST").csv(list(files)))
-    return _with_source(df)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if permissive:
+        sch = T.StructType(list(schema.RAW_SCHEMA.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+        reader = reader.schema(sch).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    else:
+        reader = reader.schema(schema.RAW_SCHEMA).option("mode", "FAILFAST")
+    return _with_source(reader.csv(list(files)))
 
 
 def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame | None:

@@ -269,3 +269,14 @@ def test_unparseable_value_rejects_only_its_file(spark, tmpdir_path):
     forced = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_bad"), months=["202304"],
                            min_rows=MIN_ROWS, force=True)
     assert forced.accepted == []                       # force skips the completeness gate, not parsing
+
+
+def test_malformed_line_rejects_only_its_file(spark, tmpdir_path):
+    raw_dir = os.path.join(tmpdir_path, "raw_malformed")
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    write_csv(raw_dir, "202304", month_rows(2023, 4), raw_lines=["2023-04-03,08,2,RAYLI"])   # too few fields
+    clean_path = os.path.join(tmpdir_path, "clean_m")
+    res = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_m"), min_rows=MIN_ROWS)
+    rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
+    assert res.accepted == [202302] and rep[202304] == ("reddedildi", "gecersiz deger")
+    assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
