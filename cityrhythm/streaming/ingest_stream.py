@@ -20,6 +20,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityrhythm import dims, schema
 from cityrhythm.operators.autopsy import month_gate
@@ -38,8 +39,12 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
     ``files_per_batch`` bounds a micro-batch (a backlog of months is then
     processed in several batches; availableNow still stops when done)."""
     checkpoint = checkpoint or work_path(spark, "streams/ingest")
-    reader = (spark.readStream.schema(schema.RAW_SCHEMA)
+    # a malformed line keeps its text in the corrupt-record column and flags its
+    # file as invalid (see ingest.clean(strict=False))
+    sch = T.StructType(list(schema.RAW_SCHEMA.fields) + [T.StructField(raw_csv.CORRUPT, T.StringType(), True)])
+    reader = (spark.readStream.schema(sch)
               .option("header", True).option("enforceSchema", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw_csv.CORRUPT)
               .option("pathGlobFilter", raw_csv.PATTERN))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", int(files_per_batch))

@@ -280,3 +280,16 @@ def test_malformed_line_rejects_only_its_file(spark, tmpdir_path):
     rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
     assert res.accepted == [202302] and rep[202304] == ("reddedildi", "gecersiz deger")
     assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
+
+
+def test_stream_rejects_file_with_malformed_line(spark, tmpdir_path):
+    from cityrhythm.streaming import ingest_stream
+    raw_dir = os.path.join(tmpdir_path, "raw_sm")
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    write_csv(raw_dir, "202304", month_rows(2023, 4), raw_lines=["2023-04-03,08,2,RAYLI"])
+    clean_path, log_path = os.path.join(tmpdir_path, "clean_sm"), os.path.join(tmpdir_path, "log_sm")
+    ingest_stream.start(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS,
+                        checkpoint=os.path.join(tmpdir_path, "ck_sm")).awaitTermination()
+    log = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in spark.read.parquet(log_path).collect()}
+    assert log == {202302: ("donusturuldu", None), 202304: ("reddedildi", "gecersiz deger")}
+    assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
