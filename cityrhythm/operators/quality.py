@@ -23,24 +23,33 @@ def _typed(raw: DataFrame) -> DataFrame:
     # Dates and counts are typed for the checks; the hour stays text like the
     # raw file (distinct hour texts are counted). A date or count that does not
     # parse is reported (as a NULL date / NULL passenger) instead of failing.
+    corrupt = F.col(raw_csv.CORRUPT) if raw_csv.CORRUPT in raw.columns else F.lit(None).cast("string")
     return raw.select(
         raw_csv.FILE_NAME,
         F.col("transition_date").try_cast("date").alias("transition_date"),
         "transition_hour", "town", "line_name",
-        F.col("number_of_passenger").try_cast("int").alias("number_of_passenger"))
+        F.col("number_of_passenger").try_cast("int").alias("number_of_passenger"),
+        corrupt.isNotNull().alias("_bozuk"),
+        # a hash of the whole line: the file checksum below needs every field,
+        # so the reader parses full lines (only then are malformed lines seen)
+        F.xxhash64(*[F.col(c) for c in schema.RAW_COLUMNS]).alias("_ozet"))
 
 
 def file_stats(rows: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataFrame:
     """Per file: rows, first/last day, distinct days, days of the month of the
     first day, full / broken day counts and lists (broken: date, hours, rows),
-    blank town / line, NULL passenger and NULL date rows."""
+    blank town / line, NULL passenger, NULL date and malformed rows, and an
+    order-independent content checksum (XOR of row hashes) to spot a changed
+    or re-downloaded file."""
     t = _typed(rows)
     day = t.groupBy(raw_csv.FILE_NAME, "transition_date").agg(
         F.count_distinct("transition_hour").alias("saat"),
         F.count(F.lit(1)).alias("satir"),
         F.count_if(is_blank("town")).alias("town_bos"),
         F.count_if(is_blank("line_name")).alias("hat_bos"),
-        F.count_if(F.col("number_of_passenger").isNull()).alias("yolcu_bos"))
+        F.count_if(F.col("number_of_passenger").isNull()).alias("yolcu_bos"),
+        F.count_if(F.col("_bozuk")).alias("bozuk"),
+        F.bit_xor("_ozet").alias("ozet"))
     d = F.col("transition_date")
     full = (F.col("saat") == 24) & (F.col("satir") >= min_rows)
     broken = d.isNotNull() & ((F.col("saat") < 24) | (F.col("satir") < min_rows))
@@ -57,6 +66,8 @@ def file_stats(rows: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY) -> DataFr
         .alias("kirik_gunler"),
         F.sum("town_bos").alias("town_bos"), F.sum("hat_bos").alias("hat_bos"),
         F.sum("yolcu_bos").alias("yolcu_bos"),
+        F.sum("bozuk").alias("bozuk_satir"),
+        F.bit_xor("ozet").alias("icerik_ozeti"),       # order-independent content checksum
         F.sum(F.when(d.isNull(), F.col("satir")).otherwise(F.lit(0))).alias("tarihsiz_satir"))
 
 
@@ -72,7 +83,8 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
     """One verdict row per file.
 
     Reasons: ``sema`` (header differs from the contract), ``bos_dosya`` (no
-    rows), ``eksik_gun`` (days
+    rows), ``bozuk_satir`` (a line that does not split into the 13 fields),
+    ``eksik_gun`` (days
     of the month absent), ``kirik_gun`` (a day with < 24 hours or < ``min_rows``
     rows), ``null_yolcu`` (NULL passenger count), ``null_tarih`` (NULL date).
     Files with a different header are still profiled by column name when they
@@ -83,7 +95,7 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
     bad = [f for f in files if f not in set(ok)]
     parts = []
     if ok:
-        parts.append(raw_csv.read_raw(spark, ok))
+        parts.append(raw_csv.read_raw(spark, ok, permissive=True))
     if bad:
         by_name = raw_csv.read_by_header(spark, bad)
         if by_name is not None:
@@ -95,7 +107,8 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
     if stats is not None:
         out = heads.join(stats, raw_csv.FILE_NAME, "left")
     else:
-        for c in ("satir", "gun_sayisi", "ay_gun", "kirik_gun", "yolcu_bos", "tarihsiz_satir", "town_bos", "hat_bos"):
+        for c in ("satir", "gun_sayisi", "ay_gun", "kirik_gun", "yolcu_bos", "tarihsiz_satir", "town_bos", "hat_bos",
+                  "bozuk_satir"):
             out = out.withColumn(c, F.lit(None).cast("long"))
     reasons = F.array_compact(F.array(
         F.when(~F.col("sema_ok"), F.lit("sema")),
@@ -104,6 +117,7 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
         F.when(F.col("kirik_gun") > 0, F.lit("kirik_gun")),
         F.when(F.col("yolcu_bos") > 0, F.lit("null_yolcu")),
         F.when(F.col("tarihsiz_satir") > 0, F.lit("null_tarih")),
+        F.when(F.col("bozuk_satir") > 0, F.lit("bozuk_satir")),
     ))
     return out.select(
         "*",

@@ -293,3 +293,19 @@ def test_stream_rejects_file_with_malformed_line(spark, tmpdir_path):
     log = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in spark.read.parquet(log_path).collect()}
     assert log == {202302: ("donusturuldu", None), 202304: ("reddedildi", "gecersiz deger")}
     assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
+
+
+def test_validator_reports_malformed_lines(spark, tmpdir_path):
+    raw_dir = os.path.join(tmpdir_path, "raw_vm")
+    f = write_csv(raw_dir, "202302", month_rows(2023, 2), raw_lines=["2023-02-03,08,2,RAYLI"])
+    r = quality.validate(spark, [f], min_rows=MIN_ROWS).first()
+    assert r["bozuk_satir"] == 1 and "bozuk_satir" in list(r["nedenler"]) and r["durum"] == "EKSIK/SORUNLU"
+
+
+def test_validation_checksum_is_order_independent(spark, tmpdir_path):
+    rows = month_rows(2023, 2)
+    a = write_csv(os.path.join(tmpdir_path, "ck_a"), "202302", rows)
+    b = write_csv(os.path.join(tmpdir_path, "ck_b"), "202302", list(reversed(rows)))
+    c = write_csv(os.path.join(tmpdir_path, "ck_c"), "202302", rows[:-1] + [rows[-1][:7] + ["99"] + rows[-1][8:]])
+    sums = [quality.validate(spark, [f], min_rows=MIN_ROWS).first()["icerik_ozeti"] for f in (a, b, c)]
+    assert sums[0] == sums[1] and sums[0] != sums[2]
