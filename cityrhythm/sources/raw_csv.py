@@ -120,9 +120,16 @@ def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame | Non
     has all contract columns."""
     parts = []
     for f in files:
-        df = spark.read.option("header", True).option("inferSchema", False).csv(f)
-        if set(schema.RAW_COLUMNS) <= set(df.columns):
-            parts.append(_with_source(df.select(*schema.RAW_COLUMNS)))
+        names = header_of(spark, f)
+        if not set(schema.RAW_COLUMNS) <= set(names):
+            continue
+        # the file's own header as an all-text schema, plus the corrupt-record
+        # column: a malformed line is kept and flagged, as in read_raw(permissive)
+        sch = T.StructType([T.StructField(n, T.StringType(), True) for n in names]
+                           + [T.StructField(CORRUPT, T.StringType(), True)])
+        df = (spark.read.schema(sch).option("header", True).option("enforceSchema", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(f))
+        parts.append(_with_source(df.select(*schema.RAW_COLUMNS, CORRUPT)))
     if not parts:
         return None
     out = parts[0]

@@ -309,3 +309,17 @@ def test_validation_checksum_is_order_independent(spark, tmpdir_path):
     c = write_csv(os.path.join(tmpdir_path, "ck_c"), "202302", rows[:-1] + [rows[-1][:7] + ["99"] + rows[-1][8:]])
     sums = [quality.validate(spark, [f], min_rows=MIN_ROWS).first()["icerik_ozeti"] for f in (a, b, c)]
     assert sums[0] == sums[1] and sums[0] != sums[2]
+
+
+def test_malformed_line_in_reordered_file_is_flagged(spark, tmpdir_path):
+    from tests.csv_fixtures import RAW_COLUMNS
+    swapped = list(RAW_COLUMNS)
+    swapped[0], swapped[1] = swapped[1], swapped[0]
+    rows = [[r[1], r[0]] + r[2:] for r in month_rows(2023, 2)]
+    raw_dir = os.path.join(tmpdir_path, "raw_sw")
+    f = write_csv(raw_dir, "202302", rows, header=swapped, raw_lines=["08,2023-02-03,2"])
+    r = quality.validate(spark, [f], min_rows=MIN_ROWS).first()
+    assert "bozuk_satir" in list(r["nedenler"])
+    res = ingest.ingest(spark, raw_dir, os.path.join(tmpdir_path, "clean_sw"), os.path.join(tmpdir_path, "log_sw"),
+                        min_rows=MIN_ROWS)
+    assert res.accepted == [] and res.report.first()["neden"] == "gecersiz deger"
