@@ -119,8 +119,9 @@ def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame | Non
     used by validation to still profile such files. Returns None when no file
     has all contract columns."""
     parts = []
-    for f in files:
-        names = header_of(spark, f)
+    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
+        headers = list(pool.map(lambda f: header_of(spark, f), files))
+    for f, names in zip(files, headers):
         if not set(schema.RAW_COLUMNS) <= set(names):
             continue
         # the file's own header as an all-text schema, plus the corrupt-record
