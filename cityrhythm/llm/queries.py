@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linedup, minhash, suffixdup
+from . import ann, decontam, langid, linedup, minhash, suffixdup, warc
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -20,6 +20,8 @@ def ready(spark: SparkSession) -> None:
         paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
         if ROOT not in paths:
             sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    # texts may be very long: a batch for Python is bounded by bytes, not by rows alone
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", langid.held_out(docs))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -49,12 +67,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_line_dedup, op8_suffix_dedup, op9_benchmark_decontamination, op10_minhash_near_dedup)}
+    f.__name__: f for f in (op1_cross_polytope_ann, op2_language_id, op3_warc_bundles, op6_line_dedup, op8_suffix_dedup, op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
+    "op3_warc_bundles": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+            FROM pages)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM p""",
     "op6_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
