@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityrhythm.llm import decontam, linedup, minhash
+from cityrhythm.llm import decontam, langid, linedup, minhash, mixing
 from cityrhythm.llm import text as tx
 from cityrhythm.llm.queries import ready, table
 from cityrhythm.llm.store import materialise
@@ -26,6 +26,16 @@ def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (tx.row_key(docs) == named["_key"]), how)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that no language takes by more than half, go; a missing lang is filled in.
+
+    The model is learned from all texts with a lang.
+    """
+    ready(spark)
+    out = langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und' AND score > 0.5")
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many documents stay in one of them; n_chars follows the text."""
     ready(spark)
@@ -45,10 +55,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return matching(docs, found.where("contaminated"), "left_anti")
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their slots in the mixture of sources."""
+    ready(spark)
+    return mixing.mix(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
 ]
 
 
