@@ -35,8 +35,9 @@ WORD_BYTES = 256
 #: Languages that a model may have: it bounds what is broadcast and sent to the driver.
 MAX_LANGUAGES = 400
 #: Words with their scores that a Python worker remembers.
-REMEMBERED = 150_000
-SLOTS = 1 << 18
+REMEMBERED = 400_000
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -56,62 +57,67 @@ class Vocabulary:
                     pieces.setdefault(p, len(pieces))
         self.size = len(pieces)
         self.lengths = sorted({len(p) for p in pieces})
-        self.tables = {}
+        self.keys, self.ids = np.zeros(SLOTS, U64), np.full(SLOTS, self.size, np.int32)
         for n in self.lengths:
             own = [(p, k) for p, k in pieces.items() if len(p) == n]
-            h = _hash(np.frombuffer(b"".join(p for p, _ in own), np.uint8), n)[::n]
-            order = np.argsort(h)
-            self.tables[n] = (h[order], np.array([k for _, k in own], np.int32)[order])
-        self._slots = self._build()
-
-    def _build(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, ids = np.zeros(SLOTS, U64), np.full(SLOTS, -1, np.int32)
-        h = np.concatenate([t[0] for t in self.tables.values()])
-        k = np.concatenate([t[1] for t in self.tables.values()])
-        for x, i in zip(h.tolist(), k.tolist()):
-            s = x & (SLOTS - 1)
-            while ids[s] >= 0:
-                s = (s + 1) & (SLOTS - 1)
-            keys[s], ids[s] = x, i
-        return keys, ids
+            flat = np.frombuffer(b"".join(p for p, _ in own), np.uint8).reshape(-1, n)
+            hashes = self.hashes(self.sums(flat), n)[0]
+            for x, slot, (_, k) in zip(hashes, self.slots(hashes).tolist(), own):
+                while self.keys[slot]:
+                    slot = (slot + 1) % SLOTS
+                self.keys[slot], self.ids[slot] = x, k
+
+    @staticmethod
+    def sums(words: np.ndarray) -> np.ndarray:
+        """Running polynomial sums of words of one length: a row for each place, a column for each word."""
+        rows, n = words.shape
+        h = np.zeros((n + 1, rows), U64)
+        np.cumsum(tx.BYTE_EXACT[words.T] * tx.powers(n)[0][:n, None], axis=0, dtype=U64, out=h[1:])
+        return h
+
+    @staticmethod
+    def hashes(sums: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the strings of ``size`` bytes at every place."""
+        n = len(sums) - size
+        return (sums[size:] - sums[:-size]) * tx.powers(n)[1][:n, None] + U64(size * 0xD6E8FEB86659FD93 % 2**64)
+
+    @staticmethod
+    def slots(h: np.ndarray) -> np.ndarray:
+        return ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - SLOT_BITS)).view(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes; ``size`` where there is none."""
-        keys, ids = self._slots
-        s = (h & U64(SLOTS - 1)).astype(np.int64)
-        out = np.full(len(h), self.size, np.int32)
-        todo = np.arange(len(h))
-        while len(todo):
-            got = ids[s]
-            hit = (got >= 0) & (keys[s] == h[todo])
-            out[todo[hit]] = got[hit]
-            on = (got >= 0) & ~hit
-            todo, s = todo[on], (s[on] + 1) & (SLOTS - 1)
-        return out
-
-    def edges(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(end, length) -> piece numbers, for words of one length (bytes, a row each)."""
-        rows, n = words.shape
-        p, inv = tx.powers(max(n, 1))
-        h = np.zeros((rows, n + 1), U64)
-        np.cumsum(tx.BYTE_EXACT[words] * p[:n], axis=1, dtype=U64, out=h[:, 1:])
-        out = {}
-        for end in range(1, n + 1):
-            for size in self.lengths:
-                if size > end:
-                    break
-                raw = (h[:, end] - h[:, end - size]) * inv[end - size] + U64(size * 0xD6E8FEB86659FD93 % 2**64)
-                ids = self.find(tx.mix(raw))
-                if (ids < self.size).any():
-                    out[end, size] = ids
+        flat = h.ravel()
+        s = self.slots(flat)
+        k = self.keys[s]
+        out = np.full(len(flat), self.size, np.int32)
+        hit = np.flatnonzero(k == flat)
+        out[hit] = self.ids[s[hit]]
+        on = np.flatnonzero((k != 0) & (k != flat))
+        s = s[on]
+        while len(on):
+            s = (s + 1) % SLOTS
+            k = self.keys[s]
+            hit = k == flat[on]
+            out[on[hit]] = self.ids[s[hit]]
+            more = (k != 0) & ~hit
+            on, s = on[more], s[more]
+        return out.reshape(h.shape)
+
+    def edges(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
+        """For each end, the (length, piece numbers) of pieces that end there, for words of one length."""
+        n = words.shape[1]
+        sums = self.sums(words)
+        out: list[list] = [[] for _ in range(n + 1)]
+        for size in self.lengths:
+            if size > n:
+                break
+            ids = self.find(self.hashes(sums, size))
+            for start in np.flatnonzero((ids < self.size).any(axis=1)).tolist():
+                out[start + size].append((size, ids[start]))
         return out
 
 
-def _hash(buf: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(len(buf) - n + 1)
-    return tx.spans_hash(buf, at, at + n, tx.BYTE_EXACT)
-
-
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the words of each length, and their bytes, a row each."""
     size = np.array([len(w) for w in words])
@@ -125,19 +131,19 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_scores(vocab: Vocabulary, words: list[bytes], prob: np.ndarray) -> np.ndarray:
-    """Logarithm of each word's probability in each language, over all segmentations."""
+    """Logarithm of each word's probability in each language, over all segmentations.
+
+    ``prob``: piece by language, with a last row of zeros.
+    """
     out = np.empty((len(words), prob.shape[1]))
     for part, rows in by_length(words):
         n = rows.shape[1]
-        by_end: dict[int, list] = {}
-        for (end, size), ids in vocab.edges(rows).items():
-            by_end.setdefault(end, []).append((size, ids))
         alpha = np.zeros((n + 1, len(part), prob.shape[1]))
         alpha[0], log = 1, np.zeros((len(part), prob.shape[1]))
-        for end in range(1, n + 1):
-            for size, ids in by_end[end]:
+        for end, into in enumerate(vocab.edges(rows)):
+            for size, ids in into:
                 alpha[end] += alpha[end - size] * prob[ids]
-            if end % 16 == 0:
+            if end and end % 16 == 0:      # sums that later ends need are kept in range
                 top = alpha[end].copy()
                 alpha[max(0, end - vocab.lengths[-1]):end + 1] /= top
                 log += np.log(top)
@@ -146,31 +152,42 @@ def word_scores(vocab: Vocabulary, words: list[bytes], prob: np.ndarray) -> np.n
 
 
 def expected(vocab: Vocabulary, words: list[bytes], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected count of each piece in words with these counts, under one language's probabilities."""
+    """Expected count of each piece in words with these counts, under one language's probabilities.
+
+    Forward and backward sums are kept in range by one factor a place, the
+    forward sum there, so that every product of the three is a probability.
+    """
     total = np.zeros(vocab.size + 1)
     for part, rows in by_length(words):
         n = rows.shape[1]
-        edges = vocab.edges(rows)
-        by_end: dict[int, list] = {}
-        for (end, size), ids in edges.items():
-            by_end.setdefault(end, []).append((size, ids, prob[ids]))
-        # sums in logarithms per end, so that long words stay in range
-        alpha = np.full((n + 1, len(part)), -np.inf)
-        alpha[0] = 0
-        beta = np.full((n + 1, len(part)), -np.inf)
-        beta[n] = 0
-        with np.errstate(divide="ignore"):
-            for end in range(1, n + 1):
-                by_end[end] = [(size, ids, np.log(p)) for size, ids, p in by_end[end]]
-                for size, _, lp in by_end[end]:
-                    alpha[end] = np.logaddexp(alpha[end], alpha[end - size] + lp)
-            for end in range(n, 0, -1):
-                for size, _, lp in by_end[end]:
-                    beta[end - size] = np.logaddexp(beta[end - size], beta[end] + lp)
-        weight = counts[part]
+        into = [[(size, ids, prob[ids]) for size, ids in e] for e in vocab.edges(rows)]
+        wide = vocab.lengths[-1]
+        # alpha[e] is divided by the product of scale[1..e]; scale[e] makes it 1
+        alpha, scale = np.zeros((n + 1, len(part))), np.ones((n + 1, len(part)))
+        alpha[0] = 1
         for end in range(1, n + 1):
-            for size, ids, lp in by_end[end]:
-                total += np.bincount(ids, np.exp(alpha[end - size] + lp + beta[end] - alpha[n]) * weight, vocab.size + 1)
+            reach, own = np.ones(len(part)), np.zeros(len(part))
+            by_size = {size: p for size, _, p in into[end]}
+            for size in range(1, min(end, wide) + 1):
+                if size in by_size:     # alpha[end - size] in the scale of end - 1
+                    own += alpha[end - size] * by_size[size] * reach
+                reach = reach / scale[end - size]
+            scale[end] = own
+            alpha[end] = 1
+        beta = np.zeros((n + 1, len(part)))
+        beta[n] = 1
+        weight = counts[part]
+        for end in range(n, 0, -1):
+            reach = 1 / scale[end]
+            by_size = {size: (ids, p) for size, ids, p in into[end]}
+            for size in range(1, min(end, wide) + 1):
+                if size in by_size:
+                    ids, p = by_size[size]
+                    flow = p * reach * beta[end]
+                    beta[end - size] += flow
+                    total += np.bincount(ids, flow * weight * alpha[end - size], vocab.size + 1)
+                if end - size > 0:
+                    reach = reach / scale[end - size]
     return total[:-1]
 
 
