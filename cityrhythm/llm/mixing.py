@@ -25,7 +25,7 @@ MIN_PERIOD, PERIOD_A_SOURCE = 4096, 64
 #: Sources that may be mixed: it bounds the period and what is broadcast.
 MAX_SOURCES = 10_000
 #: Documents that one window task puts in order, about.
-BUCKET_DOCS = 5_000
+BUCKET_DOCS = 1_000
 COLUMNS = ["mix_weight", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mixed"]
 
 
@@ -103,25 +103,27 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     kind = d.schema[source_col].dataType.simpleString()
     # both tables are bounded by MAX_SOURCES
     sources = F.broadcast(spark.createDataFrame([(r["s"], i, share[i], -(-r["n"] // BUCKET_DOCS)) for i, r in enumerate(stats)],
-                                                f"_s {kind}, _i int, _share long, _buckets long"))
+                                                f"__s {kind}, __i int, __share long, __buckets long"))
     places = F.broadcast(spark.createDataFrame([(i, j, t) for i, own in enumerate(slots) for j, t in enumerate(own)],
-                                               "_pi int, _pj long, _at long"))
+                                               "__pi int, __pj long, __at long"))
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    d = (d.select(F.struct("*").alias("_doc"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), h.alias("_h"), size.alias("_size"))
-         .join(sources, F.col("_source").eqNullSafe(F.col("_s")))
-         .withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.col("_buckets"))))
-    before = Window.partitionBy("_i").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (d.groupBy("_i", "_bucket").agg(F.sum("_size").alias("_sum"))
-              .select("_i", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")))
-    inner = Window.partitionBy("_i", "_bucket").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = (d.withColumn("_before", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(starts, ["_i", "_bucket"])
-         .withColumn("_k", F.floor((F.col("_start") + F.col("_before")) / F.lit(block_bytes)))
-         .withColumn("_j", F.col("_k") % F.col("_share"))
-         .join(places, (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj"))))
-    at = F.floor(F.col("_k") / F.col("_share")) * period + F.col("_at")
+    # the text itself takes part in no shuffle unless the caller reads it
+    own = d.columns
+    d = (d.withColumns({"__id": F.col(id_col), "__h": h, "__size": size})
+         .join(sources, F.col(f"`{source_col}`").eqNullSafe(F.col("__s")))
+         .withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.col("__buckets"))))
+    before = Window.partitionBy("__i").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (d.groupBy("__i", "__bucket").agg(F.sum("__size").alias("__sum"))
+              .select("__i", "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start")))
+    inner = Window.partitionBy("__i", "__bucket").orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    d = (d.withColumn("__before", F.coalesce(F.sum("__size").over(inner), F.lit(0))).join(starts, ["__i", "__bucket"])
+         .withColumn("__k", F.floor((F.col("__start") + F.col("__before")) / F.lit(block_bytes)))
+         .withColumn("__j", F.col("__k") % F.col("__share"))
+         .join(places, (F.col("__i") == F.col("__pi")) & (F.col("__j") == F.col("__pj"))))
     # whole periods and the rest apart, so that no product leaves the range of a long
-    rounds, rest = F.floor(F.col("_k") / F.col("_share")) * period, F.col("_j") * period
-    return d.select("_doc.*", (F.col("_share") / F.lit(period)).alias("mix_weight"), F.col("_k").alias("mix_block"),
-                    (rounds + F.floor(rest / F.col("_share"))).alias("mix_release"),
-                    (rounds + F.ceil((rest + period) / F.col("_share"))).alias("mix_deadline"),
+    rounds, rest = F.floor(F.col("__k") / F.col("__share")) * period, F.col("__j") * period
+    at = rounds + F.col("__at")
+    return d.select(*[F.col(f"`{c}`") for c in own], (F.col("__share") / F.lit(period)).alias("mix_weight"), F.col("__k").alias("mix_block"),
+                    (rounds + F.floor(rest / F.col("__share"))).alias("mix_release"),
+                    (rounds + F.ceil((rest + period) / F.col("__share"))).alias("mix_deadline"),
                     at.alias("mix_slot"), (at < full).alias("mixed"))
