@@ -107,7 +107,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = bloom.filters(src.select("text"), _hashes(min_chars), bloom.bits_for(tx.total_bytes(docs, text_col) // 100))
     schema = f"id {src.schema['id'].dataType.simpleString()}, row_key long, key binary"
     suspects = materialise(src.mapInArrow(_suspects(seen, min_chars), schema), "lines")
-    shared = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # a table of its own, so that a line of very many documents is a skewed join that is split
+    shared = materialise(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+                         .where(F.col("n") >= min_docs).select("key", "keeper"), "shared")
     drop = (suspects.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
             .groupBy("id", "row_key").agg(F.collect_set("key").alias("drop")))
     d = docs.withColumns({"n_lines": F.lit(None), "n_dropped": F.lit(None)}).drop("n_lines", "n_dropped")
