@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("low_id"), F.min(F.struct("id", "row_key")).alias("at"), F.first("bands").alias("bands"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
     bands = classes.select("cls", F.explode("bands").alias("band"))
-    hubs = (bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top")
-            .select("band", "hub"))
+    # tables of their own, so that a bucket or gathering of very many classes is a skewed join that is split
+    hubs = materialise(bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top")
+                       .select("band", "hub"), "hubs")
     members = materialise(bands.join(hubs, "band").select("hub", "cls").distinct(), "members")
     wanted = members.select("cls").distinct().join(classes.select("cls", "at"), "cls").select("cls", "at.id", "at.row_key")
     wanted = src.join(wanted, src["id"].eqNullSafe(wanted["id"]) & (src["row_key"] == wanted["row_key"]))
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        .dropDuplicates(["cls"]), "sets")
     # blocks of bounded size: each with itself and the first one
     sizes = members.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
-    blocks = sizes.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = materialise(sizes.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "blocks")
     placed = (members.join(blocks, "hub")
               .withColumn("b", F.when(F.col("cls") == F.col("hub"), 0).otherwise(F.pmod(F.xxhash64("cls", "hub"), "blocks").cast("int"))))
     many = F.col("b") == 0
