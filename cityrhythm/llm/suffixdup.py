@@ -30,7 +30,7 @@ GRAM = 48
 #: Window starts handled together; a local position fits into the low 20 bits.
 CHUNK = 1 << 19
 #: Suffixes indexed together, about, and the segments of one anchor that may be.
-BLOCK, MAX_GROUP = 60_000, 2_000
+BLOCK, MAX_GROUP = 60_000, 1_000
 #: Windows in a piece of a segment, where an anchor has more segments than that.
 PIECE = 16
 
