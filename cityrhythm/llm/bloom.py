@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from . import text as tx
+
 U64 = np.uint64
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 28
 SLICE = 1 << 15     # bytes
@@ -99,9 +101,9 @@ def filters(df: DataFrame, hashes: Hashes, bits: int, seen: int = 2) -> Broadcas
             yield done()
 
     sc = df.sparkSession.sparkContext
-    parts = df.mapInArrow(fill, SCHEMA)
+    parts = df.mapInArrow(tx.trimmed(fill), SCHEMA)
     rows = (parts.repartition(max(1, min(size // part, 64)), "slice").sortWithinPartitions("slice")
-            .mapInArrow(unite, SCHEMA).select("slice", "once" if seen == 1 else "twice").collect())
+            .mapInArrow(tx.trimmed(unite), SCHEMA).select("slice", "once" if seen == 1 else "twice").collect())
     bitmap = np.zeros(size, np.uint8)
     for r in rows:
         bitmap[r[0] * part:r[0] * part + part] = np.frombuffer(r[1], np.uint8)

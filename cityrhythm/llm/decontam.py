@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bits = bloom.bits_for(parts.count())
     # how often the corpus has each shingle of the benchmark
     wanted = bloom.filters(parts.select("token"), _tokens, bits, seen=1)
-    often = src.mapInArrow(_counts(wanted, sizes), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = src.mapInArrow(tx.trimmed(_counts(wanted, sizes)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     # the prefix of each window; a window with a shingle that the corpus lacks occurs nowhere
     prefix = materialise(
         parts.select("window", "words", "offset", "token").distinct().join(often, "token", "left")
@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     wanted = bloom.filters(prefix.select("token"), _tokens, bits, seen=1)
     doc_kind = src.schema["id"].dataType.simpleString()
     rows = materialise(src.mapInArrow(
-        _places(wanted, sizes, window), f"id {doc_kind}, row_key long, n_words long, "
+        tx.trimmed(_places(wanted, sizes, window)), f"id {doc_kind}, row_key long, n_words long, "
         "places array<struct<token: long, at: long, `from`: long, around: array<binary>>>"), "places")
     place = rows.where("places is not null").select("id", "row_key", "n_words", F.explode("places").alias("p"))
     start = F.col("p.at") - F.col("offset")

@@ -15,7 +15,6 @@ counts in each language, and prediction remembers a bounded number of words.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 from .store import materialise
@@ -34,8 +34,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_BYTES = 256
 #: Languages that a model may have: it bounds what is broadcast and sent to the driver.
 MAX_LANGUAGES = 400
-#: Words with their scores that a Python worker remembers.
-REMEMBERED = 400_000
+#: Words with their counts or scores that a task holds at a time.
+REMEMBERED = 250_000
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 _WORD = re.compile(r"[^\W\d_]+")
@@ -236,24 +236,7 @@ class Model:
     """Languages, their log priors, and the pieces' probabilities by language."""
 
     def __init__(self, path: str, languages: list[str], prior: np.ndarray, prob: np.ndarray):
-        self.path, self.languages, self.prior, self.prob, self.key = path, languages, prior, prob, uuid.uuid4().hex
-
-
-class Memory:
-    """What a Python worker remembers between tasks: words and their scores under one model."""
-
-    key, known, scores = "", {}, np.zeros((0, 0))
-
-    @classmethod
-    def of(cls, model: Model) -> type[Memory]:
-        if cls.key != model.key or len(cls.known) > REMEMBERED:
-            cls.key, cls.known, cls.scores = model.key, {}, np.zeros((0, len(model.languages)))
-        return cls
-
-    @classmethod
-    def learn(cls, words: list[str], scores: np.ndarray) -> None:
-        cls.known.update(zip(words, range(len(cls.known), len(cls.known) + len(words))))
-        cls.scores = np.vstack([cls.scores, scores])
+        self.path, self.languages, self.prior, self.prob = path, languages, prior, prob
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, rounds: int = 2,
@@ -278,7 +261,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
         return Model(path, langs, np.zeros(0), prob)
     n = {r["lang"]: r["n"] for r in rows}
     prior = np.log(np.array([n[x] for x in langs]) / sum(n.values()))
-    words = materialise(src.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = materialise(src.mapInArrow(tx.trimmed(_counted), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(prob)
 
@@ -295,7 +278,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
                 k = np.flatnonzero(s)
                 yield pa.record_batch([pa.array([x] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(s[k])], names=["lang", "piece", "n"])
 
-        got = words.mapInArrow(gather, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        got = words.mapInArrow(tx.trimmed(gather), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         count = np.full((vocab.size, len(langs)), smooth)
         place = {x: i for i, x in enumerate(langs)}
         count[got["piece"].to_numpy(), [place[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
@@ -303,35 +286,40 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
     return Model(path, langs, prior, prob)
 
 
-def _predicted(model):
-    """Text column -> struct of language and score."""
-    def predict(text: pa.Array) -> pa.Array:
+def _predicted(model, column: str):
+    """Batches -> the same with lang_pred and score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         v = vocabulary(m.path)
-        lang, score = [], []
-        texts = text.to_pylist()
-        for a in range(0, len(texts), 500):
-            docs = [words_of(t) if t and m.languages and _LETTER.search(t) else [] for t in texts[a:a + 500]]
-            memory = Memory.of(m)
-            new = list(set().union(*docs) - memory.known.keys())
-            if new:
-                parts = [as_bytes(w) for w in new]
-                flat = word_scores(v, [b for p in parts for b in p], m.prob)
-                if len(flat) > len(parts):
-                    flat = np.add.reduceat(flat, np.cumsum([0] + [len(p) for p in parts])[:-1], axis=0)
-                memory.learn(new, flat)
-            known, scores = memory.known, memory.scores
-            for words in docs:
-                if not words:
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                s = m.prior + scores[[known[w] for w in words]].sum(axis=0)
-                best = int(s.argmax())
-                lang.append(m.languages[best])
-                score.append(float(1 / np.exp(s - s[best]).sum()))
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
-    return predict
+        known: dict[str, int] = {}
+        scores = np.zeros((0, len(m.languages)))
+        for batch in batches:
+            lang, score = [], []
+            texts = batch[column].to_pylist()
+            for a in range(0, len(texts), 500):
+                docs = [words_of(t) if t and m.languages and _LETTER.search(t) else [] for t in texts[a:a + 500]]
+                if len(known) > REMEMBERED:
+                    known, scores = {}, scores[:0]
+                new = list(set().union(*docs) - known.keys())
+                if new:
+                    parts = [as_bytes(w) for w in new]
+                    flat = word_scores(v, [b for p in parts for b in p], m.prob)
+                    if len(flat) > len(parts):
+                        flat = np.add.reduceat(flat, np.cumsum([0] + [len(p) for p in parts])[:-1], axis=0)
+                    known.update(zip(new, range(len(known), len(known) + len(new))))
+                    scores = np.vstack([scores, flat])
+                for words in docs:
+                    if not words:
+                        lang.append("und")
+                        score.append(0.0)
+                        continue
+                    s = m.prior + scores[[known[w] for w in words]].sum(axis=0)
+                    best = int(s.argmax())
+                    lang.append(m.languages[best])
+                    score.append(float(1 / np.exp(s - s[best]).sum()))
+            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                  names=[*batch.schema.names, "lang_pred", "score"])
+    return run
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -342,10 +330,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` with score 0. Ties go to the language that sorts first.
     """
     b = docs.sparkSession.sparkContext.broadcast(model)
-    udf = F.arrow_udf(_predicted(b), "struct<lang string, score double>")
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_predicted")]
-    return (docs.select(*[F.col(f"`{c}`") for c in own], udf(F.col(f"`{text_col}`")).alias("_predicted"))
-            .select(*[F.col(f"`{c}`") for c in own], F.col("_predicted.lang").alias("lang_pred"), F.col("_predicted.score").alias("score")))
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return src.mapInArrow(tx.trimmed(_predicted(b, text_col)), schema)
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):

@@ -154,4 +154,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(_scan(dict(templates)), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return src.mapInArrow(tx.trimmed(_scan(dict(templates))), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)

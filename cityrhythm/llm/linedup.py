@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.col(text_col).cast("binary").alias("text"))
     seen = bloom.filters(src.select("text"), _hashes(min_chars), bloom.bits_for(tx.total_bytes(docs, text_col) // 100))
     schema = f"id {src.schema['id'].dataType.simpleString()}, row_key long, key binary"
-    suspects = materialise(src.mapInArrow(_suspects(seen, min_chars), schema), "lines")
+    suspects = materialise(src.mapInArrow(tx.trimmed(_suspects(seen, min_chars)), schema), "lines")
     # a table of its own, so that a line of very many documents is a skewed join that is split
     shared = materialise(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
                          .where(F.col("n") >= min_docs).select("key", "keeper"), "shared")

@@ -172,7 +172,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs``: hub, i, j, cls, main -> links a, b."""
     rows = pairs.join(sets, "cls").select("hub", "i", "j", "cls", "main", "shingles")
     return (rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "cls")
-            .mapInArrow(_compare(percent), "a long, b long"))
+            .mapInArrow(tx.trimmed(_compare(percent)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("id"), tx.row_key(docs, id_col, text_col).alias("row_key"),
                       F.col(text_col).cast("binary").alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, row_key long, n_shingles long, set_id binary, bands array<long>"
-    rows = materialise(src.mapInArrow(_profiles(shingle), schema), "profiles")
+    rows = materialise(src.mapInArrow(tx.trimmed(_profiles(shingle)), schema), "profiles")
     # one class for each set; its exemplar is any row that has it
     classes = materialise(
         rows.where("set_id is not null").groupBy("set_id")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(bands.join(hubs, "band").select("hub", "cls").distinct(), "members")
     wanted = members.select("cls").distinct().join(classes.select("cls", "at"), "cls").select("cls", "at.id", "at.row_key")
     wanted = src.join(wanted, src["id"].eqNullSafe(wanted["id"]) & (src["row_key"] == wanted["row_key"]))
-    sets = materialise(wanted.select("cls", "text").mapInArrow(_sets(shingle), "cls long, shingles binary")
+    sets = materialise(wanted.select("cls", "text").mapInArrow(tx.trimmed(_sets(shingle)), "cls long, shingles binary")
                        .dropDuplicates(["cls"]), "sets")
     # blocks of bounded size: each with itself and the first one
     sizes = members.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")

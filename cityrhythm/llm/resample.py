@@ -106,7 +106,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, keep: float = 0.88, id_col:
     ids = (target_ids.select(F.col(id_col).alias("t")).where(F.col("t").isNotNull()).distinct()
            .orderBy(F.xxhash64("t"), "t").limit(MAX_TARGET))
     flagged = src.join(F.broadcast(ids), F.col("id") == F.col("t"), "left").select("text", F.col("t").isNotNull().alias("target"))
-    got = (flagged.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket")
+    got = (flagged.mapInArrow(tx.trimmed(_counts), "bucket int, raw long, target long").groupBy("bucket")
            .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
     raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     at = got["bucket"].to_numpy()

@@ -191,7 +191,7 @@ _ROWS = "grp long, seg_id binary, skip int, n long, segment binary, lead int, gr
 
 def _indexed(rows: DataFrame, length: int) -> DataFrame:
     return (rows.select("grp", "seg_id", "skip", "n", "segment").repartition("grp").sortWithinPartitions("grp", "seg_id")
-            .mapInArrow(_index(length), "seg_id binary, `from` int, `to` int"))
+            .mapInArrow(tx.trimmed(_index(length)), "seg_id binary, `from` int, `to` int"))
 
 
 def _marked(distinct: DataFrame, length: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _marked(distinct: DataFrame, length: int) -> DataFrame:
         found = _indexed(rows.join(sizes, "grp", "left_anti"), length)
         out = found if out is None else out.unionAll(found)
         rows = rows.join(sizes, "grp", "left_semi").select("seg_id", "skip", "n", "segment", "lead", "gram")
-        rows = materialise(rows.mapInArrow(_pieces(length, steps.pop(0)), _ROWS), "pieces")
+        rows = materialise(rows.mapInArrow(tx.trimmed(_pieces(length, steps.pop(0))), _ROWS), "pieces")
         if not steps:       # single windows: a group is one string and needs no index
             total = rows.groupBy("grp").agg(F.sum("n").alias("total")).where("total > 1").select("grp")
             one = rows.join(total, "grp").select("seg_id", F.col("skip").alias("from"), (F.col("skip") + 1).alias("to"))
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = bloom.bits_for(2 * tx.total_bytes(docs, text_col) // (length - GRAM))
     seen = bloom.filters(src.select("text"), _anchors(length), bits)
     kind = src.schema["id"].dataType.simpleString()
-    found = materialise(src.mapInArrow(_suspects(seen, length),
+    found = materialise(src.mapInArrow(tx.trimmed(_suspects(seen, length)),
                                        f"id {kind}, row_key long, start long, lead int, gram long, seg_id binary, segment binary"), "segments")
     distinct = materialise(found.groupBy("gram", "seg_id").agg(F.first("segment").alias("segment"), F.first("lead").alias("lead"),
                                                                F.count("*").alias("n")), "distinct")

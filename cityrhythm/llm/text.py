@@ -8,7 +8,9 @@ a polynomial over per-byte random numbers, finished by an avalanche step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are taken together up to so many bytes; a longer one comes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Within a long text, words are hashed in stretches of about so many bytes.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 _P = 0x9E3779B97F4A7C15
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -172,6 +174,16 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int, short: bool) -> tuple[np.
     return out, at
 
 
+def trimmed(run: Callable) -> Callable:
+    """A task's function that gives its freed memory back to the system when the task ends; Python workers are kept."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Tells rows of one id and different texts apart; equal for repeated rows."""
     return F.xxhash64(docs[id_col], docs[text_col])
