@@ -80,25 +80,43 @@ class Templates:
         self.triples = np.unique(np.concatenate(triples)) if triples else np.zeros(0, np.uint64)
         self.longest = 2 * max((len(w) for w in self.words.values()), default=1)
 
-    def judge(self, words: list[str]) -> list[tuple]:
-        """The finalists of a block, best first, up to the first that is confirmed."""
+    def judge(self, words: list[str]) -> tuple:
+        """The block's best finalist: place and size of the passage that is compared with it, then the rest of a row.
+
+        The passage reaches from the first word that the template has, in order, to the last.
+        """
         data = " ".join(words).encode()
         plain = len(self.alone.compress(data))
-        ranked = sorted((1 - len(c.compress(data)) / plain, k) for k, c in self.given.items())
-        ranked.sort(key=lambda x: (-x[0], x[1]))
-        out = []
+        ranked = sorted(((1 - len(c.compress(data)) / plain, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        best = None
         for saved, name in ranked[:FINALISTS]:
             own = self.words[name]
-            ops = difflib.SequenceMatcher(None, own, words, autojunk=False).get_opcodes()
-            found = sum(i2 - i1 for op, i1, i2, _, _ in ops if op == "equal")
+            same = [m for m in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
+            a, b = (same[0].b, same[-1].b + same[-1].size) if same else (0, len(words))
+            found = sum(m.size for m in same)
+            ops = difflib.SequenceMatcher(None, own, words[a:b], autojunk=False).get_opcodes()
             diff = [x for op, i1, i2, j1, j2 in ops if op != "equal" for x in
-                    ([f"-{' '.join(own[i1:i2])}"] if i2 > i1 else []) + ([f"+{' '.join(words[j1:j2])}"] if j2 > j1 else [])]
-            other = len(words) - found
-            ok = found >= LEAST_FOUND * len(own) and other <= MOST_OTHER * len(words)
-            out.append((name, plain, round(plain * (1 - saved)), saved, found, len(own) - found, other, diff, ok))
+                    ([f"-{' '.join(own[i1:i2])}"] if i2 > i1 else []) + ([f"+{' '.join(words[a + j1:a + j2])}"] if j2 > j1 else [])]
+            other = b - a - found
+            ok = found >= LEAST_FOUND * len(own) and other <= MOST_OTHER * (b - a)
+            row = (a, b - a, name, plain, round(plain * (1 - saved)), saved, found, len(own) - found, other, diff, ok)
             if ok:
-                break
-        return [x for x in out if x[-1]] or out[:1]
+                return row
+            best = best or row
+        return best
+
+    def notices(self, words: list[str]) -> list[tuple]:
+        """Rows of a block: its confirmed passages, in order, or else its best finalist."""
+        out, todo, first = [], [(0, words)], None
+        while todo and self.words:
+            at, part = todo.pop()
+            row = self.judge(part)
+            first = first or row
+            if row[-1]:
+                a, b = row[0], row[0] + row[1]
+                out.append((at + a, *row[1:]))
+                todo += [(x, w) for x, w in ((at, part[:a]), (at + b, part[b:])) if len(w) >= 3]
+        return sorted(out) or [first][:bool(first)]
 
 
 def blocks(at: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
@@ -127,10 +145,10 @@ def _scan(texts: Mapping[str, str]):
                         if words not in seen:
                             if len(seen) > 10_000:
                                 seen.clear()
-                            seen[words] = t.judge(list(words))
+                            seen[words] = t.notices(list(words))
                         for found in seen[words]:
                             at_row.append(row + r)
-                            rows.append((a - int(first[r]), b - a, *found))
+                            rows.append((a - int(first[r]) + found[0], *found[1:]))
             at_row = pa.array(at_row, pa.int64())
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(),
                      pa.list_(pa.string()), pa.bool_())
@@ -141,13 +159,16 @@ def _scan(texts: Mapping[str, str]):
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each candidate block of each document: id_col and ``SCHEMA``.
+    """Rows for the candidate blocks of each document: id_col and ``SCHEMA``.
+
+    A block gives a row for each notice in it that is confirmed, or one row,
+    unconfirmed, if none is.
 
-    ``start`` and ``n_words`` place the block among the text's words
+    ``start`` and ``n_words`` place the passage that is like the template among the text's words
     (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased). The template is the best
     by size saved that the wording confirms, or else, unconfirmed, the best by
     size saved; ties go to the name that sorts first. ``found`` and ``missing``
-    count its words, ``other`` the block's words that are none of it, and
+    count its words, ``other`` the passage's words that are none of it, and
     ``differences`` lists them (- missing, + other). A block longer than twice
     the longest template is taken in parts of that length. Null and empty texts
     give no rows; rows that are repeated give theirs again.
