@@ -37,9 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents stay in one of them; n_chars follows the text."""
+    """Lines of many documents stay in one of them; n_chars follows the text. Documents left without any word go."""
     ready(spark)
     out = linedup.dedup_lines(docs, min_chars=40, min_docs=5)
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
