@@ -158,8 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = (spans.join(named.withColumnsRenamed({"id": "i2", "row_key": "k2"}),
                       F.col("id").eqNullSafe(F.col("i2")) & (F.col("row_key") == F.col("k2")))
            .select(F.col("id").alias("i1"), F.col("row_key").alias("k1"), F.arrow_udf(_covered, "long")("spans").alias("n_hit"), "items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
     return (rows.drop("places").join(hit, F.col("id").eqNullSafe(F.col("i1")) & (F.col("row_key") == F.col("k1")), "left")
             .select(F.col("id").alias(id_col), "row_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+                    F.size(items).cast("long").alias("n_items"), items.alias("items"),
                     (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
