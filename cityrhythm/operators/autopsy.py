@@ -47,24 +47,28 @@ def coverage_pairs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def day_completeness(df: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY,
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), flag: str | None = None) -> DataFrame:
     """A5: per day distinct hours and rows; full = 24 hours and rows >= threshold;
-    broken = fewer hours or fewer rows."""
+    broken = fewer hours or fewer rows. ``flag``: a boolean column carried
+    along, true if it is in any row."""
+    flags = [] if flag is None else [F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag)]
     g = df.groupBy(*by, "transition_date").agg(
-        F.count_distinct("transition_hour").alias("saat"), _count().alias("satir"))
+        F.count_distinct("transition_hour").alias("saat"), _count().alias("satir"), *flags)
     return g.select(*by, "transition_date", "saat", "satir",
                     ((F.col("saat") == 24) & (F.col("satir") >= min_rows)).alias("tam"),
-                    ((F.col("saat") < 24) | (F.col("satir") < min_rows)).alias("kirik"))
+                    ((F.col("saat") < 24) | (F.col("satir") < min_rows)).alias("kirik"), *([] if flag is None else [flag]))
 
 
-def month_gate(df: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY, by: Sequence[str] = ()) -> DataFrame:
+def month_gate(df: DataFrame, min_rows: int = dims.MIN_ROWS_PER_DAY, by: Sequence[str] = (),
+               flag: str | None = None) -> DataFrame:
     """Accept iff the number of full days equals the days of the first
     date's month (a stray partial day outside the month is ignored; more full
     days than the month has is a rejection)."""
-    days = day_completeness(df, min_rows, by)
+    days = day_completeness(df, min_rows, by, flag)
     return (days.groupBy(*by).agg(
                 F.count_if(F.col("tam")).cast("int").alias("tam_gun"),
-                days_in_month(F.min("transition_date")).alias("ay_gun"))
+                days_in_month(F.min("transition_date")).alias("ay_gun"),
+                *([] if flag is None else [F.bool_or(flag).alias(flag)]))
             .withColumn("kabul", F.col("tam_gun") == F.col("ay_gun")))
 
 

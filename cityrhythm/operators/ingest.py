@@ -1,11 +1,16 @@
 """CSV -> clean Parquet ingest.
 
 All new monthly files are parsed once into a quarantine staging table; the
-gate (a single aggregation per file and date) reads two columns of it, and
-the accepted months are copied into the month-partitioned store. Nothing
-lands before its month passed the gate (quarantine, not filter). Decisions
-go to a small conversion-log table, so reruns skip months already converted
-and a rejected month is retried after it is re-downloaded.
+gate (a single aggregation per file and date) reads three columns of it, and
+the accepted files are copied into the month-partitioned store: one file a
+month, the first accepted one in name order. Nothing lands before its file
+passed the gate (quarantine, not filter). Decisions go to a small
+conversion-log table, so reruns skip months already converted and a rejected
+month is retried after it is re-downloaded.
+
+Staging tables stay under ``ingest/`` in the folder of ``spark.checkpoint.dir``
+as evidence of what was judged; no later run reads them, so the folder's owner
+may clear those of finished runs at any time.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -53,7 +58,39 @@ def gate_input(staged: DataFrame) -> DataFrame:
     """The staged rows as the gate sees them: the hour as the file's text, so
     "0" and "00" on one day count as two hours, like the definition."""
     return staged.select(schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt", "transition_date",
-                         F.col(RAW_HOUR).alias("transition_hour"))
+                         F.col(RAW_HOUR).alias("transition_hour"), INVALID)
+
+
+FILE_KEYS = [schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]
+
+
+def judge(staged: DataFrame, min_rows: int, done: Iterable[int] = (), force: bool = False) -> list[tuple[Row, str, str | None]]:
+    """One aggregation over the staged rows: (gate row, decision, reason) per
+    file, in name order. Of the accepted files of a month the first one in name
+    order is converted; the others, and all of months in ``done``, are skipped."""
+    gate = month_gate(gate_input(staged), min_rows, by=FILE_KEYS, flag=INVALID).collect()
+    taken, out = set(done), []
+    for g in sorted(gate, key=lambda g: raw_csv.file_name(g[schema.SOURCE_COL])):
+        if g[schema.PERIOD_COL] in taken:
+            out.append((g, SKIPPED, "zaten var"))
+        elif g[INVALID]:
+            out.append((g, REJECTED, "gecersiz deger"))
+        elif g["kabul"] or force:
+            taken.add(g[schema.PERIOD_COL])
+            out.append((g, CONVERTED, None if g["kabul"] else "force"))
+        else:
+            out.append((g, REJECTED, "eksik/bozuk"))
+    return out
+
+
+def publish(staged: DataFrame, files: list[str], clean_path: str) -> None:
+    """Copy the rows of these staged files (one a month) into the store; only
+    their months are replaced."""
+    months = sorted({int(raw_csv.month_of(f)) for f in files})
+    (staged.where(F.col(schema.PERIOD_COL).isin(months) & F.col(schema.SOURCE_COL).isin(files))
+     .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(schema.PERIOD_COL)
+     .option("compression", "zstd").parquet(clean_path))
 
 
 INVALID = "gecersiz"      # staging only: a non-blank value that does not parse
@@ -122,8 +159,9 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
       order or extra columns are read by name (the validator still flags them).
     * A6 the gate: full days (24 hours and >= ``min_rows`` rows) must equal
       the days of the first date's month; A12 ``force`` skips it.
-    * A9 accepted months are written as ZSTD Parquet partitioned by month
-      (dynamic partition overwrite: only those months are replaced).
+    * A9 one accepted file a month (the first in name order; others are logged
+      as skipped) is written as ZSTD Parquet partitioned by month (dynamic
+      partition overwrite: only those months are replaced).
     * A13 the report has CSV and Parquet sizes per month.
     """
     now = dt.datetime.now()
@@ -163,43 +201,20 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             staging = clean(with_raw_hour(raw), strict=False)
             staging.write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage)
             staged = spark.read.schema(staging.schema).parquet(stage)     # also when no row was staged
-            # the gate reads two columns of the staged table; one result row per
-            # file (the file size is constant per file, so it rides along as a key)
-            gate = month_gate(gate_input(staged), min_rows,
-                              by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
-            # files with a value that does not parse are rejected as a whole
-            # (one row per such file comes back)
-            invalid = {r[schema.SOURCE_COL] for r in
-                       staged.where(F.col(INVALID)).select(schema.SOURCE_COL).distinct().collect()}
-            decision = {}
-            for g in gate:
-                ok = bool((force or g["kabul"]) and g[schema.SOURCE_COL] not in invalid)
-                decision[g[schema.SOURCE_COL]] = (ok, g)
-            seen = {raw_csv.file_name(f) for f in decision}
+            decisions = judge(staged, min_rows, force=force)
+            seen = {raw_csv.file_name(g[schema.SOURCE_COL]) for g, _, _ in decisions}
             for f in good:
                 if raw_csv.file_name(f) not in seen:                   # a header without rows
                     report.append((int(raw_csv.month_of(f)), f, REJECTED, "bos dosya", None, None, None, None, now))
-            ok_files = [f for f, (ok, _) in decision.items() if ok]
-            ok_months = sorted({g[schema.PERIOD_COL] for ok, g in decision.values() if ok})
-            if ok_months:
-                spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-                # accepted months only (partition pruning on the staging table);
-                # dynamic overwrite replaces just those months in the store
-                (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-                 .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
-                 .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
-                 .option("compression", "zstd").parquet(clean_path))
-            sizes = parquet_sizes(spark, clean_path, ok_months) if ok_files else {}
-            for f, (ok, g) in decision.items():
-                m = int(raw_csv.month_of(f))
-                csv_mb = (g["dosya_bayt"] or 0) / 1e6
-                if ok:
-                    accepted.append(m)
-                    report.append((m, f, CONVERTED, "force" if (force and not g["kabul"]) else None,
-                                   g["tam_gun"], g["ay_gun"], csv_mb, sizes.get(m), now))
-                else:
-                    reason = "gecersiz deger" if f in invalid else "eksik/bozuk"
-                    report.append((m, f, REJECTED, reason, g["tam_gun"], g["ay_gun"], csv_mb, None, now))
+            ok_files = [g[schema.SOURCE_COL] for g, what, _ in decisions if what == CONVERTED]
+            accepted = [int(raw_csv.month_of(f)) for f in ok_files]
+            if ok_files:
+                publish(staged, ok_files, clean_path)
+            sizes = parquet_sizes(spark, clean_path, accepted) if ok_files else {}
+            for g, what, why in decisions:
+                m = g[schema.PERIOD_COL]
+                report.append((m, g[schema.SOURCE_COL], what, why, g["tam_gun"], g["ay_gun"], (g["dosya_bayt"] or 0) / 1e6,
+                               sizes.get(m) if what == CONVERTED else None, now))
 
     rep = spark.createDataFrame(report, LOG_SCHEMA)
     if report:

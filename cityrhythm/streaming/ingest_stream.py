@@ -4,11 +4,11 @@
 checkpoint records them); ``trigger(availableNow=True)`` processes what is
 there and stops, so it can run as a scheduled batch. Each micro-batch holds
 whole files; inside ``foreachBatch`` the batch is gated per file and only
-accepted months are written. Decisions are appended to the conversion log.
+accepted files are written, one a month. Decisions are appended to the conversion log.
 
 The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``;
 each micro-batch is parsed once into a staging table under it, gated there,
-and only accepted months are copied to the store.
+and only accepted files are copied to the store.
 Note: a file rejected by the gate is marked as seen by the stream; after it is
 re-downloaded under the same name, run the batch :func:`ingest` (which
 consults the log, not the checkpoint) to retry it.
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cityrhythm import dims, schema
-from cityrhythm.operators.autopsy import month_gate
-from cityrhythm.operators.ingest import (CONVERTED, INVALID, LOG_SCHEMA, RAW_HOUR, REJECTED, clean, gate_input,
+from cityrhythm.operators.ingest import (CONVERTED, LOG_SCHEMA, REJECTED, clean, converted_months, judge, publish,
                                          with_raw_hour)
 from cityrhythm.session import work_path
 from cityrhythm.sources import raw_csv
@@ -34,8 +33,11 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
           min_rows: int = dims.MIN_ROWS_PER_DAY, checkpoint: str | None = None,
           files_per_batch: int | None = None):
     """Start the availableNow stream; returns the StreamingQuery (call
-    ``awaitTermination()``). Header conformance is enforced by Spark
-    (``enforceSchema=false``): a file whose header differs fails the batch.
+    ``awaitTermination()``). Headers are checked per file: a file that lacks a
+    contract column is rejected, one with other columns or another order is
+    read by name, as in the batch ingest. Months that the log has as converted
+    are skipped, and of several accepted files of a month the first one in name
+    order is taken.
     ``files_per_batch`` bounds a micro-batch (a backlog of months is then
     processed in several batches; availableNow still stops when done)."""
     checkpoint = checkpoint or work_path(spark, "streams/ingest")
@@ -43,7 +45,7 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
     # file as invalid (see ingest.clean(strict=False))
     sch = T.StructType(list(schema.RAW_SCHEMA.fields) + [T.StructField(raw_csv.CORRUPT, T.StringType(), True)])
     reader = (spark.readStream.schema(sch)
-              .option("header", True).option("enforceSchema", False)
+              .option("header", True)          # headers are checked per file below
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw_csv.CORRUPT)
               .option("pathGlobFilter", raw_csv.PATTERN))
     if files_per_batch:
@@ -65,26 +67,26 @@ def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
         (staging.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
          .option("compression", "zstd").parquet(stage))
         staged = session.read.schema(staging.schema).parquet(stage)
-        gate = month_gate(gate_input(staged), min_rows,
-                          by=[schema.SOURCE_COL, schema.PERIOD_COL, "dosya_bayt"]).collect()
-        invalid = {r[schema.SOURCE_COL] for r in
-                   staged.where(F.col(INVALID)).select(schema.SOURCE_COL).distinct().collect()}
-        accepted = {g[schema.SOURCE_COL] for g in gate if g["kabul"] and g[schema.SOURCE_COL] not in invalid}
-        ok_months = sorted({g[schema.PERIOD_COL] for g in gate if g[schema.SOURCE_COL] in accepted})
-        if ok_months:
-            session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            (staged.where(F.col(schema.PERIOD_COL).isin(ok_months))
-             .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
-             .write.mode("overwrite").partitionBy(schema.PERIOD_COL)
-             .option("compression", "zstd").parquet(clean_path))
+        # one row per file of the batch
+        files = [r[0] for r in staged.select(schema.SOURCE_COL).distinct().collect()]
+        heads = {r[schema.SOURCE_COL]: (r["sema_ok"], r["adla_okunur"]) for r in raw_csv.check_headers(session, files).collect()}
         now = dt.datetime.now()
-        def reason(g):
-            if g[schema.SOURCE_COL] in accepted:
-                return None
-            return "gecersiz deger" if g[schema.SOURCE_COL] in invalid else "eksik/bozuk"
-        log = [(g[schema.PERIOD_COL], g[schema.SOURCE_COL],
-                CONVERTED if g[schema.SOURCE_COL] in accepted else REJECTED, reason(g),
-                g["tam_gun"], g["ay_gun"], (g["dosya_bayt"] or 0) / 1e6, None, now) for g in gate]
+        log = [(int(raw_csv.month_of(f)), f, REJECTED, "sema", None, None, None, None, now) for f in files if not heads[f][1]]
+        by_name = [f for f in files if heads[f][1] and not heads[f][0]]
+        staged = staged.where(F.col(schema.SOURCE_COL).isin([f for f in files if heads[f][0]]))
+        if by_name:
+            # read by position these rows mean nothing; they are staged again by column name
+            again = clean(with_raw_hour(raw_csv.read_by_header(session, by_name)), strict=False)
+            (again.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
+             .option("compression", "zstd").parquet(stage + "-by-name"))
+            staged = staged.unionByName(session.read.schema(again.schema).parquet(stage + "-by-name")
+                                        .drop(raw_csv.FILE_NAME))
+        decisions = judge(staged, min_rows, converted_months(session, log_path))
+        accepted = [g[schema.SOURCE_COL] for g, what, _ in decisions if what == CONVERTED]
+        if accepted:
+            publish(staged, accepted, clean_path)
+        log += [(g[schema.PERIOD_COL], g[schema.SOURCE_COL], what, why, g["tam_gun"], g["ay_gun"],
+                 (g["dosya_bayt"] or 0) / 1e6, None, now) for g, what, why in decisions]
         if log:
             session.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
 

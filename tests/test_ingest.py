@@ -196,7 +196,7 @@ def test_modes_and_m7_lookup_end_to_end(spark, tmpdir_path):
     modes = {(r["transport_type_id"], r["road_type"]) for r in autopsy.mode_map(t, with_id=True).collect()}
     assert modes == {(1, "OTOYOL"), (2, "RAYLI"), (3, "DENİZ")}
     night = {r["ilce"]: (r["toplam_yolcu"], r["gece_yolcu"])
-             for r in districts.night_index(t, builtin_lookup(), min_total=0).collect()}
+             for r in districts.night_index(t, builtin_lookup(spark), min_total=0).collect()}
     assert night == {"BESIKTAS": (100, 100), "SISLI": (30, 30)}       # unknown M7 stop has no district
 
 
@@ -323,3 +323,70 @@ def test_malformed_line_in_reordered_file_is_flagged(spark, tmpdir_path):
     res = ingest.ingest(spark, raw_dir, os.path.join(tmpdir_path, "clean_sw"), os.path.join(tmpdir_path, "log_sw"),
                         min_rows=MIN_ROWS)
     assert res.accepted == [] and res.report.first()["neden"] == "gecersiz deger"
+
+
+def _two_files(raw_dir, second_complete):
+    """A complete month and another file of the same month (complete or with a day missing)."""
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    write_csv(raw_dir, "yedek_202302", month_rows(2023, 2, skip_days=() if second_complete else (9,), per_hour=3))
+
+
+@pytest.mark.parametrize("second_complete", [False, True])
+@pytest.mark.parametrize("force", [False, True])
+def test_one_file_a_month_lands(spark, tmpdir_path, second_complete, force):
+    raw_dir, store = os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "store")
+    _two_files(raw_dir, second_complete)
+    res = ingest.ingest(spark, raw_dir, store, os.path.join(tmpdir_path, "log"), min_rows=MIN_ROWS, force=force)
+    assert res.accepted == [202302]
+    assert spark.read.parquet(store).count() == 28 * 48
+    got = {raw_csv.file_name(r[schema.SOURCE_COL]): r["durum"] for r in res.report.collect()}
+    assert got == {"hourly_transportation_202302.csv": ingest.CONVERTED, "hourly_transportation_yedek_202302.csv": ingest.SKIPPED}
+
+
+def test_rejected_first_file_leaves_the_month_to_the_second(spark, tmpdir_path):
+    raw_dir, store = os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "store")
+    write_csv(raw_dir, "202302", month_rows(2023, 2), raw_lines=["2023-02-03,xx,2,RAYLI,LINE X,Normal,5,5,TAM,Tam Kontur,FATIH,M2,S1"])
+    write_csv(raw_dir, "yedek_202302", month_rows(2023, 2, per_hour=3))
+    res = ingest.ingest(spark, raw_dir, store, os.path.join(tmpdir_path, "log"), min_rows=MIN_ROWS)
+    assert res.accepted == [202302] and spark.read.parquet(store).count() == 28 * 72
+    assert spark.read.parquet(store).where("transition_hour is null").count() == 0
+
+
+@pytest.mark.parametrize("second_complete", [False, True])
+def test_stream_lands_one_file_a_month_and_consults_the_log(spark, tmpdir_path, second_complete):
+    from cityrhythm.streaming import ingest_stream
+    raw_dir, store, log = (os.path.join(tmpdir_path, x) for x in ("raw", "store", "log"))
+    _two_files(raw_dir, second_complete)
+
+    def run():
+        ingest_stream.start(spark, raw_dir, store, log, min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "cp")).awaitTermination()
+    run()
+    assert spark.read.parquet(store).count() == 28 * 48
+    write_csv(raw_dir, "zzz_202302", month_rows(2023, 2, per_hour=4))          # a later file of a converted month
+    run()
+    assert spark.read.parquet(store).count() == 28 * 48
+    last = {raw_csv.file_name(r[schema.SOURCE_COL]): r["durum"] for r in ingest.read_log(spark, log).collect()}
+    assert last["hourly_transportation_zzz_202302.csv"] == ingest.SKIPPED
+
+
+def test_stream_skips_months_converted_in_batch(spark, tmpdir_path):
+    from cityrhythm.streaming import ingest_stream
+    raw_dir, store, log = (os.path.join(tmpdir_path, x) for x in ("raw", "store", "log"))
+    write_csv(raw_dir, "202302", month_rows(2023, 2))
+    ingest.ingest(spark, raw_dir, store, log, min_rows=MIN_ROWS)
+    write_csv(raw_dir, "202302", month_rows(2023, 2, per_hour=3))
+    ingest_stream.start(spark, raw_dir, store, log, min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "cp")).awaitTermination()
+    assert spark.read.parquet(store).count() == 28 * 48
+
+
+def test_stream_rejects_foreign_headers_per_file(spark, tmpdir_path):
+    from cityrhythm.streaming import ingest_stream
+    raw_dir, store, log = (os.path.join(tmpdir_path, x) for x in ("raw", "store", "log"))
+    build_months(raw_dir)
+    ingest_stream.start(spark, raw_dir, store, log, min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "cp")).awaitTermination()
+    batch = ingest.ingest(spark, raw_dir, os.path.join(tmpdir_path, "store2"), os.path.join(tmpdir_path, "log2"), min_rows=MIN_ROWS)
+    decided = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in ingest.read_log(spark, log).collect()}
+    assert decided == {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in batch.report.collect()}
+    assert decided[202309] == (ingest.REJECTED, "sema") and decided[202307][0] == ingest.CONVERTED
+    a, b = (spark.read.parquet(os.path.join(tmpdir_path, x)) for x in ("store", "store2"))
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
