@@ -3,6 +3,7 @@
     python -m cityrhythm validate FILE...                 exit 0 = complete, 1 = problem
     python -m cityrhythm autopsy FILE... [--line M2] [--bus-line 25G]
     python -m cityrhythm ingest --raw R --store S [YYYYMM ...] [--force] [--esik N]
+    python -m cityrhythm rollup --store S
     python -m cityrhythm year 2023 --store S --out O
     python -m cityrhythm compare --store S --out O
     python -m cityrhythm special --store S --out O [--year 2023]
@@ -56,6 +57,9 @@ def _parser() -> argparse.ArgumentParser:
             r.add_argument("--boundaries", required=True, help="district boundaries GeoJSON")
         return r
 
+    r = sub.add_parser("rollup", help="bring a store's hourly roll-up up to date")
+    r.add_argument("--store", required=True)
+
     report("year", year=True)
     report("compare")
     report("special").add_argument("--year", type=int, default=2023)
@@ -78,7 +82,14 @@ def _session():
 
 def _lookup(spark, path):
     from cityrhythm.sources.lookup import builtin_lookup, read_lookup
-    return read_lookup(spark, path) if path else builtin_lookup()
+    return read_lookup(spark, path) if path else builtin_lookup(spark)
+
+
+def _print(df, rows=None):
+    """Print all rows of a report (one per file, day, mode or the like); returns them."""
+    rows = df.collect() if rows is None else rows
+    df.sparkSession.createDataFrame(rows, df.schema).show(max(1, len(rows)), truncate=False)
+    return rows
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -88,10 +99,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "validate":
         from cityrhythm.operators import quality
         rep = quality.validate(spark, args.files, args.esik)
-        rep.select("kaynak_dosya", "durum", "nedenler", "satir", "ilk_gun", "son_gun", "gun_sayisi", "ay_gun",
-                   "tam_gun", "kirik_gunler", "town_bos_pct", "hat_bos_pct", "yolcu_bos_pct").show(truncate=False)
-        ok = quality.overall(rep).first()["hepsi_tam"]
-        return 0 if ok else 1
+        # one row per file is fetched, once: the table and the exit code come from it
+        rows = _print(rep.select("kaynak_dosya", "durum", "nedenler", "satir", "ilk_gun", "son_gun", "gun_sayisi", "ay_gun",
+                                 "tam_gun", "kirik_gunler", "town_bos_pct", "hat_bos_pct", "yolcu_bos_pct"))
+        return 0 if all(r["durum"] == quality.COMPLETE for r in rows) else 1
 
     if args.cmd == "autopsy":
         from cityrhythm.operators import autopsy, ingest
@@ -121,14 +132,20 @@ def main(argv: list[str] | None = None) -> int:
             ("blank map by mode", autopsy.null_map(rows)),
         ]:
             print(f"== {title}")
-            df.show(40, truncate=False)
+            _print(df)
         return 0
 
     if args.cmd == "ingest":
         from cityrhythm.operators import ingest
         res = ingest.ingest(spark, args.raw, args.store, args.log or args.store.rstrip("/") + "_log",
                             months=args.months or None, min_rows=args.esik, force=args.force)
-        res.report.orderBy("yilay").show(truncate=False)
+        _print(res.report.orderBy("yilay", "kaynak_dosya"))
+        return 0
+
+    if args.cmd == "rollup":
+        from cityrhythm.plans import rollup
+        path, months = rollup.update(spark, args.store)
+        print(f"{path}: {len(months)} months written {months}")
         return 0
 
     lookup = _lookup(spark, args.lookup)

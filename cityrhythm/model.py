@@ -73,38 +73,12 @@ def _road_type(key: Column) -> Column:
             .otherwise(F.lit(FACADE_ROAD_TYPES[2])))
 
 
-# A code table at most this long is held as a literal map (checked on read).
-MAX_CODE_TABLE_ROWS = 10_000
-
-
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation -> (name, region name) as a DataFrame."""
-    return tables.view(spark, ("geo", sf_dir), lambda: (
-        tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        .join(tables.read(spark, sf_dir, "region").select("r_regionkey", "r_name"),
-              F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", "n_name", "r_name")))
-
-
-def geo_codes(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]] | None:
-    """The nation code table (25 rows in the data), read once per session.
-
-    Returns None when it has more than ``MAX_CODE_TABLE_ROWS`` rows: only
-    ``MAX + 1`` rows are ever fetched to decide, and callers then join the
-    DataFrame instead.
-    """
-    def load():
-        rows = _geo(spark, sf_dir).limit(MAX_CODE_TABLE_ROWS + 1).collect()
-        return None if len(rows) > MAX_CODE_TABLE_ROWS else [tuple(r) for r in rows]
-    cache = tables.session_cache(spark)
-    key = ("geo_codes", sf_dir)
-    if key not in cache:
-        cache[key] = load()
-    return cache[key]
-
-
-def _code_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return (tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+            .join(tables.read(spark, sf_dir, "region").select("r_regionkey", "r_name"),
+                  F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", "n_name", "r_name"))
 
 
 def _with_customer(facts: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,28 +88,17 @@ def _with_customer(facts: DataFrame, key: str, spark: SparkSession, sf_dir: str)
     The fact rows join ``customer`` first (both base relations, so the
     broadcast decision compares real file statistics): customer is broadcast
     only while it is under the threshold, beyond that it is a shuffle join on
-    the key whose hot keys AQE splits. The nation code table is small by
-    construction and checked on read; it is applied as a literal map
-    (no join, no extra broadcast job), or joined when it is unexpectedly large.
+    the key whose hot keys AQE splits. nation and region are joined the same way.
     """
     cust = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    j = facts.join(cust, F.col(key) == F.col("c_custkey"))
-    codes = geo_codes(spark, sf_dir)
-    if codes is not None:
-        nk = F.col("c_nationkey")
-        name = _code_map((k, n) for k, n, _ in codes)[nk]
-        region = _code_map((k, r) for k, _, r in codes)[nk]
-        # inner-join semantics: a customer whose nation is unknown is dropped
-        j = j.where(_code_map((k, True) for k, _, _ in codes)[nk].isNotNull())
-    else:
-        j = j.join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-        name, region = F.col("n_name"), F.col("r_name")
+    j = (facts.join(cust, F.col(key) == F.col("c_custkey"))
+         .join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")))
     seg = F.col("c_mktsegment")
     return j.select(*facts.columns,
                     seg.alias("line_name"),
-                    name.alias("station_poi_desc_cd"),
+                    F.col("n_name").alias("station_poi_desc_cd"),
                     F.when(seg == F.lit(FACADE_M7_SEGMENT), F.lit(None).cast("string"))
-                     .otherwise(region).alias("town"))
+                     .otherwise(F.col("r_name")).alias("town"))
 
 
 def _year_range(col: str, year: int | None) -> Column | None:
@@ -148,12 +111,7 @@ def _year_range(col: str, year: int | None) -> Column | None:
 
 
 def facade_events(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
-    """Facade E: one trip row per event (hourly, one month). Defined once per
-    session like the trips view; each action re-reads the Parquet tables."""
-    return tables.view(spark, ("facade_E", sf_dir, year), lambda: _facade_events(spark, sf_dir, year))
-
-
-def _facade_events(spark: SparkSession, sf_dir: str, year: int | None) -> DataFrame:
+    """Facade E: one trip row per event (hourly, one month)."""
     ev = tables.read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     rng = _year_range("ts", year)
     if rng is not None:
@@ -174,10 +132,6 @@ def _facade_events(spark: SparkSession, sf_dir: str, year: int | None) -> DataFr
 
 def facade_orders(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """Facade O: one trip row per order (daily, multi-year; hour = key % 24)."""
-    return tables.view(spark, ("facade_O", sf_dir, year), lambda: _facade_orders(spark, sf_dir, year))
-
-
-def _facade_orders(spark: SparkSession, sf_dir: str, year: int | None) -> DataFrame:
     od = tables.read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     rng = _year_range("o_orderdate", year)
@@ -203,21 +157,7 @@ def facade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Derived from nation/region; one nation is left out so that some stations
     stay unmatched, as stations missing from the real lookup would.
     """
-    return tables.view(spark, ("lookup", sf_dir), lambda: _facade_lookup(spark, sf_dir))
-
-
-def facade_lookup_codes(spark: SparkSession, sf_dir: str) -> dict[str, str] | DataFrame:
-    """The facade lookup as a checked mapping (station -> district) when the
-    nation code table is small, else as the DataFrame."""
-    codes = geo_codes(spark, sf_dir)
-    if codes is None:
-        return facade_lookup(spark, sf_dir)
-    return {n: r for k, n, r in codes if k != FACADE_UNMATCHED_NATION}
-
-
-def _facade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (tables.read(spark, sf_dir, "nation")
             .where(F.col("n_nationkey") != FACADE_UNMATCHED_NATION)
             .join(tables.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("n_name").alias("istasyon"), F.col("r_name").alias("ilce")))
-

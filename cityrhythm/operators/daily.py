@@ -39,13 +39,14 @@ def moving_avg(trips: DataFrame, by: Sequence[str] = (), days: int = 7) -> DataF
 def anomaly(trips: DataFrame, by: Sequence[str] = (), z_limit: float = dims.ANOMALY_Z) -> DataFrame:
     """Z-score of each day's total against days of the same ISO weekday
     (sample stddev). A zero or undefined stddev gives NULL z, which is neither
-    normal nor anomalous (``anomali`` NULL)."""
+    normal nor anomalous (``anomali`` NULL). ``z`` is rounded to 6 digits,
+    ``z_ham`` is not."""
     d = trips.groupBy(*by, "transition_date", "haftanin_gunu").agg(F.sum(P).alias("yolcu"))
     w = Window.partitionBy(*by, "haftanin_gunu")
     z = F.try_divide(F.col("yolcu") - F.avg("yolcu").over(w), F.stddev_samp("yolcu").over(w))
     return (d.select(*by, "transition_date", "haftanin_gunu", "yolcu", z.alias("_z"))
             .select(*by, "transition_date", "haftanin_gunu", "yolcu",
-                    round_half_away(F.col("_z"), 6).alias("z"),
+                    round_half_away(F.col("_z"), 6).alias("z"), F.col("_z").alias("z_ham"),
                     (F.abs(F.col("_z")) >= F.lit(z_limit)).alias("anomali")))
 
 
@@ -60,14 +61,14 @@ def _special_map(special_days: Mapping) -> tuple[list[dt.date], Column | None]:
 def anomaly_labels(trips: DataFrame, special_days, top: int = dims.ANOMALY_DATE_LABELS,
                    z_limit: float = dims.ANOMALY_Z) -> DataFrame:
     """C11: every anomalous day with its label: the special-day name when known,
-    else the short date text when the day is among the ``top`` largest |z| of
-    all anomalies (ties by date), else NULL.
+    else the short date text when the day is among the ``top`` largest unrounded
+    |z| of all anomalies (ties by date), else NULL.
 
     ``special_days``: a fixed mapping date -> label (applied as a literal map,
     no join) or the special-day DataFrame (tarih, etiket), left joined."""
     an = anomaly(trips, z_limit=z_limit).where(F.col("anomali"))
     # top-k by |z|: TakeOrderedAndProject, at most ``top`` rows come back
-    extreme = (an.orderBy(F.abs("z").desc(), F.col("transition_date").asc()).limit(top)
+    extreme = (an.orderBy(F.abs("z_ham").desc(), F.col("transition_date").asc()).limit(top)
                .select(F.col("transition_date").alias("_x_date"), F.lit(True).alias("_uc")))
     if isinstance(special_days, Mapping):
         _, m = _special_map(special_days)

@@ -3,31 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityrhythm import dims
+from cityrhythm import dims, schema
 
 
 def complete_district(trips: DataFrame, lookup: DataFrame | Mapping[str, str], m7_line: str = dims.M7_LINE,
                       out: str = "ilce") -> DataFrame:
     """``COALESCE(town, lookup.ilce)`` where the lookup applies to line M7 only.
 
-    ``lookup`` is either the checked station -> district code table as a
-    mapping (see :func:`cityrhythm.sources.lookup.read_lookup`), applied as a
-    literal map expression — no join, no shuffle, no broadcast job — or a
-    DataFrame (istasyon, ilce), LEFT joined on station with the left-only
-    predicate ``line_name = m7_line`` in the join condition (Catalyst
-    broadcasts it from its statistics). Either way rows of other lines keep
-    their town and never match, unmatched M7 stations stay NULL, and rows
-    cannot multiply because the key is unique.
+    ``lookup`` is a DataFrame (istasyon, ilce), LEFT joined on station with the
+    left-only predicate ``line_name = m7_line`` in the join condition (Catalyst
+    broadcasts it from its statistics); a mapping is taken as such rows. Rows of
+    other lines keep their town and never match, unmatched M7 stations and NULL
+    stations stay NULL, and rows cannot multiply because the key is unique.
     """
     if isinstance(lookup, Mapping):
-        m = F.create_map(*[F.lit(x) for kv in sorted(lookup.items()) for x in kv]) if lookup else None
-        hit = F.when(F.col("line_name") == F.lit(m7_line), m[F.col("station_poi_desc_cd")]) if m is not None \
-            else F.lit(None).cast("string")
-        return trips.select("*", F.coalesce(F.col("town"), hit).alias(out))
+        lookup = trips.sparkSession.createDataFrame(list(lookup.items()), schema.LOOKUP_SCHEMA)
     lk = lookup.select(F.col("istasyon").alias("_lk_istasyon"), F.col("ilce").alias("_lk_ilce"))
     cond = (F.col("line_name") == F.lit(m7_line)) & (F.col("station_poi_desc_cd") == F.col("_lk_istasyon"))
     joined = trips.join(lk, cond, "left")
@@ -66,6 +61,15 @@ def in_range(col: Column | str, start, end) -> Column:
     return c.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _month(day) -> int:
+    y, m = str(day).split("-")[:2]
+    return int(y) * 100 + int(m)
+
+
 def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
                 normal: str = "normal", out: str = "donem") -> DataFrame:
     """Keep each period year's analysis window minus its holiday range, and
@@ -73,7 +77,9 @@ def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
     Years without a period drop out.
 
     ``periods`` is either the fixed list of :class:`dims.Period` — applied as
-    date-range predicates (no join; the ranges reach the Parquet scan) — or
+    date-range predicates (no join; the windows are also filtered as plain
+    ranges of the date, which reach the Parquet scan, and of year and month,
+    which prune the roll-up's partitions) — or
     the period dimension as a DataFrame, joined on year (broadcast from its
     statistics).
     """
@@ -82,6 +88,10 @@ def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
         periods = list(periods)
         if not periods:
             return trips.where(F.lit(False)).select("*", F.lit(normal).alias(out))
+        # plain ranges of the date, and of year and month, which prune the scan
+        d0 = trips.where(_any(in_range(d, p.window_start, p.window_end) for p in periods))
+        ym = F.col("yil") * 100 + F.col("ay")
+        trips = d0.where(_any(ym.between(_month(p.window_start), _month(p.window_end)) for p in periods))
         keep = label = None
         for p in periods:
             in_year = F.col("yil") == F.lit(p.year)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +65,21 @@ def station_matrix(share: DataFrame) -> DataFrame:
     return pivot_hours(share, "istasyon", "pay", fill=0.0)
 
 
+#: The two results of :func:`cluster_stations`.
+CLUSTER_SCHEMAS = ("kume int, kume_adi string, sira int, boyut long, oran double, profil array<double>, maliyet double",
+                   "istasyon string, kume int, kume_adi string")
+
+
 # --- C16 / C17: station clustering -------------------------------------------
 
 def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42,
-                     max_iter: int = 300, checkpoint: bool = True):
+                     max_iter: int = 300):
     """K-means on the station x hour share matrix; best of ``n_init``
     seeded starts by training cost. C17: clusters named by the ratio of the
     mean profile's evening (16-19) to morning (6-9) share, ascending.
 
-    The matrix (one row per station) is cut from its lineage with a reliable
-    checkpoint in the shared checkpoint folder, so the ``n_init`` fits do not
-    re-run the trip aggregation and survive lost executors.
+    The matrix (one row per station) is persisted, so the ``n_init`` fits do not
+    re-run the trip aggregation; a lost block is computed again.
 
     Returns (clusters, members): clusters = (kume, kume_adi, sira, boyut, oran,
     profil array<double>[24], maliyet = training cost of the chosen start);
@@ -84,24 +89,23 @@ def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int
     from pyspark.ml.feature import VectorAssembler
 
     from cityrhythm.operators.profiles import hour_columns
-    from cityrhythm.session import ensure_checkpoint_dir
 
     hours = hour_columns()
     feats = VectorAssembler(inputCols=hours, outputCol="features").transform(matrix)
     feats = feats.select("istasyon", "features", *hours)
-    if checkpoint:
-        ensure_checkpoint_dir(feats.sparkSession)
-        feats = feats.checkpoint(eager=True)
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+
     def fit(i: int):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
                        predictionCol="kume").fit(feats)
         return model.summary.trainingCost, i, model
 
-    # the starts are independent distributed fits over the small checkpointed
+    # the starts are independent distributed fits over the small persisted
     # matrix; a few run concurrently. The choice is deterministic: least cost,
     # ties to the earlier seed.
     with ThreadPoolExecutor(max_workers=min(4, n_init)) as pool:
         fits = list(pool.map(fit, range(n_init)))
+    feats.unpersist()
     best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
     members = best.transform(feats).select("istasyon", "kume", *hours)
     prof = members.groupBy("kume").agg(F.count(F.lit(1)).alias("boyut"), *[F.avg(h).alias(h) for h in hours])

@@ -16,7 +16,7 @@ from cityrhythm import dims, model
 from cityrhythm.operators import autopsy, cards, daily, districts, enrich, geo, profiles, stations
 from cityrhythm.plans import rollup
 from cityrhythm.plans.oracle_sql import facade_sql
-from cityrhythm.sources.geojson import read_boundaries
+from cityrhythm.sources.geojson import boundaries_of
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,13 @@ def O(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
 
 
 def LK(spark: SparkSession, sf_dir: str):
-    return model.facade_lookup_codes(spark, sf_dir)
+    return model.facade_lookup(spark, sf_dir)
+
+
+def _boundaries(spark: SparkSession) -> DataFrame:
+    """The fixture's few features as literal rows: executors need not have the file."""
+    with open(BOUNDARIES, encoding="utf-8") as f:
+        return boundaries_of(spark, f.read())
 
 
 M7 = model.FACADE_M7_SEGMENT
@@ -220,7 +226,7 @@ ANOMALY_CTES = [
 
 @register("anomaly", "C10", facade_sql("O", "SELECT * FROM za", ANOMALY_CTES))
 def q_anomaly(spark, sf_dir):
-    return daily.anomaly(O(spark, sf_dir))
+    return daily.anomaly(O(spark, sf_dir)).drop("z_ham")
 
 
 def _facade_special(spark):
@@ -344,7 +350,7 @@ FROM bn LEFT JOIN nm ON bn.ilce = nm.ilce""", [
     "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in BOUNDARY_NAMES) + ") v(ad))",
     f"bn AS (SELECT ad, upper(translate(ad, '{dims.TR_FROM}', '{dims.TR_TO}')) AS ilce FROM b)"]))
 def q_map_enrich(spark, sf_dir):
-    return geo.map_enrich(read_boundaries(spark, BOUNDARIES), _night_map(spark, sf_dir))
+    return geo.map_enrich(_boundaries(spark), _night_map(spark, sf_dir))
 
 
 NIGHT_BY_YEAR = f"""nb AS (SELECT yil, ilce,
@@ -410,7 +416,7 @@ def q_pulse_filled(spark, sf_dir):
 
 @register("map_rings", "C32", None, "outer rings of the boundary fixture, alive = in the pulse; rows-only check")
 def q_map_rings(spark, sf_dir):
-    return geo.outer_rings(read_boundaries(spark, BOUNDARIES), _pulse(spark, sf_dir))
+    return geo.outer_rings(_boundaries(spark), _pulse(spark, sf_dir))
 
 
 @register("map_ring_points", "C32", facade_sql("E", f"""
@@ -430,7 +436,7 @@ FROM (
   ) p
 ) r""", PULSE_CTES))
 def q_map_ring_points(spark, sf_dir):
-    return geo.ring_points(geo.outer_rings(read_boundaries(spark, BOUNDARIES), _pulse(spark, sf_dir)))
+    return geo.ring_points(geo.outer_rings(_boundaries(spark), _pulse(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------

@@ -10,10 +10,16 @@ Row-level checks (blank text, NULL counts) keep reading the clean rows.
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+from cityrhythm import schema
+from cityrhythm.functions.calendar import day_type, iso_weekday
 from cityrhythm.model import with_calendar
 from cityrhythm.operators import P, PASSAGE
 
@@ -36,29 +42,90 @@ def hourly_rollup(trips: DataFrame) -> DataFrame:
     return with_calendar(g)
 
 
-def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = True) -> None:
-    """Persist partitioned by year and month (a year scope prunes partitions).
-
-    With ``dynamic`` partition overwrite only the months present in ``rollup``
-    are replaced, so a new month is added without rewriting history; with
-    ``dynamic=False`` the whole table is replaced (scratch tables).
-    """
-    spark = rollup.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if dynamic else "static")
-    cols = STORED
+def write_rollup(rollup: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist partitioned by year and month (a year scope prunes partitions);
+    the table at ``path`` is replaced."""
     # contiguous date ranges per task (bounds sampled, so tasks are balanced):
     # a month is spread over several tasks and each task writes into one or two
     # month folders, instead of every task writing a small file into every month
-    (rollup.select(*cols).repartitionByRange("transition_date", "transition_hour")
-     .write.mode(mode).partitionBy("yil", "ay").option("compression", "zstd").parquet(path))
+    (rollup.select(*STORED).repartitionByRange("transition_date", "transition_hour")
+     .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("yil", "ay")
+     .option("compression", "zstd").parquet(path))
 
 
 def read_rollup(spark: SparkSession, path: str, year: int | None = None,
-                schema: StructType | None = None) -> DataFrame:
-    """Read a written roll-up; pass ``schema`` (e.g. ``stored_schema(rollup)``)
-    so that an empty roll-up (no data files) reads as an empty table."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+                stored: StructType | None = None) -> DataFrame:
+    """Read a written roll-up with the trips columns. ``yil`` and ``ay`` are its
+    partition columns, so conditions on them prune. Pass ``stored`` (e.g.
+    ``stored_schema(rollup)``) so that an empty roll-up (no data files) reads as
+    an empty table."""
+    reader = spark.read.schema(stored) if stored is not None else spark.read
     df = reader.parquet(path)
     if year is not None:
         df = df.where(F.col("yil") == year)
-    return with_calendar(df.drop("yil", "ay"))
+    d = F.col("transition_date")
+    return df.select(*[c for c in STORED if c not in ("yil", "ay")], F.col("yil").cast("int").alias("yil"), F.col("ay").cast("int").alias("ay"),
+                     iso_weekday(d).alias("haftanin_gunu"), day_type(d).alias("gun_tipi"))
+
+
+# --- The kept roll-up of a store ---------------------------------------------
+
+STATE = "yilay int, imza string, zaman timestamp"
+
+
+def kept_path(clean_path: str) -> str:
+    """Where a store's roll-up is kept: beside the store, so each store has its own."""
+    return clean_path.rstrip("/") + "_rollup"
+
+
+def month_signatures(spark: SparkSession, clean_path: str) -> dict[int, str]:
+    """Per source month of the store, its files' names, sizes and times in one
+    hash (from file metadata; no column is read)."""
+    m = F.col("_metadata")
+    files = (spark.read.parquet(clean_path)
+             .select(schema.PERIOD_COL, m["file_name"].alias("f"), m["file_size"].alias("s"), m["file_modification_time"].alias("t")).distinct())
+    rows = files.groupBy(schema.PERIOD_COL).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("f", "s", "t")))), 256).alias("imza")).collect()
+    return {r[schema.PERIOD_COL]: r["imza"] for r in rows}
+
+
+def _state(spark: SparkSession, path: str) -> dict[int, str]:
+    try:
+        log = spark.read.schema(STATE).parquet(path + "_log")
+    except AnalysisException:
+        return {}
+    rows = log.groupBy("yilay").agg(F.max_by("imza", "zaman").alias("imza")).collect()       # one row a month
+    return {r["yilay"]: r["imza"] for r in rows}
+
+
+def update(spark: SparkSession, clean_path: str, path: str | None = None) -> tuple[str, list[int]]:
+    """Bring the kept roll-up up to date: months of the store that are new or
+    changed since their roll-up are aggregated again, all others are left alone.
+    Returns its path and the months written. The table is partitioned by source
+    month, then year and month of the date."""
+    path = path or kept_path(clean_path)
+    have, now = _state(spark, path), month_signatures(spark, clean_path)
+    todo = sorted(m for m, s in now.items() if have.get(m) != s)
+    for m in todo:
+        rows = with_calendar(spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == m))
+        write_rollup(hourly_rollup(rows), f"{path}/{schema.PERIOD_COL}={m}")
+    if todo:
+        (spark.createDataFrame([(m, now[m], dt.datetime.now()) for m in todo], STATE).coalesce(1)
+         .write.mode("append").parquet(path + "_log"))
+    return path, todo
+
+
+def kept_schema() -> StructType:
+    return T.StructType([*[f for f in schema.CLEAN_SCHEMA.fields if f.name in KEYS], T.StructField(P, T.LongType()),
+                         T.StructField(PASSAGE, T.LongType()), T.StructField("satir", T.LongType()), T.StructField("farkli_satir", T.LongType()),
+                         T.StructField(schema.PERIOD_COL, T.IntegerType()), T.StructField("yil", T.IntegerType()), T.StructField("ay", T.IntegerType())])
+
+
+def kept(spark: SparkSession, clean_path: str, year: int | None = None) -> DataFrame:
+    """The up-to-date roll-up of a store, optionally of one year of source months
+    (like :func:`cityrhythm.model.trips`)."""
+    path, _ = update(spark, clean_path)
+    df = spark.read.schema(kept_schema()).parquet(path)
+    if year is not None:
+        df = df.where(F.col(schema.PERIOD_COL).between(year * 100 + 1, year * 100 + 12))
+    d = F.col("transition_date")
+    return df.select(*[c for c in STORED if c not in ("yil", "ay")], "yil", "ay", iso_weekday(d).alias("haftanin_gunu"), day_type(d).alias("gun_tipi"))

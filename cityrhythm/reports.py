@@ -14,9 +14,9 @@ Parquet tables (one folder per table) instead of charts.
   colour-scale position (C29-C31)
 * :func:`pulse_map`      — normalised district pulse, frames, outer rings (C19, C20, C32)
 
-With ``rollup=True`` the scoped trips are first aggregated to the hourly
-roll-up and written once to the shared checkpoint folder; every analytical
-table then reads that (much smaller) table instead of re-scanning the rows.
+With ``use_rollup=True`` the reports read the store's hourly roll-up, kept
+beside the store (``<store>_rollup``, see ``plans.rollup``): months that are new
+or changed are aggregated first, all others are read as they are.
 """
 
 from __future__ import annotations
@@ -30,18 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cityrhythm import dims, model
 from cityrhythm.operators import cards, daily, districts, enrich, geo, profiles, stations
 from cityrhythm.plans import rollup as rollup_plan
-from cityrhythm.session import work_path
 from cityrhythm.sources.geojson import read_boundaries
 
 
-def _scope(spark: SparkSession, clean_path: str, year: int | None, use_rollup: bool, tag: str) -> DataFrame:
-    t = model.trips(spark, clean_path, year)
-    if not use_rollup:
-        return t
-    path = work_path(spark, f"rollup/{tag}")
-    r = rollup_plan.hourly_rollup(t)
-    rollup_plan.write_rollup(r, path, dynamic=False)
-    return rollup_plan.read_rollup(spark, path, schema=rollup_plan.stored_schema(r))
+def _scope(spark: SparkSession, clean_path: str, year: int | None, use_rollup: bool) -> DataFrame:
+    """The trips of the scope: rows, or the store's kept roll-up, of which only
+    months that changed are aggregated anew."""
+    return rollup_plan.kept(spark, clean_path, year) if use_rollup else model.trips(spark, clean_path, year)
 
 
 def _write(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
@@ -62,7 +57,7 @@ def year_report(spark: SparkSession, clean_path: str, year: int, out_dir: str,
                 lookup: DataFrame | Mapping[str, str], domain: dims.Domain = dims.REAL,
                 use_rollup: bool = True, clusters: bool = True) -> dict[str, str]:
     """The year figures. Raises when the year has no data."""
-    t = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
+    t = _scope(spark, clean_path, year, use_rollup)
     if t.limit(1).count() == 0:
         raise ValueError(f"no data for {year}")
     sd = dims.special_days_map(domain.special_days, domain.series_labels, year=year)
@@ -87,9 +82,10 @@ def year_report(spark: SparkSession, clean_path: str, year: int, out_dir: str,
     paths = _write(out, out_dir)
     if clusters:
         matrix = spark.read.parquet(paths["istasyon_matrisi"])
-        if matrix.limit(4).count() >= 4:
-            kume, uyeler = stations.cluster_stations(matrix)
-            paths.update(_write({"istasyon_kumeleri": kume, "istasyon_kume_uyeleri": uyeler}, out_dir))
+        # with fewer stations than clusters there are as many clusters as distinct stations, and with none no rows
+        kume, uyeler = (spark.createDataFrame([], t) for t in stations.CLUSTER_SCHEMAS) if matrix.isEmpty() else \
+            stations.cluster_stations(matrix)
+        paths.update(_write({"istasyon_kumeleri": kume, "istasyon_kume_uyeleri": uyeler}, out_dir))
     return paths
 
 
@@ -97,7 +93,7 @@ def compare_years(spark: SparkSession, clean_path: str, out_dir: str,
                   lookup: DataFrame | Mapping[str, str], domain: dims.Domain = dims.REAL,
                   use_rollup: bool = True) -> dict[str, str]:
     """The comparison across all years; at least two years are required."""
-    t = _scope(spark, clean_path, None, use_rollup, "all_years")
+    t = _scope(spark, clean_path, None, use_rollup)
     enrich.require_years(t, 2)
     out = {
         "yil_kapsami": enrich.year_coverage(t),
@@ -116,8 +112,8 @@ def special_report(spark: SparkSession, clean_path: str, out_dir: str, year: int
 
     ``strict`` raises when an evening hour of a period year has no lift value
     (the chart's fixed 20..05 order cannot be drawn with a gap)."""
-    y = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
-    allt = _scope(spark, clean_path, None, use_rollup, "all_years")
+    y = _scope(spark, clean_path, year, use_rollup)
+    allt = _scope(spark, clean_path, None, use_rollup)
     periods = list(domain.ramadan)
     lift = cards.period_lift(allt, periods)
     out = {
@@ -136,7 +132,7 @@ def special_report(spark: SparkSession, clean_path: str, out_dir: str, year: int
 def night_map(spark: SparkSession, clean_path: str, year: int, boundaries_path: str, out_dir: str,
               lookup: DataFrame | Mapping[str, str], domain: dims.Domain = dims.REAL,
               use_rollup: bool = True, min_total: int = dims.NIGHT_MAP_MIN_TOTAL) -> dict[str, str]:
-    t = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
+    t = _scope(spark, clean_path, year, use_rollup)
     idx = districts.night_map_index(t, lookup, min_total, rail=domain.rail, m7_line=domain.m7_line)
     b = read_boundaries(spark, boundaries_path)
     return _write({"gece_endeksi": idx, "harita": geo.map_enrich(b, idx),
@@ -146,7 +142,7 @@ def night_map(spark: SparkSession, clean_path: str, year: int, boundaries_path:
 def pulse_map(spark: SparkSession, clean_path: str, year: int, boundaries_path: str, out_dir: str,
               lookup: DataFrame | Mapping[str, str], domain: dims.Domain = dims.REAL,
               use_rollup: bool = True, min_total: int = dims.PULSE_MIN_TOTAL) -> dict[str, str]:
-    t = _scope(spark, clean_path, year, use_rollup, f"year_{year}")
+    t = _scope(spark, clean_path, year, use_rollup)
     p = districts.pulse(t, lookup, min_total, rail=domain.rail, m7_line=domain.m7_line)
     b = read_boundaries(spark, boundaries_path)
     return _write({"nabiz": p, "kareler": districts.pulse_frames(p),

@@ -100,7 +100,7 @@ def cluster_sizing(input_bytes: int, total_cores: int) -> dict[str, str]:
     """
     mb = 1024 * 1024
     split = min(max(input_bytes // max(3 * total_cores, 1), 128 * mb), 1024 * mb)
-    parts = max(total_cores, min(input_bytes // (256 * mb), 200_000))
+    parts = max(total_cores, input_bytes // (256 * mb))
     return {
         "spark.sql.files.maxPartitionBytes": str(int(split)),
         "spark.sql.shuffle.partitions": str(int(parts)),

@@ -29,8 +29,19 @@ MULTIPOLYGON = f"array<{POLYGON}>"
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: (ad, geometri, koordinat) — name, geometry type, raw coordinates."""
-    fc = spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+    """One row per feature: (ad, geometri, koordinat) — name, geometry type, raw coordinates.
+
+    One task reads a file, which holds a city's few dozen districts."""
+    return _features(spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path))
+
+
+def boundaries_of(spark: SparkSession, text: str) -> DataFrame:
+    """The same from a GeoJSON text that the driver has."""
+    fc = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", FEATURE_COLLECTION).alias("c")).select("c.*")
+    return _features(fc)
+
+
+def _features(fc: DataFrame) -> DataFrame:
     return (fc.select(F.explode("features").alias("f"))
             .select(F.col("f.properties.name").alias("ad"),
                     F.col("f.geometry.type").alias("geometri"),

@@ -5,36 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityrhythm import schema
-
-MAX_ROWS = 10_000
+from cityrhythm import dims, schema
 
 
 def lookup_df(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LOOKUP_SCHEMA).option("header", True).csv(path)
 
 
-def builtin_lookup() -> dict[str, str]:
+def builtin_lookup(spark: SparkSession) -> DataFrame:
     """The M7 station table shipped with the engine (``dims.M7_STATION_DISTRICT``)."""
-    from cityrhythm.dims import M7_STATION_DISTRICT
-    return dict(M7_STATION_DISTRICT)
-
-
-def read_lookup(spark: SparkSession, path: str, max_rows: int = MAX_ROWS) -> dict[str, str] | DataFrame:
-    """The lookup as a mapping when it has at most ``max_rows`` rows (only
-    ``max_rows + 1`` rows are fetched to decide), else as a DataFrame to be
-    joined. A repeated station would multiply trip rows in a join and is
-    rejected."""
-    df = lookup_df(spark, path)
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        dup = df.groupBy("istasyon").count().where(F.col("count") > 1).limit(1).collect()
-        if dup:
-            raise ValueError(f"lookup key not unique: {dup[0]['istasyon']!r}")
-        return df
-    out: dict[str, str] = {}
-    for r in rows:
-        if r["istasyon"] in out:
-            raise ValueError(f"lookup key not unique: {r['istasyon']!r}")
-        out[r["istasyon"]] = r["ilce"]
-    return out
+    return spark.createDataFrame(list(dims.M7_STATION_DISTRICT.items()), schema.LOOKUP_SCHEMA)
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """The lookup as a relation to be joined, whatever its size. Rows without a
+    station match nothing and are left out; a repeated station would multiply
+    trip rows in the join and is rejected."""
+    df = lookup_df(spark, path).where(F.col("istasyon").isNotNull())
+    dup = df.groupBy("istasyon").count().where(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"lookup key not unique: {dup[0]['istasyon']!r}")
+    return df

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -17,44 +13,7 @@ def path(sf_dir: str, name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a lazy relation, registered once per session as a
-    temporary view (like a catalog table): the file listing and footer schema
-    are resolved on first use and reused; every action still scans the Parquet
-    data."""
+    """The table as a lazy relation; every call lists the files anew."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return view(spark, ("table", sf_dir.rstrip("/"), name), lambda: spark.read.parquet(path(sf_dir, name)))
-
-
-VIEW_PREFIX = "cityrhythm_"
-
-
-def view_name(key: tuple) -> str:
-    kind = re.sub(r"[^a-z0-9]+", "_", str(key[0]).lower())
-    return f"{VIEW_PREFIX}{kind}_{hashlib.sha1(repr(key).encode()).hexdigest()[:12]}"
-
-
-def view(spark: SparkSession, key: tuple, define) -> DataFrame:
-    """Session-scoped named relation: ``define()`` builds the lazy DataFrame
-    the first time and registers it as a temporary view; later calls read the
-    view (``spark.table``) instead of re-listing files and re-analysing."""
-    name = view_name(key)
-    if not spark.catalog.tableExists(name):
-        define().createOrReplaceTempView(name)
-    return spark.table(name)
-
-
-def forget(spark: SparkSession) -> None:
-    """Drop the engine's temporary views and cached code tables (e.g. after files changed)."""
-    for t in spark.catalog.listTables():
-        if t.isTemporary and t.name.startswith(VIEW_PREFIX):
-            spark.catalog.dropTempView(t.name)
-    session_cache(spark).clear()
-
-
-_CACHES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def session_cache(spark: SparkSession) -> dict:
-    """Small per-session Python values (checked code tables), dropped with the session."""
-    return _CACHES.setdefault(spark, {})
+    return spark.read.parquet(path(sf_dir, name))

@@ -33,7 +33,7 @@ def store(spark, tmp_path_factory):
 def test_year_report_tables(spark, store, use_rollup):
     base, clean = store
     out = os.path.join(base, f"year_{use_rollup}")
-    paths = reports.year_report(spark, clean, 2023, out, builtin_lookup(), use_rollup=use_rollup, clusters=False)
+    paths = reports.year_report(spark, clean, 2023, out, builtin_lookup(spark), use_rollup=use_rollup, clusters=False)
     hp = spark.read.parquet(paths["saatlik_profil"])
     direct = profiles.hourly_profile(model.trips(spark, clean, 2023))
     assert sorted(map(tuple, hp.collect())) == sorted(map(tuple, direct.collect()))
@@ -42,12 +42,12 @@ def test_year_report_tables(spark, store, use_rollup):
     assert spark.read.parquet(paths["saatlik_degisim"]).count() == 24
     assert sorted(r["ay"] for r in spark.read.parquet(paths["mevsimsel_ritim"]).collect()) == [2, 3]
     with pytest.raises(ValueError):
-        reports.year_report(spark, clean, 2019, os.path.join(base, "none"), builtin_lookup())
+        reports.year_report(spark, clean, 2019, os.path.join(base, "none"), builtin_lookup(spark))
 
 
 def test_compare_special_and_maps(spark, store):
     base, clean = store
-    cy = reports.compare_years(spark, clean, os.path.join(base, "cmp"), builtin_lookup())
+    cy = reports.compare_years(spark, clean, os.path.join(base, "cmp"), builtin_lookup(spark))
     cov = {r["yil"]: (r["ay_sayisi"], r["kismi"]) for r in spark.read.parquet(cy["yil_kapsami"]).collect()}
     assert cov == {2022: (1, True), 2023: (2, True)}
     mv = {(r["yil"], r["ay"]): r["ort_gunluk"] for r in spark.read.parquet(cy["aylik_hacim"]).collect()}
@@ -58,11 +58,11 @@ def test_compare_special_and_maps(spark, store):
     with pytest.raises(KeyError):          # the fixture has no Ramadan-period data
         reports.special_report(spark, clean, os.path.join(base, "special_strict"), year=2023, strict=True)
     assert spark.read.parquet(sp["ramazan_gece_sirasi"]).count() == 20
-    nm = reports.night_map(spark, clean, 2023, registry.BOUNDARIES, os.path.join(base, "map"), builtin_lookup(),
+    nm = reports.night_map(spark, clean, 2023, registry.BOUNDARIES, os.path.join(base, "map"), builtin_lookup(spark),
                            min_total=0)
     assert spark.read.parquet(nm["harita"]).count() == 4
     assert [r["ilce"] for r in spark.read.parquet(nm["gece_endeksi"]).collect()] == ["FATIH"]
-    pm = reports.pulse_map(spark, clean, 2023, registry.BOUNDARIES, os.path.join(base, "gif"), builtin_lookup(),
+    pm = reports.pulse_map(spark, clean, 2023, registry.BOUNDARIES, os.path.join(base, "gif"), builtin_lookup(spark),
                            min_total=0)
     frames = spark.read.parquet(pm["kareler"])
     assert frames.count() == 24 and frames.agg(F.max("nabiz")).first()[0] == 1.0
@@ -102,3 +102,27 @@ def test_trips_view_for_sql_users(spark, store):
     want = profiles.hourly_profile(model.trips(spark, clean, 2023))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert spark.sql("SELECT COUNT(*) FROM yolculuk WHERE yil = 2022").first()[0] == 0
+
+
+def test_kept_rollup_is_updated_by_month_and_prunes(spark, tmp_path):
+    from cityrhythm.plans import rollup
+    from cityrhythm.plans.inspect import formatted_plan
+    raw_dir, clean, log = (str(tmp_path / x) for x in ("raw", "store", "log"))
+    for m in (1, 2):
+        write_csv(raw_dir, f"20230{m}", month_rows(2023, m))
+    ingest.ingest(spark, raw_dir, clean, log, min_rows=MIN_ROWS)
+    path, first = rollup.update(spark, clean)
+    assert path == clean + "_rollup" and first == [202301, 202302]
+    assert rollup.update(spark, clean)[1] == []
+    write_csv(raw_dir, "202203", month_rows(2022, 3))
+    ingest.ingest(spark, raw_dir, clean, log, min_rows=MIN_ROWS)
+    assert rollup.update(spark, clean)[1] == [202203]
+    rows, kept = model.trips(spark, clean), rollup.kept(spark, clean)
+    total = "sum(number_of_passenger)", "min(transition_date)", "max(transition_date)"
+    assert kept.selectExpr(*total).first() == rows.selectExpr(*total).first()
+    assert kept.selectExpr("sum(satir)").first()[0] == rows.count()
+    p = formatted_plan(rollup.kept(spark, clean, 2022))
+    assert "PartitionFilters" in p and "yilay" in p.split("PartitionFilters")[1].split("\n")[0]
+    p = formatted_plan(kept.where("yil = 2022 and ay = 3"))
+    assert "yil" in p.split("PartitionFilters")[1].split("\n")[0]
+    assert kept.where("yil = 2022").count() == 31 * 24
