@@ -110,6 +110,11 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
         for c in ("satir", "gun_sayisi", "ay_gun", "kirik_gun", "yolcu_bos", "tarihsiz_satir", "town_bos", "hat_bos",
                   "bozuk_satir"):
             out = out.withColumn(c, F.lit(None).cast("long"))
+    return verdict(out)
+
+
+def verdict(out: DataFrame) -> DataFrame:
+    """Reasons and decision from a file's header flags and :func:`file_stats`."""
     reasons = F.array_compact(F.array(
         F.when(~F.col("sema_ok"), F.lit("sema")),
         F.when(F.col("adla_okunur") & (F.coalesce(F.col("satir"), F.lit(0)) == 0), F.lit("bos_dosya")),

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityrhythm import dims, model
-from cityrhythm.operators import autopsy, cards, daily, districts, enrich, geo, profiles, stations
+from cityrhythm.operators import autopsy, cards, daily, districts, enrich, geo, ingest, profiles, quality, stations
 from cityrhythm.plans import rollup
 from cityrhythm.plans.oracle_sql import facade_sql
+from cityrhythm.sources import raw_csv
 from cityrhythm.sources.geojson import boundaries_of
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -648,6 +649,95 @@ def q_hourly_profile_rollup(spark, sf_dir):
     return profiles.hourly_profile(rollup.hourly_rollup(E(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------------------
+# A2 / A6 / A7 / D1 / D4 / D6 — the raw file's text columns, cleaned and judged
+# ---------------------------------------------------------------------------
+
+def _raw(t: DataFrame) -> DataFrame:
+    """A facade's trips as the text columns of a raw file: hours of two digits,
+    some texts blank or padded, some passenger counts missing (by the passage count)."""
+    k = F.col("number_of_passage") % 5
+
+    def padded(c: str):
+        return F.when(k == 0, F.lit("  ")).when(k == 1, F.concat(F.lit(" "), F.col(c), F.lit(" "))).otherwise(F.col(c))
+    return t.select(
+        F.col("transition_date").cast("string").alias("transition_date"),
+        F.lpad(F.col("transition_hour").cast("string"), 2, "0").alias("transition_hour"),
+        F.when(F.col("road_type") == "OTOYOL", "1").when(F.col("road_type") == "RAYLI", "2").otherwise("3").alias("transport_type_id"),
+        "road_type", padded("line_name").alias("line"), F.lit("Normal").alias("transfer_type"),
+        F.col("number_of_passage").cast("string").alias("number_of_passage"),
+        F.when(k != 2, F.col("number_of_passenger").cast("string")).alias("number_of_passenger"),
+        "product_kind", F.lit(" Tam ").alias("transaction_type_desc"), padded("town").alias("town"),
+        padded("line_name").alias("line_name"), padded("station_poi_desc_cd").alias("station_poi_desc_cd"))
+
+
+_PAD = "CASE number_of_passage % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || {0} || ' ' ELSE {0} END"
+_TRIMMED = "NULLIF(TRIM(" + _PAD + "), '')"
+RAW_SQL = f"""raw AS (
+  SELECT transition_date, transition_hour,
+         CAST(CASE road_type WHEN 'OTOYOL' THEN 1 WHEN 'RAYLI' THEN 2 ELSE 3 END AS TINYINT) AS transport_type_id,
+         road_type, {_TRIMMED.format('line_name')} AS line, 'Normal' AS transfer_type,
+         CAST(number_of_passage AS INTEGER) AS number_of_passage,
+         CAST(CASE WHEN number_of_passage % 5 <> 2 THEN number_of_passenger END AS INTEGER) AS number_of_passenger,
+         product_kind, ' Tam ' AS transaction_type_desc, {_TRIMMED.format('town')} AS town,
+         {_TRIMMED.format('line_name')} AS line_name, {_TRIMMED.format('station_poi_desc_cd')} AS station_poi_desc_cd, yil, ay
+  FROM trips)"""
+
+
+@register("clean_rows", "A2", facade_sql("E", "SELECT * EXCLUDE (yil, ay) FROM raw", [RAW_SQL]), "E as raw text, cleaned")
+def q_clean_rows(spark, sf_dir):
+    return ingest.clean(_raw(E(spark, sf_dir)))
+
+
+@register("row_count", "D1", facade_sql("E", "SELECT COUNT(*) AS satir_sayisi FROM trips"), "E")
+def q_row_count(spark, sf_dir):
+    return autopsy.overview(E(spark, sf_dir))[0]
+
+
+@register("mode_map_with_id", "D4", facade_sql("E", """
+SELECT transport_type_id, road_type, COUNT(*) AS satir, CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM raw GROUP BY 1, 2""",
+                                               [RAW_SQL]), "E as raw text, cleaned")
+def q_mode_map_with_id(spark, sf_dir):
+    return autopsy.mode_map(ingest.clean(_raw(E(spark, sf_dir))), with_id=True)
+
+
+@register("line_towns", "D6", facade_sql("E", f"""
+SELECT line_name, line, town, COUNT(*) AS satir FROM raw WHERE line_name = '{FACADE_LINE}' GROUP BY 1, 2, 3""", [RAW_SQL]),
+          "E as raw text, cleaned; line BUILDING")
+def q_line_towns(spark, sf_dir):
+    return autopsy.line_towns(ingest.clean(_raw(E(spark, sf_dir))), FACADE_LINE)
+
+
+FACADE_VERDICT_MIN_ROWS = 25
+VERDICT_CTES = [RAW_SQL, f"""per_day AS (
+  SELECT yil * 100 + ay AS donem, transition_date AS d, COUNT(DISTINCT transition_hour) AS saat, COUNT(*) AS satir,
+         SUM(CASE WHEN town IS NULL THEN 1 ELSE 0 END) AS town_bos, SUM(CASE WHEN line_name IS NULL THEN 1 ELSE 0 END) AS hat_bos,
+         SUM(CASE WHEN number_of_passenger IS NULL THEN 1 ELSE 0 END) AS yolcu_bos
+  FROM raw GROUP BY 1, 2)""", f"""per_month AS (
+  SELECT donem, CAST(SUM(satir) AS BIGINT) AS satir, MIN(d) AS ilk_gun, MAX(d) AS son_gun, COUNT(*) AS gun_sayisi,
+         CAST(day(last_day(MIN(d))) AS INTEGER) AS ay_gun,
+         COUNT(*) FILTER (WHERE saat = 24 AND satir >= {FACADE_VERDICT_MIN_ROWS}) AS tam_gun,
+         COUNT(*) FILTER (WHERE saat < 24 OR satir < {FACADE_VERDICT_MIN_ROWS}) AS kirik_gun,
+         CAST(SUM(town_bos) AS BIGINT) AS town_bos, CAST(SUM(hat_bos) AS BIGINT) AS hat_bos, CAST(SUM(yolcu_bos) AS BIGINT) AS yolcu_bos
+  FROM per_day GROUP BY 1)""", """judged AS (
+  SELECT *, array_to_string(list_filter([CASE WHEN gun_sayisi < ay_gun THEN 'eksik_gun' END, CASE WHEN kirik_gun > 0 THEN 'kirik_gun' END,
+         CASE WHEN yolcu_bos > 0 THEN 'null_yolcu' END], lambda x: x IS NOT NULL), ',') AS nedenler FROM per_month)"""]
+
+
+@register("month_verdict", "A7", facade_sql("O", f"""
+SELECT CAST(donem AS VARCHAR) AS donem, satir, ilk_gun, son_gun, gun_sayisi, ay_gun, tam_gun, kirik_gun, town_bos, hat_bos, yolcu_bos,
+       nedenler, CASE WHEN nedenler = '' THEN '{quality.COMPLETE}' ELSE '{quality.PROBLEM}' END AS durum FROM judged""", VERDICT_CTES),
+          "O as raw text, a file for each month; 25 rows a day")
+def q_month_verdict(spark, sf_dir):
+    t = O(spark, sf_dir)
+    rows = _raw(t.where(F.col("transition_date").isNotNull()))
+    month = F.date_format(F.col("transition_date").cast("date"), "yyyyMM").alias(raw_csv.FILE_NAME)
+    stats = quality.file_stats(rows.select("*", month), FACADE_VERDICT_MIN_ROWS)
+    out = quality.verdict(stats.withColumns({"sema_ok": F.lit(True), "adla_okunur": F.lit(True)}))
+    return out.select(F.col(raw_csv.FILE_NAME).alias("donem"), "satir", "ilk_gun", "son_gun", "gun_sayisi", "ay_gun", "tam_gun", "kirik_gun",
+                      "town_bos", "hat_bos", "yolcu_bos", F.array_join("nedenler", ",").alias("nedenler"), "durum")
+
+
 # Facade and parameters per query (FIXTURES.md §4), shown in QUERIES.md.
 _NOTES = {
     "rows_E": "E; year 2024 (timestamp range pushed to the scan)",
