@@ -21,7 +21,7 @@ def ready(spark: SparkSession) -> None:
         if ROOT not in paths:
             sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     # texts may be very long: a batch for Python is bounded by bytes, not by rows alone
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
