@@ -27,7 +27,7 @@ def main() -> None:
     ids = sorted({i for spec in REGISTRY.values() for i in spec.survey_id.split(",")},
                  key=lambda i: (i[0], int(re.sub(r"\D", "", i) or 0)))
     print(f"\nSURVEY ids covered by registered queries: {', '.join(ids)}.")
-    print("IDs not expressible on the driver tables (A1-A3, A7, A9-A13, D1) are covered by fixture tests; "
+    print("IDs not expressible on the driver tables (A1, A3, A9-A13) are covered by fixture tests; "
           "see README.md.")
 
 
