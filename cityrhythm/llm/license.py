@@ -9,7 +9,7 @@ confirmed, or not, by the exact differences in wording.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,10 @@ class Templates:
             _, _, h, first = tx.words(buf, np.array([0, len(buf)]), tx.ALNUM)
             triples.append(tx.shingles(h, first, 3, short=False)[0])
         self.triples = np.unique(np.concatenate(triples)) if triples else np.zeros(0, np.uint64)
-        self.longest = 2 * max((len(w) for w in self.words.values()), default=1)
+        longest = max((len(w) for w in self.words.values()), default=1)
+        #: Words of a part; from a part's start, notices that begin among so many words lie in it whole.
+        self.longest = 2 * longest
+        self.whole = self.longest - int(longest / (1 - MOST_OTHER))
 
     def judge(self, words: list[str]) -> tuple:
         """The block's best finalist: place and size of the passage that is compared with it, then the rest of a row.
@@ -119,13 +122,32 @@ class Templates:
         return sorted(out) or [first][:bool(first)]
 
 
-def blocks(at: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
-    """Word ranges from the word indices of hits (triples), cut where longer than ``longest``."""
-    cuts = np.flatnonzero(np.diff(at) > GAP) + 1
-    for part in np.split(at, cuts):
-        a, b = int(part[0]), int(part[-1]) + 3
-        for i in range(a, b, longest):
-            yield i, min(i + longest, b)
+def blocks(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Word ranges from the word indices of hits (triples)."""
+    for part in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
+        yield int(part[0]), int(part[-1]) + 3
+
+
+def walk(n: int, t: Templates, notices: Callable[[int, int], list[tuple]]) -> list[tuple]:
+    """Rows of a block of ``n`` words, places from its start; ``notices`` gives those of a range of it.
+
+    A longer block is taken in parts that overlap by the largest passage that can be confirmed. A confirmed
+    passage is taken from the part in whose first words it starts, and the next part goes on behind it. A part of
+    the block, end to end, that no confirmed passage reaches into gives its best finalist.
+    """
+    if n <= t.longest:
+        return notices(0, n)
+    out, at = [], 0
+    while at < n:
+        end = min(at + t.longest, n)
+        own = [(at + r[0], *r[1:]) for r in notices(at, end) if r[-1] and (end == n or r[0] < t.whole)]
+        out += own
+        at = n if end == n else max([at + t.whole, *(r[0] + r[1] for r in own)])
+    reached = {k for r in out for k in range(r[0] // t.longest, (r[0] + r[1] - 1) // t.longest + 1)}
+    for a in range(0, n, t.longest):
+        if a // t.longest not in reached:
+            out += [(a + r[0], *r[1:]) for r in notices(a, min(a + t.longest, n))]
+    return sorted(out)
 
 
 def _scan(texts: Mapping[str, str]):
@@ -140,13 +162,16 @@ def _scan(texts: Mapping[str, str]):
                 at = at[t.triples[k] == triples] if len(t.triples) else at[:0]
                 owner = np.searchsorted(first, at, "right") - 1
                 for r in np.unique(owner).tolist():
-                    for a, b in blocks(at[owner == r], t.longest):
-                        words = tuple(tx._LOWER[buf[x:y]].tobytes().decode("utf-8", "replace") for x, y in zip(s[a:b].tolist(), e[a:b].tolist()))
-                        if words not in seen:
-                            if len(seen) > 10_000:
-                                seen.clear()
-                            seen[words] = t.notices(list(words))
-                        for found in seen[words]:
+                    for a, b in blocks(at[owner == r]):
+                        def notices(i, j, a=a):
+                            words = tuple(tx._LOWER[buf[x:y]].tobytes().decode("utf-8", "replace") for x, y in zip(s[a + i:a + j].tolist(), e[a + i:a + j].tolist()))
+                            if words not in seen:
+                                if len(seen) > 10_000:
+                                    seen.clear()
+                                seen[words] = t.notices(list(words))
+                            return seen[words]
+
+                        for found in walk(b - a, t, notices):
                             at_row.append(row + r)
                             rows.append((a - int(first[r]) + found[0], *found[1:]))
             at_row = pa.array(at_row, pa.int64())
@@ -170,8 +195,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     size saved; ties go to the name that sorts first. ``found`` and ``missing``
     count its words, ``other`` the passage's words that are none of it, and
     ``differences`` lists them (- missing, + other). A block longer than twice
-    the longest template is taken in parts of that length. Null and empty texts
-    give no rows; rows that are repeated give theirs again.
+    the longest template is taken in parts of that length, which overlap so that
+    each notice lies whole in one; every such length of it that no confirmed
+    notice reaches into gives an unconfirmed row. Null and empty texts give no
+    rows; rows that are repeated give theirs again.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["id"].dataType.simpleString()

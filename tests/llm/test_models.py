@@ -175,6 +175,19 @@ def test_licences(spark, odd, no_docs):
     assert license.scan(docs, templates={}).count() == 0
 
 
+def test_adjacent_licences(spark):
+    """Blocks longer than a part lose no notice where they are cut."""
+    seps = [" Copyright 2020 Jane Doe ", " "]
+    docs = [(i, k, sep.join([v] * 60)) for i, ((k, v), sep) in enumerate((x, y) for x in license.TEMPLATES.items() for y in seps)]
+    got = {}
+    for r in license.scan(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")).where("confirmed").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, k, _ in docs:
+        rows = sorted(got[i], key=lambda r: r.start)
+        assert [r.template for r in rows] == [k] * 60 and not any(r.missing or r.other for r in rows)
+        assert len({b.start - a.start for a, b in zip(rows, rows[1:])}) == 1
+
+
 @pytest.mark.parametrize("share", [[1, 2, 3, 4], [5, 5], [1, 99], [7] * 13, [1], [3, 1, 1, 2, 57]])
 def test_schedule_deviates_by_less_than_a_block(share):
     period, had = sum(share), [0] * len(share)
