@@ -2,13 +2,14 @@
 
 Passages that share word triples with a template are candidate blocks. Each is
 compressed alone and with every template as a raw Zstandard dictionary; the
-templates are ranked by how much of the size they save, and the best ones are
+templates are ranked by how much of the size they save, and in that order
 confirmed, or not, by the exact differences in wording.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: Hits at most so many words apart are of one block; templates that are compared word by word.
-GAP, FINALISTS = 8, 3
+#: Hits at most so many words apart are of one block.
+GAP = 8
 #: Share of a template's words that must be there, and of a block's words that may be none of it.
 LEAST_FOUND, MOST_OTHER = 0.8, 0.3
 LEVEL = 19
@@ -64,11 +65,48 @@ def word_list(text: bytes) -> list[str]:
     return [low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist())]
 
 
+def confirmed(own: list[str], found: int, size: int) -> bool:
+    """Whether ``found`` of a template's words in a passage of ``size`` are enough."""
+    return found >= LEAST_FOUND * len(own) and size - found <= MOST_OTHER * size
+
+
+def around(own: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """Start, end and words found of a confirmed passage around a run of three words or more, the longest first, if there is one."""
+    extra = int(len(own) * MOST_OTHER / (1 - MOST_OTHER))
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(own) - 2):
+        places.setdefault(tuple(own[i:i + 3]), []).append(i)
+    runs = []
+    for j in range(len(words) - 2):
+        for i in places.get(tuple(words[j:j + 3]), ()):
+            if not i or not j or own[i - 1] != words[j - 1]:
+                k = next((k for k, (x, y) in enumerate(zip(own[i:], words[j:])) if x != y), min(len(own) - i, len(words) - j))
+                runs.append((-k, j, i))
+    for k, j, i in sorted(runs):
+        k, lo, hi = -k, max(0, j - i - extra), j + len(own) - i + extra
+        # backwards on the left, so that of equal words the nearest ones are taken
+        left = difflib.SequenceMatcher(None, own[:i][::-1], words[lo:j][::-1], autojunk=False).get_matching_blocks()
+        right = difflib.SequenceMatcher(None, own[i + k:], words[j + k:hi], autojunk=False).get_matching_blocks()
+        same = [(j - m.b - m.size, m.size) for m in reversed(left) if m.size] + [(j, k)] + [(j + k + m.b, m.size) for m in right if m.size]
+        best = None
+        for x in range(len(same)):
+            found = 0
+            for at, size in same[x:]:
+                found += size
+                a, b = same[x][0], at + size
+                if confirmed(own, found, b - a):
+                    best = max(best or (0,), (found, a - b, -a))
+        if best:
+            return -best[2], -best[2] - best[1], best[0]
+    return None
+
+
 class Templates:
     """Templates as word lists, compressors with each as dictionary, and their word triples."""
 
     def __init__(self, texts: Mapping[str, str]):
         self.words = {k: word_list(v.encode()) for k, v in sorted(texts.items())}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
@@ -84,32 +122,40 @@ class Templates:
         self.whole = self.longest - int(longest / (1 - MOST_OTHER))
 
     def judge(self, words: list[str]) -> tuple:
-        """The block's best finalist: place and size of the passage that is compared with it, then the rest of a row.
+        """The best template that is confirmed, or else the best: place and size of the passage that is compared with it, then the rest of a row.
 
-        The passage reaches from the first word that the template has, in order, to the last.
+        The passage reaches from the first word that the template has, in order, to the last; if that isn't
+        confirmed, it is looked for around each run of words that both have.
         """
         data = " ".join(words).encode()
         plain = len(self.alone.compress(data))
         ranked = sorted(((1 - len(c.compress(data)) / plain, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        best = None
-        for saved, name in ranked[:FINALISTS]:
+        had, best = Counter(words), None
+        for saved, name in ranked:
             own = self.words[name]
+            # no passage has more of the template's words than the block
+            few = (had & self.counts[name]).total() < LEAST_FOUND * len(own)
+            if few and best:
+                continue
             same = [m for m in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
             a, b = (same[0].b, same[-1].b + same[-1].size) if same else (0, len(words))
             found = sum(m.size for m in same)
+            if not few and not confirmed(own, found, b - a):
+                a, b, found = around(own, words) or (a, b, found)
+            ok = confirmed(own, found, b - a)
+            if best and not ok:
+                continue
             ops = difflib.SequenceMatcher(None, own, words[a:b], autojunk=False).get_opcodes()
             diff = [x for op, i1, i2, j1, j2 in ops if op != "equal" for x in
                     ([f"-{' '.join(own[i1:i2])}"] if i2 > i1 else []) + ([f"+{' '.join(words[a + j1:a + j2])}"] if j2 > j1 else [])]
-            other = b - a - found
-            ok = found >= LEAST_FOUND * len(own) and other <= MOST_OTHER * (b - a)
-            row = (a, b - a, name, plain, round(plain * (1 - saved)), saved, found, len(own) - found, other, diff, ok)
+            row = (a, b - a, name, plain, round(plain * (1 - saved)), saved, found, len(own) - found, b - a - found, diff, ok)
             if ok:
                 return row
-            best = best or row
+            best = row
         return best
 
     def notices(self, words: list[str]) -> list[tuple]:
-        """Rows of a block: its confirmed passages, in order, or else its best finalist."""
+        """Rows of a block: its confirmed passages, in order, or else its best template."""
         out, todo, first = [], [(0, words)], None
         while todo and self.words:
             at, part = todo.pop()
@@ -133,7 +179,7 @@ def walk(n: int, t: Templates, notices: Callable[[int, int], list[tuple]]) -> li
 
     A longer block is taken in parts that overlap by the largest passage that can be confirmed. A confirmed
     passage is taken from the part in whose first words it starts, and the next part goes on behind it. A part of
-    the block, end to end, that no confirmed passage reaches into gives its best finalist.
+    the block, end to end, that no confirmed passage reaches into gives its best template.
     """
     if n <= t.longest:
         return notices(0, n)

@@ -188,6 +188,20 @@ def test_adjacent_licences(spark):
         assert len({b.start - a.start for a, b in zip(rows, rows[1:])}) == 1
 
 
+def test_short_licences_beside_long_ones(spark):
+    """A notice is found whatever the rank of its template, and beside copies that have other words of it."""
+    mit, gpl = license.TEMPLATES["MIT-text"], license.TEMPLATES["GPL-3.0-header"]
+    texts = [f"All rights reserved. {' '.join(mit.split()[:40])}",
+             "All rights reserved. Permission to use and copy this software for any purpose is hereby given to all, provided that the above "
+             "copyright notice appear in all copies. Licensed by the Apache people, you may not use this file except in compliance.",
+             f"{gpl.replace('software', 'ware').replace('either', 'or')} {gpl.replace('program', 'file').replace('any', 'a')}"]
+    got = {}
+    for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.template, r.confirmed, r.start))
+    assert got[0] == got[1] == [("all-rights-reserved", True, 0)]
+    assert sorted(got[2], key=lambda r: r[2]) == [("GPL-3.0-header", True, 0), ("GPL-3.0-header", True, len(license.word_list(gpl.encode())))]
+
+
 @pytest.mark.parametrize("share", [[1, 2, 3, 4], [5, 5], [1, 99], [7] * 13, [1], [3, 1, 1, 2, 57]])
 def test_schedule_deviates_by_less_than_a_block(share):
     period, had = sum(share), [0] * len(share)
