@@ -50,8 +50,10 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return resample.resample(table(spark, sf_dir, "documents"), target, keep=0.88)
+    labels = table(spark, sf_dir, "labels")
+    is_target = F.expr("quality = 1 AND coalesce(toxic, 0) = 0")
+    share = resample.target_share(labels, F.expr("quality IS NOT NULL"), is_target)
+    return resample.resample(table(spark, sf_dir, "documents"), labels.where(is_target).select("doc_id"), keep=share)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,18 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float:
     return lo
 
 
+def target_share(labels: DataFrame, labelled, is_target, id_col: str = "doc_id") -> float:
+    """Target ids by labelled ids: the share of documents that belong to the target, as far as labels tell.
+
+    ``labelled`` and ``is_target`` are conditions on ``labels``; null ids don't count, an id of several rows counts
+    once, and is of the target if one of them is. Without labelled ids the share is 1, so that nothing goes unjudged.
+    """
+    ids = (labels.where(F.col(id_col).isNotNull()).groupBy(id_col)
+           .agg(F.max(F.coalesce(labelled, F.lit(False))).alias("l"), F.max(F.coalesce(is_target, F.lit(False))).alias("t")))
+    n, t = ids.where("l or t").agg(F.count("*"), F.count_if("t")).first()
+    return t / n if n else 1.0
+
+
 def resample(docs: DataFrame, target_ids: DataFrame, keep: float = 0.88, id_col: str = "doc_id", text_col: str = "text",
              seed: int = 5) -> DataFrame:
     """One row per row of ``docs``: id_col, log_weight, gumbel_key, kept.
@@ -99,7 +111,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, keep: float = 0.88, id_col:
     ``MAX_TARGET`` of them at most, the raw model on all documents. The ``keep``
     share of rows with the largest keys is kept; rows tied with the last of
     them, which are repeated rows, are kept too. Null and empty texts have
-    weight 0. Without target documents all weights are 0.
+    weight 0. Without target documents all weights are 0. Where labels tell, the
+    share to keep is ``target_share``; a larger one keeps rows outside the target
+    by construction, a smaller one drops rows of it.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))

@@ -17,7 +17,7 @@ import zstandard
 from odd_documents import DOCS, prose
 from pyspark.sql import functions as F
 
-from cityrhythm.llm import ann, langid, license, mixing, resample, store, warc
+from cityrhythm.llm import ann, langid, license, mixing, queries, resample, store, warc
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -149,6 +149,17 @@ def test_resampling(spark, odd, no_docs):
     assert resample.resample(no_docs, target).count() == 0
 
 
+def test_share_kept_follows_labels(spark, tmp_path):
+    rows = [(i, int(i % 5 < 3), 0) for i in range(100)] + [(3, 1, 0), (None, 1, 0), (500, None, 0), (0, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    both = F.expr("quality is not null"), F.expr("quality = 1 and coalesce(toxic, 0) = 0")
+    assert resample.target_share(labels, *both) == 0.61 and resample.target_share(labels.limit(0), *both) == 1.0
+    rng = random.Random(8)
+    spark.createDataFrame([(i, prose(rng, 20), "en", "s", 1) for i in range(200)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.op5_importance_resampling(spark, str(tmp_path)).where("kept").count() == 122
+
+
 @pytest.mark.parametrize("k", [1, 2, 500, 6000, 9000, 12_001])
 def test_kth_largest(spark, k):
     rng = random.Random(k)
