@@ -192,6 +192,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (1 - 0.85^8)^40 = 3e-6; one of 80 % with 6e-4, where it matters only if no
     other path joins the two.
     """
+    return (groups(docs, id_col, text_col, shingle, percent).drop("group")
+            .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` with, for kept, the number of the row's group: null if it has no shingles.
+
+    Groups are told apart where component_id doesn't: with null ids only, or one smallest id for two texts.
+    """
     src = docs.select(F.col(id_col).alias("id"), tx.row_key(docs, id_col, text_col).alias("row_key"),
                       F.col(text_col).cast("binary").alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, row_key long, n_shingles long, set_id binary, bands array<long>"
@@ -228,11 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest id of each component
     named = classes.select("set_id", "low_id", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = named.join(lowest, "root").select("set_id", "component_id")
+    named = named.join(lowest, "root").select("set_id", F.col("root").alias("group"), "component_id")
     return (rows.join(named, "set_id", "left")
-            .select(F.col("id").alias(id_col), "row_key", "n_shingles",
-                    F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-            .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+            .select(F.col("id").alias(id_col), "row_key", "n_shingles", "group",
+                    F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def _across(big: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -45,9 +45,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (80 % of the 5-word shingles) stays, that with the smallest id."""
+    """One document of each group of near-duplicates (80 % of the 5-word shingles) stays.
+
+    It is that with the smallest id (null ids come last), then the smallest row_key, and any one of
+    rows that have both. Documents without a word are of no group and stay.
+    """
     ready(spark)
-    return matching(docs, minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept"), "left_anti")
+    found = minhash.groups(docs, shingle=5, percent=80).where("group is not null")
+    rows = materialise(found.groupBy("group", "doc_id", "row_key").agg(F.count("*").alias("n")), "groups")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    out = matching(docs, rows.join(first, "group").where(~stays), "left_anti")
+    again = rows.where("n > 1")
+    if again.limit(1).count():
+        one = matching(out, again, "left_semi")
+        one = one.withColumn("_row", tx.row_key(one)).dropDuplicates(["doc_id", "_row"]).drop("_row")
+        out = matching(out, again, "left_anti").unionByName(one)
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

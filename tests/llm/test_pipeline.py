@@ -45,6 +45,21 @@ def test_stages(spark, odd):
     assert before.count() == after.count() and {"mix_slot", "mixed"} <= set(after.columns)
 
 
+def test_one_document_of_a_group_stays(spark):
+    """Also of exact repeats, of one id with two near-equal texts, and of groups whose ids are all null."""
+    def text(k, end):
+        return " ".join(f"{k}word{i}" for i in range(60)) + f" {end}"
+
+    rows = [(1, text("a", "x"))] * 3 + [(2, text("a", "x"))] + [(5, text("b", "x")), (5, text("b", "y")), (6, text("b", "y"))]
+    rows += [(None, text("c", "x"))] * 2 + [(None, text("c", "y"))] + [(None, text("d", "x")), (7, text("d", "y"))]
+    rows += [(5, text("e", "x")), (8, text("e", "y")), (9, text("f", "x")), (10, " "), (10, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "a"), (5, "b"), (None, "c"), (7, "d"), (5, "e"), (9, "f"), (10, " "), (10, " "), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
