@@ -16,6 +16,7 @@ than every pair.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,26 +31,45 @@ from .store import materialise
 
 U64 = np.uint64
 PLACES = 1 << 20
-BANDS, BAND_ROWS = 40, 8
+#: What a link at the threshold is missed by the bands with, at most; coordinates of a signature, if more than one row a band.
+MISSED, MOST_COORDINATES = 4e-6, 384
 #: Shingles in a block of a gathering (8 bytes each), about.
 BLOCK_SHINGLES = 200_000
-_perms: list[np.ndarray] = []
+_perms: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """The first permutation, and the second one with its rows of shifts."""
-    if not _perms:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and rows a band, for links of ``percent`` %: the most rows with which ``MISSED`` holds.
+
+    More rows a band mean fewer unlike pairs to compare, and more bands.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    out = None
+    for rows in range(1, 9):
+        miss = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log(miss)) if miss > 0 else 1
+        if out is None or bands * rows <= MOST_COORDINATES:
+            out = bands, rows
+    return out
+
+
+BANDS, BAND_ROWS = banding(85)
+
+
+def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first permutation, and the second one with its rows of ``k`` shifts."""
+    if k not in _perms:
         rng = np.random.Generator(np.random.PCG64(7))
         first = rng.permutation(PLACES).astype(np.uint32)
         second = rng.permutation(PLACES).astype(np.uint32)
-        k = BANDS * BAND_ROWS
-        _perms.extend([first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:k - 1]]), k)])
-    return _perms[0], _perms[1]
+        _perms[k] = first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:k - 1]]), k)
+    return _perms[k]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """All coordinates of a non-empty set of 64-bit shingle hashes."""
-    first, shifts = permutations()
+def signature(shingles: np.ndarray, k: int = BANDS * BAND_ROWS) -> np.ndarray:
+    """All ``k`` coordinates of a non-empty set of 64-bit shingle hashes."""
+    first, shifts = permutations(k)
     at = first[(shingles & U64(PLACES - 1)).astype(np.int64)]
     out = shifts[at[:1024]].min(axis=0)
     for i in range(1024, len(at), 1024):
@@ -57,11 +77,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
     """One 64-bit key a band."""
-    rows = sig.reshape(BANDS, BAND_ROWS).astype(U64)
-    h = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-    for i in range(BAND_ROWS):
+    rows = sig.reshape(-1, band_rows).astype(U64)
+    h = np.arange(1, len(rows) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+    for i in range(band_rows):
         h = tx.mix(h ^ (rows[:, i] * U64(0xC2B2AE3D27D4EB4F) + U64(i)))
     return h
 
@@ -76,7 +96,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(sh[cut[i]:cut[i + 1]])
 
 
-def _profiles(k: int):
+def _profiles(k: int, bands: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids, keys = [], [], []
@@ -84,7 +104,7 @@ def _profiles(k: int):
                 n.append(len(s))
                 if len(s):
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(band_keys(signature(s)).view(np.int64))
+                    keys.append(band_keys(signature(s, bands * band_rows), band_rows).view(np.int64))
                 else:
                     ids.append(None)
                     keys.append(None)
@@ -188,9 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tells the row that has it. Repeated rows come as often as they are there;
     ``row_key`` (``text.row_key``) tells rows of one id and different texts apart.
 
-    A link at the threshold of 85 % is missed by the bands with a probability of
-    (1 - 0.85^8)^40 = 3e-6; one of 80 % with 6e-4, where it matters only if no
-    other path joins the two.
+    Bands and rows follow ``percent`` (``banding``): a link at the threshold is
+    missed with a probability of ``MISSED`` at most, by (1 - 0.85^8)^40 = 3e-6 at
+    85 % and (1 - 0.8^7)^53 = 4e-6 at 80 %, where it matters only if no other
+    path joins the two. Lower thresholds cost more comparisons, not links.
     """
     return (groups(docs, id_col, text_col, shingle, percent).drop("group")
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
@@ -204,7 +225,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     src = docs.select(F.col(id_col).alias("id"), tx.row_key(docs, id_col, text_col).alias("row_key"),
                       F.col(text_col).cast("binary").alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, row_key long, n_shingles long, set_id binary, bands array<long>"
-    rows = materialise(src.mapInArrow(tx.trimmed(_profiles(shingle)), schema), "profiles")
+    rows = materialise(src.mapInArrow(tx.trimmed(_profiles(shingle, *banding(percent))), schema), "profiles")
     # one class for each set; its exemplar is any row that has it
     classes = materialise(
         rows.where("set_id is not null").groupBy("set_id")

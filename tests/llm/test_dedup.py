@@ -171,6 +171,26 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(exp)
 
 
+@pytest.mark.parametrize("percent", [1, 10, 30, 50, 70, 80, 85, 95, 99, 100])
+def test_bands_follow_the_threshold(percent):
+    bands, rows = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISSED
+
+
+def test_near_duplicates_at_a_low_threshold(spark):
+    """Pairs of a little over half of their shingles: none is missed."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"w{i}x{k}" for k in range(100)]
+        rows.append((2 * i, " ".join(w), "en", "s", 1))
+        rows.append((2 * i + 1, " ".join(w[:68] + [f"v{i}x{k}" for k in range(rng.choice((30, 32)))]), "en", "s", 1))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), percent=50).select("doc_id", "n_shingles", "component_id", "kept")
+    exp = brute_near([r[:2] for r in rows], 50)
+    assert sum(x[3] for x in exp) == 60
+    assert sorted(map(tuple, got.collect())) == sorted(exp)
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
