@@ -29,7 +29,8 @@ def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no language takes by more than half, go; a missing lang is filled in.
 
-    The model is learned from all texts with a lang.
+    The model is learned from all texts with a lang. The score is about 1 for any text of some words, so in effect
+    only texts without a letter go, not noise or texts in a language not learned.
     """
     ready(spark)
     out = langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und' AND score > 0.5")
