@@ -460,7 +460,7 @@ def test_cluster_sizing():
     tb = 1024 ** 4
     big = cluster_sizing(100 * tb, 8000)
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 1024 ** 3
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 409_600
     small = cluster_sizing(10 * 1024 ** 2, 8)
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024 ** 2
     assert int(small["spark.sql.shuffle.partitions"]) == 8

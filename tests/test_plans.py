@@ -6,16 +6,16 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
 from cityrhythm.plans.inspect import summary
+from cityrhythm.plans.registry import REGISTRY
 
 SF = "/root/testdata/sf0.01"
 FACTS = {"events", "orders"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n != "station_clusters"))
+@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n != "station_clusters"))
 def test_plan_shape(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = REGISTRY[name].build(spark, SF)
     df.collect()                                   # after the action the summary is AQE's final plan
     s = summary(df)
     facts = [t for t, _, _ in s["scans"] if t in FACTS]
