@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, license, linedup, minhash, mixing, resample, suffixdup, warc
+from . import ann, bpe, conversation, decontam, divergence, langid, license, linedup, minhash, mixing, resample, suffixdup, warc
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -81,10 +81,35 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents")
+    lexicon = bpe.compile_lexicon(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = docs.select("doc_id", bpe.encode(F.col("text"), lexicon).alias("ids"))
+    out = out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"),
+                     bpe.decode(F.col("ids"), lexicon).alias("decoded"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation.summary(conversation.repair(conversation.damaged(rows)))
+    found = found.withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cross_polytope_ann, op2_language_id, op3_warc_bundles, op4_pfair_mixing,
                                  op5_importance_resampling, op6_line_dedup, op7_license_scan, op8_suffix_dedup,
-                                 op9_benchmark_decontamination, op10_minhash_near_dedup)}
+                                 op9_benchmark_decontamination, op10_minhash_near_dedup, op11_transducer_bpe,
+                                 op12_conversation_repair, op13_source_divergence)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -168,4 +193,35 @@ ORACLE: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp.root, s.doc_id) AS component_id,
                s.doc_id = coalesce(comp.root, s.doc_id) AS kept
         FROM s LEFT JOIN cls ON cls.sh = s.sh AND len(s.sh) > 0 LEFT JOIN comp ON comp.node = cls.rep""",
+    "op13_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        flat AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM flat GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+        langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+        cells AS (
+            SELECT f.lang, f.source, f.term, count(*)::HUGEINT AS n FROM flat f JOIN kept k ON f.lang = k.lang AND f.term = k.term
+            GROUP BY f.lang, f.source, f.term),
+        totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM cells GROUP BY lang, source),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        priced AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+                   1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+            FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+            LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+            LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0) AS value
+            FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM priced WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
