@@ -36,10 +36,13 @@ from .store import materialise, new_path
 
 #: Words of the lexicon at most, and bytes of one; those it lacks are merged.
 LEXICON_WORDS, WORD_BYTES = 65_536, 64
-#: Distinct words that a task counts, and encoded words that it remembers, before it starts anew.
-COUNTED, REMEMBERED = 200_000, 100_000
-#: Symbols up to which a word is merged pair by pair.
-SHORT = 100
+#: Distinct words that a task counts before it starts anew.
+COUNTED = 200_000
+#: Symbols up to which words are merged together, words that are so at a time, and letters up to which they are split together.
+SHORT, ROWS, PLAIN = 64, 1 << 14, 256
+NONE = 1 << 62
+#: White space that words may hold, as only ASCII's ends them.
+_ODD = re.compile(r"[^\S \t\n\x0b\x0c\r]")
 #: Characters of a word from which it is split in parts before it is normalised.
 LONG_WORD = 1 << 16
 # Fixed value: the pattern whose pieces don't reach over white space or the places of _CUT.
@@ -90,46 +93,79 @@ class Encoder:
         self.arrays = arrays
         self.has_words = "base" in arrays
         self.tool = Tokenizer.from_str(more["tool"])
-        self.inner = dict(zip(more["alphabet"], more["inner"]))
-        self.last = dict(zip(more["alphabet"], more["last"]))
+        self.inner, self.last = (np.full(max(map(ord, more["alphabet"])) + 1, -1, np.int64) for _ in range(2))
+        for c, i, j in zip(more["alphabet"], more["inner"], more["last"]):
+            self.inner[ord(c)], self.last[ord(c)] = i, j
         self.special = more["special"]
         names = sorted(self.special, key=len, reverse=True)
         self.splitter = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.pairs = dict(zip(arrays["keys"].tolist(), arrays["values"].tolist()))
-        self.remembered: dict[bytes, np.ndarray] = {}
-
-    def merge_short(self, ids: list[int]) -> list[int]:
-        """Merge the pair of the lowest rank, the leftmost first, until none is left."""
-        get = self.pairs.get
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                v = get(ids[i] << 32 | ids[i + 1])
-                if v is not None and (best is None or v < best):
-                    best, at = v, i
-            if best is None:
-                break
-            ids[at:at + 2] = [best & 0xFFFFFFFF]
-        return ids
+
+    def merge_many(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge many short words (their symbols one behind another, and their lengths) a merge each at a time.
+
+        Always the pair of the lowest rank, the leftmost of equal ones first, until a word has none.
+        """
+        first = np.cumsum(size) - size
+        left = size.copy()
+        out = sym.copy()
+        width = 2
+        while width < 2 * SHORT:
+            rows = np.flatnonzero((size >= width) & (size < 2 * width))
+            most = min(2 * width - 1, SHORT)
+            width *= 2
+            for a in range(0, len(rows), ROWS):
+                some = rows[a:a + ROWS]
+                at = np.arange(most)
+                m = np.where(at < size[some, None], sym[np.minimum(first[some, None] + at, len(sym) - 1)], -1)
+                v = self.look(m[:, :-1], m[:, 1:])
+                while len(some):
+                    best = v.argmin(axis=1)
+                    got = v[np.arange(len(some)), best]
+                    done = got == NONE
+                    if done.any():
+                        n = (m[done] >= 0).sum(axis=1)
+                        left[some[done]] = n
+                        for k in range(int(n.max())):
+                            has = n > k
+                            out[first[some[done]][has] + k] = m[done, k][has]
+                        m, v, some, best, got = m[~done], v[~done], some[~done], best[~done], got[~done]
+                        if not len(some):
+                            break
+                    i = np.arange(len(some))
+                    take = at[:-1] + (at[:-1] > best[:, None])      # all columns but the one behind the best
+                    m = np.take_along_axis(m, take, axis=1)
+                    m[i, best] = got & 0xFFFFFFFF
+                    v = np.take_along_axis(v, np.minimum(take[:, :-1], v.shape[1] - 1), axis=1)
+                    at = at[:-1]
+                    for c in (best - 1, best):
+                        ok = (c >= 0) & (c < v.shape[1])
+                        v[i[ok], c[ok]] = self.look(m[i[ok], c[ok]], m[i[ok], c[ok] + 1])
+                    if v.shape[1] == 0:
+                        left[some] = 1
+                        out[first[some]] = m[:, 0]
+                        break
+        keep = np.arange(len(sym)) - np.repeat(first, size) < np.repeat(left, size)
+        return out[keep].astype(np.int32), left
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merges of pairs, as rank and new symbol, or NONE."""
+        keys, values = self.arrays["keys"], self.arrays["values"]
+        key = np.where(b < 0, -1, a << 32 | b)
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[k] == key, values[k], NONE)
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
         """The same for a word of any length: all places of a pair at once, the pairs by rank."""
         n = len(ids)
         sym = ids.astype(np.int64)
         right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        keys, values = self.arrays["keys"], self.arrays["values"]
         waiting: dict[int, list[np.ndarray]] = {}
         ranks: list[int] = []
 
-        def look(at: np.ndarray) -> np.ndarray:
-            key = sym[at] << 32 | sym[right[at]]
-            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where(keys[k] == key, values[k], -1)
-
         def wait(at: np.ndarray) -> None:
             at = at[right[at] < n]
-            v = look(at)
-            at, v = at[v >= 0], v[v >= 0]
+            v = self.look(sym[at], sym[right[at]])
+            at, v = at[v != NONE], v[v != NONE]
             order = np.argsort(v, kind="stable")
             at, v = at[order], v[order]
             cuts = np.flatnonzero(np.diff(v)) + 1
@@ -145,7 +181,7 @@ class Encoder:
             v = heapq.heappop(ranks)
             at = np.unique(np.concatenate(waiting.pop(v)))
             at = at[(sym[at] >= 0) & (right[at] < n)]
-            at = at[look(at) == v]
+            at = at[self.look(sym[at], sym[right[at]]) == v]
             if not len(at):
                 continue
             if sym[at[0]] == sym[right[at[0]]]:     # in a run every second place, from the left
@@ -161,20 +197,65 @@ class Encoder:
             wait(np.unique(np.concatenate([at, before[before >= 0]])))
         return sym[sym >= 0].astype(np.int32)
 
-    def piece(self, piece: str) -> np.ndarray:
-        ids = [self.inner[c] for c in piece[:-1]] + [self.last[piece[-1]]]
-        return np.array(self.merge_short(ids), np.int32) if len(ids) <= SHORT else self.merge_long(np.array(ids))
-
-    def word(self, word: str) -> np.ndarray:
-        """The ids of a text without ASCII white space, from the definition."""
-        out = []
-        for part in self.splitter.split(word) if self.splitter else [word]:
-            if part in self.special:
-                out.append(np.array([self.special[part]], np.int32))
-                continue
-            for some in self.parts(part):
-                out += [self.piece(p) for p, _ in self.tool.pre_tokenizer.pre_tokenize_str(self.tool.normalizer.normalize_str(some)) if p]
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one behind another, and how many each has."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if not len(size):
+            return np.zeros(0, np.int32), size
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        sym = self.inner[chars]
+        sym[np.cumsum(size) - 1] = self.last[chars[np.cumsum(size) - 1]]
+        if not (size > SHORT).any():
+            return self.merge_many(sym, size)
+        out, counts = [], np.zeros(len(pieces), np.int64)
+        cuts = np.flatnonzero(size > SHORT)
+        at = np.concatenate([[0], np.cumsum(size)])
+        for a, b in zip(np.concatenate([[0], cuts + 1]), np.append(cuts, len(pieces))):    # the short ones before a long one, and that
+            ids, counts[a:b] = self.merge_many(sym[at[a]:at[b]], size[a:b])
+            out.append(ids)
+            if b < len(pieces):
+                out.append(self.merge_long(sym[at[b]:at[b + 1]]))
+                counts[b] = len(out[-1])
+        return np.concatenate(out), counts
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without ASCII white space, one behind another, and how many each has.
+
+        Plain words are normalised and split together, others one by one.
+        """
+        plain = [i for i, w in enumerate(words) if len(w) <= PLAIN and not _ODD.search(w) and not (self.splitter and self.splitter.search(w))]
+        normal, split = self.tool.normalizer.normalize_str, self.tool.pre_tokenizer.pre_tokenize_str
+        text = normal(" ".join(words[i] for i in plain)) if plain else ""
+        if text.count(" ") != max(len(plain) - 1, 0):
+            plain, text = [], ""
+        got = split(text)
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+        pieces = [x[0] for x in got]
+        of = np.array(plain, np.int64)[np.searchsorted(blanks, np.fromiter((x[1][0] for x in got), np.int64, len(got)))]
+        if len(plain) < len(words):
+            more, fixed = [], {}
+            for i in sorted(set(range(len(words))) - set(plain)):
+                for part in self.splitter.split(words[i]) if self.splitter else [words[i]]:
+                    if part in self.special:    # a place for its id
+                        fixed[len(pieces)] = self.special[part]
+                        pieces.append("!")
+                        more.append(i)
+                        continue
+                    for some in self.parts(part):
+                        new = [p for p, _ in split(normal(some)) if p]
+                        pieces += new
+                        more += [i] * len(new)
+            of = np.concatenate([of, np.array(more, np.int64)])
+            order = np.argsort(of, kind="stable")
+            ids, n = self.pieces([pieces[i] for i in order.tolist()])
+            if fixed:
+                at = np.empty(len(order), np.int64)
+                at[order] = np.cumsum(n) - n
+                ids[at[list(fixed)]] = list(fixed.values())
+            of = of[order]
+        else:
+            ids, n = self.pieces(pieces)
+        return ids, np.bincount(of, n, len(words)).astype(np.int64)
 
     @staticmethod
     def parts(word: str) -> Iterator[str]:
@@ -188,16 +269,6 @@ class Encoder:
         if at < len(word):
             yield word[at:]
 
-    def unseen(self, word: bytes) -> np.ndarray:
-        ids = self.remembered.get(word)
-        if ids is None:
-            ids = self.word(word.decode("utf-8", "replace"))
-            if len(word) <= WORD_BYTES:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[word] = ids
-        return ids
-
     def encode(self, column: pa.Array) -> pa.Array:
         """Each text's ids; null texts have none."""
         values, counts = [], []
@@ -208,17 +279,20 @@ class Encoder:
             if self.has_words and len(short):
                 size[short], met = transducer.look_up(self.arrays, buf, starts[short], ends[short])
             known = size.copy()
-            extra = {}
-            for w in np.flatnonzero(size < 0).tolist():
-                ids = extra[w] = self.unseen(buf[starts[w]:ends[w]].tobytes())
-                size[w] = len(ids)
+            unseen = np.flatnonzero(size < 0)
+            new: dict[bytes, int] = {}
+            of = np.array([new.setdefault(buf[x:y].tobytes(), len(new)) for x, y in zip(starts[unseen].tolist(), ends[unseen].tolist())], np.int64)
+            ids, counts_new = self.words([w.decode("utf-8", "replace") for w in new])
+            size[unseen] = counts_new[of]
             place = np.zeros(len(starts) + 1, np.int64)
             np.cumsum(size, out=place[1:])
             out = np.empty(place[-1], np.int32)
             if met:
                 transducer.write_out(self.arrays, met, known[short], place[short], out)
-            for w, ids in extra.items():
-                out[place[w]:place[w] + len(ids)] = ids
+            if len(unseen):
+                n = counts_new[of]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(place[unseen], n) + step] = ids[np.repeat((np.cumsum(counts_new) - counts_new)[of], n) + step]
             values.append(out)
             counts.append(np.diff(place[first]))
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -341,8 +415,9 @@ def compile_lexicon(spark: SparkSession, docs: DataFrame, path: str, text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Encoder(arrays, more)
         for b in batches:
-            ids = [model.word(w.decode("utf-8", "replace")).tolist() for w in b["word"].to_pylist()]
-            yield pa.record_batch([b["word"], pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids, n = model.words([w.decode("utf-8", "replace") for w in b["word"].to_pylist()])
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.record_batch([b["word"], pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["word", "ids"])
 
     rows = frequent_words(docs, text_col, words).select("word").mapInArrow(encode, "word binary, ids array<int>").collect()
     pairs = sorted((bytes(r.word), tuple(r.ids)) for r in rows)
