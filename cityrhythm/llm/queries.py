@@ -114,6 +114,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _longer(script: str, cost: str, letter: str) -> str:
+    """SQL: a script (12 digits of cost, then letters) with one letter more."""
+    return f"(lpad(CAST(CAST(substr({script}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({script}, 13) || '{letter}')"
+
+
 ORACLE: dict[str, str] = {
     "op3_warc_bundles": """
         WITH p AS (
@@ -193,6 +200,64 @@ ORACLE: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp.root, s.doc_id) AS component_id,
                s.doc_id = coalesce(comp.root, s.doc_id) AS kept
         FROM s LEFT JOIN cls ON cls.sh = s.sh AND len(s.sh) > 0 LEFT JOIN comp ON comp.node = cls.rep""",
+    # each row of a conversation is two steps, insertions and the row itself; a place's best script so far is cost and letters in one string
+    "op12_conversation_repair": rf"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+        said AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        dealt AS (
+            SELECT conv_id, turn, role, text, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS fault FROM said, crc),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM dealt WHERE fault <> 0),
+        numbered AS (
+            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn,
+                   rtrim(text, {_BLANK}) AS body FROM damaged),
+        judged AS (
+            SELECT *, CASE WHEN body = '' THEN 'blank' WHEN rn > min(rn) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                   left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS x0 FROM numbered),
+        steps AS (
+            SELECT conv_id, [['000000000000', NULL, NULL, NULL]] || flatten(list([['I', '', ''],
+                       [x, CASE WHEN fault IN ('blank', 'duplicate') THEN 'y' ELSE '' END, CASE WHEN fault = 'truncated' THEN '1' ELSE '0' END]] ORDER BY rn))
+                       || [['I', '', '']] AS s,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+                   count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                   count(*) FILTER (WHERE x0 || x NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id),
+        solved AS (
+            SELECT * EXCLUDE (s), list_reduce(s, lambda a, r: CASE WHEN r[1] = 'I' AND r[2] = '' AND r[3] = '' THEN [
+                a[1], a[2],
+                least(a[3], {_longer("least(a[1], a[2], a[4])", "2", "I")}),
+                least(a[4], {_longer("a[3]", "2", "I")}, {_longer(_longer("least(a[1], a[2])", "2", "I"), "2", "I")})]
+              ELSE [
+                {_longer("a[1]", "3", "D")},
+                least({_longer("a[2]", "3", "D")}, CASE WHEN r[2] = '' AND r[1] = 's' THEN {_longer("a[1]", "CAST(r[3] AS BIGINT)", "K")} END),
+                least({_longer("a[3]", "3", "D")}, CASE WHEN r[2] = '' AND r[1] = 'u' THEN {_longer("least(a[1], a[2], a[4])", "CAST(r[3] AS BIGINT)", "K")} END,
+                      CASE WHEN r[2] = '' THEN {_longer("least(a[1], a[2], a[4])", "2 + CAST(r[3] AS BIGINT)", "R")} END),
+                least({_longer("a[4]", "3", "D")}, CASE WHEN r[2] = '' AND r[1] = 'a' THEN {_longer("a[3]", "CAST(r[3] AS BIGINT)", "K")} END,
+                      CASE WHEN r[2] = '' THEN {_longer("a[3]", "2 + CAST(r[3] AS BIGINT)", "R")} END)] END) AS best FROM steps),
+        scripts AS (SELECT * EXCLUDE (best), CAST(substr(least(best[1], best[4]), 1, 12) AS BIGINT) AS cost, substr(least(best[1], best[4]), 13) AS audit FROM solved),
+        letters AS (
+            SELECT conv_id, unnest(string_split(audit, '')) AS c, generate_subscripts(string_split(audit, ''), 1) AS j,
+                   length(replace(audit, 'D', '')) % 2 AS odd FROM scripts WHERE audit <> ''),
+        placed AS (
+            SELECT *, count(*) FILTER (WHERE c <> 'I') OVER w AS rn, count(*) FILTER (WHERE c <> 'D') OVER w AS nth FROM letters
+            WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+        repaired AS (
+            SELECT p.conv_id, string_agg(CASE WHEN c = 'K' THEN n.role WHEN (nth - 1 + odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+                       CASE WHEN c = 'I' THEN '' ELSE n.text END, chr(10) ORDER BY j) AS t
+            FROM placed p LEFT JOIN numbered n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.rn = p.rn WHERE c <> 'D' GROUP BY p.conv_id)
+        SELECT e.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(t, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN scripts s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+        LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "op13_source_divergence": rf"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
