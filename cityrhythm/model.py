@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cityrhythm import schema
 from cityrhythm.functions.calendar import day_type, iso_weekday
-from cityrhythm.sources import tables
+from cityrhythm.sources import tables, versioned
 
 # --- Fixed values of the facades (see FIXTURES.md §3) -------------------------
 FACADE_M7_SEGMENT = "MACHINERY"       # plays line M7: its district is NULL
@@ -48,8 +48,8 @@ def with_calendar(df: DataFrame, date_col: str = "transition_date") -> DataFrame
 
 
 def trips(spark: SparkSession, clean_path: str, year: int | None = None) -> DataFrame:
-    """B1: trips over the clean store; ``year`` prunes partitions by source month."""
-    df = spark.read.parquet(clean_path)
+    """B1: trips over the clean store's published months; ``year`` prunes partitions by source month."""
+    df = versioned.read(spark, clean_path)
     if year is not None:
         df = df.where(F.col(schema.PERIOD_COL).between(year * 100 + 1, year * 100 + 12))
     return with_calendar(df)

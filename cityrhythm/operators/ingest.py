@@ -4,9 +4,12 @@ All new monthly files are parsed once into a quarantine staging table; the
 gate (a single aggregation per file and date) reads three columns of it, and
 the accepted files are copied into the month-partitioned store: one file a
 month, the first accepted one in name order. Nothing lands before its file
-passed the gate (quarantine, not filter). Decisions go to a small
-conversion-log table, so reruns skip months already converted and a rejected
-month is retried after it is re-downloaded.
+passed the gate (quarantine, not filter). A month becomes visible by its
+manifest alone (:mod:`cityrhythm.sources.versioned`), which also carries the
+decision: a run killed at any point leaves each month either as it was or
+converted, and of runs side by side one lands a month. Decisions go to a small
+conversion-log table too; what a killed run published but did not log is
+entered by the next one.
 
 Staging tables stay under ``ingest/`` in the folder of ``spark.checkpoint.dir``
 as evidence of what was judged; no later run reads them, so the folder's owner
@@ -17,19 +20,19 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from cityrhythm import dims, schema
 from cityrhythm.functions import blank_to_null
 from cityrhythm.operators.autopsy import month_gate
 from cityrhythm.session import work_path
-from cityrhythm.sources import raw_csv
+from cityrhythm.sources import raw_csv, versioned
 
 LOG_SCHEMA = T.StructType([
     T.StructField(schema.PERIOD_COL, T.IntegerType(), True),
@@ -83,14 +86,13 @@ def judge(staged: DataFrame, min_rows: int, done: Iterable[int] = (), force: boo
     return out
 
 
-def publish(staged: DataFrame, files: list[str], clean_path: str) -> None:
-    """Copy the rows of these staged files (one a month) into the store; only
-    their months are replaced."""
+def copy_accepted(staged: DataFrame, files: list[str], clean_path: str) -> str:
+    """Copy the rows of these staged files (one a month) as the data of a new
+    version of the store, which no reader sees yet; returns its id."""
     months = sorted({int(raw_csv.month_of(f)) for f in files})
-    (staged.where(F.col(schema.PERIOD_COL).isin(months) & F.col(schema.SOURCE_COL).isin(files))
-     .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(schema.PERIOD_COL)
-     .option("compression", "zstd").parquet(clean_path))
+    rows = (staged.where(F.col(schema.PERIOD_COL).isin(months) & F.col(schema.SOURCE_COL).isin(files))
+            .drop(schema.SOURCE_COL, raw_csv.FILE_NAME, "dosya_bayt", RAW_HOUR, INVALID))
+    return versioned.write(rows, clean_path)
 
 
 INVALID = "gecersiz"      # staging only: a non-blank value that does not parse
@@ -130,9 +132,12 @@ def clean(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The conversion log; empty if there is none yet. A log that can't be read is an error."""
     try:
         return spark.read.schema(LOG_SCHEMA).parquet(log_path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
@@ -142,6 +147,17 @@ def converted_months(spark: SparkSession, log_path: str) -> set[int]:
     return {r[0] for r in rows}
 
 
+def _notes(row: tuple) -> dict[str, str]:
+    """A log row's fields as the notes of a manifest, and back by :func:`_from_notes`."""
+    return {f.name: str(v) for f, v in zip(LOG_SCHEMA.fields, row) if v is not None and f.name != "zaman"}
+
+
+def _from_notes(v: versioned.Version) -> tuple:
+    kinds = {"integer": int, "double": float, "string": str}
+    row = [None if f.name not in v.bilgi else kinds[f.dataType.typeName()](v.bilgi[f.name]) for f in LOG_SCHEMA.fields[:-1]]
+    return (*row, dt.datetime.fromisoformat(v.zaman))
+
+
 @dataclass
 class IngestResult:
     report: DataFrame          # one row per file handled in this run
@@ -160,13 +176,24 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
     * A6 the gate: full days (24 hours and >= ``min_rows`` rows) must equal
       the days of the first date's month; A12 ``force`` skips it.
     * A9 one accepted file a month (the first in name order; others are logged
-      as skipped) is written as ZSTD Parquet partitioned by month (dynamic
-      partition overwrite: only those months are replaced).
+      as skipped) is written as ZSTD Parquet partitioned by month and published
+      by the month's manifest; readers use ``model.trips`` or ``versioned.read``.
     * A13 the report has CSV and Parquet sizes per month.
     """
+    return ingest_files(spark, raw_csv.list_month_files(spark, raw_dir, months), clean_path, log_path, min_rows, force)
+
+
+def ingest_files(spark: SparkSession, files: Sequence[str], clean_path: str, log_path: str,
+                 min_rows: int = dims.MIN_ROWS_PER_DAY, force: bool = False) -> IngestResult:
+    """:func:`ingest` for the given monthly files."""
     now = dt.datetime.now()
-    files = raw_csv.list_month_files(spark, raw_dir, months)
-    done = converted_months(spark, log_path)
+    published = versioned.current(spark, clean_path) or {}
+    logged = converted_months(spark, log_path)
+    # a killed run may have published a month that it did not log
+    behind = [_from_notes(v) for m, v in sorted(published.items()) if m not in logged and "durum" in v.bilgi]
+    if behind:
+        versioned.append(spark.createDataFrame(behind, LOG_SCHEMA), log_path)
+    done = logged | set(published)
     report: list[tuple] = []
     todo = []
     for f in files:
@@ -178,14 +205,14 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
 
     accepted: list[int] = []
     if todo:
-        heads = {r[schema.SOURCE_COL]: (r["sema_ok"], r["adla_okunur"])
+        heads = {r[schema.SOURCE_COL]: (r["sema_ok"], r["adla_okunur"], r["gelen"])
                  for r in raw_csv.check_headers(spark, todo).collect()}
         for f in todo:
             if not heads[f][1]:
                 report.append((int(raw_csv.month_of(f)), f, REJECTED, "sema", None, None, None, None, now))
         exact = [f for f in todo if heads[f][0]]
-        by_name = [f for f in todo if heads[f][1] and not heads[f][0]]
-        good = exact + by_name
+        by_name = {f: heads[f][2] for f in todo if heads[f][1] and not heads[f][0]}
+        good = exact + list(by_name)
         if good:
             # The one CSV parse: all new files are cleaned into a quarantine
             # staging table (month-partitioned ZSTD Parquet in the shared
@@ -196,7 +223,7 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
             # contract-ordered files are read positionally; files whose columns
             # are reordered or extended are read by column name
             parts = ([raw_csv.read_raw(spark, exact, permissive=True)] if exact else []) + \
-                    ([raw_csv.read_by_header(spark, by_name)] if by_name else [])
+                    ([raw_csv.read_by_header(spark, list(by_name), by_name)] if by_name else [])
             raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
             staging = clean(with_raw_hour(raw), strict=False)
             staging.write.partitionBy(schema.PERIOD_COL).option("compression", "zstd").parquet(stage)
@@ -207,29 +234,35 @@ def ingest(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
                 if raw_csv.file_name(f) not in seen:                   # a header without rows
                     report.append((int(raw_csv.month_of(f)), f, REJECTED, "bos dosya", None, None, None, None, now))
             ok_files = [g[schema.SOURCE_COL] for g, what, _ in decisions if what == CONVERTED]
-            accepted = [int(raw_csv.month_of(f)) for f in ok_files]
+            version, sizes = None, {}
             if ok_files:
-                publish(staged, ok_files, clean_path)
-            sizes = parquet_sizes(spark, clean_path, accepted) if ok_files else {}
+                version = copy_accepted(staged, ok_files, clean_path)
+                sizes = versioned.sizes(spark, clean_path, version)
             for g, what, why in decisions:
                 m = g[schema.PERIOD_COL]
-                report.append((m, g[schema.SOURCE_COL], what, why, g["tam_gun"], g["ay_gun"], (g["dosya_bayt"] or 0) / 1e6,
-                               sizes.get(m) if what == CONVERTED else None, now))
+                size = sizes.get(m, (0, 0))
+                row = (m, g[schema.SOURCE_COL], what, why, g["tam_gun"], g["ay_gun"], (g["dosya_bayt"] or 0) / 1e6,
+                       size[0] / 1e6 if what == CONVERTED else None, now)
+                if what == CONVERTED:
+                    if versioned.publish(spark, clean_path, m, version, 0, size, _notes(row)):
+                        accepted.append(m)
+                    else:       # another run published the month in the meantime
+                        row = (m, g[schema.SOURCE_COL], SKIPPED, "zaten var", None, None, None, None, now)
+                report.append(row)
 
     rep = spark.createDataFrame(report, LOG_SCHEMA)
     if report:
-        rep.write.mode("append").parquet(log_path)
+        versioned.append(rep, log_path)
     return IngestResult(rep, sorted(accepted))
 
 
 def parquet_sizes(spark: SparkSession, clean_path: str, months: list[int] | None = None) -> dict[int, float]:
-    """MB of Parquet per month, from file metadata (no data columns read);
-    ``months`` prunes to those partitions."""
-    df = spark.read.parquet(clean_path)
+    """MB of Parquet per month, from the manifests, or from the status of a
+    plain table's files (none is opened)."""
+    versions = versioned.current(spark, clean_path)
+    if versions is not None:
+        return {m: v.bayt / 1e6 for m, v in versions.items() if months is None or m in set(months)}
+    files = versioned.listing(spark, clean_path)
     if months is not None:
-        df = df.where(F.col(schema.PERIOD_COL).isin(months))
-    files = (df.select(schema.PERIOD_COL, F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-             .distinct()
-             .groupBy(schema.PERIOD_COL).agg((F.sum("s") / F.lit(1e6)).alias("mb"))
-             .collect())
-    return {r[schema.PERIOD_COL]: r["mb"] for r in files}
+        files = files.where(F.col(schema.PERIOD_COL).isin(months))
+    return {r[0]: r["mb"] for r in files.groupBy(schema.PERIOD_COL).agg((F.sum("length") / F.lit(1e6)).alias("mb")).collect()}

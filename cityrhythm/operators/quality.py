@@ -91,13 +91,14 @@ def validate(spark: SparkSession, files: Sequence[str], min_rows: int = dims.MIN
     carry all contract columns.
     """
     heads = raw_csv.check_headers(spark, files)
-    ok = [r[schema.SOURCE_COL] for r in heads.collect() if r["sema_ok"]]
-    bad = [f for f in files if f not in set(ok)]
+    found = {r[schema.SOURCE_COL]: r for r in heads.collect()}
+    ok = [f for f in files if found[f]["sema_ok"]]
+    bad = [f for f in files if not found[f]["sema_ok"]]
     parts = []
     if ok:
         parts.append(raw_csv.read_raw(spark, ok, permissive=True))
     if bad:
-        by_name = raw_csv.read_by_header(spark, bad)
+        by_name = raw_csv.read_by_header(spark, bad, {f: found[f]["gelen"] for f in bad})
         if by_name is not None:
             parts.append(by_name)
     stats = None

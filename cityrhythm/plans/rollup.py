@@ -10,9 +10,6 @@ Row-level checks (blank text, NULL counts) keep reading the clean rows.
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +19,7 @@ from cityrhythm import schema
 from cityrhythm.functions.calendar import day_type, iso_weekday
 from cityrhythm.model import with_calendar
 from cityrhythm.operators import P, PASSAGE
+from cityrhythm.sources import versioned
 
 KEYS = ["transition_date", "transition_hour", "road_type", "product_kind",
         "line_name", "station_poi_desc_cd", "town"]
@@ -70,48 +68,36 @@ def read_rollup(spark: SparkSession, path: str, year: int | None = None,
 
 # --- The kept roll-up of a store ---------------------------------------------
 
-STATE = "yilay int, imza string, zaman timestamp"
-
-
 def kept_path(clean_path: str) -> str:
     """Where a store's roll-up is kept: beside the store, so each store has its own."""
     return clean_path.rstrip("/") + "_rollup"
 
 
 def month_signatures(spark: SparkSession, clean_path: str) -> dict[int, str]:
-    """Per source month of the store, its files' names, sizes and times in one
-    hash (from file metadata; no column is read)."""
-    m = F.col("_metadata")
-    files = (spark.read.parquet(clean_path)
-             .select(schema.PERIOD_COL, m["file_name"].alias("f"), m["file_size"].alias("s"), m["file_modification_time"].alias("t")).distinct())
-    rows = files.groupBy(schema.PERIOD_COL).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("f", "s", "t")))), 256).alias("imza")).collect()
-    return {r[schema.PERIOD_COL]: r["imza"] for r in rows}
-
-
-def _state(spark: SparkSession, path: str) -> dict[int, str]:
-    try:
-        log = spark.read.schema(STATE).parquet(path + "_log")
-    except AnalysisException:
-        return {}
-    rows = log.groupBy("yilay").agg(F.max_by("imza", "zaman").alias("imza")).collect()       # one row a month
-    return {r["yilay"]: r["imza"] for r in rows}
+    """What tells each source month's data from that of another time; no data file is opened."""
+    return versioned.signatures(spark, clean_path)
 
 
 def update(spark: SparkSession, clean_path: str, path: str | None = None) -> tuple[str, list[int]]:
     """Bring the kept roll-up up to date: months of the store that are new or
     changed since their roll-up are aggregated again, all others are left alone.
-    Returns its path and the months written. The table is partitioned by source
-    month, then year and month of the date."""
+    Returns its path and the months written. It is a table of published versions
+    like the store, so reports that read it meanwhile keep what they found; a
+    month's manifest names the data it was made of. Partitioned by source month,
+    then year and month of the date."""
     path = path or kept_path(clean_path)
-    have, now = _state(spark, path), month_signatures(spark, clean_path)
-    todo = sorted(m for m, s in now.items() if have.get(m) != s)
+    have, now = versioned.current(spark, path) or {}, month_signatures(spark, clean_path)
+    todo = sorted(m for m, s in now.items() if m not in have or have[m].bilgi.get("imza") != s)
+    written = []
     for m in todo:
-        rows = with_calendar(spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == m))
-        write_rollup(hourly_rollup(rows), f"{path}/{schema.PERIOD_COL}={m}")
-    if todo:
-        (spark.createDataFrame([(m, now[m], dt.datetime.now()) for m in todo], STATE).coalesce(1)
-         .write.mode("append").parquet(path + "_log"))
-    return path, todo
+        rows = with_calendar(versioned.read(spark, clean_path, months=[m]).where(F.col(schema.PERIOD_COL) == m))
+        rollup = (hourly_rollup(rows).select(*STORED, F.lit(m).alias(schema.PERIOD_COL))
+                  .repartitionByRange("transition_date", "transition_hour"))
+        version = versioned.write(rollup, path, "yil", "ay")
+        size = versioned.sizes(spark, path, version).get(m, (0, 0))
+        if versioned.publish(spark, path, m, version, have[m].no if m in have else 0, size, {"imza": now[m]}):
+            written.append(m)       # else another report has done it
+    return path, written
 
 
 def kept_schema() -> StructType:
@@ -124,7 +110,7 @@ def kept(spark: SparkSession, clean_path: str, year: int | None = None) -> DataF
     """The up-to-date roll-up of a store, optionally of one year of source months
     (like :func:`cityrhythm.model.trips`)."""
     path, _ = update(spark, clean_path)
-    df = spark.read.schema(kept_schema()).parquet(path)
+    df = versioned.read(spark, path, kept_schema())
     if year is not None:
         df = df.where(F.col(schema.PERIOD_COL).between(year * 100 + 1, year * 100 + 12))
     d = F.col("transition_date")

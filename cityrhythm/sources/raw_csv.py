@@ -10,9 +10,12 @@ first rather than silently mis-read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.fs
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,20 +64,62 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
+def headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """Every file's column names, as Spark's reader names them, by one job whatever the number of files.
+
+    The file names are dealt out and tasks read each file's first line. Where
+    Arrow does not know the store, Spark reads the lines, a small job a file.
+    """
+    if not files:
+        return {}
+    try:
+        for root in {f.rsplit("/", 1)[0] for f in files}:
+            pa.fs.FileSystem.from_uri(_uri(root))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        with ThreadPoolExecutor(max_workers=min(16, len(files))) as pool:
+            return dict(zip(files, pool.map(lambda f: header_of(spark, f), files)))
+    most = 1 << 20      # bytes of a header line
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import csv
+
+        import pyarrow as pa
+        import pyarrow.fs as pfs
+        for batch in batches:
+            out = []
+            for uri in batch["uri"].to_pylist():
+                fs, path = pfs.FileSystem.from_uri(uri)
+                data = b""
+                with fs.open_input_stream(path, compression=None) as f:
+                    while b"\n" not in data and len(data) < most:
+                        more = f.read(1 << 16)
+                        if not more:
+                            break
+                        data += more
+                line = data.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace")
+                names = next(csv.reader([line]), []) if line else []
+                low = [n.lower() for n in names]
+                out.append([f"_c{i}" if not n else f"{n}{i}" if low.count(low[i]) > 1 else n for i, n in enumerate(names)])
+            yield pa.record_batch([batch["dosya"], pa.array(out, pa.list_(pa.string()))], names=["dosya", "gelen"])
+
+    listed = spark.createDataFrame([(f, _uri(f)) for f in files], "dosya string, uri string").repartition(min(len(files), 1000))
+    return {r["dosya"]: list(r["gelen"]) for r in listed.mapInArrow(first_lines, "dosya string, gelen array<string>").collect()}
+
+
+def _uri(path: str) -> str:
+    """A path as Arrow reads it: ``file:/x`` is ``file:///x``."""
+    return "file://" + path[len("file:"):] if path.startswith("file:") and not path.startswith("file://") else path
+
+
 def check_headers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """A3: (kaynak_dosya, dosya_adi, sema_ok, adla_okunur, gelen) — whether the
     ordered header equals the contract, and whether it at least contains every
-    contract column (then the file can be read by column name).
-
-    One first-line read per file (the number of files is the number of
-    months), run concurrently.
+    contract column (then the file can be read by column name). One job for all
+    files, a row a file.
     """
-    # each header is a first-line read (a tiny job); they are independent, so
-    # they are submitted concurrently from a few driver threads
-    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
-        headers = list(pool.map(lambda f: header_of(spark, f), files))
+    found = headers(spark, files)
     rows = [(f, file_name(f), got == schema.RAW_COLUMNS, set(schema.RAW_COLUMNS) <= set(got), got)
-            for f, got in zip(files, headers)]
+            for f in files for got in [found[f]]]
     sch = T.StructType([
         T.StructField(schema.SOURCE_COL, T.StringType(), False),
         T.StructField(FILE_NAME, T.StringType(), False),
@@ -113,15 +158,18 @@ def read_raw(spark: SparkSession, files: Sequence[str], permissive: bool = False
     return _with_source(reader.csv(list(files)))
 
 
-def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame | None:
+def read_by_header(spark: SparkSession, files: Sequence[str], known: Mapping[str, Sequence[str]] | None = None) -> DataFrame | None:
     """Read files whose header differs from the contract by column *name*
     (text only), keeping the contract columns when all of them are present;
-    used by validation to still profile such files. Returns None when no file
-    has all contract columns."""
+    used by validation to still profile such files; ``known`` are their headers
+    if they were read already. Files of one header are read together. Returns
+    None when no file has all contract columns."""
     parts = []
-    with ThreadPoolExecutor(max_workers=min(16, max(1, len(files)))) as pool:
-        headers = list(pool.map(lambda f: header_of(spark, f), files))
-    for f, names in zip(files, headers):
+    of: dict[tuple[str, ...], list[str]] = {}
+    for f, names in (headers(spark, files) if known is None else known).items():
+        if f in set(files):
+            of.setdefault(tuple(names), []).append(f)
+    for names, same in sorted(of.items(), key=lambda x: x[1]):
         if not set(schema.RAW_COLUMNS) <= set(names):
             continue
         # the file's own header as an all-text schema, plus the corrupt-record
@@ -129,7 +177,7 @@ def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame | Non
         sch = T.StructType([T.StructField(n, T.StringType(), True) for n in names]
                            + [T.StructField(CORRUPT, T.StringType(), True)])
         df = (spark.read.schema(sch).option("header", True).option("enforceSchema", False)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(f))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(same))
         parts.append(_with_source(df.select(*schema.RAW_COLUMNS, CORRUPT)))
     if not parts:
         return None

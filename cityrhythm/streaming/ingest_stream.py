@@ -1,95 +1,45 @@
-"""Incremental ingest as a file stream (A10, alternative form).
-
-``readStream`` over the raw folder picks up only files it has not seen (the
-checkpoint records them); ``trigger(availableNow=True)`` processes what is
-there and stops, so it can run as a scheduled batch. Each micro-batch holds
-whole files; inside ``foreachBatch`` the batch is gated per file and only
-accepted files are written, one a month. Decisions are appended to the conversion log.
-
-The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``;
-each micro-batch is parsed once into a staging table under it, gated there,
-and only accepted files are copied to the store.
-Note: a file rejected by the gate is marked as seen by the stream; after it is
-re-downloaded under the same name, run the batch :func:`ingest` (which
-consults the log, not the checkpoint) to retry it.
+"""Incremental ingest as a stream of arriving files (A10, alternative form).
+
+The stream carries arrivals (:mod:`file_events`), not rows: each micro-batch
+names the files that are new or have changed since the last one, and
+``foreachBatch`` hands them to the batch ingest, which parses, gates and
+publishes them. So both forms decide alike, a header without rows is reported,
+and a rejected month that is downloaded again under its name is taken without
+a batch run. A file that is still being written comes again when it has grown.
+
+The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``. A
+micro-batch that is retried after a failure finds the months it had published
+and skips them.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cityrhythm import dims, schema
-from cityrhythm.operators.ingest import (CONVERTED, LOG_SCHEMA, REJECTED, clean, converted_months, judge, publish,
-                                         with_raw_hour)
+from cityrhythm import dims
+from cityrhythm.operators.ingest import ingest_files
 from cityrhythm.session import work_path
 from cityrhythm.sources import raw_csv
+from cityrhythm.streaming.file_events import arrivals
 
 
 def start(spark: SparkSession, raw_dir: str, clean_path: str, log_path: str,
           min_rows: int = dims.MIN_ROWS_PER_DAY, checkpoint: str | None = None,
           files_per_batch: int | None = None):
-    """Start the availableNow stream; returns the StreamingQuery (call
-    ``awaitTermination()``). Headers are checked per file: a file that lacks a
-    contract column is rejected, one with other columns or another order is
-    read by name, as in the batch ingest. Months that the log has as converted
-    are skipped, and of several accepted files of a month the first one in name
-    order is taken.
-    ``files_per_batch`` bounds a micro-batch (a backlog of months is then
-    processed in several batches; availableNow still stops when done)."""
+    """Start the availableNow stream; returns the StreamingQuery (call ``awaitTermination()``).
+
+    Decisions are those of :func:`cityrhythm.operators.ingest.ingest`, and are
+    appended to the same log. ``files_per_batch`` bounds how many files are
+    parsed into one staging table; a backlog is then worked off in steps.
+    """
     checkpoint = checkpoint or work_path(spark, "streams/ingest")
-    # a malformed line keeps its text in the corrupt-record column and flags its
-    # file as invalid (see ingest.clean(strict=False))
-    sch = T.StructType(list(schema.RAW_SCHEMA.fields) + [T.StructField(raw_csv.CORRUPT, T.StringType(), True)])
-    reader = (spark.readStream.schema(sch)
-              .option("header", True)          # headers are checked per file below
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw_csv.CORRUPT)
-              .option("pathGlobFilter", raw_csv.PATTERN))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", int(files_per_batch))
-    src = reader.csv(raw_dir)
-    path = F.col("_metadata.file_path")
-    src = src.select("*", path.alias(schema.SOURCE_COL), F.col("_metadata.file_size").alias("dosya_bayt"),
-                     F.regexp_extract(path, r"_(\d{6})\.csv$", 1).cast("int").alias(schema.PERIOD_COL))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        # Parse the micro-batch's CSV once into a quarantine staging table under
-        # the stream's checkpoint folder; the path is fixed per epoch and
-        # overwritten, so a retried batch is idempotent.
-        session = batch.sparkSession
-        if batch.isEmpty():
-            return
-        stage = f"{checkpoint.rstrip('/')}/stage/{epoch}"
-        staging = clean(with_raw_hour(batch), strict=False)
-        (staging.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
-         .option("compression", "zstd").parquet(stage))
-        staged = session.read.schema(staging.schema).parquet(stage)
-        # one row per file of the batch
-        files = [r[0] for r in staged.select(schema.SOURCE_COL).distinct().collect()]
-        heads = {r[schema.SOURCE_COL]: (r["sema_ok"], r["adla_okunur"]) for r in raw_csv.check_headers(session, files).collect()}
-        now = dt.datetime.now()
-        log = [(int(raw_csv.month_of(f)), f, REJECTED, "sema", None, None, None, None, now) for f in files if not heads[f][1]]
-        by_name = [f for f in files if heads[f][1] and not heads[f][0]]
-        staged = staged.where(F.col(schema.SOURCE_COL).isin([f for f in files if heads[f][0]]))
-        if by_name:
-            # read by position these rows mean nothing; they are staged again by column name
-            again = clean(with_raw_hour(raw_csv.read_by_header(session, by_name)), strict=False)
-            (again.write.mode("overwrite").partitionBy(schema.PERIOD_COL)
-             .option("compression", "zstd").parquet(stage + "-by-name"))
-            staged = staged.unionByName(session.read.schema(again.schema).parquet(stage + "-by-name")
-                                        .drop(raw_csv.FILE_NAME))
-        decisions = judge(staged, min_rows, converted_months(session, log_path))
-        accepted = [g[schema.SOURCE_COL] for g, what, _ in decisions if what == CONVERTED]
-        if accepted:
-            publish(staged, accepted, clean_path)
-        log += [(g[schema.PERIOD_COL], g[schema.SOURCE_COL], what, why, g["tam_gun"], g["ay_gun"],
-                 (g["dosya_bayt"] or 0) / 1e6, None, now) for g, what, why in decisions]
-        if log:
-            session.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
+        files = sorted(r["yol"] for r in batch.select("yol").collect() if raw_csv.month_of(r["yol"]))   # one row a monthly file
+        step = files_per_batch or max(len(files), 1)
+        for a in range(0, len(files), step):
+            ingest_files(batch.sparkSession, files[a:a + step], clean_path, log_path, min_rows)
 
-    return (src.writeStream.foreachBatch(handle)
+    return (arrivals(spark, raw_dir).writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cityrhythm import model, schema
 from cityrhythm.operators import ingest, quality
 from cityrhythm.plans.inspect import formatted_plan
-from cityrhythm.sources import raw_csv
+from cityrhythm.sources import raw_csv, versioned
 from tests.csv_fixtures import MIN_ROWS, build_months, month_rows, write_csv
 
 
@@ -80,7 +80,7 @@ def test_ingest_gate_convert_and_rerun(spark, raw, tmpdir_path):
     assert rep[202309]["durum"] == "reddedildi" and rep[202309]["neden"] == "sema"
     assert rep[202302]["csv_mb"] > 0 and rep[202302]["parquet_mb"] > 0
 
-    clean = spark.read.parquet(clean_path)
+    clean = versioned.read(spark, clean_path)
     types = dict(clean.dtypes)
     assert types["transition_hour"] == "tinyint" and types["transport_type_id"] == "tinyint"
     assert types["number_of_passenger"] == "int" and types["transition_date"] == "date"
@@ -104,12 +104,12 @@ def test_ingest_gate_convert_and_rerun(spark, raw, tmpdir_path):
     assert again.accepted == []
     states = {r[schema.PERIOD_COL]: r["durum"] for r in again.report.collect()}
     assert states[202302] == "atlandi" and states[202303] == "reddedildi"
-    assert spark.read.parquet(clean_path).count() == n_before
+    assert versioned.read(spark, clean_path).count() == n_before
 
     forced = ingest.ingest(spark, d, clean_path, log_path, months=["202303"], min_rows=MIN_ROWS, force=True)
     assert forced.accepted == [202303]
     assert forced.report.first()["neden"] == "force"
-    assert spark.read.parquet(clean_path).count() == n_before + 30 * 48
+    assert versioned.read(spark, clean_path).count() == n_before + 30 * 48
 
 
 def test_trips_year_scope_prunes_partitions(spark, raw, tmpdir_path):
@@ -131,22 +131,21 @@ def test_stream_ingest_picks_up_only_new_files(spark, tmpdir_path):
     clean_path, log_path = os.path.join(tmpdir_path, "clean"), os.path.join(tmpdir_path, "log")
     ck = os.path.join(tmpdir_path, "ck")
     ingest_stream.start(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS, checkpoint=ck).awaitTermination()
-    assert spark.read.parquet(clean_path).count() == 28 * 48
+    assert versioned.read(spark, clean_path).count() == 28 * 48
     write_csv(raw_dir, "202303", month_rows(2023, 3, skip_days=(2,)))     # rejected by the gate
     write_csv(raw_dir, "202304", month_rows(2023, 4))
     ingest_stream.start(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS, checkpoint=ck).awaitTermination()
-    months = sorted(r[0] for r in spark.read.parquet(clean_path).select(schema.PERIOD_COL).distinct().collect())
+    months = sorted(r[0] for r in versioned.read(spark, clean_path).select(schema.PERIOD_COL).distinct().collect())
     assert months == [202302, 202304]
     log = {r[schema.PERIOD_COL]: r["durum"] for r in spark.read.parquet(log_path).collect()}
     assert log == {202302: "donusturuldu", 202303: "reddedildi", 202304: "donusturuldu"}
-    # the rejected month is re-downloaded complete under the same name: the stream
-    # has seen that path, the batch ingest (which reads the log) converts it
+    # the rejected month is re-downloaded complete under the same name: it comes
+    # again in the stream, and the batch ingest (which reads the log) has nothing left
     write_csv(raw_dir, "202303", month_rows(2023, 3))
     ingest_stream.start(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS, checkpoint=ck).awaitTermination()
-    assert spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 0
-    res = ingest.ingest(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS)
-    assert res.accepted == [202303]
-    assert spark.read.parquet(clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 31 * 48
+    assert versioned.read(spark, clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 31 * 48
+    assert ingest.ingest(spark, raw_dir, clean_path, log_path, min_rows=MIN_ROWS).accepted == []
+    assert versioned.read(spark, clean_path).where(F.col(schema.PERIOD_COL) == 202303).count() == 31 * 48
 
 
 def test_autopsy_on_raw_rows(spark, raw):
@@ -200,16 +199,18 @@ def test_modes_and_m7_lookup_end_to_end(spark, tmpdir_path):
     assert night == {"BESIKTAS": (100, 100), "SISLI": (30, 30)}       # unknown M7 stop has no district
 
 
-def test_stream_backlog_in_bounded_batches(spark, tmpdir_path):
+def test_stream_backlog_in_bounded_batches(spark, tmpdir_path, monkeypatch):
     from cityrhythm.streaming import ingest_stream
     raw_dir = os.path.join(tmpdir_path, "raw_backlog")
     write_csv(raw_dir, "202302", month_rows(2023, 2))
     write_csv(raw_dir, "202304", month_rows(2023, 4))
-    q = ingest_stream.start(spark, raw_dir, os.path.join(tmpdir_path, "clean_b"), os.path.join(tmpdir_path, "log_b"),
-                            min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "ck_b"), files_per_batch=1)
-    q.awaitTermination()
-    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2        # one file per batch
-    months = sorted(r[0] for r in spark.read.parquet(os.path.join(tmpdir_path, "clean_b"))
+    steps = []
+    real = ingest_stream.ingest_files
+    monkeypatch.setattr(ingest_stream, "ingest_files", lambda spark, files, *a: (steps.append(len(files)), real(spark, files, *a)))
+    ingest_stream.start(spark, raw_dir, os.path.join(tmpdir_path, "clean_b"), os.path.join(tmpdir_path, "log_b"),
+                        min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "ck_b"), files_per_batch=1).awaitTermination()
+    assert steps == [1, 1]                                                         # one file a step
+    months = sorted(r[0] for r in versioned.read(spark, os.path.join(tmpdir_path, "clean_b"))
                     .select(schema.PERIOD_COL).distinct().collect())
     assert months == [202302, 202304]
 
@@ -263,7 +264,7 @@ def test_unparseable_value_rejects_only_its_file(spark, tmpdir_path):
     res = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_bad"), min_rows=MIN_ROWS)
     rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
     assert res.accepted == [202302] and rep[202304] == ("reddedildi", "gecersiz deger")
-    store = spark.read.parquet(clean_path)
+    store = versioned.read(spark, clean_path)
     assert ingest.INVALID not in store.columns
     assert sorted(r[0] for r in store.select(schema.PERIOD_COL).distinct().collect()) == [202302]
     forced = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_bad"), months=["202304"],
@@ -279,7 +280,7 @@ def test_malformed_line_rejects_only_its_file(spark, tmpdir_path):
     res = ingest.ingest(spark, raw_dir, clean_path, os.path.join(tmpdir_path, "log_m"), min_rows=MIN_ROWS)
     rep = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in res.report.collect()}
     assert res.accepted == [202302] and rep[202304] == ("reddedildi", "gecersiz deger")
-    assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
+    assert raw_csv.CORRUPT not in versioned.read(spark, clean_path).columns
 
 
 def test_stream_rejects_file_with_malformed_line(spark, tmpdir_path):
@@ -292,7 +293,7 @@ def test_stream_rejects_file_with_malformed_line(spark, tmpdir_path):
                         checkpoint=os.path.join(tmpdir_path, "ck_sm")).awaitTermination()
     log = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in spark.read.parquet(log_path).collect()}
     assert log == {202302: ("donusturuldu", None), 202304: ("reddedildi", "gecersiz deger")}
-    assert raw_csv.CORRUPT not in spark.read.parquet(clean_path).columns
+    assert raw_csv.CORRUPT not in versioned.read(spark, clean_path).columns
 
 
 def test_validator_reports_malformed_lines(spark, tmpdir_path):
@@ -338,7 +339,7 @@ def test_one_file_a_month_lands(spark, tmpdir_path, second_complete, force):
     _two_files(raw_dir, second_complete)
     res = ingest.ingest(spark, raw_dir, store, os.path.join(tmpdir_path, "log"), min_rows=MIN_ROWS, force=force)
     assert res.accepted == [202302]
-    assert spark.read.parquet(store).count() == 28 * 48
+    assert versioned.read(spark, store).count() == 28 * 48
     got = {raw_csv.file_name(r[schema.SOURCE_COL]): r["durum"] for r in res.report.collect()}
     assert got == {"hourly_transportation_202302.csv": ingest.CONVERTED, "hourly_transportation_yedek_202302.csv": ingest.SKIPPED}
 
@@ -348,8 +349,8 @@ def test_rejected_first_file_leaves_the_month_to_the_second(spark, tmpdir_path):
     write_csv(raw_dir, "202302", month_rows(2023, 2), raw_lines=["2023-02-03,xx,2,RAYLI,LINE X,Normal,5,5,TAM,Tam Kontur,FATIH,M2,S1"])
     write_csv(raw_dir, "yedek_202302", month_rows(2023, 2, per_hour=3))
     res = ingest.ingest(spark, raw_dir, store, os.path.join(tmpdir_path, "log"), min_rows=MIN_ROWS)
-    assert res.accepted == [202302] and spark.read.parquet(store).count() == 28 * 72
-    assert spark.read.parquet(store).where("transition_hour is null").count() == 0
+    assert res.accepted == [202302] and versioned.read(spark, store).count() == 28 * 72
+    assert versioned.read(spark, store).where("transition_hour is null").count() == 0
 
 
 @pytest.mark.parametrize("second_complete", [False, True])
@@ -361,10 +362,10 @@ def test_stream_lands_one_file_a_month_and_consults_the_log(spark, tmpdir_path,
     def run():
         ingest_stream.start(spark, raw_dir, store, log, min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "cp")).awaitTermination()
     run()
-    assert spark.read.parquet(store).count() == 28 * 48
+    assert versioned.read(spark, store).count() == 28 * 48
     write_csv(raw_dir, "zzz_202302", month_rows(2023, 2, per_hour=4))          # a later file of a converted month
     run()
-    assert spark.read.parquet(store).count() == 28 * 48
+    assert versioned.read(spark, store).count() == 28 * 48
     last = {raw_csv.file_name(r[schema.SOURCE_COL]): r["durum"] for r in ingest.read_log(spark, log).collect()}
     assert last["hourly_transportation_zzz_202302.csv"] == ingest.SKIPPED
 
@@ -376,7 +377,7 @@ def test_stream_skips_months_converted_in_batch(spark, tmpdir_path):
     ingest.ingest(spark, raw_dir, store, log, min_rows=MIN_ROWS)
     write_csv(raw_dir, "202302", month_rows(2023, 2, per_hour=3))
     ingest_stream.start(spark, raw_dir, store, log, min_rows=MIN_ROWS, checkpoint=os.path.join(tmpdir_path, "cp")).awaitTermination()
-    assert spark.read.parquet(store).count() == 28 * 48
+    assert versioned.read(spark, store).count() == 28 * 48
 
 
 def test_stream_rejects_foreign_headers_per_file(spark, tmpdir_path):
@@ -388,5 +389,5 @@ def test_stream_rejects_foreign_headers_per_file(spark, tmpdir_path):
     decided = {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in ingest.read_log(spark, log).collect()}
     assert decided == {r[schema.PERIOD_COL]: (r["durum"], r["neden"]) for r in batch.report.collect()}
     assert decided[202309] == (ingest.REJECTED, "sema") and decided[202307][0] == ingest.CONVERTED
-    a, b = (spark.read.parquet(os.path.join(tmpdir_path, x)) for x in ("store", "store2"))
+    a, b = (versioned.read(spark, os.path.join(tmpdir_path, x)) for x in ("store", "store2"))
     assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
