@@ -7,10 +7,10 @@ partition holds at most 24 rows after the hourly aggregation.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import json
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityrhythm import dims
@@ -72,56 +72,97 @@ CLUSTER_SCHEMAS = ("kume int, kume_adi string, sira int, boyut long, oran double
 
 # --- C16 / C17: station clustering -------------------------------------------
 
-def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42,
-                     max_iter: int = 300):
-    """K-means on the station x hour share matrix; best of ``n_init``
-    seeded starts by training cost. C17: clusters named by the ratio of the
-    mean profile's evening (16-19) to morning (6-9) share, ascending.
+#: Shares are summed as whole numbers of this unit, and costs of that: sums of integers don't depend on the order.
+SHARE_UNIT, COST_UNIT = 1e12, 1e15
+EVENING, MORNING = dims.EVENING_HOURS, dims.MORNING_HOURS
 
-    The matrix (one row per station) is persisted, so the ``n_init`` fits do not
-    re-run the trip aggregation; a lost block is computed again.
+
+def _distances(x: Column, centres: list[list[list[float]]]) -> Column:
+    """Squared distances of a profile to each centre of each start, the hours added in order."""
+    def to(c: Column) -> Column:
+        return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    # as one literal: building the numbers one by one would take the driver longer than the job
+    given = F.from_json(F.lit(json.dumps(centres)), "array<array<array<double>>>")
+    return F.transform(given, lambda start: F.transform(start, to))
+
+
+def _whole(x: Column, unit: float) -> Column:
+    return F.floor(x * F.lit(unit) + F.lit(0.5))
+
+
+def _first_centres(points: DataFrame, k: int, n_init: int, seed: int) -> list[list[list[float]]]:
+    """For each start ``k`` centres: a station in the order of a hash, then always that farthest from the centres so far."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("istasyon")))
+    centres = [[list(r["x"])] for r in points.orderBy(order, "istasyon").limit(n_init).collect()]
+    for _ in range(k - 1 if centres else 0):
+        near = points.select("istasyon", "x", F.posexplode(F.transform(_distances(F.col("x"), centres), F.array_min)).alias("start", "d"))
+        far = near.groupBy("start").agg(F.max(F.struct("d", "istasyon", "x")).alias("far")).collect()      # a row a start
+        for r in far:
+            centres[r["start"]].append(list(r["far"]["x"]))
+    return centres
+
+
+def cluster_stations(matrix: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300):
+    """K-means on the station x hour share matrix, the best of ``n_init``
+    starts by cost. C17: clusters named by the ratio of the mean profile's
+    evening (16-19) to morning (6-9) share, ascending.
+
+    All starts advance together: an iteration is one job, a single aggregation
+    over (start, centre) of the shares' sums, and the driver keeps the centres
+    alone (starts x k x 24 numbers). The start points are given by a rule (a
+    station by hash order, then the farthest ones, ties to the greatest name),
+    sums are of integers, the nearest centre is the first of equals and the best
+    start the first of equals, so the result depends on neither partitioning nor
+    engine. A centre that loses all stations stays where it is. It ends when no
+    centre moves, or after ``max_iter`` iterations. With fewer distinct stations
+    than ``k`` there are as many clusters as these; a null name is a station.
 
     Returns (clusters, members): clusters = (kume, kume_adi, sira, boyut, oran,
-    profil array<double>[24], maliyet = training cost of the chosen start);
-    members = (istasyon, kume, kume_adi).
+    profil array<double>[24], maliyet = cost of the chosen start); members =
+    (istasyon, kume, kume_adi).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     from cityrhythm.operators.profiles import hour_columns
 
     hours = hour_columns()
-    feats = VectorAssembler(inputCols=hours, outputCol="features").transform(matrix)
-    feats = feats.select("istasyon", "features", *hours)
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(i: int):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                       predictionCol="kume").fit(feats)
-        return model.summary.trainingCost, i, model
-
-    # the starts are independent distributed fits over the small persisted
-    # matrix; a few run concurrently. The choice is deterministic: least cost,
-    # ties to the earlier seed.
-    with ThreadPoolExecutor(max_workers=min(4, n_init)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    feats.unpersist()
-    best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
-    members = best.transform(feats).select("istasyon", "kume", *hours)
-    prof = members.groupBy("kume").agg(F.count(F.lit(1)).alias("boyut"), *[F.avg(h).alias(h) for h in hours])
-    ev = sum(F.col(f"h{h}") for h in range(EVENING[0], EVENING[1] + 1))
-    mo = sum(F.col(f"h{h}") for h in range(MORNING[0], MORNING[1] + 1))
-    prof = prof.select("kume", "boyut", F.try_divide(ev, mo).alias("oran"),
-                       F.array(*[F.col(h) for h in hours]).alias("profil"),
-                       F.lit(float(best_cost)).alias("maliyet"))
+    points = matrix.select("istasyon", F.array(*[F.col(h).cast("double") for h in hours]).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = [F.sum(_whole(F.col("x")[h], SHARE_UNIT)).alias(name) for h, name in enumerate(hours)]
+
+    def nearest(d: Column) -> Column:
+        return F.array_position(d, F.array_min(d)) - 1
+
+    centres = _first_centres(points, k, n_init, seed)
+    if not centres:
+        raise ValueError("no station to cluster")
+    for _ in range(max_iter):
+        labels = points.select("x", F.posexplode(F.transform(_distances(F.col("x"), centres), nearest)).alias("start", "kume"))
+        moved = False
+        for r in labels.groupBy("start", "kume").agg(F.count(F.lit(1)).alias("n"), *sums).collect():     # a row a centre
+            new = [float(r[h]) / r["n"] / SHARE_UNIT for h in hours]
+            moved |= new != centres[r["start"]][r["kume"]]
+            centres[r["start"]][r["kume"]] = new
+        if not moved:
+            break
+    costs = (points.select(F.posexplode(F.transform(_distances(F.col("x"), centres), F.array_min)).alias("start", "d"))
+             .groupBy("start").agg(F.sum(_whole(F.col("d"), COST_UNIT).cast("decimal(20,0)")).alias("cost")).collect())
+    cost, start = min((r["cost"], r["start"]) for r in costs)
+
+    d = _distances(F.col("x"), [centres[start]])[0]
+    members = points.select("istasyon", "x", nearest(d).cast("int").alias("kume"))
+    prof = members.groupBy("kume").agg(F.count(F.lit(1)).alias("boyut"), *sums)
+    prof = prof.select("kume", "boyut", *[(F.col(h).cast("double") / F.col("boyut") / F.lit(SHARE_UNIT)).alias(h) for h in hours])
+    ev = sum((F.col(f"h{h}") for h in range(EVENING[0] + 1, EVENING[1] + 1)), F.col(f"h{EVENING[0]}"))
+    mo = sum((F.col(f"h{h}") for h in range(MORNING[0] + 1, MORNING[1] + 1)), F.col(f"h{MORNING[0]}"))
+    prof = prof.select("kume", "boyut", F.try_divide(ev, mo).alias("oran"), F.array(*[F.col(h) for h in hours]).alias("profil"),
+                       F.lit(float(cost) / COST_UNIT).alias("maliyet"))
     names = F.array(*[F.lit(n) for n in dims.CLUSTER_NAMES])
     ranked = prof.select("*", F.row_number().over(
         Window.orderBy(F.col("oran").asc_nulls_last(), F.col("kume").asc())).alias("sira"))   # k rows
-    clusters = ranked.select("kume", F.element_at(names, F.col("sira")).alias("kume_adi"),
+    clusters = ranked.select("kume", F.try_element_at(names, F.col("sira")).alias("kume_adi"),
                              "sira", "boyut", "oran", "profil", "maliyet")
     named = members.join(clusters.select("kume", "kume_adi"), "kume").select("istasyon", "kume", "kume_adi")
     return clusters, named
 
 
-EVENING = dims.EVENING_HOURS
-MORNING = dims.MORNING_HOURS
+def cluster_profiles(clusters: DataFrame) -> DataFrame:
+    """C17 for a chart or table: name, rank, size and ratio of each cluster with its mean profile as 24 hour columns."""
+    return clusters.select("kume_adi", "sira", "boyut", "oran", *[F.col("profil")[h].alias(f"h{h}") for h in range(24)], "maliyet")

@@ -295,12 +295,63 @@ def q_station_matrix(spark, sf_dir):
     return stations.station_matrix(_station_share(spark, sf_dir))
 
 
-@register("station_clusters", "C16,C17", None, "k-means best of 10 starts; rows-only check")
+@register("station_clusters", "C16,C17", None, "k-means best of 10 starts with its profiles as arrays; rows-only check")
 def q_station_clusters(spark, sf_dir):
     clusters, _ = stations.cluster_stations(stations.station_matrix(_station_share(spark, sf_dir)))
     return clusters
 
 
+CLUSTER_ROUNDS, CLUSTER_STARTS, CLUSTER_K = 12, 10, 4
+
+
+def _cluster_ctes() -> list[str]:
+    """K-means as the operator defines it, a round a step: ``fit`` has each station's cluster in the best start."""
+    hours = [f"h{h}" for h in range(24)]
+    gap = " + ".join(f"(x.{h} - c.{h}) * (x.{h} - c.{h})" for h in hours)
+    cols = ", ".join(hours)
+    out = STATION_SHARE_CTES + [
+        f"x AS MATERIALIZED (SELECT istasyon, {_pivot_sql('pay', '0.0')} FROM ss GROUP BY 1)",
+        f"""f0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42:' || istasyon), istasyon) - 1 AS start, 0 AS k, {cols} FROM x
+          QUALIFY start < {CLUSTER_STARTS})"""]
+    for j in range(1, CLUSTER_K):
+        out += [f"""n{j} AS (SELECT * FROM (SELECT c.start, x.istasyon, min({gap}) AS d FROM x, f{j - 1} c GROUP BY 1, 2)
+          QUALIFY row_number() OVER (PARTITION BY start ORDER BY d DESC, istasyon DESC) = 1)""",
+                f"""f{j} AS MATERIALIZED (SELECT * FROM f{j - 1}
+          UNION ALL SELECT n.start, {j}, {', '.join('x.' + h for h in hours)} FROM n{j} n JOIN x USING (istasyon))"""]
+    sums = ", ".join(f"CAST(CAST(sum(CAST(floor(x.{h} * 1e12 + 0.5) AS BIGINT)) AS BIGINT) AS DOUBLE) / count(*) / 1e12 AS {h}" for h in hours)
+    centres = f"f{CLUSTER_K - 1}"
+    for r in range(CLUSTER_ROUNDS + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT istasyon, c.start, c.k, {gap} AS d FROM x, {centres} c
+          QUALIFY row_number() OVER (PARTITION BY istasyon, c.start ORDER BY d, c.k) = 1)""")
+        if r < CLUSTER_ROUNDS:
+            out.append(f"""c{r} AS MATERIALIZED (SELECT o.start, o.k, {', '.join(f'coalesce(n.{h}, o.{h}) AS {h}' for h in hours)} FROM {centres} o
+          LEFT JOIN (SELECT a.start, a.k, {sums} FROM a{r} a JOIN x USING (istasyon) GROUP BY 1, 2) n USING (start, k))""")
+            centres = f"c{r}"
+    out += [f"cost AS (SELECT start, sum(CAST(floor(d * 1e15 + 0.5) AS HUGEINT)) AS cost FROM a{CLUSTER_ROUNDS} GROUP BY 1 ORDER BY 2, 1 LIMIT 1)",
+            f"fit AS (SELECT istasyon, CAST(k AS INT) AS kume, CAST(cost AS DOUBLE) / 1e15 AS maliyet FROM a{CLUSTER_ROUNDS} JOIN cost USING (start))",
+            f"""prof AS (SELECT kume, any_value(maliyet) AS maliyet, count(*) AS boyut, {sums} FROM fit JOIN x USING (istasyon) GROUP BY 1)""",
+            f"""named AS (SELECT *, (h16 + h17 + h18 + h19) / NULLIF(h6 + h7 + h8 + h9, 0) AS oran,
+              CAST(row_number() OVER (ORDER BY (h16 + h17 + h18 + h19) / NULLIF(h6 + h7 + h8 + h9, 0) NULLS LAST, kume) AS INT) AS sira,
+              [{', '.join(repr(n) for n in dims.CLUSTER_NAMES)}][sira] AS kume_adi FROM prof)"""]
+    return out
+
+
+def _clusters(spark, sf_dir):
+    return stations.cluster_stations(stations.station_matrix(_station_share(spark, sf_dir)), k=CLUSTER_K, n_init=CLUSTER_STARTS, max_iter=CLUSTER_ROUNDS)
+
+
+@register("station_cluster_profiles", "C16,C17", facade_sql(
+    "E", f"SELECT kume_adi, sira, boyut, oran, {', '.join(f'h{h}' for h in range(24))}, maliyet FROM named", _cluster_ctes()))
+def q_station_cluster_profiles(spark, sf_dir):
+    return stations.cluster_profiles(_clusters(spark, sf_dir)[0])
+
+
+@register("station_cluster_members", "C16,C17", facade_sql(
+    "E", "SELECT istasyon, kume, kume_adi FROM fit JOIN named USING (kume)", _cluster_ctes()))
+def q_station_cluster_members(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1]
+
+
 # ---------------------------------------------------------------------------
 # B3 / C5 / C13 / C23 / C24 / C29 / C31 / C30 / C32 — districts at night
 # ---------------------------------------------------------------------------
@@ -749,7 +800,8 @@ _NOTES = {
     "anomaly_labels": "O; special days 1995-02-06, 1996-07-04, 1997-10-29, 2050-01-01; top 6 by |z|, ties by date",
     "series_annotations": "O; same special days, absent ones drop out",
     "station_peak": "E; ties to the earlier hour", "station_share": "E; station total > 10 000",
-    "station_matrix": "E; missing hour 0", "station_clusters": "E; k-means k=4, best of 10 seeds",
+    "station_matrix": "E; missing hour 0", "station_clusters": "E; k-means k=4, best of 10 starts",
+    "station_cluster_profiles": "E; k-means k=4, best of 10 starts, 12 rounds", "station_cluster_members": "E; the same",
     "night_index": "E; total > 1 000 000", "night_map_index": "E; total > 500 000",
     "night_top": "E; first 3, ties by district", "index_scale": "E; NULL when min = max",
     "map_enrich": "E; 4 boundary features from the shipped GeoJSON fixture",

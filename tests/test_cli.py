@@ -6,6 +6,7 @@ import os
 
 from cityrhythm.__main__ import main
 from cityrhythm.plans import registry
+from cityrhythm.sources import versioned
 from tests.csv_fixtures import MIN_ROWS, month_rows, write_csv
 
 
@@ -21,9 +22,9 @@ def test_cli_commands(spark, tmpdir_path, capsys):
     assert "== blank map by mode" in shown and "RAYLI" in shown
     store = os.path.join(tmpdir_path, "store")
     assert main(["ingest", "--raw", raw, "--store", store, "--esik", str(MIN_ROWS)]) == 0
-    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == [202212, 202302]
+    assert sorted(r[0] for r in versioned.read(spark, store).select("yilay").distinct().collect()) == [202212, 202302]
     assert main(["ingest", "202303", "--raw", raw, "--store", store, "--force"]) == 0
-    assert sorted(r[0] for r in spark.read.parquet(store).select("yilay").distinct().collect()) == \
+    assert sorted(r[0] for r in versioned.read(spark, store).select("yilay").distinct().collect()) == \
         [202212, 202302, 202303]
     out = os.path.join(tmpdir_path, "out")
     assert main(["year", "2023", "--store", store, "--out", out]) == 0
