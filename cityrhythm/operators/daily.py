@@ -50,6 +50,34 @@ def anomaly(trips: DataFrame, by: Sequence[str] = (), z_limit: float = dims.ANOM
                     (F.abs(F.col("_z")) >= F.lit(z_limit)).alias("anomali")))
 
 
+def weekday_moments(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per ISO weekday (and ``by``): number, mean and sum of squared deviations of the daily totals.
+
+    ``days`` has one row a day (``transition_date``, ``haftanin_gunu``, ``yolcu``), e.g. the kept daily
+    totals of one month; moments of disjoint sets of days are united by :func:`merge_moments`.
+    """
+    n = F.count("yolcu")
+    return days.groupBy(*by, "haftanin_gunu").agg(n.alias("n"), F.avg("yolcu").alias("ort"), (F.var_pop("yolcu") * n).alias("m2"))
+
+
+def merge_moments(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Moments of the union from moments of disjoint parts (weighted mean; second moments plus those of the means)."""
+    w = Window.partitionBy(*by, "haftanin_gunu")        # one row a part: a month each
+    mean = F.try_divide(F.sum(F.col("n") * F.col("ort")).over(w), F.sum("n").over(w))
+    shifted = moments.select(*by, "haftanin_gunu", "n", mean.alias("ort"), (F.col("m2") + F.col("n") * (F.col("ort") - mean) * (F.col("ort") - mean)).alias("m2"))
+    return shifted.groupBy(*by, "haftanin_gunu").agg(F.sum("n").alias("n"), F.first("ort").alias("ort"), F.sum("m2").alias("m2"))
+
+
+def anomaly_of_moments(days: DataFrame, moments: DataFrame, by: Sequence[str] = (), z_limit: float = dims.ANOMALY_Z) -> DataFrame:
+    """:func:`anomaly` for daily totals against kept moments: new days are judged without the rows behind the moments."""
+    own = {"n": "_n", "ort": "_ort", "m2": "_m2"}
+    m = moments.select(*by, "haftanin_gunu", *[F.col(c).alias(a) for c, a in own.items()])
+    keys = [*by, "haftanin_gunu"]
+    z = F.try_divide(F.col("yolcu") - F.col("_ort"), F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))))
+    return (days.join(m, keys, "left").select(*by, "transition_date", "haftanin_gunu", "yolcu", round_half_away(z, 6).alias("z"), z.alias("z_ham"),
+                                              (F.abs(z) >= F.lit(z_limit)).alias("anomali")))
+
+
 def _special_map(special_days: Mapping) -> tuple[list[dt.date], Column | None]:
     days = sorted((dt.date.fromisoformat(str(d)) if not isinstance(d, dt.date) else d, lbl)
                   for d, lbl in special_days.items())

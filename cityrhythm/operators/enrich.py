@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+import datetime as dt
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityrhythm import dims, schema
@@ -61,13 +61,38 @@ def in_range(col: Column | str, start, end) -> Column:
     return c.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _day(x) -> dt.date:
+    return x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x))
 
 
-def _month(day) -> int:
-    y, m = str(day).split("-")[:2]
-    return int(y) * 100 + int(m)
+def _days(start, end) -> Iterable[dt.date]:
+    a = _day(start)
+    return (a + dt.timedelta(days=i) for i in range((_day(end) - a).days + 1))
+
+
+def period_days(spark: SparkSession, periods, special: str = "ramazan", normal: str = "normal") -> DataFrame:
+    """The days that :func:`tag_periods` keeps, one row each: ``_gun``, ``_yil``, and the label.
+
+    ``periods``: a list of :class:`dims.Period` or the period dimension as a DataFrame. A day outside its
+    period's year is left out; where periods of a year overlap, a day that one keeps is kept, and is special
+    if any has it in its range.
+    """
+    if not isinstance(periods, DataFrame):
+        kept, marked = set(), set()
+        for p in periods:
+            out = set(_days(*p.excluded))
+            kept |= {d for d in _days(p.window_start, p.window_end) if d.year == p.year and d not in out}
+            marked |= {d for d in _days(p.start, p.end) if d.year == p.year}
+        return spark.createDataFrame([(d, d.year, special if d in marked else normal) for d in sorted(kept)], "_gun date, _yil int, _donem string")
+    each = periods.select(F.col("yil").cast("int").alias("_yil"), "baslangic", "bitis", "pencere_bas", "pencere_son", "haric_bas", "haric_son")
+
+    def of(first: str, last: str) -> DataFrame:
+        days = each.select("_yil", F.explode(F.sequence(first, last)).alias("_gun"), "haric_bas", "haric_son")
+        return days.where(F.year("_gun") == F.col("_yil"))
+    kept = of("pencere_bas", "pencere_son").where(~F.col("_gun").between(F.col("haric_bas"), F.col("haric_son"))).select("_gun", "_yil", F.lit(False).alias("m"))
+    marked = of("baslangic", "bitis").select("_gun", "_yil", F.lit(True).alias("m"))
+    both = kept.unionByName(marked).groupBy("_gun", "_yil").agg(F.bool_or("m").alias("m"), F.bool_or(~F.col("m")).alias("k"))
+    return both.where("k").select("_gun", "_yil", F.when(F.col("m"), F.lit(special)).otherwise(F.lit(normal)).alias("_donem"))
 
 
 def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
@@ -76,35 +101,18 @@ def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
     label every day inside the period as ``special`` and the rest ``normal``.
     Years without a period drop out.
 
-    ``periods`` is either the fixed list of :class:`dims.Period` — applied as
-    date-range predicates (no join; the windows are also filtered as plain
-    ranges of the date, which reach the Parquet scan, and of year and month,
-    which prune the roll-up's partitions) — or
-    the period dimension as a DataFrame, joined on year (broadcast from its
-    statistics).
+    The periods become days, joined by day, so the plan has one size however
+    many periods there are. Fixed periods also limit the scan: one range of the
+    date reaches the Parquet files, and the list of their months prunes the
+    partitions of year and month that a roll-up has.
     """
     d = F.col("transition_date")
+    days = period_days(trips.sparkSession, periods if isinstance(periods, DataFrame) else list(periods), special, normal)
     if not isinstance(periods, DataFrame):
-        periods = list(periods)
-        if not periods:
+        given = [_day(x) for p in periods for x in (p.window_start, p.window_end)]
+        if not given:
             return trips.where(F.lit(False)).select("*", F.lit(normal).alias(out))
-        # plain ranges of the date, and of year and month, which prune the scan
-        d0 = trips.where(_any(in_range(d, p.window_start, p.window_end) for p in periods))
-        ym = F.col("yil") * 100 + F.col("ay")
-        trips = d0.where(_any(ym.between(_month(p.window_start), _month(p.window_end)) for p in periods))
-        keep = label = None
-        for p in periods:
-            in_year = F.col("yil") == F.lit(p.year)
-            k = (in_year & in_range(d, p.window_start, p.window_end)
-                 & ~in_range(d, p.excluded[0], p.excluded[1]))
-            lab = in_year & in_range(d, p.start, p.end)
-            keep = k if keep is None else keep | k
-            label = lab if label is None else label | lab
-        return trips.where(keep).select("*", F.when(label, F.lit(special)).otherwise(F.lit(normal)).alias(out))
-    p = periods.select(F.col("yil").alias("_p_yil"), "baslangic", "bitis",
-                       "pencere_bas", "pencere_son", "haric_bas", "haric_son")
-    j = trips.join(p, F.col("yil") == F.col("_p_yil"), "inner")
-    j = j.where(d.between(F.col("pencere_bas"), F.col("pencere_son"))
-                & ~d.between(F.col("haric_bas"), F.col("haric_son")))
-    label = F.when(d.between(F.col("baslangic"), F.col("bitis")), F.lit(special)).otherwise(F.lit(normal))
-    return j.select(*[F.col(c) for c in trips.columns], label.alias(out))
+        months = sorted({x.year * 100 + x.month for p in periods for x in _days(p.window_start, p.window_end)})
+        trips = trips.where(in_range(d, min(given), max(given))).where((F.col("yil") * 100 + F.col("ay")).isin(months))
+    j = trips.join(days, (d == F.col("_gun")) & (F.col("yil") == F.col("_yil")))
+    return j.select(*[F.col(c) for c in trips.columns], F.col("_donem").alias(out))

@@ -100,6 +100,41 @@ def update(spark: SparkSession, clean_path: str, path: str | None = None) -> tup
     return path, written
 
 
+# --- Kept daily totals ---------------------------------------------------------
+
+DAILY = T.StructType([T.StructField("transition_date", T.DateType()), T.StructField("road_type", T.StringType()),
+                      T.StructField(P, T.LongType()), T.StructField("satir", T.LongType())])
+
+
+def daily_path(clean_path: str) -> str:
+    return clean_path.rstrip("/") + "_gunluk"
+
+
+def update_daily(spark: SparkSession, clean_path: str) -> list[int]:
+    """Bring the kept daily totals (per source month, date and mode) up to date; only
+    months that are new or changed are read, from the kept roll-up. Returns them."""
+    path = daily_path(clean_path)
+    rollup_path, _ = update(spark, clean_path)
+    have, now = versioned.current(spark, path) or {}, versioned.current(spark, rollup_path) or {}
+    todo = sorted(m for m, v in now.items() if m not in have or have[m].bilgi.get("imza") != v.surum)
+    if not todo:
+        return []
+    rows = versioned.read(spark, rollup_path, kept_schema(), months=todo)
+    days = rows.groupBy(schema.PERIOD_COL, "transition_date", "road_type").agg(F.sum(P).alias(P), F.sum("satir").alias("satir"))
+    version = versioned.write(days.coalesce(1), path)       # some hundred rows a month
+    sizes = versioned.sizes(spark, path, version)
+    return [m for m in todo if versioned.publish(spark, path, m, version, have[m].no if m in have else 0, sizes.get(m, (0, 0)), {"imza": now[m].surum})]
+
+
+def kept_daily(spark: SparkSession, clean_path: str, year: int | None = None) -> DataFrame:
+    """Up-to-date daily totals with the calendar columns: what C4, C10-C12, C21 and C22 need of the trips."""
+    update_daily(spark, clean_path)
+    df = versioned.read(spark, daily_path(clean_path), DAILY)
+    if year is not None:
+        df = df.where(F.col(schema.PERIOD_COL).between(year * 100 + 1, year * 100 + 12))
+    return with_calendar(df)
+
+
 def kept_schema() -> StructType:
     return T.StructType([*[f for f in schema.CLEAN_SCHEMA.fields if f.name in KEYS], T.StructField(P, T.LongType()),
                          T.StructField(PASSAGE, T.LongType()), T.StructField("satir", T.LongType()), T.StructField("farkli_satir", T.LongType()),

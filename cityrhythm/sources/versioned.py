@@ -158,8 +158,10 @@ def append(df: DataFrame, path: str) -> None:
     fs.delete(Path(hidden), True)
 
 
-def read(spark: SparkSession, table: str, columns: T.StructType | None = None, months: Iterable[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, table: str, columns: T.StructType | None = None, months: Iterable[int] | None = None,
+         version: bool = False) -> DataFrame:
     """The published rows, with the source month as partition column; the data is read with the schema ``columns`` if given.
+    ``version``: with the id of their version as a column (none for a plain table).
 
     The manifests are listed now; versions published later are not in this DataFrame.
     """
@@ -175,7 +177,8 @@ def read(spark: SparkSession, table: str, columns: T.StructType | None = None, m
     reader = spark.read.option("basePath", data_path(table))
     if columns is not None:
         reader = reader.schema(_with_month(columns).add(VERSION_COL, T.StringType()))
-    return reader.parquet(*paths).drop(VERSION_COL)
+    rows = reader.parquet(*paths)
+    return rows if version else rows.drop(VERSION_COL)
 
 
 def _with_month(columns: T.StructType) -> T.StructType:
