@@ -3,7 +3,10 @@
 Where a string of ``length`` bytes lies, the smallest hash among its 48-byte
 grams picks an anchor, the same one wherever the string occurs. Neighbouring
 strings with one anchor form a segment, and equal strings always meet under
-one anchor. Two Bloom filters drop the anchors that occur once. The segments
+one anchor. In a run of a short period (one byte over and over, blank lines)
+strings repeat within the run: it is marked at once, and only one period of its
+strings goes on, to be met by equal ones elsewhere. Two Bloom filters drop the
+anchors that occur once. The segments
 that remain, each distinct one once, are indexed by anchor: a Burrows-Wheeler
 transform of their suffixes, kept as runs, with the suffixes at the ends of
 the runs sampled. Only there is a longest common prefix measured; elsewhere the
@@ -35,8 +38,46 @@ BLOCK, MAX_GROUP = 60_000, 1_000
 PIECE = 16
 
 
-def segments(buf: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor: first window, windows, anchor's place, anchor's hash."""
+def runs(buf: np.ndarray, off: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Maximal rows of windows (first, past the last) of one text that a period of at most ``GRAM`` bytes makes equal to others of the row; the period."""
+    n = len(buf)
+    out: list[tuple[int, int, int]] = []
+    if n < length + 1:
+        return out
+    words = np.ndarray((n - 7,), np.dtype("<u8"), buffer=buf.data, strides=(1,))
+    probe = np.arange(0, n - 7, length // 2)    # a row's bytes cover a probe's eight
+    borders = off[1:-1]
+    for p in range(1, min(GRAM, n - length) + 1):
+        at = probe[:np.searchsorted(probe, n - 7 - p)]
+        if not (words[at] == words[at + p]).any():
+            continue
+        same = np.zeros(n - p + 2, np.int8)
+        same[1:-1] = buf[:-p] == buf[p:]
+        for o in borders.tolist():
+            same[max(o - p, 0) + 1:o + 1] = 0
+        edge = np.flatnonzero(np.diff(same))
+        a, b = edge[::2], edge[1::2]
+        long = b - a >= length
+        out += [(x, y - length + 1 + p, p) for x, y in zip(a[long].tolist(), b[long].tolist())]
+    return out
+
+
+def _kept(found: list[tuple[int, int, int]], n: int) -> np.ndarray | None:
+    """Which windows go on: of each row those of its first period."""
+    if not found:
+        return None
+    keep = np.ones(n, bool)
+    for first, stop, p in found:
+        keep[first + p:stop] = False
+    return keep
+
+
+def segments(buf: np.ndarray, off: np.ndarray, length: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Neighbouring windows with one anchor: first window, windows, anchor's place, anchor's hash.
+
+    Windows behind the first period of the periodic rows ``found`` are left out.
+    """
+    keep = _kept(found, len(buf))
     width = length - GRAM + 1
     for lo in range(0, len(buf) - length + 1, CHUNK):
         hi = min(lo + CHUNK, len(buf) - length + 1)
@@ -54,9 +95,11 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np
         start = np.arange(lo, hi)
         text = np.searchsorted(off, start, "right") - 1 if len(off) < 64 else _owner(off, lo, hi)
         whole = start + length <= off[text + 1]
+        if keep is not None:
+            whole &= keep[lo:hi]
         new = np.empty(hi - lo, bool)
         new[0] = True
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
         first = np.flatnonzero(new & whole)
         ends = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole) + 1
         yield first + lo, ends - first, anchor[first] + lo, g[anchor[first]]
@@ -73,18 +116,26 @@ def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for _, _, buf, off in tx.texts(batch["text"]):
-                for _, _, _, g in segments(buf, off, length):
+                for _, _, _, g in segments(buf, off, length, runs(buf, off, length)):
                     yield g
     return run
 
 
 def _suspects(seen, length: int):
-    names = ["id", "row_key", "start", "lead", "gram", "seg_id", "segment"]
+    names = ["id", "row_key", "start", "lead", "gram", "seg_id", "segment", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, buf, off in tx.texts(batch["text"]):
-                for first, n, anchor, g in segments(buf, off, length):
+                found = runs(buf, off, length)
+                if found:       # repeated within themselves, whatever else there is
+                    first = np.array([x[0] for x in found])
+                    text = np.searchsorted(off, first, "right") - 1
+                    at, k = pa.array(text + row), len(found)
+                    yield pa.record_batch([batch["id"].take(at), batch["row_key"].take(at), pa.array(first - off[text]), pa.nulls(k, pa.int32()),
+                                           pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
+                                           pa.array([x[1] - x[0] for x in found], pa.int64())], names=names)
+                for first, n, anchor, g in segments(buf, off, length, found):
                     hit = bloom.has(seen.value, g)
                     if not hit.any():
                         continue
@@ -97,7 +148,7 @@ def _suspects(seen, length: int):
                            for s, x in zip(seg, (anchor - first).tolist())]
                     yield pa.record_batch([batch["id"].take(at), batch["row_key"].take(at), pa.array(first - off[text]),
                                            pa.array((anchor - first).astype(np.int32)), pa.array(g.view(np.int64)),
-                                           pa.array(ids, pa.binary()), pa.array(seg, pa.binary())], names=names)
+                                           pa.array(ids, pa.binary()), pa.array(seg, pa.binary()), pa.nulls(len(seg), pa.int64())], names=names)
     return run
 
 
@@ -258,13 +309,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = bloom.filters(src.select("text"), _anchors(length), bits)
     kind = src.schema["id"].dataType.simpleString()
     found = materialise(src.mapInArrow(tx.trimmed(_suspects(seen, length)),
-                                       f"id {kind}, row_key long, start long, lead int, gram long, seg_id binary, segment binary"), "segments")
-    distinct = materialise(found.groupBy("gram", "seg_id").agg(F.first("segment").alias("segment"), F.first("lead").alias("lead"),
+                                       f"id {kind}, row_key long, start long, lead int, gram long, seg_id binary, segment binary, run long"), "segments")
+    distinct = materialise(found.where("seg_id is not null").groupBy("gram", "seg_id").agg(F.first("segment").alias("segment"), F.first("lead").alias("lead"),
                                                                F.count("*").alias("n")), "distinct")
     marked = materialise(_marked(distinct, length), "marked")
     spans = (found.select("id", "row_key", "start", "seg_id").join(marked, "seg_id")
              .select("id", "row_key", F.struct((F.col("start") + F.col("from")).alias("a"),
                                                (F.col("start") + F.col("to") - 1 + length).alias("b")).alias("s"))
+             .unionByName(found.where("run is not null")
+                          .select("id", "row_key", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("run") - 1 + length).alias("b")).alias("s")))
              .groupBy(F.col("id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set("s").alias("spans")))
     cut = F.arrow_udf(_cut, "struct<n_bytes long, n_removed long, n_spans long, kept binary>")
     return (src.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left")

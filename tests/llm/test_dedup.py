@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 from odd_documents import DOCS, odd_texts, prose
 
+from pyspark.sql import functions as F
+
 from cityrhythm.llm import bloom, decontam, linedup, minhash, suffixdup
 from cityrhythm.llm import text as tx
 
@@ -95,7 +97,11 @@ def brute_passages(texts, length):
 @pytest.mark.parametrize("group", [1000, 2])
 def test_passages(spark, odd, no_docs, monkeypatch, group):
     monkeypatch.setattr(suffixdup, "MAX_GROUP", group)
-    small = odd.where("text is null or length(text) < 10000")
+    rng = random.Random(21)
+    rows = [(900, "a" * 30_000), (901, "b" + "a" * 200 + "c"), (902, "a" * 199), (903, "1234567" * 3000 + "x" + "1234567" * 40), (904, "x" + ("3456712" * 40)[:205]),
+            (905, "\n" * 20_000), (906, prose(rng, 40) + "\n \n" * 900 + prose(rng, 40)), (907, "".join(chr(97 + i) for i in range(26)) * 40),
+            (908, ("".join(rng.choice("abcdefgh") for _ in range(48))) * 9 + "end"), (909, ("".join(rng.choice("abcdefgh") for _ in range(90))) * 9), (910, "z" * 201), (911, "y" * 200)]
+    small = odd.select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("i", F.lit("own"))
     rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
     exp = Counter((i, *x[:3], None if t is None else x[3]) for (i, t), x in
                   zip(rows, brute_passages([(t or "").encode() for _, t in rows], 200)))
@@ -112,7 +118,7 @@ def test_passages_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffixdup, "CHUNK", 1000)
     seg = []
     for _, _, buf, off in tx.texts(pa.array([t.encode() for t in texts], pa.binary())):
-        for first, n, _, _ in suffixdup.segments(buf, off, 200):
+        for first, n, _, _ in suffixdup.segments(buf, off, 200, []):
             seg += [(a, a + k) for a, k in zip(first.tolist(), n.tolist())]
     starts, at = [], 0
     for t in texts:
