@@ -45,20 +45,23 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> list[tuple[int, int,
     if n < length + 1:
         return out
     words = np.ndarray((n - 7,), np.dtype("<u8"), buffer=buf.data, strides=(1,))
-    probe = np.arange(0, n - 7, length // 2)    # a row's bytes cover a probe's eight
+    step = length // 4      # the bytes of a row hold three neighbouring probes of eight bytes at least
+    probe = words[::step]
     borders = off[1:-1]
     for p in range(1, min(GRAM, n - length) + 1):
-        at = probe[:np.searchsorted(probe, n - 7 - p)]
-        if not (words[at] == words[at + p]).any():
-            continue
-        same = np.zeros(n - p + 2, np.int8)
-        same[1:-1] = buf[:-p] == buf[p:]
-        for o in borders.tolist():
-            same[max(o - p, 0) + 1:o + 1] = 0
-        edge = np.flatnonzero(np.diff(same))
-        a, b = edge[::2], edge[1::2]
-        long = b - a >= length
-        out += [(x, y - length + 1 + p, p) for x, y in zip(a[long].tolist(), b[long].tolist())]
+        later = words[p::step]
+        hit = np.concatenate([[0], probe[:len(later)] == later, [0]]).astype(np.int8)
+        edge = np.flatnonzero(np.diff(hit))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if y - x < 3:
+                continue
+            lo, hi = max((x - 1) * step, 0), min(y * step + 8, n - p)
+            same = np.zeros(hi - lo + 2, np.int8)
+            same[1:-1] = buf[lo:hi] == buf[lo + p:hi + p]
+            for o in borders[np.searchsorted(borders, lo):np.searchsorted(borders, hi + p, "right")].tolist():
+                same[max(o - p - lo, 0) + 1:max(o - lo, 0) + 1] = 0
+            side = np.flatnonzero(np.diff(same)) + lo
+            out += [(u, v - length + 1 + p, p) for u, v in zip(side[::2].tolist(), side[1::2].tolist()) if v - u >= length]
     return out
 
 
