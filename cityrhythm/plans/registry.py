@@ -573,6 +573,17 @@ def q_day_completeness(spark, sf_dir):
     return autopsy.day_completeness(E(spark, sf_dir), FACADE_DAY_MIN_ROWS)
 
 
+@register("day_completeness_merged", "A5", facade_sql("E", f"""
+SELECT transition_date, COUNT(DISTINCT transition_hour) AS saat, COUNT(*) AS satir,
+       COUNT(DISTINCT transition_hour) = 24 AND COUNT(*) >= {FACADE_DAY_MIN_ROWS} AS tam,
+       COUNT(DISTINCT transition_hour) < 24 OR COUNT(*) < {FACADE_DAY_MIN_ROWS} AS kirik
+FROM trips GROUP BY 1"""))
+def q_day_completeness_merged(spark, sf_dir):
+    """The days' states are taken for each mode and card kind, as for parts that come apart, and united."""
+    parts = autopsy.day_state(E(spark, sf_dir), ["road_type", "product_kind"])
+    return autopsy.completeness_of_states(autopsy.merge_states(parts), FACADE_DAY_MIN_ROWS)
+
+
 @register("month_coverage", "A4", facade_sql("E", """
 SELECT COUNT(*) AS satir, MIN(transition_date) AS ilk_gun, MAX(transition_date) AS son_gun,
        COUNT(DISTINCT transition_date) AS gun_sayisi,
@@ -631,6 +642,18 @@ def q_coverage_pairs(spark, sf_dir):
     return autopsy.coverage_pairs(E(spark, sf_dir))
 
 
+@register("coverage_pairs_merged", "D2", facade_sql("E", """
+SELECT line_name, MIN(transition_date) AS ilk_gun, MAX(transition_date) AS son_gun,
+       COUNT(DISTINCT transition_date) AS gun_sayisi,
+       COUNT(DISTINCT (transition_date, transition_hour)) AS dolu_kombinasyon,
+       CAST(day(last_day(MIN(transition_date))) * 24 AS INTEGER) AS beklenen_kombinasyon
+FROM trips GROUP BY 1"""))
+def q_coverage_pairs_merged(spark, sf_dir):
+    """Per line, from states of its modes and stations united."""
+    parts = autopsy.day_state(E(spark, sf_dir), ["line_name", "road_type", "station_poi_desc_cd"])
+    return autopsy.coverage_of_states(autopsy.merge_states(parts, ["line_name"]), ["line_name"])
+
+
 @register("day_profile", "D3", facade_sql("E", """
 SELECT transition_date, COUNT(DISTINCT transition_hour) AS dolu_saat, COUNT(*) AS satir,
        CAST(SUM(number_of_passenger) AS BIGINT) AS yolcu FROM trips GROUP BY 1"""))
@@ -812,7 +835,8 @@ _NOTES = {
     "card_share": "E; kinds view, click, signup, purchase", "period_share": "O; kind 1-URGENT, months 3 vs 7",
     "period_profile": "O; 1997 period", "period_lift": "O; 1996 and 1997 periods, hours >= 20 or <= 5",
     "evening_spine": "O; 10 hours x 2 years",
-    "day_completeness": "E; full = 24 hours and >= 300 rows", "month_coverage": "E",
+    "day_completeness": "E; full = 24 hours and >= 300 rows", "day_completeness_merged": "E; the same, from states by mode and kind",
+    "coverage_pairs_merged": "E; per line, from states by mode and station", "month_coverage": "E",
     "month_gate": "E; threshold 300", "null_rates": "E", "null_map": "E",
     "coverage_pairs": "E", "day_profile": "E", "mode_map": "E", "town_count": "E",
     "town_top": "E; first 3, ties by town", "line_stations": "E; line BUILDING, first 8",

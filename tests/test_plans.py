@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 FACTS = {"events", "orders"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n != "station_clusters"))
+@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if not n.startswith("station_cluster")))
 def test_plan_shape(spark, name):
     df = REGISTRY[name].build(spark, SF)
     df.collect()                                   # after the action the summary is AQE's final plan
