@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,19 @@ def _days(start, end) -> Iterable[dt.date]:
     return (a + dt.timedelta(days=i) for i in range((_day(end) - a).days + 1))
 
 
+def scan_ranges(windows: Iterable[tuple[dt.date, dt.date]], most: int = 16) -> list[tuple[dt.date, dt.date]]:
+    """At most ``most`` ranges that hold all windows: overlapping ones united, then those with the least days between."""
+    out: list[tuple[dt.date, dt.date]] = []
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1] + dt.timedelta(days=1):
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    gaps = sorted(range(1, len(out)), key=lambda i: (out[i - 1][1] - out[i][0], i))[:most - 1]      # the widest stay
+    cuts = [0, *sorted(gaps), len(out)]
+    return [(out[i][0], out[j - 1][1]) for i, j in zip(cuts, cuts[1:]) if i < j]
+
+
 def period_days(spark: SparkSession, periods, special: str = "ramazan", normal: str = "normal") -> DataFrame:
     """The days that :func:`tag_periods` keeps, one row each: ``_gun``, ``_yil``, and the label.
 
@@ -102,17 +117,18 @@ def tag_periods(trips: DataFrame, periods, special: str = "ramazan",
     Years without a period drop out.
 
     The periods become days, joined by day, so the plan has one size however
-    many periods there are. Fixed periods also limit the scan: one range of the
-    date reaches the Parquet files, and the list of their months prunes the
+    many periods there are. Fixed periods also limit the scan: a few ranges of
+    the date reach the Parquet files, and the list of their months prunes the
     partitions of year and month that a roll-up has.
     """
     d = F.col("transition_date")
     days = period_days(trips.sparkSession, periods if isinstance(periods, DataFrame) else list(periods), special, normal)
     if not isinstance(periods, DataFrame):
-        given = [_day(x) for p in periods for x in (p.window_start, p.window_end)]
-        if not given:
+        periods = list(periods)
+        if not periods:
             return trips.where(F.lit(False)).select("*", F.lit(normal).alias(out))
         months = sorted({x.year * 100 + x.month for p in periods for x in _days(p.window_start, p.window_end)})
-        trips = trips.where(in_range(d, min(given), max(given))).where((F.col("yil") * 100 + F.col("ay")).isin(months))
+        ranges = reduce(or_, (in_range(d, a, b) for a, b in scan_ranges([(_day(p.window_start), _day(p.window_end)) for p in periods])))
+        trips = trips.where(ranges).where((F.col("yil") * 100 + F.col("ay")).isin(months))
     j = trips.join(days, (d == F.col("_gun")) & (F.col("yil") == F.col("_yil")))
     return j.select(*[F.col(c) for c in trips.columns], F.col("_donem").alias(out))

@@ -116,14 +116,25 @@ def test_many_periods_keep_the_plan_small_and_prune(spark, tmp_path):
     path = str(tmp_path / "r")
     rollup.write_rollup(rollup.hourly_rollup(registry.O(spark, SF)), path)
     plans = {}
-    for n in (2, 500):
+    for n in (20, 500):
         df = enrich.tag_periods(rollup.read_rollup(spark, path), _periods(n))
         plans[n] = formatted_plan(df)
         scan = next(x for x in plans[n].split("\n") if "PartitionFilters" in x)
         assert "yil" in scan and "ay" in scan
         pushed = next(x for x in plans[n].split("\n") if "PushedFilters" in x)
         assert "GreaterThanOrEqual(transition_date" in pushed and "LessThanOrEqual(transition_date" in pushed
-    assert abs(len(plans[2].split("\n")) - len(plans[500].split("\n"))) <= 2 and plans[500].count("AND") <= plans[2].count("AND") + 2
+    assert abs(len(plans[20].split("\n")) - len(plans[500].split("\n"))) <= 2 and plans[500].count("AND") <= plans[20].count("AND") + 2
+
+
+def test_scan_ranges_hold_all_windows():
+    rng = random.Random(4)
+    for n in (1, 2, 16, 17, 200):
+        windows = [(a, a + dt.timedelta(days=rng.randrange(90))) for a in (dt.date(1900, 1, 1) + dt.timedelta(days=rng.randrange(40_000)) for _ in range(n))]
+        got = enrich.scan_ranges(windows)
+        assert len(got) <= 16 and got == sorted(got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        assert all(any(a <= w[0] and w[1] <= b for a, b in got) for w in windows)
+    apart = [(dt.date(1996 + i, 2, 1), dt.date(1996 + i, 5, 31)) for i in range(2)]
+    assert enrich.scan_ranges(apart) == apart
 
 
 def test_kept_daily_totals_and_moments(spark, tmp_path, monkeypatch):
