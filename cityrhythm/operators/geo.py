@@ -39,3 +39,9 @@ def ring_points(rings: DataFrame) -> DataFrame:
     sira, x, y, canli) — the shape a map layer or a plotting step reads."""
     pts = rings.select("ad", "ilce", "parca", "canli", F.posexplode("dis_halka").alias("sira", "_p"))
     return pts.select("ad", "ilce", "parca", "sira", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"), "canli")
+
+
+def ring_texts(rings: DataFrame) -> DataFrame:
+    """C32 with each outer ring as text: ad, ilce, parca, canli, nokta (vertices) and halka ("x y, x y", six decimals)."""
+    vertex = F.transform("dis_halka", lambda p: F.format_string("%.6f %.6f", p[0], p[1]))
+    return rings.select("ad", "ilce", "parca", "canli", F.size("dis_halka").alias("nokta"), F.array_join(vertex, ", ").alias("halka"))

@@ -466,17 +466,9 @@ def q_pulse_filled(spark, sf_dir):
     return districts.pulse_frames(_pulse(spark, sf_dir))
 
 
-@register("map_rings", "C32", None, "outer rings of the boundary fixture, alive = in the pulse; rows-only check")
-def q_map_rings(spark, sf_dir):
-    return geo.outer_rings(_boundaries(spark), _pulse(spark, sf_dir))
-
-
-@register("map_ring_points", "C32", facade_sql("E", f"""
-SELECT r.ad, r.ilce, CAST(r.parca AS INTEGER) AS parca, CAST(generate_subscripts(r.halka, 1) - 1 AS INTEGER) AS sira,
-       unnest(r.halka)[1] AS x, unnest(r.halka)[2] AS y, r.canli
-FROM (
+RINGS_SQL = f"""rings AS (
   SELECT p.ad, upper(translate(p.ad, '{dims.TR_FROM}', '{dims.TR_TO}')) AS ilce,
-         generate_subscripts(p.parcalar, 1) - 1 AS parca, unnest(p.parcalar)[1] AS halka,
+         CAST(generate_subscripts(p.parcalar, 1) - 1 AS INTEGER) AS parca, unnest(p.parcalar)[1] AS halka,
          upper(translate(p.ad, '{dims.TR_FROM}', '{dims.TR_TO}')) IN (SELECT ilce FROM pl) AS canli
   FROM (
     SELECT json_extract_string(feat, '$.properties.name') AS ad,
@@ -485,8 +477,21 @@ FROM (
                 ELSE json_transform(json_extract(feat, '$.geometry.coordinates'), '"DOUBLE[][][][]"') END AS parcalar
     FROM (SELECT unnest(json_extract(content::JSON, '$.features[*]')) AS feat
           FROM read_text('{BOUNDARIES}'))
-  ) p
-) r""", PULSE_CTES))
+  ) p)"""
+
+
+@register("map_rings", "C32", facade_sql("E", """
+SELECT ad, ilce, parca, canli, CAST(len(halka) AS INTEGER) AS nokta,
+       array_to_string(list_transform(halka, lambda q: printf('%.6f %.6f', q[1], q[2])), ', ') AS halka
+FROM rings""", [*PULSE_CTES, RINGS_SQL]))
+def q_map_rings(spark, sf_dir):
+    return geo.ring_texts(geo.outer_rings(_boundaries(spark), _pulse(spark, sf_dir)))
+
+
+@register("map_ring_points", "C32", facade_sql("E", """
+SELECT ad, ilce, parca, CAST(generate_subscripts(halka, 1) - 1 AS INTEGER) AS sira,
+       unnest(halka)[1] AS x, unnest(halka)[2] AS y, canli
+FROM rings""", [*PULSE_CTES, RINGS_SQL]))
 def q_map_ring_points(spark, sf_dir):
     return geo.ring_points(geo.outer_rings(_boundaries(spark), _pulse(spark, sf_dir)))
 
@@ -830,7 +835,7 @@ _NOTES = {
     "map_enrich": "E; 4 boundary features from the shipped GeoJSON fixture",
     "night_by_year": "O; total > 500 000", "night_by_year_top": "O; first 3 of the latest year, rank carried",
     "top_towns": "E; top 4 by raw town ('X' for NULL), one scan", "pulse": "E; weekday total > 100 000",
-    "pulse_filled": "E; 24 hours per district, missing 0", "map_rings": "E; outer rings, alive = in pulse",
+    "pulse_filled": "E; 24 hours per district, missing 0", "map_rings": "E; outer rings as text, alive = in pulse",
     "map_ring_points": "E; ring vertices; oracle parses the GeoJSON independently",
     "card_share": "E; kinds view, click, signup, purchase", "period_share": "O; kind 1-URGENT, months 3 vs 7",
     "period_profile": "O; 1997 period", "period_lift": "O; 1996 and 1997 periods, hours >= 20 or <= 5",

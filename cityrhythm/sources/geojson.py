@@ -1,5 +1,6 @@
-"""District boundaries: a GeoJSON FeatureCollection read by Spark's JSON source.
+"""District boundaries: GeoJSON FeatureCollections.
 
+A file is cut where its features begin, so that several tasks read a large one.
 ``coordinates`` nests differently per geometry type (Polygon: rings;
 MultiPolygon: parts of rings), so it is read as its raw JSON text and parsed
 with ``from_json`` once the type is known.
@@ -11,17 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURE_COLLECTION = T.StructType([
+FEATURE = T.StructType([
     T.StructField("type", T.StringType()),
-    T.StructField("features", T.ArrayType(T.StructType([
+    T.StructField("properties", T.StructType([T.StructField("name", T.StringType())])),
+    T.StructField("geometry", T.StructType([
         T.StructField("type", T.StringType()),
-        T.StructField("properties", T.StructType([T.StructField("name", T.StringType())])),
-        T.StructField("geometry", T.StructType([
-            T.StructField("type", T.StringType()),
-            T.StructField("coordinates", T.StringType()),   # raw JSON text
-        ])),
-    ]))),
+        T.StructField("coordinates", T.StringType()),   # raw JSON text
+    ])),
 ])
+FEATURE_COLLECTION = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(FEATURE))])
+BROKEN = "_bozuk"
+#: What stands before the word that cuts a file, and after it.
+OPENS, GOES_ON = r'\{\s*"type"\s*:\s*$', r"^\s*[,}]"
 
 RING = "array<array<double>>"
 POLYGON = f"array<{RING}>"
@@ -31,8 +33,39 @@ MULTIPOLYGON = f"array<{POLYGON}>"
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: (ad, geometri, koordinat) — name, geometry type, raw coordinates.
 
-    One task reads a file, which holds a city's few dozen districts."""
-    return _features(spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path))
+    Files are read in splits and cut at the word "Feature", with which the
+    first member of every feature ends (``{"type": "Feature"``). Files whose
+    features begin otherwise, or that have the word elsewhere (in a property,
+    say), are found by one job beforehand and read whole, a task each. A
+    collection without features has no row.
+    """
+    cut = _pieces(spark, path)
+    last = F.sum((~F.col("piece").rlike(OPENS)).cast("int"))
+    torn = F.max(F.col("f").isNull() | F.col(f"f.{BROKEN}").isNotNull())
+    odd = cut.groupBy("path").agg(last.alias("last"), torn.alias("torn")).where("last <> 1 OR torn").select("path")
+    whole = [r.path for r in odd.collect()]
+    out = _named(cut.where(F.col("path").isin(whole).eqNullSafe(False)) if whole else cut)
+    if whole:
+        out = out.unionByName(_features(spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(whole)))
+    return out
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """path, piece (what follows the word up to its next one), f (the feature read from it).
+
+    The piece before a file's first feature has a feature without members.
+    """
+    schema = T.StructType([*FEATURE.fields, T.StructField(BROKEN, T.StringType())])
+    text = F.concat(F.when(F.col("piece").rlike(GOES_ON), F.lit('{"type": "Feature"')).otherwise(F.lit("{}")), "piece")
+    return (spark.read.option("lineSep", '"Feature"').text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("piece"))
+            .withColumn("f", F.from_json(text, schema, {"columnNameOfCorruptRecord": BROKEN})))
+
+
+def _named(features: DataFrame) -> DataFrame:
+    return (features.where("f.type is not null")
+            .select(F.col("f.properties.name").alias("ad"), F.col("f.geometry.type").alias("geometri"),
+                    F.col("f.geometry.coordinates").alias("koordinat")))
 
 
 def boundaries_of(spark: SparkSession, text: str) -> DataFrame:
@@ -42,10 +75,7 @@ def boundaries_of(spark: SparkSession, text: str) -> DataFrame:
 
 
 def _features(fc: DataFrame) -> DataFrame:
-    return (fc.select(F.explode("features").alias("f"))
-            .select(F.col("f.properties.name").alias("ad"),
-                    F.col("f.geometry.type").alias("geometri"),
-                    F.col("f.geometry.coordinates").alias("koordinat")))
+    return _named(fc.select(F.explode("features").alias("f")))
 
 
 def polygon_parts(boundaries: DataFrame) -> DataFrame:
