@@ -14,6 +14,7 @@ its best few of each, so pairs are never rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 
-TABLES, PROBES = 10, 256
+TABLES = 10
 #: Classes in a shard, about, and classes a bucket should have.
 SHARD, PER_BUCKET = 20_000, 64
 _signs: dict[tuple[int, int, int], np.ndarray] = {}
@@ -63,6 +64,13 @@ class Layout:
                 self.hashes, self.last = self.hashes + 1, 2
         self.shards = -(-count // SHARD) or 1
 
+    def looked(self, dims: int) -> int:
+        """Buckets that a query looks into in each table: twice the root of their number.
+
+        A query's share of the table falls with its size, but slowly enough for the recall to hold.
+        """
+        return 2 * math.isqrt(self.buckets(dims))
+
     def buckets(self, dims: int) -> int:
         return (2 * dims) ** (self.hashes - 1) * 2 * min(self.last, dims)
 
@@ -83,8 +91,9 @@ class Layout:
         return code
 
     def probes(self, x: np.ndarray, table: int) -> list[np.ndarray]:
-        """Bucket numbers by growing squared distance, PROBES at most."""
+        """Bucket numbers by growing squared distance, ``looked`` at most."""
         axes = self.axes(x, table)
+        most = self.looked(1 << max(1, (x.shape[1] - 1).bit_length()))
         out = []
         for i in range(len(x)):
             cost, code = np.zeros(1), np.zeros(1, np.int64)
@@ -92,13 +101,18 @@ class Layout:
                 c = behind[i] ** 2
                 cost = (cost[:, None] + c[None, :]).ravel()
                 code = (code[:, None] * len(c) + np.arange(len(c))[None, :]).ravel()
-                if len(cost) > 4096:
-                    keep = np.argpartition(cost, 4095)[:4096]
+                if len(cost) > 4 * most:
+                    keep = np.argpartition(cost, 4 * most - 1)[:4 * most]
                     cost, code = cost[keep], code[keep]
-            out.append(code[np.argsort(cost, kind="stable")[:PROBES]])
+            out.append(code[np.argsort(cost, kind="stable")[:most]])
         return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, which is exact: the largest component is below 1, and no square leaves the range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows with vectors of one length, and the vectors made unit length."""
     vec = batch["vec"].to_pylist()
@@ -163,7 +177,7 @@ def _ranked(top: int):
                     continue
                 if block is None:
                     rows.sort(key=lambda r: r[0])
-                    x = np.array([r[2] for r in rows], np.float64)
+                    x = scaled(np.array([r[2] for r in rows], np.float64))
                     block = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), x, np.sqrt((x * x).sum(axis=1)))
                 code_of, cls_of, x, norm = block
                 if codes is None:
@@ -174,7 +188,7 @@ def _ranked(top: int):
                     at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 if not len(at):
                     continue
-                v = np.array(vec, np.float64)
+                v = scaled(np.array(vec, np.float64))
                 score = (x[at] * v).sum(axis=1) / (norm[at] * np.sqrt((v * v).sum()))
                 best = np.lexsort((cls_of[at], -score))[:top]
                 out[0].extend([cls] * len(best))

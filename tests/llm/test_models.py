@@ -71,6 +71,27 @@ def test_neighbours_recall_and_hot_vector(spark, monkeypatch):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in exp[q]}) / 5 for q in exp]) >= 0.9
 
 
+def test_probes_follow_the_buckets():
+    share = []
+    for count in (2_000, 300_000, 5_000_000, 300_000_000):
+        layout = ann.Layout(count)
+        x = np.random.default_rng(2).normal(size=(2, 64))
+        probes = layout.probes(x, 0)
+        assert all(len(np.unique(p)) == layout.looked(64) for p in probes)
+        assert [p[0] for p in probes] == layout.codes(x, 0).tolist()
+        share.append(layout.looked(64) / layout.buckets(64))
+    assert share == sorted(share, reverse=True) and share[-1] ** 2 * ann.Layout(300_000_000).buckets(64) > 3.9
+
+
+def test_neighbours_of_very_large_and_small_components(spark):
+    """Neither squares out of range nor another order: the cosine doesn't depend on lengths."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.choice([-200, -20, 0, 160, 300])).tolist()) for i in range(80)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got, exp = neighbours_of(df), brute_neighbours([(i, (np.array(v) / max(map(abs, v))).tolist()) for i, v in rows], 5)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in exp.items()}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     y = ann.rotated(x, 2, 1)
