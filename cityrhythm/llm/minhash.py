@@ -265,17 +265,37 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def _across(big: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the remaining blocks of large gatherings: only classes outside a
-    gathering's largest component so far are compared, each with all others."""
+    """Links between the remaining blocks of large gatherings.
+
+    Only classes outside a gathering's largest component so far, the outsiders,
+    are compared with all others. They and the main ones have blocks of their
+    own: a main class goes to each block of outsiders, which is mostly one, and
+    an outsider to each block of either kind.
+    """
     comp = components(links).withColumnRenamed("node", "cls")
     m = big.join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     count = m.groupBy("hub", "root").agg(F.count("*").alias("n"))
     largest = count.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     m = m.join(largest.select("hub", F.col("m.root").alias("main_root")), "hub").withColumn("main", F.col("root") == F.col("main_root"))
-    m = m.where("b > 0")
-    last = F.col("blocks") - 1
-    low = m.where(F.col("b") < last).withColumn("j", F.explode(F.sequence(F.col("b") + 1, last))).withColumn("i", F.col("b"))
-    high = m.where(F.col("b") > 1).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("b") - 1))).withColumn("j", F.col("b"))
-    cols = ["hub", "i", "j", "cls", "main"]
-    more = _links(low.select(*cols).unionAll(high.select(*cols)), sets, percent)
+    # block 0 has been compared with all
+    m = m.where("b > 0").select("hub", "cls", "main").join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
+    m = materialise(m, "rest")
+
+    def blocks(of):
+        return F.greatest(F.lit(1), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES).cast("int"))
+
+    m = m.join(m.groupBy("hub").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("outs")), "hub")
+    at = F.pmod(F.xxhash64("cls", "hub"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("outs"))).cast("int")
+    m = m.withColumn("at", at)
+
+    def upto(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    # (i, j) is block i of the outsiders with block j of the main ones, or with block -1 - j of the outsiders
+    main = m.where("main").select("hub", F.explode(upto("outs")).alias("i"), F.col("at").alias("j"), "cls", "main")
+    out = m.where("NOT main")
+    own = out.select("hub", F.col("at").alias("i"), F.explode(upto("mains")).alias("j"), "cls", "main")
+    other = (out.withColumn("other", F.explode(upto("outs"))).where("other <> at")
+             .select("hub", F.least("at", "other").alias("i"), (-1 - F.greatest("at", "other")).alias("j"), "cls", "main"))
+    more = _links(main.unionAll(own).unionAll(other), sets, percent)
     return materialise(links.unionAll(more), "near")

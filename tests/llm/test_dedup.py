@@ -177,6 +177,31 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(exp)
 
 
+def test_main_classes_are_shipped_once(spark, monkeypatch):
+    """Near copies of one text, three of them outside the main component: rows to compare grow with the classes, not with their square."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    shipped, links = [], minhash._links
+
+    def counted(pairs, sets, percent):
+        shipped[-1] += pairs.count()
+        return links(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_links", counted)
+    for n in (80, 240):
+        rng = random.Random(5)
+        base = prose(rng, 100).split(" ")
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for k in rng.sample(range(100), 5 if i in (7, 27, 47) else 1):
+                w[k] = f"new{i}{k}"
+            rows.append((i, " ".join(w), "en", "s", 1))
+        shipped.append(0)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+        assert sorted(map(tuple, got.collect())) == sorted(brute_near([r[:2] for r in rows], 85))
+    assert shipped[1] < 4 * shipped[0]
+
+
 @pytest.mark.parametrize("percent", [1, 10, 30, 50, 70, 80, 85, 95, 99, 100])
 def test_bands_follow_the_threshold(percent):
     bands, rows = minhash.banding(percent)
