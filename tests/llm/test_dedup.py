@@ -252,6 +252,18 @@ def brute_contamination(rows, items, window):
     return out
 
 
+def test_contamination_of_repetitive_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CHUNK", 7)
+    items = [(1, "the"), (2, "a b"), (3, "x y z"), (4, "x y z x y z x y z x"), (5, "the the the the"), (6, "p q r s t u v w")]
+    rows = [(0, "the " * 50), (1, "a b " * 30), (2, "x y z " * 20), (3, "y z " + "x y z " * 9 + "the"), (4, "p q r s t u v w"), (5, "x y"),
+            (6, "o p q r s t u v w " * 8 + "p q r s t u v"), (7, "z x y z a")]
+    rows += [rows[0], rows[2]]
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(2),
+                                 spark.createDataFrame(items, "item_id long, text string"), window=10).collect()
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in got]
+    assert sorted(got) == sorted(brute_contamination(rows, items, 10))
+
+
 def test_contamination(spark, odd, no_docs):
     texts = odd_texts()
     items = [(1, texts[10][50:200]), (12, texts[10].upper()[150:400]), (2, "one"), (3, "One, two!"), (4, None), (5, ""), (None, "beta"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import struct
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -237,15 +239,45 @@ def test_short_licences_beside_long_ones(spark):
 @pytest.mark.parametrize("share", [[1, 2, 3, 4], [5, 5], [1, 99], [7] * 13, [1], [3, 1, 1, 2, 57]])
 def test_schedule_deviates_by_less_than_a_block(share):
     period, had = sum(share), [0] * len(share)
-    for t, i in enumerate(mixing.schedule(share), 1):
+    for t, (slot, i, k, release, due) in enumerate(mixing.schedule(share)):
+        assert slot == t and k == had[i] and release <= t < due
         had[i] += 1
-        assert all(abs(h - s * t / period) < 1 for h, s in zip(had, share))
+        assert all(abs(h * period - s * (t + 1)) < period for h, s in zip(had, share))
     assert had == share
 
 
+def test_schedule_of_a_million_blocks_keeps_exact_weights():
+    weights = [0.5, 0.3, 0.15, 0.0499, 0.0001 + 1e-11]
+    exact = [Fraction(repr(w)) for w in weights]
+    total, had = sum(exact), [0] * 5
+    share = mixing.shares(exact)
+    assert sum(share) > 10**6
+    for t, i, *_ in itertools.islice(mixing.schedule(share), 10**6):
+        had[i] += 1
+        if t % 9973 == 0 or t > 10**6 - 100:
+            assert all(abs(h - w / total * (t + 1)) < 1 for h, w in zip(had, exact))
+
+
+def test_schedule_leaves_ended_sources_out():
+    got = list(mixing.schedule([3, 2, 5], [1, 2, 4]))
+    assert sorted((i, k) for _, i, k, _, _ in got) == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]
+    assert len({t for t, *_ in got}) == len(got) and all(r <= t < d for t, _, _, r, d in got)
+
+
 def test_shares():
-    assert sum(mixing.shares([1.0, 1e-9, 5.0], 64)) == 64 and min(mixing.shares([1.0, 1e-9, 5.0], 64)) == 1
-    assert mixing.shares([1, 1], 64) == [32, 32]
+    assert mixing.shares([Fraction("0.5"), Fraction("0.25"), Fraction("0.25")]) == [2, 1, 1]
+    assert mixing.shares([Fraction(6), Fraction(4)]) == [3, 2] and mixing.shares([]) == []
+    fine = mixing.shares([Fraction(1, 3), Fraction(repr(1e-17)), Fraction(repr(2**0.5))])
+    assert min(fine) == 1 and abs(sum(fine) - mixing.FINEST) < 5
+
+
+def test_mixing_of_many_sources_and_own_columns(spark):
+    rows = [(i, "text " * (i % 7), f"s{i % 20_000}", "own id", "own i", "own k") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __id string, __I string, ___k string")
+    got = mixing.mix(docs, block_bytes=16).collect()
+    assert len(got) == 40_000 and {(r["__id"], r["__I"], r["___k"]) for r in got} == {("own id", "own i", "own k")}
+    assert len({(r.mix_slot, r.source) for r in got}) == len({r.mix_slot for r in got})
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
 
 
 def test_mixing(spark, odd, no_docs, monkeypatch):
@@ -272,7 +304,7 @@ def test_mixing(spark, odd, no_docs, monkeypatch):
     for t in range(0, horizon, 7):
         for s, w in (("a", 0.6), ("b", 0.2), (None, 0.2)):
             share = next(r.mix_weight for r in got if r.source == s)
-            assert abs(share - w) < 1e-3
+            assert share == w
     out = mixing.mix(odd)
     assert out.count() == odd.count() and out.columns == odd.columns + mixing.COLUMNS
     assert mixing.mix(out).columns == out.columns
