@@ -38,6 +38,8 @@ MAX_LANGUAGES = 400
 REMEMBERED = 250_000
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
+PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                          T.StructField("lang_fit", T.DoubleType()), T.StructField("lang_bytes", T.LongType())])
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -286,20 +288,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
     return Model(path, langs, prior, prob)
 
 
-def _predicted(model, column: str):
-    """Batches -> the same with lang_pred and score."""
+def _predicted(model, column: str, names: list[str]):
+    """Batches -> the same with the columns of ``names`` out of lang_pred, score, lang_fit and lang_bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         v = vocabulary(m.path)
         known: dict[str, int] = {}
-        scores = np.zeros((0, len(m.languages)))
+        scores, sizes = np.zeros((0, len(m.languages))), np.zeros(0, np.int64)
         for batch in batches:
-            lang, score = [], []
+            lang, score, fit, size = [], [], [], []
             texts = batch[column].to_pylist()
             for a in range(0, len(texts), 500):
                 docs = [words_of(t) if t and m.languages and _LETTER.search(t) else [] for t in texts[a:a + 500]]
                 if len(known) > REMEMBERED:
-                    known, scores = {}, scores[:0]
+                    known, scores, sizes = {}, scores[:0], sizes[:0]
                 new = list(set().union(*docs) - known.keys())
                 if new:
                     parts = [as_bytes(w) for w in new]
@@ -308,31 +310,63 @@ def _predicted(model, column: str):
                         flat = np.add.reduceat(flat, np.cumsum([0] + [len(p) for p in parts])[:-1], axis=0)
                     known.update(zip(new, range(len(known), len(known) + len(new))))
                     scores = np.vstack([scores, flat])
+                    sizes = np.append(sizes, [sum(map(len, p)) for p in parts])
                 for words in docs:
                     if not words:
                         lang.append("und")
                         score.append(0.0)
+                        fit.append(None)
+                        size.append(0)
                         continue
-                    s = m.prior + scores[[known[w] for w in words]].sum(axis=0)
+                    at = [known[w] for w in words]
+                    own = scores[at].sum(axis=0)
+                    s = m.prior + own
                     best = int(s.argmax())
+                    size.append(int(sizes[at].sum()))
+                    fit.append(float(own[best]) / size[-1])
                     lang.append(m.languages[best])
                     score.append(float(1 / np.exp(s - s[best]).sum()))
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                  names=[*batch.schema.names, "lang_pred", "score"])
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64()), pa.array(size, pa.int64())]
+            yield pa.record_batch([*batch.columns, *new[:len(names)]], names=[*batch.schema.names, *names])
     return run
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (columns of these names are replaced).
+def predict(docs: DataFrame, model: Model, text_col: str = "text", fit: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, and with ``fit`` also lang_fit and lang_bytes (columns of these names are replaced).
 
-    ``score`` is the posterior of the predicted language. Texts that are null or
+    ``score`` is the posterior of the predicted language, ``lang_fit`` the mean
+    log probability of a byte of the text's words in it (null without words) and
+    ``lang_bytes`` the number of these bytes. Texts that are null or
     without any letter, and all texts where the model has no language, are
     ``und`` with score 0. Ties go to the language that sorts first.
     """
     b = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
-    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(tx.trimmed(_predicted(b, text_col)), schema)
+    fields = PREDICTED.fields if fit else PREDICTED.fields[:2]
+    names = [f.name for f in fields]
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    return src.mapInArrow(tx.trimmed(_predicted(b, text_col, names)), T.StructType([*src.schema.fields, *fields]))
+
+
+def unlike(predicted: DataFrame, lang_col: str = "lang", spreads: float = 12.0) -> DataFrame:
+    """``predicted`` (of ``predict`` with ``fit``) with unlike: whether the text is far from all that the language's own texts are.
+
+    A language's own texts are those labelled with it that also got it. A text
+    is unlike them when its lang_fit lies more than ``spreads`` standard
+    deviations below their mean; the deviation is that of their lang_fit or, for
+    short texts, the one that so few bytes have, whichever is larger. It is
+    false where there is nothing to compare with. A column of that name is
+    replaced; ``predicted`` is read twice, so pass a written table.
+    """
+    own = predicted.where((F.col(lang_col).cast("string") == F.col("lang_pred")) & F.col("lang_fit").isNotNull())
+    mean = own.groupBy("lang_pred").agg(F.avg("lang_fit").alias("_mean"), F.stddev_pop("lang_fit").alias("_dev"),
+                                        F.avg(F.col("lang_fit") ** 2 * F.col("lang_bytes")).alias("_xx"),
+                                        F.avg(F.col("lang_fit") * F.col("lang_bytes")).alias("_x"), F.avg("lang_bytes").alias("_n"))
+    a_byte = F.greatest(F.lit(0.0), F.col("_xx") - 2 * F.col("_mean") * F.col("_x") + F.col("_mean") ** 2 * F.col("_n"))
+    known = mean.select(F.col("lang_pred").alias("_lang"), "_mean", "_dev", a_byte.alias("_a_byte"))
+    least = F.col("_mean") - spreads * F.greatest("_dev", F.sqrt(F.col("_a_byte") / F.greatest("lang_bytes", F.lit(1))))
+    kept = [F.col(f"`{c}`") for c in predicted.columns if c.lower() != "unlike"]
+    return predicted.join(known, F.col("lang_pred") == F.col("_lang"), "left").select(
+        *kept, F.coalesce(F.col("lang_fit") < least, F.lit(False)).alias("unlike"))
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):

@@ -236,6 +236,26 @@ def test_short_licences_beside_long_ones(spark):
     assert sorted(got[2], key=lambda r: r[2]) == [("GPL-3.0-header", True, 0), ("GPL-3.0-header", True, len(license.word_list(gpl.encode())))]
 
 
+def test_texts_unlike_their_language(spark, odd, no_docs):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(60)) for _ in range(50)]
+    finnish = ("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+               "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä").split()
+    noise += [" ".join(rng.choices(finnish, k=60)) for _ in range(50)]
+    rows = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(noise)] + [(2 * 10**9, None, "en"), (2 * 10**9, " 1 ", None)],
+                                 docs.schema)
+    model = langid.fit(docs)
+    got = store.materialise(langid.predict(docs.unionByName(rows), model, fit=True), "predicted")
+    gone = {r.doc_id for r in langid.unlike(got).where("unlike").collect()}
+    assert gone == {10**9 + i for i in range(100)}
+    out = langid.unlike(langid.predict(odd, model, fit=True).withColumn("unlike", F.lit("own")))
+    assert out.count() == odd.count() and dict(out.dtypes)["unlike"] == "boolean"
+    assert langid.unlike(langid.predict(no_docs, model, fit=True)).count() == 0
+    assert not langid.unlike(langid.predict(docs, langid.fit(no_docs), fit=True)).where("unlike").count()
+
+
 @pytest.mark.parametrize("share", [[1, 2, 3, 4], [5, 5], [1, 99], [7] * 13, [1], [3, 1, 1, 2, 57]])
 def test_schedule_deviates_by_less_than_a_block(share):
     period, had = sum(share), [0] * len(share)

@@ -20,7 +20,8 @@ def test_stages(spark, odd):
     more = odd.select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 100_000)
     leaked = spark.createDataFrame([(200_000, f"Some words before. {leak} And some behind.", "en", "s0", 1)], docs.schema)
     shared = spark.createDataFrame([(300_000 + i, "Only one line, which six documents have, and nothing else.", "en", "s0", 1) for i in range(6)], docs.schema)
-    docs = materialise(docs.unionByName(more).unionByName(leaked).unionByName(shared), "test")
+    noise = spark.createDataFrame([(400_000 + i, "xqz vbwk jjfh qqpt zxcv " * 20, None, "s0", 1) for i in range(3)], docs.schema)
+    docs = materialise(docs.unionByName(more).unionByName(leaked).unionByName(shared).unionByName(noise), "test")
     rows = {}
     for name, stage in corpus_pipeline.STAGES:
         out = materialise(stage(spark, docs, SF), "test")
@@ -30,6 +31,8 @@ def test_stages(spark, odd):
         docs = out
     before, after = rows["language_id"]
     gone = before.select("doc_id", "text").exceptAll(after.select("doc_id", "text")).collect()
+    assert before.where("doc_id >= 400000").count() == 3 and after.where("doc_id >= 400000").count() == 0
+    gone = [r for r in gone if r.doc_id is None or r.doc_id < 400_000]
     assert gone and not any(c.isalpha() for r in gone for c in r.text or "")
     assert after.where("lang is null").count() == 0
     before, after = rows["line_dedup"]
