@@ -27,13 +27,15 @@ def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language takes by more than half, go; a missing lang is filled in.
+    """Documents without a letter, in no learned language or of noise go; a missing lang is filled in.
 
-    The model is learned from all texts with a lang. The score is about 1 for any text of some words, so in effect
-    only texts without a letter go, not noise or texts in a language not learned.
+    The model is learned from all texts with a lang. A document goes that no language takes by more than half, or whose
+    mean log probability a byte lies 12 standard deviations below that of its language's texts: other languages, random
+    letters. The bound is wide, so that unusual texts of a learned language stay.
     """
     ready(spark)
-    out = langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und' AND score > 0.5")
+    found = materialise(langid.predict(docs, langid.fit(docs), fit=True), "predicted")
+    out = langid.unlike(found, spreads=12.0).where("lang_pred <> 'und' AND score > 0.5 AND NOT unlike")
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
